@@ -26,15 +26,19 @@ def has_phone(c) -> Column:
     return F.coalesce(as_column(c), F.lit("")).rlike("(?U)" + terms.PHONE_PATTERN)
 
 
-def signals(c) -> Column:
-    """Struct of the four safety signals; null text raises none of them."""
+def signal_columns(c) -> dict:
+    """The four safety signals by name; null text raises none of them."""
     low = F.lower(F.coalesce(as_column(c), F.lit("")))
-    return F.struct(
-        any_term(low, terms.DAMAGE_TERMS).alias("physical_damage"),
-        any_term(low, terms.CHARGE_TERMS).alias("refund_or_charge"),
-        (has_email(c) | has_phone(c)).alias("pii"),
-        any_term(low, terms.TOXIC_TERMS).alias("toxic"),
-    )
+    return {
+        "physical_damage": any_term(low, terms.DAMAGE_TERMS),
+        "refund_or_charge": any_term(low, terms.CHARGE_TERMS),
+        "pii": has_email(c) | has_phone(c),
+        "toxic": any_term(low, terms.TOXIC_TERMS),
+    }
+
+
+def signals(c) -> Column:
+    return F.struct(*[found.alias(name) for name, found in signal_columns(c).items()])
 
 
 def keyword_intent(c) -> Column:

@@ -45,9 +45,13 @@ def pair_counts(df: DataFrame, true: str, pred: str, normalize: bool = True) ->
 
 
 def label_union(pairs: DataFrame) -> DataFrame:
-    """Distinct labels seen on either side, one column ``label``."""
-    both = F.explode(F.array("true_label", "pred_label"))
-    return pairs.select(both.alias("label")).distinct()
+    """Distinct labels seen on either side, one column ``label``.
+
+    The filter keeps the counts in the plan, so that it shares its exchange with the other
+    uses of ``pairs`` and the data is read once.
+    """
+    seen = class_counts(pairs).filter(F.col("predicted") + F.col("support") > 0)
+    return seen.select(F.col("intent").alias("label"))
 
 
 def confusion_matrix(pairs: DataFrame, classes=None) -> DataFrame:

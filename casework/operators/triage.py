@@ -101,9 +101,18 @@ def score_batches(requests: DataFrame, scorer, batch_rows: int = 200) -> DataFra
 
 
 def decide(rows: DataFrame, threshold: float = terms.CONFIDENCE_THRESHOLD) -> DataFrame:
-    """Rows with ``customer_text`` and a parsed ``analysis`` get overrides and ``status``."""
-    overridden = with_signals(rows).withColumn("analysis", rules.apply_overrides("analysis", "signals"))
-    return overridden.withColumn("status", rules.gate("analysis", threshold))
+    """Rows with ``customer_text`` and a parsed ``analysis`` get overrides and ``status``.
+
+    The signals are plain columns here: Catalyst would copy the fields of a struct, and with
+    them all term tests, into every expression that reads one.
+    """
+    found = rules.signal_columns("customer_text")
+    flat = rows.withColumns({f"_{name}": c for name, c in found.items()})
+    signals = F.struct(*[F.col(f"_{name}").alias(name) for name in found])
+    overridden = flat.withColumn("analysis", rules.apply_overrides("analysis", signals))
+    return overridden.withColumn("status", rules.gate("analysis", threshold)).drop(
+        *[f"_{name}" for name in found]
+    )
 
 
 def triage_batch(

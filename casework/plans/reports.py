@@ -3,6 +3,10 @@
 ``scorecard`` reads the results once and counts everything the metric reports need per
 (true, predicted) label pair. It has a row per pair, so each report is a projection of a
 small table; Catalyst drops the counts a report does not use before the scan.
+
+Most reports are one chain on top of it and read the results once. Those that need the card in
+several places (``evaluation_report``, ``dashboard``) store it first, which runs one job; give
+them a stored card to build several reports from one pass.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +18,9 @@ from casework.functions.text import (
 )
 from casework.operators import metrics
 from casework.operators.metrics import binary_columns, ratio
+from casework.operators.threads import leakage_audit
 from casework.sources.schemas import REQUIRED
-from casework.sources.tables import require_columns
+from casework.sources.tables import require_columns, stored
 
 JUDGES = {"tone": "judge_tone", "grounding": "judge_grounding", "helpfulness": "judge_helpfulness"}
 RARE_SHARE = 0.05
@@ -30,6 +35,7 @@ def scorecard(results: DataFrame) -> DataFrame:
     sums = {
         "n": F.count("*"),
         "kw_hits": F.count_if(truth == rules.keyword_intent("customer_text")),
+        "missed": F.count_if(_missed(results)),
         "esc_rows": F.count_if(both),
         "kwe_rows": F.count_if(known),
         "kwe_hits": F.count_if(
@@ -61,48 +67,63 @@ def card_pairs(card: DataFrame) -> DataFrame:
     return card.dropna(subset=["true_label", "pred_label"]).select("true_label", "pred_label", "n")
 
 
-def _sum(c: str) -> Column:
+def _sum(c) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def _sum_where(condition: Column, c: str = "n") -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col(c))), F.lit(0))
+def _label_sums(card: DataFrame) -> list:
+    """Sums of a scorecard's counts and of what follows from its labels."""
+    t, p = F.col("true_label"), F.col("pred_label")
+    return [
+        *[_sum(c).alias(c) for c in card.columns if c not in ("true_label", "pred_label")],
+        _sum(F.when(t.isNotNull() & p.isNotNull(), F.col("n"))).alias("intent_rows"),
+        _sum(F.when(t == p, F.col("n"))).alias("intent_hits"),
+        _sum(F.when(t.isNotNull(), F.col("n"))).alias("labelled"),
+        _sum(F.when(p.isNotNull(), F.col("n"))).alias("completed"),
+    ]
 
 
 def _totals(card: DataFrame) -> DataFrame:
-    """One row with the sums of a scorecard."""
-    valid = F.col("true_label").isNotNull() & F.col("pred_label").isNotNull()
-    same = F.col("true_label") == F.col("pred_label")
-    sums = [_sum(c).alias(c) for c in card.columns if c not in ("true_label", "pred_label")]
-    return card.agg(
-        *sums,
-        _sum_where(valid).alias("intent_rows"),
-        _sum_where(same).alias("intent_hits"),
-        _sum_where(F.col("true_label").isNotNull()).alias("labelled"),
-        _sum_where(F.col("pred_label").isNotNull()).alias("completed"),
+    """One row: all sums, and ``best`` (m: minus its count, label), the majority intent of the
+    complete pairs. Going through per-label sums keeps it a single chain."""
+    per_label = card.groupBy("true_label").agg(*_label_sums(card))
+    counts = [c for c in per_label.columns if c != "true_label"]
+    known = F.when(
+        F.col("intent_rows") > 0,
+        F.struct((-F.col("intent_rows")).alias("m"), F.col("true_label").alias("label")),
+    )
+    # The least of (minus count, label) settles ties on the smallest label.
+    return per_label.agg(
+        *[_sum(c).alias(c) for c in counts],
+        F.min(F.when(F.col("true_label").isNotNull(), known)).alias("best"),
+        F.sort_array(F.collect_list(_supported("intent_rows"))).alias("supports"),
     )
 
 
-def _majority(card: DataFrame) -> DataFrame:
-    """One row (label, accuracy) of the most frequent true intent among complete pairs."""
-    per_label = card_pairs(card).groupBy(F.col("true_label").alias("label")).agg(F.sum("n").alias("n"))
-    return metrics.majority(per_label)
+def _supported(c: str) -> Column:
+    return F.when(F.col("true_label").isNotNull() & (F.col(c) > 0), F.col(c))
+
+
+def _majority() -> Column:
+    """Accuracy of always answering the majority intent, from a totals row."""
+    return ratio(F.coalesce(-F.col("best.m"), F.lit(0)), "intent_rows")
 
 
 def _escalation(prefix: str) -> dict:
     return binary_columns(*[f"{prefix}_{c}" for c in ("tp", "fp", "fn", "tn")])
 
 
-def _lines(row: DataFrame, section: str, values: dict) -> DataFrame:
-    """Unfold one row into (section, name, value) lines."""
-    items = [
+def _line_structs(sections: dict, **more) -> list:
+    """(section, name, value) structs of a totals row."""
+    extra = [c.alias(name) for name, c in more.items()]
+    return [
         F.struct(
             F.lit(section).alias("section"), F.lit(name).alias("name"),
-            F.col(v).cast("double").alias("value") if isinstance(v, str) else v.cast("double").alias("value"),
+            (F.col(v) if isinstance(v, str) else v).cast("double").alias("value"), *extra,
         )
+        for section, values in sections.items()
         for name, v in values.items()
     ]
-    return row.select(F.inline(F.array(*items)))
 
 
 def _union(parts) -> DataFrame:
@@ -114,12 +135,11 @@ def _union(parts) -> DataFrame:
 
 def executive_summary(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
     card = scorecard(results) if card is None else card
-    esc = _escalation("d")
-    best = _majority(card).select("accuracy").scalar()
+    esc, agent = _escalation("d"), ratio("intent_hits", "intent_rows")
     return _totals(card).select(
-        ratio("intent_hits", "intent_rows").alias("agent_accuracy"),
-        best.alias("majority_accuracy"),
-        (best - ratio("intent_hits", "intent_rows")).alias("gap"),
+        agent.alias("agent_accuracy"),
+        _majority().alias("majority_accuracy"),
+        (_majority() - agent).alias("gap"),
         *[esc[c].alias(f"esc_{c}") for c in ("accuracy", "precision", "recall", "f1")],
         F.col("n").alias("total"),
         F.col("intent_rows").alias("intent_valid"),
@@ -150,10 +170,14 @@ def confusion_matrices(results: DataFrame, card: DataFrame | None = None) -> dic
     }
 
 
+def _missed(results: DataFrame) -> Column:
+    truth, guess = (flag(results, c, "dashboard") for c in ("true_escalate", "pred_escalate"))
+    return truth & ~F.coalesce(guess, F.lit(False))
+
+
 def missed_escalations(results: DataFrame) -> DataFrame:
     """All rows that needed a human and were not predicted so; a null prediction is a miss."""
-    truth, guess = (flag(results, c, "dashboard") for c in ("true_escalate", "pred_escalate"))
-    return results.filter(truth & ~F.coalesce(guess, F.lit(False)))
+    return results.filter(_missed(results))
 
 
 def safety_failures(results: DataFrame, n: int = 10) -> DataFrame:
@@ -207,71 +231,74 @@ def intent_distribution(golden: DataFrame) -> DataFrame:
     return metrics.label_distribution(golden, "true_intent")
 
 
+def _majority_rows() -> Column:
+    """(field, label, accuracy) of both majority baselines, from a totals row."""
+    yes, no = F.col("h_tp") + F.col("h_fn"), F.col("h_fp") + F.col("h_tn")
+    return F.array(
+        F.struct(
+            F.lit("intent").alias("field"), F.col("best.label").alias("label"), _majority().alias("accuracy")
+        ),
+        F.struct(
+            F.lit("escalation").alias("field"),
+            F.when(yes > no, "true").otherwise("false").alias("label"),
+            ratio(F.greatest(yes, no), yes + no).alias("accuracy"),
+        ),
+    )
+
+
 def majority_labels(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
     """Rows (field, label, accuracy) of the majority baselines."""
     card = scorecard(results) if card is None else card
-    truths = _totals(card).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("false").alias("label"), (F.col("h_fp") + F.col("h_tn")).alias("n")),
-                F.struct(F.lit("true").alias("label"), (F.col("h_tp") + F.col("h_fn")).alias("n")),
-            )
-        )
-    )
-    return _majority(card).withColumn("field", F.lit("intent")).unionByName(
-        metrics.majority(truths).withColumn("field", F.lit("escalation"))
-    ).select("field", "label", "accuracy")
+    return _totals(card).select(F.inline(_majority_rows()))
 
 
 def accuracy_comparison(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
     """Rows (model, accuracy): majority, keyword, agent."""
     card = scorecard(results) if card is None else card
-    scores = _totals(card).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("keyword").alias("model"), ratio("kw_hits", "labelled").alias("accuracy")),
-                F.struct(F.lit("agent").alias("model"), ratio("intent_hits", "intent_rows").alias("accuracy")),
-            )
-        )
-    )
-    best = _majority(card).select(F.lit("majority").alias("model"), "accuracy")
-    return best.unionByName(scores)
+    models = {
+        "majority": _majority(),
+        "keyword": ratio("kw_hits", "labelled"),
+        "agent": ratio("intent_hits", "intent_rows"),
+    }
+    rows = [F.struct(F.lit(m).alias("model"), a.alias("accuracy")) for m, a in models.items()]
+    return _totals(card).select(F.inline(F.array(*rows)))
 
 
 def baseline_report(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
     """Lines (section, name, value, label): majority and keyword baselines beside the agent."""
     card = scorecard(results) if card is None else card
-    row, esc = _totals(card), _escalation("h")
-    best = majority_labels(results, card).select(
-        F.when(F.col("field") == "intent", "INTENT").otherwise("ESCALATION").alias("section"),
-        F.lit("majority_accuracy").alias("name"), F.col("accuracy").alias("value"), "label",
+    esc, none = _escalation("h"), F.lit(None).cast("string")
+    majority = F.transform(
+        _majority_rows(),
+        lambda x: F.struct(
+            F.upper(x["field"]).alias("section"), F.lit("majority_accuracy").alias("name"),
+            x["accuracy"].alias("value"), x["label"].alias("label"),
+        ),
     )
-    parts = [
-        _lines(row, "DATASET", {"rows": "n", "intent_rows": "intent_rows", "escalation_rows": "esc_rows"}),
-        _lines(row, "INTENT", {
+    lines = _line_structs({
+        "DATASET": {"rows": "n", "intent_rows": "intent_rows", "escalation_rows": "esc_rows"},
+        "INTENT": {
             "keyword_accuracy": ratio("kw_hits", "labelled"),
             "agent_accuracy": ratio("intent_hits", "intent_rows"),
-        }),
-        _lines(row, "ESCALATION", {
+        },
+        "ESCALATION": {
             "keyword_accuracy": ratio("kwe_hits", "kwe_rows"),
             **{f"agent_{c}": esc[c] for c in ("accuracy", "precision", "recall", "f1")},
-        }),
-        best,
-        *_reply_and_judge_lines(card, row),
-    ]
-    return _union(parts)
+        },
+        **_reply_and_judge(card),
+    }, label=none)
+    return _totals(card).select(F.inline(F.concat(F.array(*lines), majority)))
 
 
-def _reply_and_judge_lines(card: DataFrame, row: DataFrame) -> list:
-    parts = []
+def _reply_and_judge(card: DataFrame) -> dict:
+    sections = {}
     if "replies" in card.columns:
-        parts.append(_lines(row, "REPLIES", {"generated": "replies", "rate": ratio("replies", "n")}))
+        sections["REPLIES"] = {"generated": "replies", "rate": ratio("replies", "n")}
+    judges = {}
     for name in JUDGES:
         if f"{name}_sum" in card.columns:
-            parts.append(_lines(row, "JUDGE", {
-                f"{name}_mean": _mean(name), f"{name}_samples": f"{name}_n",
-            }))
-    return parts
+            judges |= {f"{name}_mean": _mean(name), f"{name}_samples": f"{name}_n"}
+    return sections | ({"JUDGE": judges} if judges else {})
 
 
 def _mean(name: str) -> Column:
@@ -281,58 +308,58 @@ def _mean(name: str) -> Column:
 
 def evaluation_report(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
     """Lines (section, name, value) of a finished evaluation."""
-    card = scorecard(results) if card is None else card
-    row, pairs, esc = _totals(card), card_pairs(card), _escalation("h")
+    card = stored(scorecard(results), "scorecard") if card is None else card
+    pairs, esc = card_pairs(card), _escalation("h")
     report = metrics.classification_report(pairs).filter(F.col("row") != "accuracy")
-    measures = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.concat("row", F.lit(f" {c}")).alias("name"), F.col(c).cast("double").alias("value")
-                )
-                for c in ("prec", "rec", "f1", "support")
-            ]
+    measures = [
+        F.struct(
+            F.lit("CLASSES").alias("section"), F.concat("row", F.lit(f" {c}")).alias("name"),
+            F.col(c).cast("double").alias("value"),
         )
-    )
+        for c in ("prec", "rec", "f1", "support")
+    ]
     matrix = metrics.confusion_matrix(pairs).select(
         F.lit("CONFUSION").alias("section"),
         F.concat("true_label", F.lit(" -> "), "pred_label").alias("name"),
         F.col("n").cast("double").alias("value"),
     )
-    counts = {c: f"h_{c}" for c in ("tp", "fp", "fn", "tn")}
-    parts = [
-        _lines(row, "DATASET", {"rows": "n", "completed": "completed"}),
-        _lines(row, "INTENT", {"accuracy": ratio("intent_hits", "intent_rows")}),
-        report.select(F.lit("CLASSES").alias("section"), measures),
-        matrix,
-        _lines(row, "ESCALATION", {
-            **{c: esc[c] for c in ("accuracy", "precision", "recall", "f1")}, **counts,
-        }),
-    ]
+    sections = {
+        "DATASET": {"rows": "n", "completed": "completed"},
+        "INTENT": {"accuracy": ratio("intent_hits", "intent_rows")},
+        "ESCALATION": {
+            **{c: esc[c] for c in ("accuracy", "precision", "recall", "f1")},
+            **{c: f"h_{c}" for c in ("tp", "fp", "fn", "tn")},
+        },
+    }
     if "retrieved_sum" in card.columns:
-        parts.append(_lines(row, "RETRIEVAL", {"average": _mean("retrieved")}))
-    return _union(parts + _reply_and_judge_lines(card, row))
+        sections["RETRIEVAL"] = {"average": _mean("retrieved")}
+    lines = _line_structs(sections | _reply_and_judge(card))
+    return _union([
+        _totals(card).select(F.inline(F.array(*lines))),
+        report.select(F.inline(F.array(*measures))),
+        matrix,
+    ])
 
 
 def dataset_audit(results: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """Lines (section, name, value): coverage, label counts and, for a split, its leaks."""
-    from casework.operators.threads import leakage_audit
-
     card = scorecard(results)
-    labels = metrics.class_counts(card_pairs(card)).filter(F.col("support") > 0)
-    parts = [
-        _lines(_totals(card), "COVERAGE", {
-            "rows": "n", "intent_rows": "intent_rows", "escalation_rows": "esc_rows",
-            "completed": "completed",
-        }),
-        labels.select(
-            F.lit("LABELS").alias("section"), F.col("intent").alias("name"),
-            F.col("support").cast("double").alias("value"),
-        ),
-    ]
+    # One rollup gives the label rows and, above them, the total row.
+    levels = card.rollup("true_label").agg(*_label_sums(card), F.grouping("true_label").alias("all"))
+    coverage = {
+        "rows": "n", "intent_rows": "intent_rows", "escalation_rows": "esc_rows",
+        "completed": "completed",
+    }
+    label = F.struct(
+        F.lit("LABELS").alias("section"), F.col("true_label").alias("name"),
+        F.col("intent_rows").cast("double").alias("value"),
+    )
+    lines = F.when(F.col("all") == 1, F.array(*_line_structs({"COVERAGE": coverage}))).when(
+        _supported("intent_rows").isNotNull(), F.array(label)
+    )
+    parts = [levels.select(F.inline(lines))]
     if split is not None:
-        leaks = leakage_audit(split)
-        parts.append(leaks.select(
+        parts.append(leakage_audit(split).select(
             F.lit("LEAKAGE").alias("section"), F.col("kind").alias("name"),
             F.col("n").cast("double").alias("value"),
         ))
@@ -342,23 +369,16 @@ def dataset_audit(results: DataFrame, split: DataFrame | None = None) -> DataFra
 def diagnostics(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
     """Lines (name, value) that put the headline accuracy in proportion."""
     card = scorecard(results) if card is None else card
-    support = metrics.class_counts(card_pairs(card)).filter(F.col("support") > 0)
-    shape = support.agg(
-        F.max("support").alias("top"), F.min("support").alias("least"), F.sum("support").alias("all"),
-        F.sort_array(F.collect_list("support")).alias("each"),
-    ).select(
-        ratio("top", "all").alias("majority_share"),
-        F.size(F.filter("each", lambda x: x < RARE_SHARE * F.col("all"))).alias("rare_classes"),
-        F.col("least").alias("smallest_class"),
-    )
     esc = _escalation("d")
-    lines = [
-        _lines(shape, "", {c: c for c in ("majority_share", "rare_classes", "smallest_class")}),
-        _lines(_totals(card), "", {
+    rare = F.filter("supports", lambda x: x < RARE_SHARE * F.col("intent_rows"))
+    lines = _line_structs({
+        "": {
+            "majority_share": _majority(), "rare_classes": F.size(rare),
+            "smallest_class": F.array_min("supports"),
             "escalation_precision": esc["precision"], "escalation_miss_rate": esc["miss_rate"],
-        }),
-    ]
-    return _union(lines).select("name", "value")
+        }
+    })
+    return _totals(card).select(F.inline(F.array(*lines))).select("name", "value")
 
 
 SECTIONS = (
@@ -378,16 +398,14 @@ def dashboard(
 ) -> DataFrame:
     """Rows (section, payload_json) of the chosen sections.
 
-    Numbers are shown as percentages and rounded half to even, here and nowhere else. Pass a
-    stored ``card`` (``scorecard(results)``, a row per label pair) to spare each section its
-    own pass over the results. ``evidence`` comes from ``rag_evidence``; without it that section
-    is empty.
+    Numbers are shown as percentages and rounded half to even, here and nowhere else. ``evidence``
+    comes from ``rag_evidence``; without it that section is empty. Without ``golden`` the label
+    distribution is that of the results.
     """
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections {sorted(unknown)}, known are {SECTIONS}")
-    card = scorecard(results) if card is None else card
-    golden = results if golden is None else golden
+    card = stored(scorecard(results), "scorecard") if card is None else card
 
     def pct(c):
         return half_even(F.col(c) * 100, 2).alias(c)
@@ -407,7 +425,7 @@ def dashboard(
         return _json_rows(_union(named), "cells")
 
     def failures():
-        total = missed_escalations(results).agg(F.count("*")).scalar()
+        total = card.agg(F.sum("missed")).scalar()
         return _numbered(safety_failures(results), "#FN-", "false_negatives", total)
 
     def rag():
@@ -423,6 +441,19 @@ def dashboard(
         total = mismatches(results).agg(F.count("*")).scalar()
         return _numbered(failure_cases(results), "Case ", "cases", total, pad=False)
 
+    def distribution():
+        if golden is None:
+            known = card.filter(F.col("true_label").isNotNull())
+            counts = known.groupBy(F.col("true_label").alias("label")).agg(F.sum("n").alias("n"))
+        else:
+            counts = intent_distribution(golden)
+        rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label")))
+        body = F.struct(
+            F.transform(rows, lambda x: x["label"]).alias("labels"),
+            F.transform(rows, lambda x: -x["m"]).alias("values"),
+        )
+        return counts.agg(F.to_json(body).alias("payload_json"))
+
     build = {
         "executive_summary": summary,
         "class_wise": lambda: _json_rows(
@@ -435,9 +466,7 @@ def dashboard(
             judge_scores(results).withColumn("mean", half_even("mean", 2)), "scores"
         ),
         "failure_cases": cases,
-        "intent_distribution": lambda: _json_rows(
-            intent_distribution(golden).select((-F.col("n")).alias("_order"), "label", "n"), "labels"
-        ).withColumn("payload_json", F.regexp_replace("payload_json", r'"_order":-\d+,', "")),
+        "intent_distribution": distribution,
         "accuracy_comparison": lambda: _json_rows(
             accuracy_comparison(results, card).select("model", pct("accuracy")), "models"
         ),
