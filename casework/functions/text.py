@@ -54,8 +54,8 @@ def flag(df, name: str, variant: str = "harness") -> Column:
 
 def normalize_id(c) -> Column:
     """Float-like id text (``1.23e18``, ``12.0``) to bigint without passing through double."""
-    exact = strip(as_column(c).cast("string")).try_cast("decimal(38,6)")
-    whole = exact.try_cast("decimal(38,0)")
+    exact = strip(as_column(c).cast("string")).try_cast("decimal(32,6)")
+    whole = exact.try_cast("decimal(26,0)")
     return F.when(exact == whole, whole.try_cast("bigint"))
 
 

@@ -73,8 +73,13 @@ def confusion_matrix(pairs: DataFrame, classes=None) -> DataFrame:
             .select(F.explode("labels").alias("true_label"), "labels")
             .select("true_label", F.explode("labels").alias("pred_label"))
         )
-    counted = grid.join(pairs, ["true_label", "pred_label"], "left")
-    return counted.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    # Null-safe on labels that are never null: a plain join would add its own null filter to
+    # this use of ``pairs`` only, which could then not share the exchange.
+    counted = pairs.select(F.col("true_label").alias("_t"), F.col("pred_label").alias("_p"), "n")
+    same = F.col("true_label").eqNullSafe(F.col("_t")) & F.col("pred_label").eqNullSafe(F.col("_p"))
+    return grid.join(counted, same, "left").select(
+        "true_label", "pred_label", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
+    )
 
 
 def confusion_wide(matrix: DataFrame, classes) -> DataFrame:

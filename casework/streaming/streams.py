@@ -64,11 +64,7 @@ def triage_stream(messages: DataFrame, answer, out: str, checkpoint: str):
         checked = triage.checked_messages(batch)
         _write(triage.rejected_messages(checked), f"{out}/rejects", batch_id)
         messages = triage.valid_messages(checked)
-        rows = triage.triage_batch(messages, answer(messages)).persist()
-        _write(_decisions(rows.filter(F.col("error").isNull())), f"{out}/decisions", batch_id)
-        failed = rows.filter(F.col("error").isNotNull()).select("thread_id", "error")
-        _write(failed, f"{out}/failures", batch_id)
-        rows.unpersist()
+        _write_decided(messages, answer(messages), f"{out}/decisions", f"{out}/failures", batch_id)
         batch.unpersist()
 
     return _start(messages, each, checkpoint)
@@ -90,24 +86,34 @@ def evaluate_stream(
 ):
     """Evaluate each id once however often it is delivered; returns the started query.
 
-    With ``event_time`` repeats within the horizon are dropped from state; the check against
-    the stored results is exact without it and also survives a lost checkpoint.
+    Results go to ``out/results`` and rows without a usable answer to ``out/failures``; a failed
+    id counts as not evaluated when it is delivered again. With ``event_time`` repeats within the
+    horizon are dropped from state; the check against the stored results is exact without it and
+    also survives a lost checkpoint.
     """
     if event_time is not None:
         golden = golden.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["thread_id"])
+    results = f"{out}/results"
 
     def each(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
         rows = batch.withColumn("thread_id", F.col("thread_id").cast("string"))
         once = first_per_key(rows, ["thread_id"], [F.md5(F.coalesce("customer_text", F.lit("")))])
-        open_rows = _unseen(once, _earlier(spark, out, batch_id, "thread_id", once), "thread_id")
+        done = _earlier(batch.sparkSession, results, batch_id, "thread_id", once)
+        open_rows = _unseen(once, done, "thread_id")
         messages = triage.valid_messages(triage.checked_messages(open_rows))
-        decided = triage.triage_batch(messages, answer(messages))
-        _write(_decisions(decided.filter(F.col("error").isNull())), out, batch_id)
+        _write_decided(messages, answer(messages), results, f"{out}/failures", batch_id)
 
     return _start(golden, each, checkpoint)
 
 
+def _write_decided(messages: DataFrame, answers: DataFrame, good: str, bad: str, batch_id: int):
+    """Decide one batch once, though two tables are written from it."""
+    rows = triage.triage_batch(messages, answers).persist()
+    _write(_decisions(rows.filter(F.col("error").isNull())), good, batch_id)
+    _write(rows.filter(F.col("error").isNotNull()).select("thread_id", "error"), bad, batch_id)
+    rows.unpersist()
+
+
 def kb_stream(threads: DataFrame, out: str, checkpoint: str):
     """Load arriving threads into the knowledge base, first id wins; returns the started query."""
 

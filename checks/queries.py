@@ -431,7 +431,7 @@ def evaluate_stream(spark, sf):
         streams.evaluate_stream(
             _message_stream(spark, sf, folder), _rule_answers, f"{folder}/out", f"{folder}/state"
         ).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("thread_id", "status")
+    return spark.read.parquet(f"{folder}/out/results").select("thread_id", "status")
 
 
 @query
