@@ -96,10 +96,12 @@ def write_knowledge_base(kb: DataFrame, path: str) -> None:
 
 def summary_lines(summary: DataFrame) -> DataFrame:
     """``name: value`` text lines of a (section, name, value, label) report."""
-    shown = F.coalesce("label", F.format_string("%.4f", "value"))
-    return summary.select(
-        "section", "name", F.concat_ws(": ", "name", F.coalesce(shown, F.lit("none"))).alias("line")
+    number = F.when(F.col("value").isNotNull(), F.format_string("%.4f", "value"))
+    shown = F.when(F.col("value").isNull(), F.col("label")).otherwise(
+        F.concat_ws(" ", number, F.concat(F.lit("("), "label", F.lit(")")))
     )
+    line = F.concat_ws(": ", "name", F.coalesce(shown, F.lit("none")))
+    return summary.select("section", "name", line.alias("line"))
 
 
 def write_summary(summary: DataFrame, path: str, fmt: str = "json") -> None:

@@ -1,8 +1,9 @@
 """Triage, evaluation and knowledge-base loading over streams.
 
-Each micro-batch writes its own ``batch_id=N`` directory with overwrite, so a batch replayed
-after a failure replaces its earlier output: together with the source's checkpoint every input
-row takes effect exactly once.
+Each micro-batch writes its own ``run=.../batch_id=N`` directory with overwrite, so a batch
+replayed after a failure replaces its earlier output: together with the source's checkpoint every
+input row takes effect exactly once. ``run`` is the id Spark keeps in the checkpoint; a stream
+started on a new checkpoint counts its batches anew and must not touch older output.
 """
 
 from pyspark.errors import AnalysisException
@@ -28,19 +29,25 @@ def _start(stream: DataFrame, each, checkpoint: str):
     return writer.trigger(availableNow=True).start()
 
 
-def _write(batch: DataFrame, path: str, batch_id: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _place(batch: DataFrame, checkpoint: str, batch_id: int) -> tuple:
+    """(run, batch id) of a micro-batch."""
+    return batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id, batch_id
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int, column: str, like: DataFrame):
-    """Ids stored by earlier batches. A replayed batch does not see its own first output."""
+def _write(batch: DataFrame, path: str, place: tuple) -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/run={place[0]}/batch_id={place[1]}")
+
+
+def _earlier(path: str, place: tuple, column: str, like: DataFrame):
+    """Ids stored by other batches. A replayed batch does not see its own first output."""
     try:
-        stored = spark.read.parquet(path)
+        stored = like.sparkSession.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return like.select(column).limit(0)
-    return stored.filter(F.col("batch_id") != batch_id).select(column)
+    own = (F.col("run") == place[0]) & (F.col("batch_id") == place[1])
+    return stored.filter(~own).select(column)
 
 
 def _unseen(batch: DataFrame, stored: DataFrame, column: str) -> DataFrame:
@@ -60,11 +67,12 @@ def triage_stream(messages: DataFrame, answer, out: str, checkpoint: str):
     """
 
     def each(batch: DataFrame, batch_id: int):
+        place = _place(batch, checkpoint, batch_id)
         batch = batch.persist()
         checked = triage.checked_messages(batch)
-        _write(triage.rejected_messages(checked), f"{out}/rejects", batch_id)
+        _write(triage.rejected_messages(checked), f"{out}/rejects", place)
         messages = triage.valid_messages(checked)
-        _write_decided(messages, answer(messages), f"{out}/decisions", f"{out}/failures", batch_id)
+        _write_decided(messages, answer(messages), f"{out}/decisions", f"{out}/failures", place)
         batch.unpersist()
 
     return _start(messages, each, checkpoint)
@@ -96,21 +104,22 @@ def evaluate_stream(
     results = f"{out}/results"
 
     def each(batch: DataFrame, batch_id: int):
+        place = _place(batch, checkpoint, batch_id)
         rows = batch.withColumn("thread_id", F.col("thread_id").cast("string"))
         once = first_per_key(rows, ["thread_id"], [F.md5(F.coalesce("customer_text", F.lit("")))])
-        done = _earlier(batch.sparkSession, results, batch_id, "thread_id", once)
+        done = _earlier(results, place, "thread_id", once)
         open_rows = _unseen(once, done, "thread_id")
         messages = triage.valid_messages(triage.checked_messages(open_rows))
-        _write_decided(messages, answer(messages), results, f"{out}/failures", batch_id)
+        _write_decided(messages, answer(messages), results, f"{out}/failures", place)
 
     return _start(golden, each, checkpoint)
 
 
-def _write_decided(messages: DataFrame, answers: DataFrame, good: str, bad: str, batch_id: int):
+def _write_decided(messages: DataFrame, answers: DataFrame, good: str, bad: str, place: tuple):
     """Decide one batch once, though two tables are written from it."""
     rows = triage.triage_batch(messages, answers).persist()
-    _write(_decisions(rows.filter(F.col("error").isNull())), good, batch_id)
-    _write(rows.filter(F.col("error").isNotNull()).select("thread_id", "error"), bad, batch_id)
+    _write(_decisions(rows.filter(F.col("error").isNull())), good, place)
+    _write(rows.filter(F.col("error").isNotNull()).select("thread_id", "error"), bad, place)
     rows.unpersist()
 
 
@@ -118,8 +127,8 @@ def kb_stream(threads: DataFrame, out: str, checkpoint: str):
     """Load arriving threads into the knowledge base, first id wins; returns the started query."""
 
     def each(batch: DataFrame, batch_id: int):
+        place = _place(batch, checkpoint, batch_id)
         kb = build_knowledge_base(batch)
-        fresh = _unseen(kb, _earlier(batch.sparkSession, out, batch_id, "id", kb), "id")
-        _write(fresh, out, batch_id)
+        _write(_unseen(kb, _earlier(out, place, "id", kb), "id"), out, place)
 
     return _start(threads, each, checkpoint)

@@ -1,0 +1,128 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from casework.operators import labels, threads
+from casework.operators.seeded import first_per_key, golden_split, seeded_sample
+from casework.sources.schemas import LABEL_COLUMNS
+
+TWEETS = "tweet_id bigint, author_id string, text string, in_response_to_tweet_id bigint"
+LONG = "a question of more than fifteen characters"
+
+
+@pytest.fixture
+def tweets(spark):
+    return spark.createDataFrame(
+        [
+            (1, "u1", LONG, None), (2, "Brand", "answer one", 1), (3, "Brand", "answer two", 1),
+            (4, "Brand", "answer three", 1), (5, "u2", "thanks", None), (6, "Brand", "welcome", 5),
+            (7, "Brand", "an announcement", None), (8, "Other", "not the brand", 1),
+            (9, "Brand", "to a missing message", 99), (10, "u3", None, None), (11, "Brand", "to null", 10),
+        ],
+        TWEETS,
+    )
+
+
+def test_replies_pairs_and_parents(tweets):
+    replies = threads.brand_replies(tweets, "Brand")
+    assert sorted(r.tweet_id for r in replies.collect()) == [2, 3, 4, 6, 9, 11]
+    assert sorted(r.tweet_id for r in threads.reply_parents(tweets, replies).collect()) == [1, 5, 10]
+    pairs = threads.pair_threads(tweets, replies).collect()
+    assert sorted((r.thread_id, r.customer_text, r.agent_text) for r in pairs) == [
+        (1, LONG, "answer one"), (1, LONG, "answer three"), (1, LONG, "answer two"),
+    ]
+
+
+def by_seed(ids, seed, n):
+    return sorted(ids, key=lambda i: (hashlib.md5(f"{seed}|{i}".encode()).hexdigest(), i))[:n]
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 999, 1000, 5000])
+def test_sample_is_the_seeded_prefix(spark, n):
+    df = spark.range(1000).withColumnRenamed("id", "k").repartition(7)
+    got = [r.k for r in seeded_sample(df, n, "k", 42).collect()]
+    assert got == by_seed(range(1000), 42, n)
+
+
+def test_sample_of_nothing(spark):
+    assert seeded_sample(spark.range(0), 5, "id", 1).count() == 0
+
+
+def test_split_is_by_thread_and_complete(spark):
+    # Thread 0 holds a third of all rows.
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("thread_id"),
+        F.lit("q").alias("customer_text"), F.col("id").cast("string").alias("agent_text"),
+    )
+    split = golden_split(rows, 100)
+    assert split.count() == 900
+    sides = split.groupBy("thread_id").agg(F.countDistinct("split").alias("n")).filter("n > 1")
+    assert sides.count() == 0
+    ids = [r[0] for r in rows.select("thread_id").distinct().collect()]
+    golden = {r[0] for r in split.filter("split = 'golden'").select("thread_id").distinct().collect()}
+    assert golden == set(by_seed(ids, 101, 100))
+    leaks = {r.kind: r.n for r in threads.leakage_audit(split).collect()}
+    inside = split.filter("split = 'golden'").count()
+    assert leaks == {"id": 0, "text": inside}
+
+
+def test_leaks_by_id_and_by_normalised_text(spark):
+    df = spark.createDataFrame(
+        [(1, "Hello ", "golden"), (1, "other", "kb"), (2, "\thello", "kb"), (3, None, "golden"), (4, None, "kb"),
+         (5, "alone", "golden")],
+        "thread_id bigint, customer_text string, split string",
+    )
+    assert {r.kind: r.n for r in threads.leakage_audit(df).collect()} == {"id": 1, "text": 1}
+
+
+def test_knowledge_base_keeps_one_answer_per_id(spark):
+    answers = ["x", "y", None]
+    best = min(("x", "y"), key=lambda a: hashlib.md5(a.encode()).hexdigest())
+    df = spark.createDataFrame(
+        [(1, "q", a) for a in answers] + [(2, None, None)], "thread_id bigint, customer_text string, agent_text string"
+    )
+    got = sorted(tuple(r) for r in threads.build_knowledge_base(df).collect())
+    assert got == [("1", "q", best), ("2", "", None)]
+
+
+def test_first_per_key_cuts_hot_keys_before_the_shuffle(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("k"), "id")
+    top = first_per_key(df, ["k"], [F.desc("id")], 3)
+    assert sorted(r.id for r in top.filter("k = 7").collect()) == [397, 398, 399]
+    assert top.count() == 603
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2 and "Partial" in plan
+
+
+def test_extract_threads_without_samples(tweets):
+    assert threads.extract_threads(tweets, "Brand", None, None).count() == 3
+    assert threads.extract_threads(tweets, "Brand", 5000, 2).count() == 2
+
+
+EVENTS = "thread_id bigint, seq bigint, code string, escalate string, reason string"
+
+
+def test_labels_latest_valid_event_wins_and_labels_are_kept(spark):
+    golden = spark.createDataFrame(
+        [(1, None, None, None), (2, "other", 1, "old"), (3, None, None, None), (4, None, None, None)],
+        "thread_id bigint, true_intent string, should_escalate int, escalation_reason string",
+    )
+    events = spark.createDataFrame(
+        [(1, 1, "2", "y", "damage"), (1, 2, "4", "Y", "billing"), (1, 3, "8", "n", None), (2, 1, "1", "y", "new"),
+         (3, 1, "9", "y", "bad"), (4, 1, "7", "n", "ignored"), (5, 1, "1", "y", "no such row")],
+        EVENTS,
+    )
+    got = {r.thread_id: tuple(r)[1:] for r in labels.apply_labels(golden, events).collect()}
+    assert got == {
+        1: ("billing_purchases", 1, "billing"), 2: ("other", 1, "old"), 3: (None, None, None),
+        4: ("other", 0, "Safe for auto-reply"),
+    }
+    assert [r.thread_id for r in labels.label_queue(labels.apply_labels(golden, events)).collect()] == [3]
+
+
+def test_labels_on_a_table_without_label_columns(spark):
+    events = spark.createDataFrame([(1, 1, "2", "y", "damage")], EVENTS)
+    done = labels.apply_labels(spark.createDataFrame([(1,), (2,)], "thread_id bigint"), events)
+    assert done.columns == ["thread_id", *LABEL_COLUMNS]
+    assert done.filter("true_intent is null").count() == 1
