@@ -7,7 +7,8 @@ rows therefore becomes many tiles instead of one large group, and a tile returns
 query, never its pairs.
 
 * ``similar_issues`` is exact. Cells are the Voronoi cells of sampled vectors; a query visits a
-  cell unless the triangle inequality proves that no member can be among its k nearest.
+  cell unless the triangle inequality proves that no member can be among its k nearest. The
+  cells of a knowledge base can be stored once (``write_issue_index``) and searched often.
 * ``similar_issues_lsh`` is approximate. Cells are random-hyperplane buckets of several tables.
 
 Planning them runs small jobs: a seeded sample of at most ``MAX_PIVOTS`` vectors and two counts
@@ -15,6 +16,7 @@ per cell come to the driver, nothing that grows with the data.
 """
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 from casework.functions import terms
 from casework.functions.text import preview
 from casework.operators.seeded import first_per_key, seeded_sample
+from casework.sources.tables import write_table
 
 MAX_PIVOTS = 1024
 TILE_ROWS = 8192
@@ -55,13 +58,19 @@ def _few_copies(kb: DataFrame, keep: int) -> DataFrame:
     return first_per_key(hashed, ["_h", "vec"], ["n"], keep).drop("_h")
 
 
-def _tile_counts(df: DataFrame, copies: int | None = None) -> dict:
-    """Tiles per cell. The knowledge-base side counts distinct vectors times the copies kept."""
-    rows = F.count("*")
-    if copies is not None:
-        rows = F.least(rows, copies * F.approx_count_distinct(F.xxhash64("vec")))
-    counted = df.groupBy("cell").agg(rows.alias("rows")).collect()
-    return {r.cell: max(1, math.ceil(r.rows / TILE_ROWS)) for r in counted}
+def _distinct_rows(copies: int):
+    """Aggregate: rows left when at most ``copies`` of each vector are kept, roughly."""
+    return F.least(F.count("*"), copies * F.approx_count_distinct(F.xxhash64("vec")))
+
+
+def _tile_counts(df: DataFrame, rows=None) -> dict:
+    """Tiles per cell."""
+    counted = df.groupBy("cell").agg((F.count("*") if rows is None else rows).alias("rows"))
+    return {r.cell: _tiles(r.rows) for r in counted.collect()}
+
+
+def _tiles(rows: int) -> int:
+    return max(1, math.ceil(rows / TILE_ROWS))
 
 
 def _lookup(tiles: dict):
@@ -127,63 +136,113 @@ def _tiled_top(queries, kb, kb_tiles: dict, q_tiles: dict, k: int, metric: str)
 
 
 def _ranked(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """k nearest over all cells. A pair may have been found in several cells or for a repeated
+    query id; equal pairs share their rank, and one shuffle by query serves both steps."""
     if exclude_self:
         found = found.filter(F.col("q") != F.col("n"))
-    rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "n"))
-    return found.withColumn("rk", rank.cast("bigint")).filter(F.col("rk") <= k)
+    rank = F.dense_rank().over(W.partitionBy("q").orderBy("distance", "n"))
+    near = found.withColumn("rk", rank.cast("bigint")).filter(F.col("rk") <= k)
+    return near.dropDuplicates(["q", "n"])
 
 
-def similar_issues(
-    queries: DataFrame, kb: DataFrame, k: int = terms.NEIGHBOURS, query_id: str = "q",
-    kb_id: str = "n", vector: str = "embedding", metric: str = "l2",
-    exclude_self: bool = False, pivots: int | None = None,
-) -> DataFrame:
-    """Exact k nearest: rows (q, n, distance, rk), ties broken on the lower id.
+@dataclass(frozen=True)
+class IssueIndex:
+    """Knowledge-base vectors by cell: ``table`` (n, vec, cell, radius), ``cells`` one entry
+    (pivot vector, nearest and farthest member distance, rows) per cell that has members."""
 
-    ``metric`` is ``l2`` or ``cosine``; fewer than k past issues give fewer rows.
-    """
-    queries, kb = _typed(queries, query_id, vector, "q"), _typed(kb, kb_id, vector, "n")
-    need = k + 1 if exclude_self else k
+    table: DataFrame
+    pivots: np.ndarray
+    cells: list
+    metric: str
+    copies: int
+
+
+CELLS = "cell int, pivot array<double>, low double, high double, rows bigint"
+
+
+def _to_pivots(vectors, pivots: np.ndarray, unit: bool) -> np.ndarray:
+    m = _matrix(vectors)
+    m = _unit(m) if unit else m
+    square = (m * m).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(square - 2.0 * m @ pivots.T, 0.0))
+
+
+def issue_index(
+    kb: DataFrame, kb_id: str = "n", vector: str = "embedding", metric: str = "l2",
+    copies: int = terms.NEIGHBOURS + 1, pivots: int | None = None,
+) -> IssueIndex:
+    """Cells of a knowledge base. A search for k neighbours needs ``copies`` of at least k, or
+    k + 1 if a query may be its own neighbour; further copies of a vector are left out."""
+    kb = _typed(kb, kb_id, vector, "n")
     if pivots is None:
-        pivots = min(MAX_PIVOTS, max(1, math.isqrt(kb.count()) // 2))
+        pivots = max(1, math.isqrt(kb.count()) // 2)
     sample = seeded_sample(kb, min(pivots, MAX_PIVOTS), "n", terms.EXTRACT_SEED).collect()
     if not sample:
-        out = queries.select("q").withColumns(
-            {"n": F.lit(None).cast(kb.schema["n"].dataType), "distance": F.lit(0.0),
-             "rk": F.lit(0).cast("bigint")}
-        )
-        return out.filter(F.lit(False))
+        placed = kb.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})
+        return IssueIndex(placed, np.zeros((0, 0)), [], metric, copies)
     unit = metric == "cosine"
     p = np.array([r.vec for r in sample], dtype=np.float64)
     p = np.unique(_unit(p) if unit else p, axis=0)
-    between = np.sqrt(np.maximum(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2), 0.0))
-
-    def to_pivots(vectors):
-        m = _matrix(vectors)
-        m = _unit(m) if unit else m
-        square = (m * m).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * m @ p.T
-        return np.sqrt(np.maximum(square, 0.0))
 
     @F.pandas_udf("struct<cell:int,radius:double>")
     def home(vectors: pd.Series) -> pd.DataFrame:
-        d = to_pivots(vectors)
+        d = _to_pivots(vectors, p, unit)
         cell = d.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "radius": d[np.arange(len(d)), cell]})
 
     placed = kb.withColumn("_p", home("vec")).select("n", "vec", "_p.cell", "_p.radius")
     ring = placed.groupBy("cell").agg(
-        F.least(F.count("*"), need * F.approx_count_distinct(F.xxhash64("vec"))).alias("rows"),
-        F.min("radius").alias("low"),
-        F.max("radius").alias("high"),
-    ).collect()
-    kb_tiles = {r.cell: max(1, math.ceil(r.rows / TILE_ROWS)) for r in ring}
-    cells = np.array(sorted(kb_tiles), dtype=np.int32)
-    low = np.array([r.low for r in sorted(ring, key=lambda r: r.cell)])
-    high = np.array([r.high for r in sorted(ring, key=lambda r: r.cell)])
+        F.min("radius").alias("low"), F.max("radius").alias("high"),
+        _distinct_rows(copies).alias("rows"),
+    )
+    cells = [(r.cell, r.low, r.high, r.rows) for r in sorted(ring.collect(), key=lambda r: r.cell)]
+    return IssueIndex(_few_copies(placed, copies), p, cells, metric, copies)
+
+
+def write_issue_index(index: IssueIndex, path: str) -> None:
+    """Store an index: the vectors, and one small row per pivot."""
+    spark, known = index.table.sparkSession, {c[0]: c[1:] for c in index.cells}
+    rows = [(i, [float(x) for x in v], *known.get(i, (None, None, 0))) for i, v in enumerate(index.pivots)]
+    about = spark.createDataFrame(rows, CELLS).withColumns(
+        {"metric": F.lit(index.metric), "copies": F.lit(index.copies)}
+    )
+    write_table(index.table, f"{path}/issues", "overwrite")
+    write_table(about.coalesce(1), f"{path}/cells", "overwrite")
+
+
+def read_issue_index(spark, path: str) -> IssueIndex:
+    about = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
+    table = spark.read.parquet(f"{path}/issues")
+    cells = [(r.cell, r.low, r.high, r.rows) for r in about if r.rows]
+    pivots = np.array([r.pivot for r in about], dtype=np.float64)
+    if not about:
+        return IssueIndex(table, np.zeros((0, 0)), [], "l2", 0)
+    return IssueIndex(table, pivots, cells, about[0].metric, about[0].copies)
+
+
+def search_issue_index(
+    queries: DataFrame, index: IssueIndex, k: int = terms.NEIGHBOURS, query_id: str = "q",
+    vector: str = "embedding", exclude_self: bool = False,
+) -> DataFrame:
+    """Exact k nearest in an index: rows (q, n, distance, rk), ties broken on the lower id."""
+    queries = _typed(queries, query_id, vector, "q")
+    need = k + 1 if exclude_self else k
+    if not index.cells:
+        none = {
+            "n": F.lit(None).cast(index.table.schema["n"].dataType), "distance": F.lit(0.0),
+            "rk": F.lit(0).cast("bigint"),
+        }
+        return queries.select("q").withColumns(none).filter(F.lit(False))
+    if need > index.copies:
+        raise ValueError(f"the index keeps {index.copies} copies of a vector, {need} are needed")
+    p, unit = index.pivots, index.metric == "cosine"
+    between = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+    cells = np.array([c[0] for c in index.cells], dtype=np.int32)
+    low, high = (np.array([c[i] for c in index.cells]) for i in (1, 2))
 
     @F.pandas_udf("array<int>")
     def visits(vectors: pd.Series) -> pd.Series:
-        d = to_pivots(vectors)
+        d = _to_pivots(vectors, p, unit)
         # Pivots are stored vectors, so the need-th nearest pivot bounds the need-th nearest issue.
         reach = (
             np.partition(d, need - 1, axis=1)[:, need - 1]
@@ -202,12 +261,28 @@ def similar_issues(
         return pd.Series([cells[row] for row in keep])
 
     visiting = queries.withColumn("cell", F.explode(visits("vec")))
-    q_tiles = _tile_counts(visiting)
-    stored = _few_copies(placed.drop("radius"), need)
-    found = _tiled_top(visiting, stored, kb_tiles, q_tiles, need, metric)
+    kb_tiles = {c[0]: _tiles(c[3]) for c in index.cells}
+    found = _tiled_top(
+        visiting, index.table.select("n", "vec", "cell"), kb_tiles, _tile_counts(visiting), need,
+        index.metric,
+    )
     return _ranked(found, k, exclude_self)
 
 
+def similar_issues(
+    queries: DataFrame, kb: DataFrame, k: int = terms.NEIGHBOURS, query_id: str = "q",
+    kb_id: str = "n", vector: str = "embedding", metric: str = "l2",
+    exclude_self: bool = False, pivots: int | None = None,
+) -> DataFrame:
+    """Exact k nearest without a stored index.
+
+    ``metric`` is ``l2`` or ``cosine``; fewer than k past issues give fewer rows.
+    """
+    copies = k + 1 if exclude_self else k
+    index = issue_index(kb, kb_id, vector, metric, copies, pivots)
+    return search_issue_index(queries, index, k, query_id, vector, exclude_self)
+
+
 def similar_issues_lsh(
     queries: DataFrame, kb: DataFrame, k: int = terms.NEIGHBOURS, query_id: str = "q",
     kb_id: str = "n", vector: str = "embedding", metric: str = "l2",
@@ -230,12 +305,11 @@ def similar_issues_lsh(
 
     kb = kb.withColumn("cell", F.explode(buckets("vec")))
     queries = queries.withColumn("cell", F.explode(buckets("vec")))
-    kb_tiles, q_tiles = _tile_counts(kb, need), _tile_counts(queries)
+    kb_tiles, q_tiles = _tile_counts(kb, _distinct_rows(need)), _tile_counts(queries)
     hashed = kb.withColumn("_h", F.xxhash64("vec"))
     stored = first_per_key(hashed, ["cell", "_h", "vec"], ["n"], need).drop("_h")
     found = _tiled_top(queries, stored, kb_tiles, q_tiles, need, metric)
-    # The same pair may be found in several tables.
-    return _ranked(found.dropDuplicates(["q", "n"]), k, exclude_self)
+    return _ranked(found, k, exclude_self)
 
 
 def rag_evidence(

@@ -16,8 +16,12 @@ def brand_replies(tweets: DataFrame, brand: str) -> DataFrame:
 
 
 def reply_parents(tweets: DataFrame, replies: DataFrame) -> DataFrame:
-    """Messages that at least one of the replies answers."""
-    answered = replies.select(F.col("in_response_to_tweet_id").alias("tweet_id"))
+    """Messages that at least one of the replies answers.
+
+    A semi join cannot split a hot key of its right side; distinct ids, combined before the
+    shuffle, have none.
+    """
+    answered = replies.select(F.col("in_response_to_tweet_id").alias("tweet_id")).distinct()
     return tweets.join(answered, "tweet_id", "left_semi")
 
 

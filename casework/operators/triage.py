@@ -8,7 +8,7 @@ from casework.functions import prompts, rules, terms
 from casework.functions.answers import parse_answers
 from casework.functions.text import clip_reply, flag, has_reply, message_status, strip
 from casework.operators.retrieve import retrieved_cases
-from casework.operators.seeded import seeded_sample
+from casework.operators.seeded import first_per_key, seeded_sample
 from casework.sources.schemas import JUDGE_COLUMNS
 from casework.sources.tables import add_missing, with_thread_id
 
@@ -67,14 +67,20 @@ def judge_requests(sampled: DataFrame) -> DataFrame:
     )
 
 
-def score_batches(requests: DataFrame, scorer, batch_rows: int = 200) -> DataFrame:
+def score_batches(
+    requests: DataFrame, scorer, batch_rows: int = 200, partitions: int | None = None
+) -> DataFrame:
     """Answer request rows (id, prompt) with a caller's batch function.
 
     ``scorer`` maps a list of prompts to as many answers; an answer may be an exception. One
     answer row (id, answer, error) comes back per request, failures included, so nothing is
     lost. Retries and pacing belong to the scorer. A lost executor repeats its partitions:
-    write the answers to a table before using them twice.
+    write the answers to a table before using them twice. ``partitions`` spreads the requests
+    of a few input files over that many parallel callers.
     """
+    requests = requests.select("id", "prompt")
+    if partitions is not None:
+        requests = requests.repartition(partitions)
 
     def answer(frames):
         for frame in frames:
@@ -95,9 +101,7 @@ def score_batches(requests: DataFrame, scorer, batch_rows: int = 200) -> DataFra
                     }
                 )
 
-    return requests.select("id", "prompt").mapInPandas(
-        answer, "id string, answer string, error string"
-    )
+    return requests.mapInPandas(answer, "id string, answer string, error string")
 
 
 def decide(rows: DataFrame, threshold: float = terms.CONFIDENCE_THRESHOLD) -> DataFrame:
@@ -115,6 +119,18 @@ def decide(rows: DataFrame, threshold: float = terms.CONFIDENCE_THRESHOLD) -> Da
     )
 
 
+def _one_answer(answers: DataFrame) -> DataFrame:
+    """One answer per id, usable ones first, so that repeated ids never multiply in a join."""
+    rows = answers.select(F.col("id").cast("string").alias("thread_id"), "answer", "error")
+    return first_per_key(rows, ["thread_id"], [F.col("answer").isNull(), "answer", "error"])
+
+
+def one_per_thread(messages: DataFrame) -> DataFrame:
+    """One row per thread id: a thread with several replies is asked about once."""
+    text = F.md5(F.coalesce("customer_text", F.lit("")))
+    return first_per_key(with_thread_id(messages), ["thread_id"], [text])
+
+
 def triage_batch(
     messages: DataFrame, answers: DataFrame, neighbours: DataFrame | None = None,
     replies: DataFrame | None = None, threshold: float = terms.CONFIDENCE_THRESHOLD,
@@ -128,9 +144,7 @@ def triage_batch(
     Escalated messages have neither reply nor retrieved examples.
     """
     messages = with_thread_id(messages)
-    given = answers.select(
-        F.col("id").cast("string").alias("thread_id"), "answer", F.col("error").alias("failure")
-    )
+    given = _one_answer(answers).withColumnRenamed("error", "failure")
     parsed = parse_answers(messages.join(given, "thread_id", "left"))
     reason = F.coalesce("failure", "error")
     rows = decide(
@@ -154,7 +168,7 @@ def triage_batch(
         )
         rows, count = rows.join(found, "thread_id", "left"), F.coalesce("_found", count)
     if replies is not None:
-        drafted = replies.select(F.col("id").alias("thread_id"), F.col("answer").alias("_reply"))
+        drafted = _one_answer(replies).select("thread_id", F.col("answer").alias("_reply"))
         rows, text = rows.join(drafted, "thread_id", "left"), clip_reply("_reply")
     return rows.select(
         "thread_id",
@@ -186,7 +200,7 @@ def append_results(previous: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def evaluation_rows(decided: DataFrame, golden: DataFrame) -> DataFrame:
-    """Result table of the decided golden rows; rows with an error stay pending.
+    """One result per golden row of each decided id; ids with an error stay pending.
 
     An unlabelled row keeps a null truth instead of counting as "no escalation".
     """

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from casework.functions import rules, terms
 from casework.functions.text import (
-    case_id, escalation_class, flag, half_even, has_reply, normalize_label, numeric_or_null, preview,
+    case_id, escalation_class, flag, half_even, has_reply, normalize_label, numeric_or_null, percent, preview,
 )
 from casework.operators import metrics
 from casework.operators.metrics import binary_columns, ratio
 from casework.operators.threads import leakage_audit
 from casework.sources.schemas import REQUIRED
-from casework.sources.tables import require_columns, stored
+from casework.sources.tables import require_columns, stored, to_payload
 
 JUDGES = {"tone": "judge_tone", "grounding": "judge_grounding", "helpfulness": "judge_helpfulness"}
 RARE_SHARE = 0.05
@@ -387,11 +387,6 @@ SECTIONS = (
 )
 
 
-def _json_rows(df: DataFrame, key: str, extra=None) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
-    return df.agg(F.to_json(F.struct(rows.alias(key), *(extra or []))).alias("payload_json"))
-
-
 def dashboard(
     results: DataFrame, sections=SECTIONS, evidence: DataFrame | None = None,
     golden: DataFrame | None = None, card: DataFrame | None = None,
@@ -408,7 +403,7 @@ def dashboard(
     card = stored(scorecard(results), "scorecard") if card is None else card
 
     def pct(c):
-        return half_even(F.col(c) * 100, 2).alias(c)
+        return percent(c).alias(c)
 
     def summary():
         shown = [pct(c) for c in (
@@ -422,7 +417,7 @@ def dashboard(
     def matrices():
         both = confusion_matrices(results, card)
         named = [m.select(F.lit(k).alias("field"), "true_label", "pred_label", "n") for k, m in both.items()]
-        return _json_rows(_union(named), "cells")
+        return to_payload(_union(named), "cells")
 
     def failures():
         total = card.agg(F.sum("missed")).scalar()
@@ -456,18 +451,16 @@ def dashboard(
 
     build = {
         "executive_summary": summary,
-        "class_wise": lambda: _json_rows(
-            class_wise_performance(results, card), "classes", [F.count("*").alias("total_classes")]
+        "class_wise": lambda: to_payload(
+            class_wise_performance(results, card), "classes", total_classes=F.count("*")
         ),
         "confusion_matrices": matrices,
         "safety_failures": failures,
         "rag_evidence": rag,
-        "judge_scores": lambda: _json_rows(
-            judge_scores(results).withColumn("mean", half_even("mean", 2)), "scores"
-        ),
+        "judge_scores": lambda: to_payload(judge_scores(results), "scores", {"mean": 2}),
         "failure_cases": cases,
         "intent_distribution": distribution,
-        "accuracy_comparison": lambda: _json_rows(
+        "accuracy_comparison": lambda: to_payload(
             accuracy_comparison(results, card).select("model", pct("accuracy")), "models"
         ),
     }

@@ -56,7 +56,7 @@ def evaluate(
     require_columns(golden, schemas.REQUIRED["golden"])
     results, answers = f"{path}/results", f"{path}/answers"
     done = read_table(spark, results, schemas.RESULTS)
-    checked = triage.checked_messages(triage.pending(golden, done))
+    checked = triage.checked_messages(triage.one_per_thread(triage.pending(golden, done)))
     messages = triage.valid_messages(checked)
 
     asked = triage.score_batches(triage.classification_requests(messages, brand), classifier)

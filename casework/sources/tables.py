@@ -11,17 +11,17 @@ from casework.functions.text import half_even, normalize_id, numeric_or_null
 from casework.sources import schemas
 
 
-def read_tweets(spark: SparkSession, path: str) -> DataFrame:
+def read_tweets(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Scan raw message CSV and convert the two id columns to bigint.
 
-    Quoted line breaks make a CSV file unsplittable, so each file is one task: keep exports in
-    many files and convert them once with ``write_table``; Parquet then splits freely.
+    Texts with quoted line breaks make a CSV file unsplittable, so each file is one task: keep
+    exports in many files and convert them once with ``write_table``; Parquet then splits freely.
+    An export known to have no line breaks in its texts can be split as it is.
     """
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("escape", '"')
-        .option("enforceSchema", False)
         .csv(path)
     )
     require_columns(raw, schemas.TWEETS.names)
@@ -110,12 +110,13 @@ def write_summary(summary: DataFrame, path: str, fmt: str = "json") -> None:
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def to_payload(df: DataFrame, name: str, rounded: dict | None = None) -> DataFrame:
-    """Whole small report as one JSON text: rows become a sorted array under ``name``."""
-    for c, digits in (rounded or {}).items():
-        df = df.withColumn(c, half_even(c, digits))
+def to_payload(df: DataFrame, name: str, rounded: dict | None = None, **totals) -> DataFrame:
+    """A small report as one JSON text: its rows become a sorted array under ``name``, beside
+    further aggregates. Rounding, half to even, belongs here and nowhere else."""
+    df = df.withColumns({c: half_even(c, digits) for c, digits in (rounded or {}).items()})
     rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
-    return df.agg(F.to_json(F.struct(rows.alias(name))).alias("payload_json"))
+    body = [rows.alias(name), *[c.alias(key) for key, c in totals.items()]]
+    return df.agg(F.to_json(F.struct(*body)).alias("payload_json"))
 
 
 def numeric_columns(df: DataFrame, *columns: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.operators import triage
-from casework.operators.seeded import first_per_key
 from casework.operators.threads import build_knowledge_base
 
 
@@ -105,8 +104,7 @@ def evaluate_stream(
 
     def each(batch: DataFrame, batch_id: int):
         place = _place(batch, checkpoint, batch_id)
-        rows = batch.withColumn("thread_id", F.col("thread_id").cast("string"))
-        once = first_per_key(rows, ["thread_id"], [F.md5(F.coalesce("customer_text", F.lit("")))])
+        once = triage.one_per_thread(batch)
         done = _earlier(results, place, "thread_id", once)
         open_rows = _unseen(once, done, "thread_id")
         messages = triage.valid_messages(triage.checked_messages(open_rows))

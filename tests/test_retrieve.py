@@ -117,3 +117,27 @@ def test_evidence_and_cases(spark):
     stored = spark.createDataFrame([("0", "d0", "r0"), ("1", "d1", None)], "id string, document string, agent_reply string")
     cases = retrieve.retrieved_cases(near, stored).first()
     assert [tuple(e) for e in cases.examples] == [("d0", "r0"), ("d1", None)]
+
+
+def test_stored_index(spark, tmp_path):
+    vectors = clustered(6, 200)
+    vectors[50:120] = vectors[50]
+    kb, queries = frame(spark, vectors), frame(spark, clustered(7, 30), 1000)
+    retrieve.write_issue_index(retrieve.issue_index(kb, "id", pivots=20), str(tmp_path / "index"))
+    index = retrieve.read_issue_index(spark, str(tmp_path / "index"))
+    assert index.table.count() == 200 - 70 + 6
+    got = retrieve.search_issue_index(queries, index, 5, "id")
+    assert found(got) == brute(queries.collect(), kb.collect(), 5)
+    with pytest.raises(ValueError, match="copies"):
+        retrieve.search_issue_index(queries, index, 7, "id")
+    empty = retrieve.issue_index(kb.limit(0), "id")
+    retrieve.write_issue_index(empty, str(tmp_path / "none"))
+    assert retrieve.search_issue_index(queries, retrieve.read_issue_index(spark, str(tmp_path / "none")), 5, "id").count() == 0
+
+
+def test_repeated_query_ids_are_answered_once(spark):
+    kb = frame(spark, clustered(8, 60))
+    queries = frame(spark, clustered(9, 10), 1000)
+    again = queries.union(queries).union(queries)
+    for f in (retrieve.similar_issues, retrieve.similar_issues_lsh):
+        assert found(search(f, again, kb, 4)) == found(search(f, queries, kb, 4))
