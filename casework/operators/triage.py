@@ -239,10 +239,12 @@ def judge_sample(
 
 
 def apply_judgements(results: DataFrame, scores: DataFrame) -> DataFrame:
-    """Write new scores (thread_id and any judge columns) over the old ones."""
+    """Write new scores (thread_id and any judge columns) over the old ones. Of several scores
+    of one id the first non-null in column order counts, so no row is multiplied."""
     results = add_missing(results, JUDGE_COLUMNS)
     brought = [c for c in JUDGE_COLUMNS if c in scores.columns]
-    new = scores.select("thread_id", *[F.col(c).alias(f"_{c}") for c in brought])
+    one = first_per_key(scores, ["thread_id"], [F.col(c).asc_nulls_last() for c in brought])
+    new = one.select("thread_id", *[F.col(c).alias(f"_{c}") for c in brought])
     merged = results.join(new, "thread_id", "left")
     return merged.select(
         *[

@@ -67,6 +67,8 @@ def test_scoring_returns_one_row_per_request(spark):
             raise RuntimeError("whole batch failed")
         return [KeyError("odd") if int(p) % 2 else "even" for p in prompts]
 
+    spread = triage.score_batches(requests, scorer, 64, partitions=3)
+    assert spread.rdd.getNumPartitions() == 3 and spread.count() == 1000
     got = triage.score_batches(requests, scorer, 64).collect()
     assert len({r.id for r in got}) == len(got) == 1000
     assert all((r.answer is None) != (r.error is None) for r in got)
@@ -110,7 +112,7 @@ def test_pending_append_and_judge(spark):
         "thread_id string, drafted_reply string, judge_tone int, judge_reasoning string",
     )
     assert [r.thread_id for r in triage.judge_sample(results).collect()] == ["1"]
-    scores = spark.createDataFrame([("1", 5, None), ("4", None, "why")], "thread_id string, judge_tone int, judge_reasoning string")
+    scores = spark.createDataFrame([("1", 5, None), ("1", None, None), ("4", None, "why")], "thread_id string, judge_tone int, judge_reasoning string")
     got = {r.thread_id: (r.judge_tone, r.judge_reasoning) for r in triage.apply_judgements(results, scores).collect()}
     assert got == {"1": (5, "old"), "2": (None, None), "3": (None, None), "4": (3, "why")}
 
@@ -177,3 +179,23 @@ def test_preparation_and_evaluation(spark, tmp_path):
     assert second.count() == 20 and len(list(asked.iterdir())) == failed
     assert second.select("thread_id").distinct().count() == 20
     assert tables.read_table(spark, f"{path}/results", schemas.RESULTS).filter("pred_escalate").count() == 0
+
+
+def test_repeated_threads_are_asked_once_and_never_multiplied(spark, tmp_path):
+    # One thread holds half of the golden rows.
+    golden = spark.range(40).select(
+        F.when(F.col("id") < 20, 0).otherwise(F.col("id")).alias("thread_id"), F.lit("hello there").alias("customer_text"),
+        F.lit("other").alias("true_intent"), F.lit(1).alias("should_escalate"),
+    )
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def classifier(texts):
+        (asked / f"{id(texts)}-{len(texts)}").touch()
+        return [reply()] * len(texts)
+
+    done = workflow.evaluate(spark, golden, classifier, str(tmp_path / "e"))
+    assert sum(int(f.name.split("-")[1]) for f in asked.iterdir()) == 21
+    assert done.count() == 40 and done.filter("thread_id = '0'").count() == 20
+    again = answers(spark, [("0", reply(), None)] * 30 + [("0", None, "timeout")] * 30)
+    assert triage.triage_batch(triage.one_per_thread(golden), again).filter("thread_id = '0'").count() == 1
