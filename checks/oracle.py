@@ -269,6 +269,8 @@ def _sql():
             + ", ".join(f"{folded(f'{c} * support')} / sum(support)" for c in ("prec", "rec", "f1"))
             + f", CAST(sum(support) AS BIGINT) FROM m UNION ALL SELECT 'accuracy', NULL, NULL, {over('hits', 'valid')}, valid FROM c",
             f"{PAIRS}, {COUNTS}"),
+        "accuracy": q(ev, f"SELECT {over('hits', 'valid')} AS accuracy, valid AS total FROM c", COUNTS),
+        "label_union": q(ev, "SELECT l AS label FROM labels", PAIRS),
         "label_distribution": q(
             ev, "SELECT lower(trim(true_intent)) AS label, count(*) AS n, CAST(count(*) AS DOUBLE) / "
             "(SELECT count(true_intent) FROM eval_v) AS share FROM eval_v WHERE true_intent IS NOT NULL GROUP BY 1"),
@@ -416,6 +418,10 @@ def _sql():
         "rag_evidence": (
             "SELECT q, n, 'issue ' || CAST(n AS VARCHAR) AS original_customer, 'reply ' || CAST(n AS VARCHAR) AS retrieved_reply "
             f"FROM ({nearest(1)})"),
+        "reply_requests": (
+            f"SELECT CAST(q AS VARCHAR) AS id, 'reply' AS kind, {quote(prompts.REPLY_HEAD.format(brand=BRAND))} || 'message ' || q || "
+            "chr(10) || chr(10) || 'Past cases:' || chr(10) || string_agg('Case ' || rk || chr(10) || 'Customer: issue ' || n || chr(10) || "
+            f"'Agent: reply ' || n, chr(10) || chr(10) ORDER BY rk) AS prompt FROM ({nearest(5)}) GROUP BY q"),
         "triage_stream": q(
             ms, "SELECT CAST(thread_id AS VARCHAR) AS thread_id, status FROM z UNION ALL "
             "SELECT CAST(thread_id AS VARCHAR), CASE WHEN customer_text IS NULL THEN 'missing' "

@@ -54,6 +54,16 @@ def classification_report(spark, sf):
     return metrics.classification_report(_pairs(spark, sf))
 
 
+@query
+def accuracy(spark, sf):
+    return metrics.accuracy(frame(spark, sf, "eval_v"), "true_intent", "pred_intent")
+
+
+@query
+def label_union(spark, sf):
+    return metrics.label_union(_pairs(spark, sf))
+
+
 @query
 def label_distribution(spark, sf):
     return reports.intent_distribution(frame(spark, sf, "eval_v"))
@@ -383,6 +393,20 @@ def rag_evidence(spark, sf):
     return found.drop("distance")
 
 
+@query
+def reply_requests(spark, sf):
+    cases = _vectors(spark, sf).select(
+        F.col("vec_id").cast("string").alias("id"),
+        F.format_string("issue %d", "vec_id").alias("document"),
+        F.format_string("reply %d", "vec_id").alias("agent_reply"),
+    )
+    messages = _vectors(spark, sf).select(
+        F.col("vec_id").alias("thread_id"), F.format_string("message %d", "vec_id").alias("customer_text")
+    )
+    near = _nearest(retrieve.similar_issues, spark, sf, 5)
+    return triage.reply_requests(messages, retrieve.retrieved_cases(near, cases))
+
+
 # Streams, run to the end of their input.
 
 def _rule_answers(messages):
