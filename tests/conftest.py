@@ -25,12 +25,13 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-@pytest.fixture
-def one(spark):
-    """Value of one column expression over typed literals: one(expr, schema, *values)."""
+@pytest.fixture(scope="session")
+def column(spark):
+    """Values of a column expression over many inputs in one query, in input order."""
 
-    def run(expr, schema, *values):
-        df = spark.createDataFrame([tuple(values)], schema)
-        return df.select(expr.alias("x")).first()[0]
+    def run(expr, kind, values):
+        rows = [(i, v) for i, v in enumerate(values)]
+        df = spark.createDataFrame(rows, f"i int, a {kind}").coalesce(1)
+        return [r.x for r in df.select("i", expr.alias("x")).orderBy("i").collect()]
 
     return run

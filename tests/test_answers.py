@@ -1,7 +1,5 @@
 import json
 
-import pytest
-
 from casework.functions.answers import parse_answers, parse_judgements
 from casework.functions.terms import INTENTS
 
@@ -53,12 +51,12 @@ ANSWERS = [
 ]
 
 
-@pytest.mark.parametrize("answer", ANSWERS)
-def test_parse_answer(spark, answer):
-    row = parse_answers(spark.createDataFrame([(answer,)], "answer string")).first()
-    got = tuple(row.analysis) if row.analysis else None
-    assert got == expected(answer)
-    assert (row.error is None) == (got is not None)
+def test_parse_answer(spark):
+    df = spark.createDataFrame(list(enumerate(ANSWERS)), "i int, answer string")
+    for row in parse_answers(df).collect():
+        got = tuple(row.analysis) if row.analysis else None
+        assert got == expected(ANSWERS[row.i]), ANSWERS[row.i]
+        assert (row.error is None) == (got is not None)
 
 
 def test_rows_are_kept_and_helpers_are_not(spark):
@@ -67,9 +65,8 @@ def test_rows_are_kept_and_helpers_are_not(spark):
     assert out.columns == ["id", "answer", "analysis", "error"] and out.count() == len(ANSWERS)
 
 
-@pytest.mark.parametrize(
-    "answer, tone, grounding, reasoning",
-    [
+def test_parse_judgement(spark):
+    cases = [
         ('{"score_tone":5,"score_grounding":"4","reasoning":"ok"}', 5, 4, "ok"),
         ('{"score_tone":6,"score_grounding":null}', None, None, None),
         ('{"score_tone":0,"score_grounding":4.9}', None, 4, None),
@@ -77,8 +74,7 @@ def test_rows_are_kept_and_helpers_are_not(spark):
         ('{"score_tone":true,"score_grounding":[1]}', 1, None, None),
         ('```json\n{"score_tone":2,"score_grounding":1}\n```', 2, 1, None),
         ("junk", None, None, None), ("[]", None, None, None), (None, None, None, None),
-    ],
-)
-def test_parse_judgement(spark, answer, tone, grounding, reasoning):
-    row = parse_judgements(spark.createDataFrame([(answer,)], "answer string")).first()
-    assert tuple(row.judgement) == (tone, grounding, reasoning)
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, answer string")
+    for row in parse_judgements(df).collect():
+        assert tuple(row.judgement) == cases[row.i][1:], cases[row.i]

@@ -4,69 +4,65 @@ from pyspark.sql import functions as F
 from casework.functions import rules, terms, text
 
 
-def python_strip_cases():
-    return ["  a ", "\t\na\r\n", " a　", "", "   ", "a b"]
+def agrees(column, kind, cases, **expressions):
+    """``cases`` rows are (input, wanted value of each expression in order)."""
+    inputs = [c[0] for c in cases]
+    for at, (name, expr) in enumerate(expressions.items(), start=1):
+        assert column(expr, kind, inputs) == [c[at] for c in cases], name
 
 
-@pytest.mark.parametrize("s", python_strip_cases())
-def test_strip_is_python_strip(one, s):
-    assert one(text.strip("a"), "a string", s) == s.strip()
+def test_strip_is_python_strip(column):
+    cases = ["  a ", "\t\na\r\n", " a　", "", "   ", "a b", "\x1c a  "]
+    agrees(column, "string", [(s, s.strip()) for s in cases], strip=text.strip("a"))
 
 
-def test_normalize_label(one):
-    assert one(text.normalize_label("a"), "a string", "\t Hardware_Repair ") == "hardware_repair"
-    assert one(text.normalize_label("a"), "a string", None) is None
+def test_blanks_are_all_of_pythons():
+    assert set(text.BLANKS) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
 
 
-@pytest.mark.parametrize(
-    "value, harness, dashboard",
-    [
+def test_normalize_label(column):
+    cases = [("\t Hardware_Repair ", "hardware_repair"), ("OTHER", "other"), (None, None)]
+    agrees(column, "string", cases, label=text.normalize_label("a"))
+
+
+def test_text_flags(column):
+    cases = [
         ("True", True, True), ("YES", True, True), ("1", True, True), ("t", True, False),
         (" y ", True, False), ("y", True, True), ("1.0", False, False), ("False", False, False),
         ("0", False, False), ("maybe", False, False), ("", False, False), (None, False, None),
-    ],
-)
-def test_text_flags(one, value, harness, dashboard):
-    assert one(text.normalize_bool("a", "harness"), "a string", value) is harness
-    assert one(text.normalize_bool("a", "dashboard"), "a string", value) is dashboard
+    ]
+    agrees(
+        column, "string", cases,
+        harness=text.normalize_bool("a", "harness"), dashboard=text.normalize_bool("a", "dashboard"),
+    )
 
 
 def test_typed_flags(spark):
     df = spark.createDataFrame([(1.0, True, 1), (0.0, False, 0), (None, None, None)], "d double, b boolean, i int")
     for variant, null in (("harness", False), ("dashboard", None)):
-        for c in df.columns:
-            got = [r[0] for r in df.select(text.flag(df, c, variant)).collect()]
-            assert got == [True, False, null], (variant, c)
+        rows = df.select(*[text.flag(df, c, variant).alias(c) for c in df.columns]).collect()
+        assert [tuple(r) for r in rows] == [(True,) * 3, (False,) * 3, (null,) * 3]
 
 
-@pytest.mark.parametrize(
-    "raw, want",
-    [
+def test_normalize_id(column):
+    cases = [
         ("1.23e18", 1230000000000000000), ("9007199254740993", 9007199254740993), ("12.0", 12),
         (" 7 ", 7), ("12.5", None), ("abc", None), ("", None), (None, None),
         ("999999999999999999999", None),
-    ],
-)
-def test_normalize_id(one, raw, want):
-    assert one(text.normalize_id("a"), "a string", raw) == want
-
+    ]
+    agrees(column, "string", cases, id=text.normalize_id("a"))
 
-@pytest.mark.parametrize(
-    "raw, want",
-    [("5", 5.0), (" 4.5 ", 4.5), ("1e1", 10.0), ("n/a", None), ("nan", None), ("5d", None), ("", None), (None, None)],
-)
-def test_numeric_or_null(one, raw, want):
-    assert one(text.numeric_or_null("a"), "a string", raw) == want
 
+def test_numeric_or_null(column):
+    cases = [
+        ("5", 5.0), (" 4.5 ", 4.5), ("1e1", 10.0), ("n/a", None), ("nan", None), ("5d", None), ("", None), (None, None),
+    ]
+    agrees(column, "string", cases, number=text.numeric_or_null("a"))
+    agrees(column, "double", [(float("nan"), None), (2.5, 2.5)], number=text.numeric_or_null("a"))
 
-def test_numeric_nan_is_null(one):
-    assert one(text.numeric_or_null("a"), "a double", float("nan")) is None
-    assert one(text.numeric_or_null("a"), "a double", 2.5) == 2.5
 
-
-def test_min_length_is_strict(spark):
-    df = spark.createDataFrame([("x" * 15,), ("x" * 16,), (None,)], "t string")
-    assert [r.t for r in df.filter(text.min_length("t")).collect()] == ["x" * 16]
+def test_min_length_is_strict(column):
+    agrees(column, "string", [("x" * 15, False), ("x" * 16, True), (None, None)], long=text.min_length("a"))
 
 
 def reference_clip(r):
@@ -77,50 +73,43 @@ def reference_clip(r):
     return r if len(r) <= 280 else r[:277].rstrip() + "..."
 
 
-@pytest.mark.parametrize(
-    "r",
-    ["short", "x" * 280, "x" * 281, '"quoted"', '"', '""', '" in "', '"' + "y" * 300 + '"',
-     "z" * 270 + " " * 7 + "w" * 20, "", "  padded  ", "ü" * 281],
-)
-def test_clip_reply(one, r):
-    assert one(text.clip_reply("a"), "a string", r) == reference_clip(r)
-
+def test_clip_reply(column):
+    replies = [
+        "short", "x" * 280, "x" * 281, '"quoted"', '"', '""', '" in "', '"' + "y" * 300 + '"',
+        "z" * 270 + " " * 7 + "w" * 20, "", "  padded  ", "ü" * 281,
+    ]
+    agrees(column, "string", [(r, reference_clip(r)) for r in replies], reply=text.clip_reply("a"))
 
-@pytest.mark.parametrize(
-    "m, status",
-    [(None, "missing"), ("", "empty"), (" \t\n ", "empty"), ("x" * 1000, "ok"), ("x" * 1001, "too_long"),
-     (" " * 50 + "x" * 1000, "ok")],
-)
-def test_message_status(one, m, status):
-    assert one(text.message_status("a"), "a string", m) == status
 
+def test_message_status(column):
+    cases = [
+        (None, "missing"), ("", "empty"), (" \t\n ", "empty"), ("x" * 1000, "ok"), ("x" * 1001, "too_long"),
+        (" " * 50 + "x" * 1000, "ok"),
+    ]
+    agrees(column, "string", cases, status=text.message_status("a"))
 
-def test_preview_and_ids(one):
-    assert one(text.preview("a"), "a string", "é" * 120) == "é" * 100
-    assert one(text.preview("a", ellipsis=True), "a string", None) == "..."
-    assert one(text.case_id("#FN-", "a"), "a int", 7) == "#FN-007"
-    assert one(text.case_id("RAG-", "a"), "a int", 1234) == "RAG-1234"
 
+def test_previews_ids_and_classes(column):
+    cases = [("é" * 120, "é" * 100, "é" * 100 + "..."), ("x", "x", "x..."), (None, "", "...")]
+    agrees(column, "string", cases, plain=text.preview("a"), dots=text.preview("a", ellipsis=True))
+    cases = [(7, "#FN-007", "RAG-007"), (1234, "#FN-1234", "RAG-1234")]
+    agrees(column, "int", cases, miss=text.case_id("#FN-", "a"), rag=text.case_id("RAG-", "a"))
+    cases = [(True, "escalate"), (False, "auto-reply"), (None, None)]
+    agrees(column, "boolean", cases, name=text.escalation_class("a"))
 
-def test_escalation_class(one):
-    assert one(text.escalation_class("a"), "a boolean", True) == "escalate"
-    assert one(text.escalation_class("a"), "a boolean", False) == "auto-reply"
-    assert one(text.escalation_class("a"), "a boolean", None) is None
 
+def test_rounding_is_half_even(column):
+    values = [0.125, 0.375, 2.5, 0.285, 60.0, 28.499999]
+    assert column(text.half_even("a", 2), "double", values) == pytest.approx([round(x, 2) for x in values])
 
-@pytest.mark.parametrize("x", [0.125, 0.375, 2.5, 0.285, 60.0, 28.499999])
-def test_rounding_is_half_even(one, x):
-    assert one(text.half_even("a", 2), "a double", x) == pytest.approx(round(x, 2))
 
-
-@pytest.mark.parametrize(
-    "e, want",
-    [("HTTP 429", "quota"), ("Rate limit reached", "quota"), ("model_unavailable", "model"),
-     ("The model is currently unavailable", "model"), ("quota: model unavailable", "model"),
-     ("100 RPM", "quota"), ("timeout", "other")],
-)
-def test_error_class(one, e, want):
-    assert one(text.error_class("a"), "a string", e) == want
+def test_error_class(column):
+    cases = [
+        ("HTTP 429", "quota"), ("Rate limit reached", "quota"), ("model_unavailable", "model"),
+        ("The model is currently unavailable", "model"), ("quota: model unavailable", "model"),
+        ("100 RPM", "quota"), ("timeout", "other"),
+    ]
+    agrees(column, "string", cases, error=text.error_class("a"))
 
 
 def test_shortest_terms_decide_the_same():
@@ -136,74 +125,77 @@ def test_list_sizes():
     assert len(terms.ESCALATE_TERMS) == 38 and len(terms.INTENTS) == 7
 
 
-# The six messages of the smoke scripts, with what the rules alone say about them.
-SMOKE = [
-    ("I just dropped my iPhone and the screen is completely shattered. How do I fix this?",
-     "hardware_repair", True, (False, False, False, False)),
-    ("My Apple Music keeps freezing every time I try to play a downloaded playlist on iOS 17.",
-     "software_troubleshooting", False, (False, False, False, False)),
-    ("My iPhone won't connect to Wi-Fi. I've tried restarting it but nothing works.",
-     "device_connectivity", False, (False, False, False, False)),
-    ("My iPhone screen is cracked after I dropped it.", "general_inquiry", False, (False,) * 4),
-    ("iOS keeps crashing after the latest update.", "software_troubleshooting", False, (False,) * 4),
-    ("I was charged for an app I didn't buy. I want a refund.", "billing_purchases", True,
-     (False, True, False, False)),
-]
-
-
-@pytest.mark.parametrize("message, intent, escalate, found", SMOKE)
-def test_smoke_messages(one, message, intent, escalate, found):
-    assert one(rules.keyword_intent("a"), "a string", message) == intent
-    assert one(rules.keyword_escalate("a"), "a string", message) is escalate
-    assert tuple(one(rules.signals("a"), "a string", message)) == found
-
-
-@pytest.mark.parametrize(
-    "message, intent",
-    [("curiosity", "software_troubleshooting"), ("where is my charger", "billing_purchases"),
-     ("forgot PASSWORD and got charged", "account_security"), ("press office", "other"),
-     (None, "general_inquiry"), ("", "general_inquiry")],
-)
-def test_terms_are_substrings_in_order(one, message, intent):
-    assert one(rules.keyword_intent("a"), "a string", message) == intent
-
-
-@pytest.mark.parametrize(
-    "message, email, phone",
-    [("me@x.com", True, False), ("a.b+c@mail.example.org!", True, False), ("me@x", False, False),
-     ("+1 (743) 555-3824", False, True), ("1234567", False, False), ("123456789", False, True),
-     ("é" + "a.b@c.com", True, False), (None, False, False)],
-)
-def test_pii(one, message, email, phone):
-    assert one(rules.has_email("a"), "a string", message) is email
-    assert one(rules.has_phone("a"), "a string", message) is phone
-
-
-@pytest.mark.parametrize(
-    "signals, intent, want_intent, want_escalate, reason",
-    [
+def test_every_listed_term_hits(column):
+    for intent, words in terms.INTENT_TERMS.items():
+        assert all(column(rules.any_term(F.lower("a"), words), "string", [f"xx{w.upper()}yy" for w in words])), intent
+    lists = {
+        "physical_damage": terms.DAMAGE_TERMS, "refund_or_charge": terms.CHARGE_TERMS, "toxic": terms.TOXIC_TERMS,
+    }
+    for name, words in lists.items():
+        assert all(column(rules.signals("a")[name], "string", words)), name
+    assert all(column(rules.keyword_escalate("a"), "string", terms.ESCALATE_TERMS))
+
+
+def test_smoke_messages(column):
+    """The six messages of the smoke scripts, with what the rules alone say about them."""
+    none = (False, False, False, False)
+    cases = [
+        ("I just dropped my iPhone and the screen is completely shattered. How do I fix this?",
+         "hardware_repair", True, none),
+        ("My Apple Music keeps freezing every time I try to play a downloaded playlist on iOS 17.",
+         "software_troubleshooting", False, none),
+        ("My iPhone won't connect to Wi-Fi. I've tried restarting it but nothing works.",
+         "device_connectivity", False, none),
+        ("My iPhone screen is cracked after I dropped it.", "general_inquiry", False, none),
+        ("iOS keeps crashing after the latest update.", "software_troubleshooting", False, none),
+        ("I was charged for an app I didn't buy. I want a refund.", "billing_purchases", True,
+         (False, True, False, False)),
+    ]
+    agrees(
+        column, "string", cases, intent=rules.keyword_intent("a"), escalate=rules.keyword_escalate("a"),
+        signals=rules.signals("a"),
+    )
+
+
+def test_terms_are_substrings_in_order(column):
+    cases = [
+        ("curiosity", "software_troubleshooting"), ("where is my charger", "billing_purchases"),
+        ("forgot PASSWORD and got charged", "account_security"), ("press office", "other"),
+        (None, "general_inquiry"), ("", "general_inquiry"),
+    ]
+    agrees(column, "string", cases, intent=rules.keyword_intent("a"))
+
+
+def test_pii(column):
+    cases = [
+        ("me@x.com", True, False), ("a.b+c@mail.example.org!", True, False), ("me@x", False, False),
+        ("+1 (743) 555-3824", False, True), ("1234567", False, False), ("123456789", False, True),
+        ("éa.b@c.com", True, False), (None, False, False),
+    ]
+    agrees(column, "string", cases, email=rules.has_email("a"), phone=rules.has_phone("a"))
+
+
+def test_overrides(spark):
+    cases = [
         ((True, True, True, True), "other", "hardware_repair", True, terms.REASON_DAMAGE),
         ((False, True, True, True), "other", "billing_purchases", True, terms.REASON_BILLING),
         ((False, True, False, False), "account_security", "account_security", True, terms.REASON_BILLING),
         ((False, False, True, True), "other", "other", True, terms.REASON_PII),
         ((False, False, False, True), "other", "other", True, terms.REASON_TOXIC),
         ((False, False, False, False), "other", "other", False, "kept"),
-    ],
-)
-def test_overrides(spark, signals, intent, want_intent, want_escalate, reason):
+    ]
     df = spark.createDataFrame(
-        [((intent, 0.9, False, "kept"), signals)],
+        [((intent, 0.9, False, "kept"), signals) for signals, intent, *_ in cases],
         "a struct<intent:string,confidence_score:double,should_escalate:boolean,escalation_reason:string>,"
         "s struct<physical_damage:boolean,refund_or_charge:boolean,pii:boolean,toxic:boolean>",
-    )
-    got = df.select(rules.apply_overrides("a", "s").alias("x")).first().x
-    assert tuple(got) == (want_intent, 0.9, want_escalate, reason)
+    ).coalesce(1)
+    got = [tuple(r.x) for r in df.select(rules.apply_overrides("a", "s").alias("x")).collect()]
+    assert got == [(intent, 0.9, escalate, reason) for _, _, intent, escalate, reason in cases]
 
 
-@pytest.mark.parametrize(
-    "escalate, confidence, status",
-    [(True, 1.0, "escalated"), (False, 0.59, "escalated"), (False, 0.60, "auto_handled"), (False, 1.0, "auto_handled")],
-)
-def test_gate(spark, escalate, confidence, status):
-    df = spark.createDataFrame([((escalate, confidence),)], "a struct<should_escalate:boolean,confidence_score:double>")
-    assert df.select(rules.gate("a")).first()[0] == status
+def test_gate(column):
+    cases = [
+        ((True, 1.0), "escalated"), ((False, 0.59), "escalated"), ((False, 0.60), "auto_handled"),
+        ((False, 1.0), "auto_handled"),
+    ]
+    agrees(column, "struct<should_escalate:boolean,confidence_score:double>", cases, status=rules.gate("a"))
