@@ -31,6 +31,7 @@ from casework.operators.seeded import first_per_key, seeded_sample
 from casework.sources.tables import write_table
 
 MAX_PIVOTS = 1024
+ROWS_PER_CELL = 2048
 TILE_ROWS = 8192
 
 
@@ -172,10 +173,14 @@ def issue_index(
     copies: int = terms.NEIGHBOURS + 1, pivots: int | None = None,
 ) -> IssueIndex:
     """Cells of a knowledge base. A search for k neighbours needs ``copies`` of at least k, or
-    k + 1 if a query may be its own neighbour; further copies of a vector are left out."""
+    k + 1 if a query may be its own neighbour; further copies of a vector are left out.
+
+    Each visited cell repeats the query in the shuffle, so cells much smaller than a tile only
+    cost; by default there is one per ``ROWS_PER_CELL`` vectors.
+    """
     kb = _typed(kb, kb_id, vector, "n")
     if pivots is None:
-        pivots = max(1, math.isqrt(kb.count()) // 2)
+        pivots = max(1, kb.count() // ROWS_PER_CELL)
     sample = seeded_sample(kb, min(pivots, MAX_PIVOTS), "n", terms.EXTRACT_SEED).collect()
     if not sample:
         placed = kb.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})

@@ -210,7 +210,8 @@ def evaluation_rows(decided: DataFrame, golden: DataFrame) -> DataFrame:
         F.when(labelled, flag(golden, "should_escalate")).alias("true_escalate"),
     )
     a = F.col("analysis")
-    rows = decided.filter(F.col("error").isNull()).join(truth, "thread_id", "left")
+    # An inner join, so that a thread with very many golden rows can be split.
+    rows = truth.join(decided.filter(F.col("error").isNull()), "thread_id", "inner")
     return add_missing(
         rows.select(
             "thread_id",

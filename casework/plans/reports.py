@@ -20,7 +20,7 @@ from casework.operators import metrics
 from casework.operators.metrics import binary_columns, ratio
 from casework.operators.threads import leakage_audit
 from casework.sources.schemas import REQUIRED
-from casework.sources.tables import require_columns, stored, to_payload
+from casework.sources.tables import as_json, require_columns, stored, to_payload
 
 JUDGES = {"tone": "judge_tone", "grounding": "judge_grounding", "helpfulness": "judge_helpfulness"}
 RARE_SHARE = 0.05
@@ -162,12 +162,18 @@ def escalation_pairs(results: DataFrame, variant: str = "dashboard") -> DataFram
 
 def confusion_matrices(results: DataFrame, card: DataFrame | None = None) -> dict:
     """``intent`` and ``escalation`` matrices, zero-filled."""
-    pairs = metrics.pair_counts(results, "true_intent", "pred_intent") if card is None else card_pairs(card)
-    classes = (terms.ESCALATE_CLASS, terms.REPLY_CLASS)
-    return {
-        "intent": metrics.confusion_matrix(pairs),
-        "escalation": metrics.confusion_matrix(escalation_pairs(results), classes),
-    }
+    yes, no = terms.ESCALATE_CLASS, terms.REPLY_CLASS
+    if card is None:
+        pairs = metrics.pair_counts(results, "true_intent", "pred_intent")
+        escalation = metrics.confusion_matrix(escalation_pairs(results), (yes, no))
+    else:
+        pairs, places = card_pairs(card), {"tp": (yes, yes), "fp": (no, yes), "fn": (yes, no), "tn": (no, no)}
+        cells = [
+            F.struct(F.lit(t).alias("true_label"), F.lit(p).alias("pred_label"), F.col(f"d_{c}").alias("n"))
+            for c, (t, p) in places.items()
+        ]
+        escalation = _totals(card).select(F.inline(F.array(*cells)))
+    return {"intent": metrics.confusion_matrix(pairs), "escalation": escalation}
 
 
 def _missed(results: DataFrame) -> Column:
@@ -210,21 +216,27 @@ def mismatches(results: DataFrame, considered: int | None = 50, normalize: bool
 def failure_cases(
     results: DataFrame, n: int = 5, considered: int | None = 50, normalize: bool = True
 ) -> DataFrame:
-    return (
-        mismatches(results, considered, normalize)
-        .orderBy("thread_id")
-        .limit(n)
-        .select(
-            "thread_id",
-            F.col("pred_intent").alias("predicted"),
-            F.col("true_intent").alias("actual"),
-            preview("customer_text").alias("preview"),
-        )
+    return _cases(mismatches(results, considered, normalize).orderBy("thread_id").limit(n))
+
+
+def _cases(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "thread_id",
+        F.col("pred_intent").alias("predicted"),
+        F.col("true_intent").alias("actual"),
+        preview("customer_text").alias("preview"),
     )
 
 
-def judge_scores(results: DataFrame) -> DataFrame:
-    return metrics.score_summary(results, JUDGES)
+def judge_scores(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
+    """Rows (score, mean, samples) of the judge columns the results have."""
+    names = [] if card is None else [n for n in JUDGES if f"{n}_sum" in card.columns]
+    if not names:
+        return metrics.score_summary(results, JUDGES)
+    rows = [
+        F.struct(F.lit(n).alias("score"), _mean(n).alias("mean"), F.col(f"{n}_n").alias("samples")) for n in names
+    ]
+    return _totals(card).select(F.inline(F.array(*rows)))
 
 
 def intent_distribution(golden: DataFrame) -> DataFrame:
@@ -412,7 +424,7 @@ def dashboard(
         row = executive_summary(results, card).select(
             *shown, half_even("esc_f1", 4).alias("esc_f1"), "total", "intent_valid", "esc_valid"
         )
-        return row.select(F.to_json(F.struct(*row.columns)).alias("payload_json"))
+        return row.select(as_json(*row.columns).alias("payload_json"))
 
     def matrices():
         both = confusion_matrices(results, card)
@@ -426,15 +438,13 @@ def dashboard(
     def rag():
         if evidence is None:
             none = F.lit(None).cast("string")
-            return results.limit(0).agg(
-                F.to_json(F.struct(F.collect_list(none).alias("rag_examples"))).alias("payload_json")
-            )
+            return to_payload(results.select(none.alias("q")).limit(0), "rag_examples")
         first = evidence.orderBy("q").limit(5).withColumn("distance", half_even("distance", 4))
         return _numbered(first, "RAG-", "rag_examples", None, "q")
 
     def cases():
-        total = mismatches(results).agg(F.count("*")).scalar()
-        return _numbered(failure_cases(results), "Case ", "cases", total, pad=False)
+        considered = _cases(mismatches(results))
+        return _numbered(considered, "Case ", "cases", F.size("rows"), pad=False, first=5)
 
     def distribution():
         if golden is None:
@@ -443,11 +453,11 @@ def dashboard(
         else:
             counts = intent_distribution(golden)
         rows = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label")))
-        body = F.struct(
+        body = as_json(
             F.transform(rows, lambda x: x["label"]).alias("labels"),
             F.transform(rows, lambda x: -x["m"]).alias("values"),
         )
-        return counts.agg(F.to_json(body).alias("payload_json"))
+        return counts.agg(body.alias("payload_json"))
 
     build = {
         "executive_summary": summary,
@@ -457,7 +467,7 @@ def dashboard(
         "confusion_matrices": matrices,
         "safety_failures": failures,
         "rag_evidence": rag,
-        "judge_scores": lambda: to_payload(judge_scores(results), "scores", {"mean": 2}),
+        "judge_scores": lambda: to_payload(judge_scores(results, card), "scores", {"mean": 2}),
         "failure_cases": cases,
         "intent_distribution": distribution,
         "accuracy_comparison": lambda: to_payload(
@@ -469,15 +479,19 @@ def dashboard(
     )
 
 
-def _numbered(top: DataFrame, prefix: str, key: str, total=None, order: str = "thread_id", pad=True):
-    """JSON of a top-n report with case numbers in id order; n rows only, so one array."""
+def _numbered(
+    top: DataFrame, prefix: str, key: str, total=None, order: str = "thread_id", pad: bool = True,
+    first: int | None = None,
+) -> DataFrame:
+    """JSON of a top-n report with case numbers in id order; a few rows, so one array."""
     rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in top.columns if c != order])))
 
     def with_case(x, i):
         number = case_id(prefix, i + 1) if pad else F.format_string(prefix + "%d", i + 1)
         return F.struct(number.alias("case_id"), *[x[c].alias(c) for c in top.columns])
 
-    body = [F.transform("rows", with_case).alias(key)]
+    shown = F.col("rows") if first is None else F.slice("rows", 1, first)
+    body = [F.transform(shown, with_case).alias(key)]
     if total is not None:
         body.append(total.alias("total"))
-    return top.agg(rows.alias("rows")).select(F.to_json(F.struct(*body)).alias("payload_json"))
+    return top.agg(rows.alias("rows")).select(as_json(*body).alias("payload_json"))

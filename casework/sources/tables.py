@@ -4,7 +4,7 @@ import uuid
 import tempfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions.text import half_even, normalize_id, numeric_or_null
@@ -22,6 +22,7 @@ def read_tweets(spark: SparkSession, path: str, line_breaks: bool = True) -> Dat
         spark.read.option("header", True)
         .option("multiLine", line_breaks)
         .option("escape", '"')
+        .option("enforceSchema", False)
         .csv(path)
     )
     require_columns(raw, schemas.TWEETS.names)
@@ -116,7 +117,12 @@ def to_payload(df: DataFrame, name: str, rounded: dict | None = None, **totals)
     df = df.withColumns({c: half_even(c, digits) for c, digits in (rounded or {}).items()})
     rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
     body = [rows.alias(name), *[c.alias(key) for key, c in totals.items()]]
-    return df.agg(F.to_json(F.struct(*body)).alias("payload_json"))
+    return df.agg(as_json(*body).alias("payload_json"))
+
+
+def as_json(*fields) -> Column:
+    """One JSON object of the fields; a null field stays in it as null."""
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
 def numeric_columns(df: DataFrame, *columns: str) -> DataFrame:

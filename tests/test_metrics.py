@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,6 +103,30 @@ def test_raw_labels(spark):
     assert metrics.accuracy(labelled(spark), "t", "p", normalize=False).first().accuracy == pytest.approx(2 / 6)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_labels_against_plain_python(spark, seed):
+    r = random.Random(seed)
+    labels = ["a", "B ", " c", "d", None]
+    rows = [(r.choice(labels), r.choice(labels)) for _ in range(r.randint(1, 300))]
+    pairs = metrics.pair_counts(spark.createDataFrame(rows, "t string, p string"), "t", "p")
+    clean = [(t.strip().lower(), p.strip().lower()) for t, p in rows if t is not None and p is not None]
+    want = {}
+    for c in {x for pair in clean for x in pair}:
+        tp = sum(t == c == p for t, p in clean)
+        predicted, support = sum(p == c for _, p in clean), sum(t == c for t, _ in clean)
+        want[c] = (
+            tp / predicted if predicted else 0.0, tp / support if support else 0.0,
+            2 * tp / (predicted + support), support,
+        )
+    assert {x.intent: tuple(x)[1:] for x in metrics.class_metrics(pairs).collect()} == want
+    assert sum(x.n for x in metrics.confusion_matrix(pairs).collect()) == len(clean) == sum(w[3] for w in want.values())
+    report = {x.row: x for x in metrics.classification_report(pairs).collect()}
+    hits = sum(t == p for t, p in clean)
+    assert report["accuracy"].f1 == hits / len(clean)
+    assert report["weighted avg"].rec == pytest.approx(hits / len(clean))
+    assert report["macro avg"].f1 == pytest.approx(sum(w[2] for w in want.values()) / len(want))
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "t string, p string")
     pairs = metrics.pair_counts(empty, "t", "p")
