@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions import terms
+from casework.functions.answers import parse_answers, parse_judgements
+from casework.functions.text import has_reply
 from casework.operators import triage
 from casework.operators.seeded import golden_split
 from casework.operators.threads import build_knowledge_base, extract_threads, leakage_audit
@@ -27,7 +29,10 @@ def prepare(
     tweets: DataFrame, brand: str, path: str, replies: int | None = terms.REPLY_SAMPLE,
     threads: int | None = terms.THREAD_SAMPLE, golden: int = terms.GOLDEN_ROWS,
 ) -> Prepared:
-    """Raw messages to stored threads, their split and the knowledge base, under ``path``."""
+    """Raw messages to stored threads, their split and the knowledge base, under ``path``.
+
+    Threads and split are written anew; a knowledge base that is already there is kept.
+    """
     spark = tweets.sparkSession
     require_columns(tweets, schemas.TWEETS.names)
     write_table(extract_threads(tweets, brand, replies, threads), f"{path}/threads", "overwrite")
@@ -44,14 +49,16 @@ def prepare(
 
 
 def evaluate(
-    spark: SparkSession, golden: DataFrame, classifier, path: str, neighbours: DataFrame | None = None,
-    kb: DataFrame | None = None, writer=None, judge=None, brand: str = "the brand",
+    spark: SparkSession, golden: DataFrame, classifier, path: str, find=None, kb: DataFrame | None = None,
+    writer=None, judge=None, brand: str = "the brand",
 ) -> DataFrame:
     """Score every golden row that has no result yet, append the results and return all of them.
 
-    ``classifier``, ``writer`` and ``judge`` are batch functions as for ``score_batches``.
-    Answers are stored before they are used, so a lost executor asks nobody twice. Judged rows
-    go to a new version of the table next to the appended results.
+    ``classifier``, ``writer`` and ``judge`` are batch functions as for ``score_batches``;
+    ``find`` maps the auto-handled rows to their past issues (q, n, rk) in ``kb``, so escalated
+    messages are never searched for. Answers are appended to tables before they are used: a run
+    that breaks off asks again only what has no usable answer. Judged rows go to a new version of
+    the table next to the appended results.
     """
     require_columns(golden, schemas.REQUIRED["golden"])
     results, answers = f"{path}/results", f"{path}/answers"
@@ -59,28 +66,44 @@ def evaluate(
     checked = triage.checked_messages(triage.one_per_thread(triage.pending(golden, done)))
     messages = triage.valid_messages(checked)
 
-    asked = triage.score_batches(triage.classification_requests(messages, brand), classifier)
-    write_table(asked, f"{answers}/classify", "overwrite")
-    given = spark.read.parquet(f"{answers}/classify")
-    decided = triage.triage_batch(messages, given, neighbours)
+    requests = triage.classification_requests(messages, brand)
+    given = _ask(requests, classifier, f"{answers}/classify", _parsed)
+    decided, neighbours = triage.triage_batch(messages, given), None
+    handled = decided.filter(F.col("status") == terms.AUTO_HANDLED)
+    if find is not None:
+        write_table(find(handled), f"{answers}/neighbours", "overwrite")
+        neighbours = spark.read.parquet(f"{answers}/neighbours")
+    drafted = None
     if writer is not None:
         if neighbours is None or kb is None:
-            handled = decided.filter(F.col("status") == terms.AUTO_HANDLED)
             requests = triage.reply_requests(handled, None, brand)
         else:
             requests = triage.triage_replies(decided, neighbours, kb, brand)
-        write_table(triage.score_batches(requests, writer), f"{answers}/reply", "overwrite")
-        drafted = spark.read.parquet(f"{answers}/reply")
-        decided = triage.triage_batch(messages, given, neighbours, drafted)
+        drafted = _ask(requests, writer, f"{answers}/reply", _written)
+    decided = triage.triage_batch(messages, given, neighbours, drafted)
     append_table(triage.evaluation_rows(decided, golden).select(schemas.RESULTS.names), results)
     stored = read_table(spark, results, schemas.RESULTS)
     return stored if judge is None else run_judge(stored, judge, path)
 
 
+def _parsed(answers: DataFrame) -> DataFrame:
+    return parse_answers(answers.drop("error")).filter(F.col("error").isNull()).select("id", "answer", "error")
+
+
+def _written(answers: DataFrame) -> DataFrame:
+    return answers.filter(has_reply("answer"))
+
+
+def _ask(requests: DataFrame, scorer, path: str, usable) -> DataFrame:
+    """Usable answers to the requests; only those without one are asked for."""
+    spark = requests.sparkSession
+    have = usable(read_table(spark, path, schemas.ANSWERS)).select("id").distinct()
+    append_table(triage.score_batches(requests.join(have, "id", "left_anti"), scorer), path)
+    return usable(read_table(spark, path, schemas.ANSWERS))
+
+
 def run_judge(results: DataFrame, judge, path: str, n: int = terms.JUDGE_ROWS) -> DataFrame:
     """Judge a seeded sample of replies; the judged table is written as ``path/judged``."""
-    from casework.functions.answers import parse_judgements
-
     spark = results.sparkSession
     requests = triage.judge_requests(triage.judge_sample(results, n))
     write_table(triage.score_batches(requests, judge), f"{path}/answers/judge", "overwrite")

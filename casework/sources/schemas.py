@@ -30,6 +30,7 @@ RESULTS = _table(
     "agent_status string, escalation_reason string, drafted_reply string, "
     "retrieved_examples bigint, judge_tone int, judge_grounding int, judge_reasoning string"
 )
+ANSWERS = _table("id string, answer string, error string")
 SUMMARY = _table("section string, name string, value double, label string")
 
 # Columns every caller must bring.

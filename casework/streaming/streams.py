@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from casework.operators import triage
 from casework.operators.threads import build_knowledge_base
+from casework.sources import schemas
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None):
@@ -71,7 +72,7 @@ def triage_stream(messages: DataFrame, answer, out: str, checkpoint: str):
         checked = triage.checked_messages(batch)
         _write(triage.rejected_messages(checked), f"{out}/rejects", place)
         messages = triage.valid_messages(checked)
-        _write_decided(messages, answer(messages), f"{out}/decisions", f"{out}/failures", place)
+        _write_decided(messages, answer, out, "decisions", place)
         batch.unpersist()
 
     return _start(messages, each, checkpoint)
@@ -93,31 +94,36 @@ def evaluate_stream(
 ):
     """Evaluate each id once however often it is delivered; returns the started query.
 
-    Results go to ``out/results`` and rows without a usable answer to ``out/failures``; a failed
+    Results go to ``out/results``, rows without a usable answer to ``out/failures``; a failed
     id counts as not evaluated when it is delivered again. With ``event_time`` repeats within the
     horizon are dropped from state; the check against the stored results is exact without it and
     also survives a lost checkpoint.
     """
     if event_time is not None:
         golden = golden.withWatermark(event_time, horizon).dropDuplicatesWithinWatermark(["thread_id"])
-    results = f"{out}/results"
 
     def each(batch: DataFrame, batch_id: int):
         place = _place(batch, checkpoint, batch_id)
         once = triage.one_per_thread(batch)
-        done = _earlier(results, place, "thread_id", once)
+        done = _earlier(f"{out}/results", place, "thread_id", once)
         open_rows = _unseen(once, done, "thread_id")
         messages = triage.valid_messages(triage.checked_messages(open_rows))
-        _write_decided(messages, answer(messages), results, f"{out}/failures", place)
+        _write_decided(messages, answer, out, "results", place)
 
     return _start(golden, each, checkpoint)
 
 
-def _write_decided(messages: DataFrame, answers: DataFrame, good: str, bad: str, place: tuple):
-    """Decide one batch once, though two tables are written from it."""
-    rows = triage.triage_batch(messages, answers).persist()
-    _write(_decisions(rows.filter(F.col("error").isNull())), good, place)
-    _write(rows.filter(F.col("error").isNotNull()).select("thread_id", "error"), bad, place)
+def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tuple) -> None:
+    """Answer and decide one batch. Answers are stored before use, so that a lost executor asks
+    nobody twice; decisions are kept while two tables are written from them."""
+    given = answer(messages).select(F.col("id").cast("string").alias("id"), "answer", "error")
+    _write(given, f"{out}/answers", place)
+    path = f"{out}/answers/run={place[0]}/batch_id={place[1]}"
+    given = messages.sparkSession.read.schema(schemas.ANSWERS).parquet(path)
+    rows = triage.triage_batch(messages, given).persist()
+    _write(_decisions(rows.filter(F.col("error").isNull())), f"{out}/{good}", place)
+    failed = rows.filter(F.col("error").isNotNull()).select("thread_id", "error")
+    _write(failed, f"{out}/failures", place)
     rows.unpersist()
 
 

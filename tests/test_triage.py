@@ -1,6 +1,7 @@
 import json
 import sys
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -143,10 +144,15 @@ def test_preparation_and_evaluation(spark, tmp_path):
         {"true_intent": F.lit("general_inquiry"), "should_escalate": F.lit(0)}
     )
     vectors = F.array(*[(F.col("k").cast("bigint") % p).cast("float") for p in (2, 3, 5, 7)])
-    near = retrieve.similar_issues(
-        golden.select(F.col("thread_id").alias("k")).withColumn("embedding", vectors),
-        prepared.knowledge_base.select(F.col("id").alias("k")).withColumn("embedding", vectors), 5, "k", "k",
-    )
+    searched = []
+
+    def find(handled):
+        searched.append(handled.count())
+        return retrieve.similar_issues(
+            handled.select(F.col("thread_id").alias("k")).withColumn("embedding", vectors),
+            prepared.knowledge_base.select(F.col("id").alias("k")).withColumn("embedding", vectors), 5, "k", "k",
+        )
+
     asked = tmp_path / "asked"
     asked.mkdir()
 
@@ -166,9 +172,9 @@ def test_preparation_and_evaluation(spark, tmp_path):
         return ['{"score_tone":4,"score_grounding":5,"reasoning":"fine"}'] * len(texts)
 
     path = str(tmp_path / "e")
-    first = workflow.evaluate(spark, golden, classifier, path, near, prepared.knowledge_base, writer, judge)
+    first = workflow.evaluate(spark, golden, classifier, path, find, prepared.knowledge_base, writer, judge)
     failed = golden.filter(F.col("thread_id").cast("string").endswith("4")).count()
-    assert 0 < failed < 20 and first.count() == 20 - failed
+    assert 0 < failed < 20 and first.count() == 20 - failed and searched == [20 - failed]
     assert first.filter("judge_tone = 4 and judge_grounding = 5").count() == min(10, 20 - failed)
     assert first.filter("retrieved_examples = 5 and drafted_reply = 'drafted'").count() == 20 - failed
 
@@ -199,3 +205,32 @@ def test_repeated_threads_are_asked_once_and_never_multiplied(spark, tmp_path):
     assert done.count() == 40 and done.filter("thread_id = '0'").count() == 20
     again = answers(spark, [("0", reply(), None)] * 30 + [("0", None, "timeout")] * 30)
     assert triage.triage_batch(triage.one_per_thread(golden), again).filter("thread_id = '0'").count() == 1
+
+
+def test_a_broken_run_asks_again_only_what_has_no_usable_answer(spark, tmp_path):
+    golden = spark.range(30).select(
+        F.col("id").alias("thread_id"), F.format_string("message <%d>", "id").alias("customer_text"),
+        F.lit("other").alias("true_intent"), F.lit(0).alias("should_escalate"),
+    )
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def classifier(texts):
+        out = []
+        for t in texts:
+            number = int(t.split("message <")[1].split(">")[0])
+            (asked / f"{number}-{len(list(asked.glob(f'{number}-*')))}").touch()
+            first = not (asked / f"{number}-1").exists()
+            out.append("not json" if first and number < 5 else reply())
+        return out
+
+    def broken(texts):
+        raise SystemExit("the writer process dies")
+
+    path = str(tmp_path / "e")
+    with pytest.raises(Exception):
+        workflow.evaluate(spark, golden, classifier, path, writer=broken)
+    assert len(list(asked.iterdir())) == 30
+    done = workflow.evaluate(spark, golden, classifier, path, writer=lambda texts: ["drafted"] * len(texts))
+    assert sorted(f.name for f in asked.glob("*-1")) == [f"{i}-1" for i in range(5)]
+    assert done.count() == 30 and done.filter("drafted_reply = 'drafted'").count() == 30
