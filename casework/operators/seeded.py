@@ -13,8 +13,9 @@ def seed_key(c, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), c.cast("string")))
 
 
-def seeded_sample(df: DataFrame, n: int, by: str, seed: int, ties=()) -> DataFrame:
-    """``n`` rows without replacement, first in seeded order; all rows if there are fewer.
+def seeded_sample(df: DataFrame, n: int, by: str, seed: int) -> DataFrame:
+    """``n`` rows without replacement, first in seeded order of their unique id ``by``; all rows
+    if there are fewer.
 
     A plain top-n would merge n rows of every input partition in one task. A histogram over
     the leading digits of the key (at most 65,536 rows) first finds where the n-th row lies, so
@@ -30,7 +31,7 @@ def seeded_sample(df: DataFrame, n: int, by: str, seed: int, ties=()) -> DataFra
         .agg(F.min("_head"))
     )
     near = keyed.filter(F.col("_head") <= F.coalesce(cutoff.scalar(), F.lit("ffff")))
-    return near.orderBy("_key", by, *ties).limit(n).drop("_key", "_head")
+    return near.orderBy("_key", by).limit(n).drop("_key", "_head")
 
 
 def golden_split(

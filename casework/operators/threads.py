@@ -33,13 +33,21 @@ def pair_threads(
     Message ids are unique, so a much-answered message is skewed on the reply side only, which
     adaptive execution splits; the output needs no partitioning of its own.
     """
+    return _pairs(tweets, replies, min_chars).drop("reply_id")
+
+
+def _pairs(tweets: DataFrame, replies: DataFrame, min_chars: int) -> DataFrame:
     c = tweets.filter(min_length("text", min_chars)).select(
         F.col("tweet_id").alias("thread_id"), F.col("text").alias("customer_text")
     )
     r = replies.select(
-        F.col("in_response_to_tweet_id").alias("thread_id"), F.col("text").alias("agent_text")
+        F.col("in_response_to_tweet_id").alias("thread_id"),
+        F.col("text").alias("agent_text"),
+        F.col("tweet_id").alias("reply_id"),
+    )
+    return c.join(r, "thread_id", "inner").select(
+        "thread_id", "customer_text", "agent_text", "reply_id"
     )
-    return c.join(r, "thread_id", "inner").select("thread_id", "customer_text", "agent_text")
 
 
 def extract_threads(
@@ -49,14 +57,18 @@ def extract_threads(
     threads: int | None = terms.THREAD_SAMPLE,
     seed: int = terms.EXTRACT_SEED,
 ) -> DataFrame:
-    """Raw messages to threads; ``None`` for either sample size keeps every row."""
+    """Raw messages to threads; ``None`` for either sample size keeps every row.
+
+    Both samples draw by reply id, which is unique: drawn by thread id a much-answered message
+    would come in whole or not at all.
+    """
     answers = brand_replies(tweets, brand)
     if replies is not None:
         answers = seeded_sample(answers, replies, "tweet_id", seed)
-    paired = pair_threads(tweets, answers)
-    if threads is None:
-        return paired
-    return seeded_sample(paired, threads, "thread_id", seed, ties=["agent_text"])
+    paired = _pairs(tweets, answers, terms.MIN_TWEET_CHARS)
+    if threads is not None:
+        paired = seeded_sample(paired, threads, "reply_id", seed)
+    return paired.drop("reply_id")
 
 
 def leakage_audit(

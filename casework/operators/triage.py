@@ -233,10 +233,11 @@ def evaluation_rows(decided: DataFrame, golden: DataFrame) -> DataFrame:
 def judge_sample(
     results: DataFrame, n: int = terms.JUDGE_ROWS, seed: int = terms.EXTRACT_SEED
 ) -> DataFrame:
-    """Up to n replied-to rows that have no judge score yet."""
+    """Up to n threads with a reply that has no judge score yet, one row each."""
     results = add_missing(results, JUDGE_COLUMNS)
     open_rows = results.filter(has_reply("drafted_reply") & F.col("judge_tone").isNull())
-    return seeded_sample(open_rows, n, "thread_id", seed)
+    one = first_per_key(open_rows, ["thread_id"], [F.md5("drafted_reply")])
+    return seeded_sample(one, n, "thread_id", seed)
 
 
 def apply_judgements(results: DataFrame, scores: DataFrame) -> DataFrame:

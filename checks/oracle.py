@@ -234,6 +234,71 @@ JUDGED = (
 BRAND = "the brand"
 
 
+def _payload(section, body, source):
+    return f"SELECT {quote(section)} AS section, CAST(to_json({body}) AS VARCHAR) AS payload_json FROM {source}"
+
+
+def _percent(v):
+    return f"round_even(({v}) * 100, 2)"
+
+
+DASHBOARD = " UNION ALL ".join([
+    _payload(
+        "executive_summary",
+        f"{{'agent_accuracy': {_percent(over('hits', 'valid'))}, 'majority_accuracy': {_percent('mj.accuracy')}, "
+        f"'gap': {_percent('mj.accuracy - ' + over('hits', 'valid'))}, "
+        + ", ".join(f"'esc_{k}': {_percent(PRF[k])}" for k in ("accuracy", "precision", "recall"))
+        + f", 'esc_f1': round_even({PRF['f1']}, 4), 'total': n, 'intent_valid': valid, 'esc_valid': esc_valid}}",
+        "c, mj, ed",
+    ),
+    _payload(
+        "class_wise",
+        "{'classes': list({'intent': l, 'prec': prec, 'rec': rec, 'f1': f1, 'support': support} ORDER BY l), "
+        "'total_classes': count(*)}", "m",
+    ),
+    _payload(
+        "confusion_matrices",
+        "{'cells': list({'field': f, 'true_label': t, 'pred_label': q, 'n': n} ORDER BY f, t, q)}", "cells",
+    ),
+    _payload(
+        "safety_failures",
+        "{'false_negatives': list({'case_id': printf('#FN-%03d', i), 'thread_id': thread_id, 'category': category, "
+        "'context': context, 'pred_missing': pred_missing} ORDER BY i) FILTER (i <= 10), 'total': count(*)}", "missed",
+    ),
+    "SELECT 'rag_evidence', '{\"rag_examples\":[]}'",
+    "SELECT 'judge_scores', CAST(to_json({'scores': [{'score': 'grounding', 'mean': round_even(grounding, 2), "
+    "'samples': grounding_n}, {'score': 'tone', 'mean': round_even(tone, 2), 'samples': tone_n}]}) AS VARCHAR) FROM c",
+    _payload(
+        "failure_cases",
+        "{'cases': list({'case_id': 'Case ' || i, 'thread_id': thread_id, 'predicted': pred_intent, 'actual': true_intent, "
+        "'preview': substr(coalesce(customer_text, ''), 1, 100)} ORDER BY i) FILTER (i <= 5), 'total': count(*)}", "cases",
+    ),
+    _payload(
+        "intent_distribution",
+        "{'labels': list(label ORDER BY n DESC, label), 'values': list(n ORDER BY n DESC, label)}",
+        "(SELECT lower(trim(true_intent)) AS label, count(*) AS n FROM eval_v WHERE true_intent IS NOT NULL GROUP BY 1)",
+    ),
+    "SELECT 'accuracy_comparison', CAST(to_json({'models': ["
+    + ", ".join(
+        f"{{'model': '{k}', 'accuracy': {_percent(v)}}}"
+        for k, v in (("agent", over("hits", "valid")), ("keyword", over("kw", "labelled")), ("majority", "mj.accuracy"))
+    )
+    + "]}) AS VARCHAR) FROM c, mj",
+])
+DASHBOARD_PARTS = (
+    f"ed AS ({escalation('dashboard')}), "
+    "cells AS (SELECT 'intent' AS f, a.l AS t, b.l AS q, CAST(coalesce(p.n, 0) AS BIGINT) AS n FROM labels a CROSS JOIN labels b "
+    "LEFT JOIN p ON p.t = a.l AND p.q = b.l UNION ALL SELECT 'escalation', 'escalate', 'escalate', tp FROM ed UNION ALL "
+    "SELECT 'escalation', 'auto-reply', 'escalate', fp FROM ed UNION ALL SELECT 'escalation', 'escalate', 'auto-reply', fn FROM ed "
+    "UNION ALL SELECT 'escalation', 'auto-reply', 'auto-reply', tn FROM ed), "
+    "missed AS (SELECT row_number() OVER (ORDER BY thread_id) AS i, thread_id, coalesce(escalation_reason, 'Escalation Required') AS category, "
+    "substr(coalesce(customer_text, ''), 1, 100) || '...' AS context, pred_escalate IS NULL AS pred_missing FROM eval_v "
+    f"WHERE {true_word('true_escalate', 'dashboard')} AND NOT coalesce({true_word('pred_escalate', 'dashboard')}, false)), "
+    "cases AS (SELECT row_number() OVER (ORDER BY thread_id) AS i, * FROM (SELECT * FROM eval_v ORDER BY thread_id LIMIT 50) "
+    "WHERE NOT coalesce(lower(trim(true_intent)) = lower(trim(pred_intent)), false))"
+)
+
+
 def _sql():
     def q(names, body, ctes=""):
         """Query over views, with further CTEs."""
@@ -291,6 +356,7 @@ def _sql():
             "SELECT 'ESCALATION', 'majority_accuracy', accuracy, label FROM me",
             f"{PAIRS}, {COUNTS}, {MAJORITY}"),
         "evaluation_report": q(ev, EVALUATION, f"{PAIRS}, {COUNTS}, {MAJORITY}"),
+        "dashboard": q(ev, DASHBOARD, f"{PAIRS}, {COUNTS}, {MAJORITY}, {DASHBOARD_PARTS}"),
         "dataset_audit": q(
             ["eval_v", "threads_v"],
             lines("c", "COVERAGE", {"rows": "n", "intent_rows": "valid", "escalation_rows": "esc_valid", "completed": "completed"})
@@ -399,7 +465,7 @@ def _sql():
         "extract_threads": q(
             ["tweets_v"],
             "SELECT c.tweet_id AS thread_id, c.text AS customer_text, b.text AS agent_text FROM b JOIN tweets_v c ON c.tweet_id = b.in_response_to_tweet_id "
-            "WHERE length(c.text) > 15 ORDER BY md5('42|' || CAST(c.tweet_id AS VARCHAR)), c.tweet_id LIMIT 2000",
+            "WHERE length(c.text) > 15 ORDER BY md5('42|' || CAST(b.tweet_id AS VARCHAR)), b.tweet_id LIMIT 2000",
             "b AS (SELECT * FROM tweets_v WHERE author_id = 'BrandSupport' AND in_response_to_tweet_id IS NOT NULL "
             "ORDER BY md5('42|' || CAST(tweet_id AS VARCHAR)), tweet_id LIMIT 5000)"),
         "seeded_sample": q(

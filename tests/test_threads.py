@@ -97,7 +97,8 @@ def test_first_per_key_cuts_hot_keys_before_the_shuffle(spark):
 
 def test_extract_threads_without_samples(tweets):
     assert threads.extract_threads(tweets, "Brand", None, None).count() == 3
-    assert threads.extract_threads(tweets, "Brand", 5000, 2).count() == 2
+    drawn = threads.extract_threads(tweets, "Brand", 5000, 2).collect()
+    assert [r.agent_text for r in drawn] == [{2: "answer one", 3: "answer two", 4: "answer three"}[i] for i in by_seed([2, 3, 4], 42, 2)]
 
 
 EVENTS = "thread_id bigint, seq bigint, code string, escalate string, reason string"

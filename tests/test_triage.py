@@ -203,6 +203,8 @@ def test_repeated_threads_are_asked_once_and_never_multiplied(spark, tmp_path):
     done = workflow.evaluate(spark, golden, classifier, str(tmp_path / "e"))
     assert sum(int(f.name.split("-")[1]) for f in asked.iterdir()) == 21
     assert done.count() == 40 and done.filter("thread_id = '0'").count() == 20
+    replied = done.withColumn("drafted_reply", F.lit("hi"))
+    assert [r.n for r in triage.judge_sample(replied, 15).groupBy("thread_id").agg(F.count("*").alias("n")).collect()] == [1] * 15
     again = answers(spark, [("0", reply(), None)] * 30 + [("0", None, "timeout")] * 30)
     assert triage.triage_batch(triage.one_per_thread(golden), again).filter("thread_id = '0'").count() == 1
 
