@@ -33,6 +33,15 @@ RESULTS = _table(
 ANSWERS = _table("id string, answer string, error string")
 SUMMARY = _table("section string, name string, value double, label string")
 
+
+def as_text(schema: T.StructType) -> T.StructType:
+    """The same columns as text, to read CSV whose flags and numbers come in many spellings.
+
+    The reports read flags and numbers out of text columns.
+    """
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+
+
 # Columns every caller must bring.
 REQUIRED = {
     "knowledge_base": ("customer_text", "agent_text", "thread_id"),

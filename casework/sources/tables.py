@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from casework.functions.text import half_even, normalize_id, numeric_or_null
 from casework.sources import schemas
 
+# Quotes are doubled inside quoted text, as most writers do; Spark's own default is a backslash.
+CSV_OPTIONS = {"header": True, "escape": '"'}
+
 
 def read_tweets(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Scan raw message CSV and convert the two id columns to bigint.
@@ -18,13 +21,7 @@ def read_tweets(spark: SparkSession, path: str, line_breaks: bool = True) -> Dat
     exports in many files and convert them once with ``write_table``; Parquet then splits freely.
     An export known to have no line breaks in its texts can be split as it is.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", line_breaks)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    raw = spark.read.options(**CSV_OPTIONS, multiLine=line_breaks, enforceSchema=False).csv(path)
     require_columns(raw, schemas.TWEETS.names)
     return raw.select(
         normalize_id("tweet_id").alias("tweet_id"),
@@ -35,12 +32,13 @@ def read_tweets(spark: SparkSession, path: str, line_breaks: bool = True) -> Dat
 
 
 def read_table(spark, path, schema, fmt: str = "parquet", limit: int | None = None) -> DataFrame:
-    """Read a table with its schema; an absent path gives an empty typed table."""
-    reader = spark.read.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+    """Read a table with its schema; an absent path gives an empty typed table.
+
+    For CSV written elsewhere give ``as_text(schema)`` and see ``null_tokens``.
+    """
+    options = {**CSV_OPTIONS, "multiLine": True} if fmt == "csv" else {}
     try:
-        df = reader.format(fmt).load(path)
+        df = spark.read.schema(schema).options(**options).format(fmt).load(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -76,8 +74,11 @@ def with_thread_id(df: DataFrame) -> DataFrame:
     return df.withColumn("thread_id", F.concat(F.lit("golden_"), F.md5(text)))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "errorifexists", by=()) -> None:
-    df.write.mode(mode).partitionBy(*by).parquet(path)
+def write_table(
+    df: DataFrame, path: str, mode: str = "errorifexists", by=(), fmt: str = "parquet"
+) -> None:
+    options = CSV_OPTIONS if fmt == "csv" else {}
+    df.write.mode(mode).partitionBy(*by).options(**options).format(fmt).save(path)
 
 
 def write_split(df: DataFrame, path: str) -> None:
@@ -106,9 +107,9 @@ def summary_lines(summary: DataFrame) -> DataFrame:
 
 
 def write_summary(summary: DataFrame, path: str, fmt: str = "json") -> None:
-    """Reports hold a few rows per label, hence one file."""
-    writer = summary.coalesce(1).write.mode("overwrite")
-    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    """Report as ``json``, ``csv`` or ``text`` lines; a few rows per label, hence one file."""
+    rows = summary_lines(summary).select("line") if fmt == "text" else summary
+    write_table(rows.coalesce(1), path, "overwrite", fmt=fmt)
 
 
 def to_payload(df: DataFrame, name: str, rounded: dict | None = None, **totals) -> DataFrame:

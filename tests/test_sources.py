@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from casework.plans import reports
 from casework.sources import schemas, tables
 
 
@@ -41,8 +42,7 @@ def test_absent_table_is_empty_and_typed(spark, tmp_path):
 @pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
 def test_read_table_formats_and_limit(spark, tmp_path, fmt):
     df = spark.createDataFrame([("1", "q", "a"), ("2", None, 'say "hi"\nthere')], schemas.THREADS)
-    writer = df.write.option("header", True).option("escape", '"')
-    writer.format(fmt).save(str(tmp_path / "t"))
+    tables.write_table(df, str(tmp_path / "t"), fmt=fmt)
     got = tables.read_table(spark, str(tmp_path / "t"), schemas.THREADS, fmt)
     assert sorted(got.collect()) == sorted(df.collect())
     assert tables.read_table(spark, str(tmp_path / "t"), schemas.THREADS, fmt, limit=1).count() == 1
@@ -54,6 +54,26 @@ def test_null_tokens_only_touch_the_named_columns(spark):
     assert got == [(None, "NA"), (None, "None"), ("ok", "x"), (None, None)]
 
 
+def test_foreign_result_csv_feeds_the_reports(spark, tmp_path):
+    header = ",".join(schemas.RESULTS.names)
+    path = write(
+        tmp_path / "results.csv",
+        header + "\n"
+        '1,"my ""phone""\nwifi",device_connectivity,Device_Connectivity ,0.9,True,False,escalated,,NA,3.0,4.0,nan,\n'
+        "2,NA,nan,other,,1,1,auto_handled,x,a reply,,,5,fine\n"
+        "3,hi,other,general_inquiry,0.5,0.0,yes,escalated,,,0,,,\n",
+    )
+    raw = tables.read_table(spark, path, schemas.as_text(schemas.RESULTS), "csv")
+    df = tables.null_tokens(raw, "true_intent", "pred_intent", "drafted_reply", "judge_grounding")
+    row = reports.executive_summary(df).first()
+    assert (row.total, row.intent_valid, row.esc_valid) == (3, 2, 3)
+    assert (row.agent_accuracy, row.esc_recall, row.esc_precision) == (0.5, 0.5, 0.5)
+    lines = {(r.section, r.name): r.value for r in reports.evaluation_report(df).collect()}
+    assert lines["REPLIES", "generated"] == 1.0 and lines["RETRIEVAL", "average"] == 1.5
+    assert lines["JUDGE", "tone_mean"] == 4.0 and lines["JUDGE", "grounding_mean"] == 5.0
+    assert df.filter("thread_id = '2'").first().customer_text == "NA"
+
+
 def test_missing_columns_are_added_as_typed_nulls(spark):
     df = spark.createDataFrame([("1", 4)], "thread_id string, judge_tone int")
     full = tables.add_missing(df, schemas.JUDGE_COLUMNS)
@@ -92,6 +112,8 @@ def test_summary(spark, tmp_path):
     assert [r.line for r in tables.summary_lines(df).collect()] == ["accuracy: 0.6000", "majority: other", "tone: none", "majority_accuracy: 0.5000 (other)"]
     tables.write_summary(df, str(tmp_path / "s"))
     assert sorted(spark.read.schema(schemas.SUMMARY).json(str(tmp_path / "s")).collect()) == sorted(df.collect())
+    tables.write_summary(df, str(tmp_path / "t"), "text")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect())[0] == "accuracy: 0.6000"
     tables.write_summary(df, str(tmp_path / "c"), "csv")
     assert tables.read_table(spark, str(tmp_path / "c"), schemas.SUMMARY, "csv").count() == 4
 
