@@ -43,6 +43,7 @@ def golden_split(
     The split is by distinct id, so all rows of one thread land on the same side. The golden
     side has at most n rows and Catalyst knows it from the limit, so it can be broadcast.
     """
+    threads = threads.drop("split")
     golden = seeded_sample(threads.select(by).distinct(), n, by, seed)
     marked = threads.join(golden.withColumn("split", F.lit("golden")), by, "left")
     return marked.withColumn("split", F.coalesce("split", F.lit("kb")))
