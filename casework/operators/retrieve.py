@@ -31,8 +31,9 @@ from casework.operators.seeded import first_per_key, seeded_sample
 from casework.sources.tables import write_table
 
 MAX_PIVOTS = 1024
-ROWS_PER_CELL = 2048
 TILE_ROWS = 8192
+# Work of sending a query to one more cell, in distances it costs as much as.
+CELL_COST = 500
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -148,8 +149,9 @@ def _ranked(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
 
 @dataclass(frozen=True)
 class IssueIndex:
-    """Knowledge-base vectors by cell: ``table`` (n, vec, cell, radius), ``cells`` one entry
-    (pivot vector, nearest and farthest member distance, rows) per cell that has members."""
+    """Knowledge-base vectors by cell: ``table`` (n, vec, cell, radius), and per cell that has
+    members its number, least and greatest member distance, row count and ``copies`` least
+    distances."""
 
     table: DataFrame
     pivots: np.ndarray
@@ -158,14 +160,73 @@ class IssueIndex:
     copies: int
 
 
-CELLS = "cell int, pivot array<double>, low double, high double, rows bigint"
+CELLS = "cell int, pivot array<double>, low double, high double, rows bigint, near array<double>"
 
 
-def _to_pivots(vectors, pivots: np.ndarray, unit: bool) -> np.ndarray:
-    m = _matrix(vectors)
-    m = _unit(m) if unit else m
-    square = (m * m).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :]
-    return np.sqrt(np.maximum(square - 2.0 * m @ pivots.T, 0.0))
+def _to_pivots(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances to all pivots; centred, since the product form loses digits far from zero."""
+    centre = pivots.mean(axis=0)
+    m, p = m - centre, pivots - centre
+    square = (m * m).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * m @ p.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def _between(pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+
+
+def _visited(d, between, cells, low, high, near, need: int) -> np.ndarray:
+    """Which cells (columns) queries with pivot distances ``d`` must visit."""
+    dc = d[:, cells]
+    # A member is no farther than its pivot is, plus its own distance to it; the need-th least
+    # such sum, here over the closest cells, bounds the distance of the need-th nearest issue.
+    few = min(8, dc.shape[1])
+    close = np.argpartition(dc, few - 1, axis=1)[:, :few]
+    sums = np.take_along_axis(dc, close, axis=1)[:, :, None] + near[close][:, :, :need]
+    sums = sums.reshape(len(d), -1)
+    reach = np.full(len(d), np.inf)
+    if sums.shape[1] >= need:
+        reach = np.partition(sums, need - 1, axis=1)[:, need - 1]
+    bound = np.maximum(dc - high[None, :], low[None, :] - dc)
+    # A cell lies beyond the bisector of its pivot and the query's own pivot.
+    own = d.argmin(axis=1)
+    gap = between[own][:, cells]
+    over = dc**2 - d[np.arange(len(d)), own][:, None] ** 2
+    bisector = np.divide(over, 2.0 * gap, out=np.zeros_like(over), where=gap > 0)
+    # Distances of the product form err by about 1e-7 of the largest.
+    slack = 1e-6 * (1.0 + d.max(axis=1))
+    return np.maximum(bound, bisector) <= (reach + slack)[:, None]
+
+
+def _padded(near: list, size: int) -> np.ndarray:
+    return np.array([(list(x) + [np.inf] * size)[:size] for x in near])
+
+
+def _pivot_count(sample: np.ndarray, rows: int, need: int) -> int:
+    """Number of pivots with the least work, estimated on the sample.
+
+    Many small cells pay where vectors cluster; where nothing can be ruled out, every cell is
+    one more copy of every query in the shuffle.
+    """
+    best, choice, m = np.inf, 1, 1
+    queries, share = sample[-256:], rows / len(sample)
+    while m <= max(1, len(sample) * 3 // 4):
+        p = np.unique(sample[:m], axis=0)
+        inside = _to_pivots(sample, p)
+        home, radius = inside.argmin(axis=1), inside.min(axis=1)
+        members = [np.sort(radius[home == c]) for c in range(len(p))]
+        cells = np.array([c for c, r in enumerate(members) if len(r)])
+        low, high = (np.array([members[c][i] for c in cells]) for i in (0, -1))
+        counts = np.array([len(members[c]) for c in cells])
+        seen = _visited(
+            _to_pivots(queries, p), _between(p), cells, low, high,
+            _padded([members[c] for c in cells], need), need,
+        )
+        work = (seen * (counts * share + CELL_COST)[None, :]).sum(axis=1).mean()
+        if work < best:
+            best, choice = work, m
+        m *= 2
+    return choice
 
 
 def issue_index(
@@ -174,40 +235,41 @@ def issue_index(
 ) -> IssueIndex:
     """Cells of a knowledge base. A search for k neighbours needs ``copies`` of at least k, or
     k + 1 if a query may be its own neighbour; further copies of a vector are left out.
-
-    Each visited cell repeats the query in the shuffle, so cells much smaller than a tile only
-    cost; by default there is one per ``ROWS_PER_CELL`` vectors.
-    """
+    Without ``pivots`` their number is chosen by the structure of a sample."""
     kb = _typed(kb, kb_id, vector, "n")
-    if pivots is None:
-        pivots = max(1, kb.count() // ROWS_PER_CELL)
-    sample = seeded_sample(kb, min(pivots, MAX_PIVOTS), "n", terms.EXTRACT_SEED).collect()
-    if not sample:
+    drawn = seeded_sample(kb, MAX_PIVOTS, "n", terms.EXTRACT_SEED).collect()
+    if not drawn:
         placed = kb.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})
         return IssueIndex(placed, np.zeros((0, 0)), [], metric, copies)
     unit = metric == "cosine"
-    p = np.array([r.vec for r in sample], dtype=np.float64)
-    p = np.unique(_unit(p) if unit else p, axis=0)
+    sample = np.array([r.vec for r in drawn], dtype=np.float64)
+    sample = _unit(sample) if unit else sample
+    if pivots is None:
+        pivots = _pivot_count(sample, kb.count(), copies)
+    p = np.unique(sample[:pivots], axis=0)
 
     @F.pandas_udf("struct<cell:int,radius:double>")
     def home(vectors: pd.Series) -> pd.DataFrame:
-        d = _to_pivots(vectors, p, unit)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "radius": d[np.arange(len(d)), cell]})
+        m = _matrix(vectors)
+        d = _to_pivots(_unit(m) if unit else m, p)
+        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "radius": d.min(axis=1)})
 
     placed = kb.withColumn("_p", home("vec")).select("n", "vec", "_p.cell", "_p.radius")
     ring = placed.groupBy("cell").agg(
         F.min("radius").alias("low"), F.max("radius").alias("high"),
         _distinct_rows(copies).alias("rows"),
     )
-    cells = [(r.cell, r.low, r.high, r.rows) for r in sorted(ring.collect(), key=lambda r: r.cell)]
+    least = first_per_key(placed.select("cell", "radius"), ["cell"], ["radius"], copies)
+    near = least.groupBy("cell").agg(F.sort_array(F.collect_list("radius")).alias("near"))
+    found = sorted(ring.join(near, "cell").collect(), key=lambda r: r.cell)
+    cells = [(r.cell, r.low, r.high, r.rows, r.near) for r in found]
     return IssueIndex(_few_copies(placed, copies), p, cells, metric, copies)
 
 
 def write_issue_index(index: IssueIndex, path: str) -> None:
     """Store an index: the vectors, and one small row per pivot."""
     spark, known = index.table.sparkSession, {c[0]: c[1:] for c in index.cells}
-    rows = [(i, [float(x) for x in v], *known.get(i, (None, None, 0))) for i, v in enumerate(index.pivots)]
+    rows = [(i, [float(x) for x in v], *known.get(i, (None, None, 0, []))) for i, v in enumerate(index.pivots)]
     about = spark.createDataFrame(rows, CELLS).withColumns(
         {"metric": F.lit(index.metric), "copies": F.lit(index.copies)}
     )
@@ -218,7 +280,7 @@ def write_issue_index(index: IssueIndex, path: str) -> None:
 def read_issue_index(spark, path: str) -> IssueIndex:
     about = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
     table = spark.read.parquet(f"{path}/issues")
-    cells = [(r.cell, r.low, r.high, r.rows) for r in about if r.rows]
+    cells = [(r.cell, r.low, r.high, r.rows, r.near) for r in about if r.rows]
     pivots = np.array([r.pivot for r in about], dtype=np.float64)
     if not about:
         return IssueIndex(table, np.zeros((0, 0)), [], "l2", 0)
@@ -241,29 +303,15 @@ def search_issue_index(
     if need > index.copies:
         raise ValueError(f"the index keeps {index.copies} copies of a vector, {need} are needed")
     p, unit = index.pivots, index.metric == "cosine"
-    between = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+    between, near = _between(p), _padded([c[4] for c in index.cells], index.copies)
     cells = np.array([c[0] for c in index.cells], dtype=np.int32)
     low, high = (np.array([c[i] for c in index.cells]) for i in (1, 2))
 
     @F.pandas_udf("array<int>")
     def visits(vectors: pd.Series) -> pd.Series:
-        d = _to_pivots(vectors, p, unit)
-        # Pivots are stored vectors, so the need-th nearest pivot bounds the need-th nearest issue.
-        reach = (
-            np.partition(d, need - 1, axis=1)[:, need - 1]
-            if d.shape[1] >= need else np.full(len(d), np.inf)
-        )
-        own = d.argmin(axis=1)
-        dc = d[:, cells]
-        bound = np.maximum(dc - high[None, :], low[None, :] - dc)
-        # A cell lies beyond the bisector of its pivot and the query's own pivot.
-        gap = between[own][:, cells]
-        over = dc**2 - d[np.arange(len(d)), own][:, None] ** 2
-        bisector = np.divide(over, 2.0 * gap, out=np.zeros_like(over), where=gap > 0)
-        bound = np.maximum(bound, bisector)
-        # Distances of the product form err by about 1e-7 near zero.
-        keep = bound <= reach[:, None] + 1e-6 * (1.0 + d.max(axis=1))[:, None]
-        return pd.Series([cells[row] for row in keep])
+        m = _matrix(vectors)
+        d = _to_pivots(_unit(m) if unit else m, p)
+        return pd.Series([cells[row] for row in _visited(d, between, cells, low, high, near, need)])
 
     visiting = queries.withColumn("cell", F.explode(visits("vec")))
     kb_tiles = {c[0]: _tiles(c[3]) for c in index.cells}
