@@ -34,6 +34,9 @@ MAX_PIVOTS = 1024
 TILE_ROWS = 8192
 # Work of sending a query to one more cell, in distances it costs as much as.
 CELL_COST = 500
+# Distances one task computes, and an upper bound for the number of tasks.
+PARTITION_WORK = 20_000_000
+MAX_PARTITIONS = 100_000
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -65,14 +68,14 @@ def _distinct_rows(copies: int):
     return F.least(F.count("*"), copies * F.approx_count_distinct(F.xxhash64("vec")))
 
 
-def _tile_counts(df: DataFrame, rows=None) -> dict:
-    """Tiles per cell."""
+def _cell_rows(df: DataFrame, rows=None) -> dict:
+    """Rows per cell."""
     counted = df.groupBy("cell").agg((F.count("*") if rows is None else rows).alias("rows"))
-    return {r.cell: _tiles(r.rows) for r in counted.collect()}
+    return {r.cell: r.rows for r in counted.collect()}
 
 
-def _tiles(rows: int) -> int:
-    return max(1, math.ceil(rows / TILE_ROWS))
+def _tiles(rows: dict) -> dict:
+    return {cell: max(1, math.ceil(n / TILE_ROWS)) for cell, n in rows.items()}
 
 
 def _lookup(tiles: dict):
@@ -84,12 +87,18 @@ def _lookup(tiles: dict):
     return F.coalesce(F.element_at(pairs, F.col("cell")), F.lit(1))
 
 
-def _tiled_top(queries, kb, kb_tiles: dict, q_tiles: dict, k: int, metric: str) -> DataFrame:
+def _tiled_top(queries, kb, kb_rows: dict, q_rows: dict, k: int, metric: str) -> DataFrame:
     """k nearest (q, n, distance) of every query within its cells.
 
-    ``queries`` has (q, vec, cell), ``kb`` has (n, vec, cell).
+    ``queries`` has (q, vec, cell), ``kb`` has (n, vec, cell); the rows per cell of both say how
+    to cut them. The number of partitions follows the distances to compute and is set outright:
+    adaptive execution would merge partitions that are small in bytes but long in work.
     """
+    kb_tiles, q_tiles = _tiles(kb_rows), _tiles(q_rows)
     blocks, slices = _lookup(kb_tiles), _lookup(q_tiles)
+    work = sum(n * q_rows.get(cell, 0) for cell, n in kb_rows.items())
+    tiles = sum(n * q_tiles.get(cell, 0) for cell, n in kb_tiles.items())
+    partitions = max(1, min(tiles, math.ceil(work / PARTITION_WORK), MAX_PARTITIONS))
     kb = kb.withColumn("block", F.pmod(F.xxhash64("n"), blocks).cast("int")).withColumn(
         "slice", F.explode(F.sequence(F.lit(0), slices - 1))
     )
@@ -134,6 +143,7 @@ def _tiled_top(queries, kb, kb_tiles: dict, q_tiles: dict, k: int, metric: str)
         )
 
     keys = ["cell", "block", "slice"]
+    queries, kb = (side.repartition(partitions, *keys) for side in (queries, kb))
     return queries.groupBy(*keys).cogroup(kb.groupBy(*keys)).applyInPandas(nearest, out)
 
 
@@ -314,9 +324,9 @@ def search_issue_index(
         return pd.Series([cells[row] for row in _visited(d, between, cells, low, high, near, need)])
 
     visiting = queries.withColumn("cell", F.explode(visits("vec")))
-    kb_tiles = {c[0]: _tiles(c[3]) for c in index.cells}
+    kb_rows = {c[0]: c[3] for c in index.cells}
     found = _tiled_top(
-        visiting, index.table.select("n", "vec", "cell"), kb_tiles, _tile_counts(visiting), need,
+        visiting, index.table.select("n", "vec", "cell"), kb_rows, _cell_rows(visiting), need,
         index.metric,
     )
     return _ranked(found, k, exclude_self)
@@ -358,10 +368,10 @@ def similar_issues_lsh(
 
     kb = kb.withColumn("cell", F.explode(buckets("vec")))
     queries = queries.withColumn("cell", F.explode(buckets("vec")))
-    kb_tiles, q_tiles = _tile_counts(kb, _distinct_rows(need)), _tile_counts(queries)
+    kb_rows, q_rows = _cell_rows(kb, _distinct_rows(need)), _cell_rows(queries)
     hashed = kb.withColumn("_h", F.xxhash64("vec"))
     stored = first_per_key(hashed, ["cell", "_h", "vec"], ["n"], need).drop("_h")
-    found = _tiled_top(queries, stored, kb_tiles, q_tiles, need, metric)
+    found = _tiled_top(queries, stored, kb_rows, q_rows, need, metric)
     return _ranked(found, k, exclude_self)
 
 
