@@ -11,7 +11,7 @@ query, never its pairs.
   cells of a knowledge base can be stored once (``write_issue_index``) and searched often.
 * ``similar_issues_lsh`` is approximate. Cells are random-hyperplane buckets of several tables.
 
-Planning them runs small jobs: a seeded sample of at most ``MAX_PIVOTS`` vectors and two counts
+Planning them runs small jobs: a seeded sample of at most ``MAX_PIVOTS`` vectors and a few figures
 per cell come to the driver, nothing that grows with the data.
 """
 
