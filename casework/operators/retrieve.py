@@ -34,8 +34,9 @@ MAX_PIVOTS = 1024
 TILE_ROWS = 8192
 # Work of sending a query to one more cell, in distances it costs as much as.
 CELL_COST = 500
-# Distances one task computes, and an upper bound for the number of tasks.
-PARTITION_WORK = 20_000_000
+# Distances one task computes, what a tile costs beside its distances, and the most tasks.
+PARTITION_WORK = 5_000_000
+TILE_COST = 200_000
 MAX_PARTITIONS = 100_000
 
 
@@ -98,6 +99,7 @@ def _tiled_top(queries, kb, kb_rows: dict, q_rows: dict, k: int, metric: str) ->
     blocks, slices = _lookup(kb_tiles), _lookup(q_tiles)
     work = sum(n * q_rows.get(cell, 0) for cell, n in kb_rows.items())
     tiles = sum(n * q_tiles.get(cell, 0) for cell, n in kb_tiles.items())
+    work += tiles * TILE_COST
     partitions = max(1, min(tiles, math.ceil(work / PARTITION_WORK), MAX_PARTITIONS))
     kb = kb.withColumn("block", F.pmod(F.xxhash64("n"), blocks).cast("int")).withColumn(
         "slice", F.explode(F.sequence(F.lit(0), slices - 1))
