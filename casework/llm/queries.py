@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import bpe, quality
+from casework.llm import bpe, quality, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -41,3 +41,11 @@ def op2_quality(spark, sf):
         "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query
+def op9_sharding(spark, sf):
+    done = sharding.sharded(table(spark, sf, "documents"), [1.0] * 24, grown_weight=1.0)
+    return done.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
