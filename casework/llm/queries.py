@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import bpe, quality, sharding
+from casework.llm import bpe, quality, rules, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -49,3 +49,11 @@ def op9_sharding(spark, sf):
     return done.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+@query
+def op6_rules(spark, sf):
+    return rules.judged(table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "distance",
+    )
