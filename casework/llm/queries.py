@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import bpe, quality, rules, sharding
+from casework.llm import bpe, pii, quality, rules, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -57,3 +57,13 @@ def op6_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "distance",
     )
+
+
+#: Key of the pseudonyms in the registered queries; a real one is the caller's secret.
+PII_KEY = "registered-query"
+
+
+@query
+def op7_pii(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pii.pseudonymised(docs, PII_KEY)
