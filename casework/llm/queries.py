@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import bpe, pii, quality, rules, sharding
+from casework.llm import ann, bpe, pii, quality, rules, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -67,3 +67,9 @@ PII_KEY = "registered-query"
 def op7_pii(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return pii.pseudonymised(docs, PII_KEY)
+
+
+@query
+def op8_ann(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20)
