@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from casework.llm.shared import kept as stored
 
 #: Tables; the share of a query's neighbours each of them should find; rows a bucket should hold.
-TABLES, SUCCESS, BUCKET_ROWS = 2, 0.86, 256
+TABLES, SUCCESS, BUCKET_ROWS = 2, 0.78, 256
 #: Rows the index is fitted on, partial buckets followed per query, rows and queries compared at once.
 SAMPLE_ROWS, BEAM, TILE, QUERIES = 4096, 8192, 4096, 256
 

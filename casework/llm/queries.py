@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import ann, bpe, pii, quality, rules, sharding
+from casework.llm import ann, bpe, minhash, pii, quality, rules, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -73,3 +73,8 @@ def op7_pii(spark, sf):
 def op8_ann(spark, sf):
     vectors = table(spark, sf, "embeddings")
     return ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+@query
+def op10_minhash(spark, sf):
+    return minhash.grouped(table(spark, sf, "documents"))
