@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import ann, bpe, minhash, pii, quality, rules, sharding
+from casework.llm import ann, bpe, lm, minhash, pii, quality, rules, sharding
 
 QUERIES, ORACLE = {}, {}
 
@@ -78,3 +78,10 @@ def op8_ann(spark, sf):
 @query
 def op10_minhash(spark, sf):
     return minhash.grouped(table(spark, sf, "documents"))
+
+
+@query
+def op5_lm(spark, sf):
+    fold = quality.held_out("doc_id", 7)
+    done = lm.scored(table(spark, sf, "documents"), ~fold)
+    return done.withColumn("held_out", ~F.col("train")).drop("train")
