@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import ann, bpe, lm, minhash, pii, quality, rules, sharding
+from casework.llm import ann, bpe, lm, minhash, pii, quality, rules, sharding, suffix
 
 QUERIES, ORACLE = {}, {}
 
@@ -85,3 +85,12 @@ def op5_lm(spark, sf):
     fold = quality.held_out("doc_id", 7)
     done = lm.scored(table(spark, sf, "documents"), ~fold)
     return done.withColumn("held_out", ~F.col("train")).drop("train")
+
+
+@query
+def op1_suffix(spark, sf):
+    done = suffix.without_repeats(table(spark, sf, "documents"))
+    return done.select(
+        "doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+    )
