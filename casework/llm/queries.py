@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import ann, bpe, lm, minhash, pii, quality, rules, sharding, suffix
+from casework.llm import ann, bpe, lm, minhash, mixing, pii, quality, rules, sharding, suffix
 
 QUERIES, ORACLE = {}, {}
 
@@ -94,3 +94,80 @@ def op1_suffix(spark, sf):
         "doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"),
         F.sha2(F.col("kept"), 256).alias("kept_sha256"),
     )
+
+
+#: Weights of the registered mixture, by path; what isn't named weighs 1.
+WEIGHTS = {
+    ("web",): 5, ("books",): 3, ("other",): 2,
+    ("web", "en"): 4, ("web", "de"): 2, ("web", "fr"): 2,
+    ("books", "en"): 3, ("books", "fr"): 2,
+}
+
+
+def domain(source):
+    """Domain of a source in the test tables, by its number."""
+    number = F.regexp_extract(source, r"^src(\d+)$", 1)
+    return (
+        F.when(number.rlike(r"^\d$"), "web").when(number.rlike(r"^1[0-4]$"), "books").otherwise("other")
+    )
+
+
+@query
+def op4_mixing(spark, sf):
+    levels = {"domain": domain(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
+    done = mixing.mixed(table(spark, sf, "documents"), levels, WEIGHTS, share=(3, 4), epochs=3)
+    return done.select(
+        "doc_id", "epoch", domain(F.col("source")).alias("domain"), "lang", "source",
+        mixing.token_count("text").alias("tokens"),
+    )
+
+
+def _level(parents, own, weight):
+    """One level of the tree in SQL: budgets of nodes from those of their parents."""
+    path = [*parents, own]
+    over = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    inner = f"PARTITION BY {', '.join('n.' + c for c in parents)}" if parents else ""
+    keys = ", ".join(path)
+    return f"""
+n{len(path)} AS (SELECT {keys}, sum(tokens) * 3 AS cap, {weight} AS w FROM leaves GROUP BY {keys}),
+f{len(path)} AS (SELECT n.*, g.got AS budget,
+  g.got - coalesce(sum(cap) OVER (ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+  sum(w) OVER ({inner}) - coalesce(sum(w) OVER (ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS heavy
+  FROM n{len(path)} n JOIN g{len(parents)} g ON {' AND '.join(f'n.{c} = g.{c}' for c in parents) or 'true'}
+  WINDOW ord AS ({inner} ORDER BY cap / w, n.{own})),
+o{len(path)} AS (SELECT *, cap * heavy <= remaining * w AS is_full FROM f{len(path)}),
+r{len(path)} AS (SELECT *, CASE WHEN is_full THEN 0 ELSE w END AS open,
+  budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({over}) AS rest FROM o{len(path)}),
+u{len(path)} AS (SELECT *, sum(open) OVER ({over}) AS every,
+  sum(open) OVER ({over} ORDER BY {own} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM r{len(path)}),
+g{len(path)} AS (SELECT {keys}, CASE WHEN is_full THEN cap ELSE (rest * upto) // every - (rest * (upto - open)) // every END AS got
+  FROM u{len(path)})"""
+
+
+def _mixing_sql():
+    def weights(depth, *names):
+        cases = "".join(
+            " WHEN " + " AND ".join(f"{n} = '{v}'" for n, v in zip(names, path)) + f" THEN {w}"
+            for path, w in WEIGHTS.items() if len(path) == depth
+        )
+        return f"CASE{cases} ELSE 1 END" if cases else "1"
+
+    return f"""
+WITH d AS (SELECT doc_id, lang, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens,
+  CASE WHEN regexp_matches(source, '^src[0-9]$') THEN 'web' WHEN regexp_matches(source, '^src1[0-4]$') THEN 'books' ELSE 'other' END AS domain
+  FROM documents),
+s AS (SELECT * FROM d WHERE tokens > 0),
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM s GROUP BY ALL),
+g0 AS (SELECT (sum(tokens) * 3) // 4 AS got FROM leaves),
+{_level([], "domain", weights(1, "domain"))},
+{_level(["domain"], "lang", weights(2, "domain", "lang"))},
+{_level(["domain", "lang"], "source", weights(3))},
+plan AS (SELECT domain, lang, source, got // tokens AS whole, got % tokens AS part FROM leaves JOIN g3 USING (domain, lang, source)),
+ordered AS (SELECT s.*, whole, part, sum(s.tokens) OVER (PARTITION BY domain, lang, source
+  ORDER BY md5('42:' || CAST(whole + 1 AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id) AS upto
+  FROM s JOIN plan USING (domain, lang, source)),
+times AS (SELECT *, CAST(whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS INT) AS n FROM ordered)
+SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS epoch, domain, lang, source, CAST(tokens AS BIGINT) AS tokens FROM times"""
+
+
+ORACLE["op4_mixing"] = _mixing_sql()
