@@ -142,11 +142,12 @@ def mixed(docs: DataFrame, levels: dict, weights: dict, share: tuple = (1, 2), e
     )
     limits = stored(limits)
     columns = [c for c in docs.columns if c.lower() != epoch_col.lower()]
-    rows = docs.withColumns({n: e for n, e in zip(names, levels.values())}).filter(token_count(text_col) > 0)
+    rows = docs.filter(token_count(text_col) > 0).select(F.struct("*").alias("_row"), *own)
+    id_ = F.col("_row")[id_col]
     place = F.struct(_order(seed, F.col("_whole") + 1, id_).alias("h"), id_.alias("i"))
     times = F.col("_whole") + F.when((F.col("_part") > 0) & (place <= F.col("_last")), 1).otherwise(0)
     return (
         rows.alias("a").join(limits.alias("b"), on("a", "b")).withColumn("_times", times).filter("_times > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        .select(*[F.col(f"a.`{c}`") for c in columns], F.col("_epoch").alias(epoch_col))
+        .select(*[F.col("_row")[c].alias(c) for c in columns], F.col("_epoch").alias(epoch_col))
     )

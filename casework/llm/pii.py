@@ -264,7 +264,8 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
         ))
 
     some = F.when(text.rlike("[0-9@\x22]"), _let(found, lambda f: F.when(F.size(f) > 0, rebuilt(f))))
-    columns = [F.coalesce(F.col("_done")["text"], text).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    row, done = F.col("_row"), F.col("_done")
+    columns = [F.coalesce(done["text"], row[c]).alias(c) if c == text_col else row[c].alias(c) for c in docs.columns]
     if count_col:
-        columns.append(F.coalesce(F.col("_done")["n"], F.lit(0)).cast("long").alias(count_col))
-    return docs.withColumn("_done", some).select(*columns)
+        columns.append(F.coalesce(done["n"], F.lit(0)).cast("long").alias(count_col))
+    return docs.select(F.struct("*").alias("_row"), some.alias("_done")).select(*columns)
