@@ -6,14 +6,11 @@ equal in two documents as often as their sets overlap. Bands of these values are
 documents that share a bucket are candidates, and a pair becomes a link only when the whole sets
 confirm it. Components of links are the groups.
 
-Documents of equal sets are one node. Within a bucket not all pairs are tried: rounds compare every
-document that isn't yet in its bucket's largest component with the one centre it shares most
-buckets with; components then absorb nearly everything, and only pairs of a bucket whose
-components still differ are compared one by one.
+Documents of equal sets are one node. Every document is first compared with one other only, the
+bucket centre it shares most buckets with. Where components still differ within a bucket, documents
+are compared in groups that send out no pairs, just the links that connect components.
 """
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,8 +24,8 @@ from casework.llm.shared import kept as stored
 
 #: Bands and values of a band: a pair of similarity 0.75 shares none of them in one case of 400,000.
 BANDS, ROWS = 48, 5
-#: Rounds with one centre for each document, and documents compared with a centre at once.
-ROUNDS, GROUP = 3, 128
+#: Documents compared with a centre at once, and documents on each side of a group.
+GROUP, SLICE = 128, 512
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS // 2, np.uint64).astype(np.uint32)
 _ODD = (_rng.integers(0, 1 << 31, BANDS * ROWS // 2, np.uint64) * 2 + 1).astype(np.uint32)
@@ -152,38 +149,89 @@ def confirmed(pairs, texts, share=75):
     return needed.join(texts, "_id").groupBy("a", "_part").applyInArrow(_confirm(share), "a long, b long, linked boolean")
 
 
-def _unequal(labelled, chosen):
-    """Buckets with more than one component, with what is chosen of each."""
-    return labelled.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), chosen.alias("z")).filter("_lo <> _hi")
+def _centred(buckets):
+    """Of every document the pair with the bucket centre that it shares most buckets with."""
+    centres = buckets.groupBy("key").agg(F.min("id").alias("z"))
+    pairs = buckets.join(centres, "key").filter("id <> z").groupBy("z", "id").agg(F.count("*").alias("w"))
+    best = pairs.groupBy("id").agg(F.max_by("z", F.struct("w", -F.col("z"))).alias("a"))
+    return best.select("a", F.col("id").alias("b"))
 
 
-def _near(share):
-    return 100 * F.least("n", "m") >= share * F.greatest("n", "m")
+def _compare(share):
+    """Links between some documents of a cluster and some of its outsiders, as far as they connect components."""
+    def run(table):
+        table = table.combine_chunks()
+        unpack = zstandard.ZstdDecompressor().decompress
+        outside = table.column("_outside").to_numpy()
+        ids, comps = table.column("_id").to_numpy(), table.column("c").to_numpy()
+        raw = [unpack(z) for z in table.column("_z").to_pylist()]
+        sides = []
+        for part in (np.flatnonzero(outside), np.flatnonzero(~outside)):
+            texts = [raw[i] for i in part]
+            sides.append((part, *shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))))
+        (own, hashes, at), (rest, others, ends) = sides
+        owner = np.repeat(np.arange(len(own)), np.diff(at))
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner, size = hashes[order], owner[order], np.diff(at)
+        root, a, b = {}, [], []
+
+        def find(c):
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        for j, i in enumerate(rest.tolist()):
+            mine = others[ends[j] : ends[j + 1]]
+            low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
+            span = high - low
+            total = int(span.sum())
+            if not total:
+                continue
+            places = np.repeat(low - np.r_[0, np.cumsum(span)[:-1]], span) + np.arange(total)
+            both = np.bincount(owner[places], minlength=len(own))
+            for k in np.flatnonzero(100 * both >= share * (size + len(mine) - both)).tolist():
+                one, two = find(comps[i]), find(comps[own[k]])
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    a.append(ids[own[k]])
+                    b.append(ids[i])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    return run
 
-def _centred(labelled, share, turn):
-    """Pairs of a bucket's centre, another one in every turn, with the documents of other components."""
-    order = F.struct(F.xxhash64(F.lit(turn), "id") if turn else F.lit(0).cast("long"), F.col("id"))
-    centres = _unequal(labelled, F.min_by(F.struct("id", "n", "c"), order)).select("key", "z")
-    return (
-        labelled.join(centres, "key").withColumn("m", F.col("z.n")).filter((F.col("c") != F.col("z.c")) & _near(share))
-        .groupBy(F.col("id").alias("own"), F.least("id", "z.id").alias("a"), F.greatest("id", "z.id").alias("b"))
-        .agg(F.count("*").alias("w"))
-    )
 
+def _crossing(buckets, labels, texts, share):
+    """Links that connect components which share a bucket.
 
-def _remaining(labelled, share):
-    """All pairs of a bucket whose components differ: documents outside its largest against the rest."""
-    mixed = _unequal(labelled, F.count("*")).select("key")
-    sizes = labelled.join(mixed, "key").groupBy("key", "c").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"))
-    outside = labelled.join(main, "key").filter("c <> main").select(
-        "key", F.col("id").alias("o"), F.col("n").alias("m"), F.col("c").alias("oc")
+    Buckets of more than one component tie their documents into clusters. In a cluster, all
+    documents outside its largest component are compared with all others of it, in groups of at
+    most about 2 * SLICE; what comes out of a group is no more than what connects components.
+    """
+    labelled = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+        "key", "id", F.coalesce("component", "id").alias("c")
+    )
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("z"))
+    inside = labelled.join(mixed.filter("lo <> hi").select("key", "z"), "key").groupBy("z", "id").agg(F.first("c").alias("c"))
+    inside = stored(inside)
+    clusters = connected(inside.select(F.col("z").alias("a"), F.col("id").alias("b")))
+    docs = stored(
+        inside.select("id", "c").distinct().join(clusters.withColumnRenamed("component", "k"), F.col("id") == F.col("node"))
+        .select("id", "c", "k")
+    )
+    parts = docs.groupBy("k", "c").agg(F.count("*").alias("m"))
+    size = parts.groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    size = size.filter(F.col("all") > F.col("most")).select(
+        "k", "main", F.ceil(F.col("all") / SLICE).cast("int").alias("tiles"),
+        F.ceil((F.col("all") - F.col("most")) / SLICE).cast("int").alias("slices"),
     )
-    return (
-        labelled.join(outside, "key").filter((F.col("c") != F.col("oc")) & _near(share))
-        .select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    both = docs.join(size, "k")
+    rows = (
+        both.filter("c <> main").select("k", F.col("id").alias("_id"), "c", place("slices").alias("slice"), every("tiles").alias("tile"), F.lit(True).alias("_outside"))
+        .unionByName(both.select("k", F.col("id").alias("_id"), "c", every("slices").alias("slice"), place("tiles").alias("tile"), F.lit(False).alias("_outside")))
     )
+    return rows.join(texts, "_id").groupBy("k", "slice", "tile").applyInArrow(_compare(share), "a long, b long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
@@ -206,34 +254,22 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     node = sets.groupBy("_f", "_g", "_n").agg(F.min("_id").alias("_node"))
     keys = (
         sets.join(node.select(F.col("_node").alias("_id"), "_f", "_g", "_n"), ["_id", "_f", "_g", "_n"], "left_semi")
-        .select("_id", "_n", F.explode("_bands").alias("key"))
+        .select("_id", F.explode("_bands").alias("key"))
     )
     shared = keys.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
-    buckets = stored(keys.join(shared, "key").select("key", F.col("_id").alias("id"), F.col("_n").alias("n")))
+    buckets = stored(keys.join(shared, "key").select("key", F.col("_id").alias("id")))
     candidates = buckets.select(F.col("id").alias("_id")).distinct()
     texts = stored(source.mapInArrow(_packed, "_id long, _z binary").join(candidates, "_id", "left_semi").dropDuplicates(["_id"]))
 
     # Rows that repeat an id with another text link their nodes from the start.
     members = sets.join(node, ["_f", "_g", "_n"]).select("_id", "_node")
-    links = [members.filter("_id <> _node").join(candidates, "_id", "left_semi").select(F.col("_node").alias("a"), F.col("_id").alias("b"))]
-    labels, tried = stored(connected(links[0])), None
-    for turn in range(ROUNDS + 1):
-        labelled = (
-            buckets.join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-        )
-        pairs = _centred(labelled, share, turn) if turn < ROUNDS else _remaining(labelled, share)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        if turn < ROUNDS:  # of each document the pair that shares most buckets
-            best = pairs.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("w", -F.col("a"), -F.col("b"))).alias("p"))
-            pairs = best.select("p.a", "p.b").distinct()
-        judged = stored(confirmed(pairs, texts, share))
-        tried = judged.select("a", "b") if tried is None else tried.unionByName(judged.select("a", "b"))
-        new = judged.filter("linked").select("a", "b")
-        if not new.isEmpty():
-            links.append(new)
-            labels = stored(connected(reduce(DataFrame.unionByName, links)))
+    links = members.filter("_id <> _node").join(candidates, "_id", "left_semi").select(F.col("_node").alias("a"), F.col("_id").alias("b"))
+    judged = stored(confirmed(_centred(buckets), texts, share))
+    links = stored(links.unionByName(judged.filter("linked").select("a", "b")))
+    labels = stored(connected(links))
+    more = stored(_crossing(buckets, labels, texts, share))
+    if not more.isEmpty():
+        labels = stored(connected(links.unionByName(more)))
     joined = (
         signed.join(node, ["_f", "_g", "_n"], "left")
         .join(labels.select(F.col("node").alias("_node"), "component"), "_node", "left")
