@@ -22,7 +22,10 @@ from casework.llm.shared import kept as stored
 #: Tables; the share of a query's neighbours each of them should find; rows a bucket should hold.
 TABLES, SUCCESS, BUCKET_ROWS = 2, 0.78, 256
 #: Rows the index is fitted on, partial buckets followed per query, rows and queries compared at once.
-SAMPLE_ROWS, BEAM, TILE, QUERIES = 4096, 8192, 4096, 256
+SAMPLE_ROWS, BEAM, TILE, QUERIES = 4096, 8192, 16384, 128
+#: Cells there are at least, if each gets as many rows: a query's best of every cell are merged, so
+#: cells should be few, but not fewer than tasks.
+LEAST_CELLS, LEAST_ROWS = 8, 1024
 
 
 @dataclass
@@ -86,6 +89,11 @@ class Index:
         return out
 
 
+def _cells(n):
+    """Cells that buckets are dealt into."""
+    return max(1, math.ceil(n / TILE), min(LEAST_CELLS, n // LEAST_ROWS))
+
+
 def _normal(x):
     """Distribution function of the normal law, to five digits."""
     t = 1 / (1 + 0.2316419 * np.abs(x))
@@ -118,7 +126,7 @@ def fit(rows: DataFrame, k: int, seed: int = 42) -> Index | None:
     sample = rows.filter(F.size("_v") == d).orderBy(order, "_id").limit(SAMPLE_ROWS).select("_v").collect()
     x = np.array([r[0] for r in sample], np.float64)
     rng = np.random.default_rng(seed)
-    index = Index(None, None, 1.0, float(top.m) * (1 + 1e-12), 1.0, d, max(1, math.ceil(n / TILE)))
+    index = Index(None, None, 1.0, float(top.m) * (1 + 1e-12), 1.0, d, _cells(n))
     points = index.rows(x)
     q = x[:256] / np.sqrt((x[:256] ** 2).sum(axis=1))[:, None]
     products = np.sort(q @ (x / index.norm).T, axis=1)[:, ::-1]
@@ -197,7 +205,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     that are null, all zero, or hold a null or a value that isn't finite take no part, on either
     side; neither do rows without an id. Rows that repeat an id count with their best score.
 
-    Rows are dealt out by bucket, in cells of about TILE rows; a cell that holds more (copies of a
+    Rows are dealt out by bucket, in cells of at most about TILE rows; a cell that holds more (copies of a
     vector share a bucket) is cut into tiles. A query goes to a tile once, with the buckets it
     visits there. Every tile returns its ``k`` best. Queries that found too little are compared
     with all rows.
