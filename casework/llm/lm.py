@@ -253,7 +253,8 @@ def scored(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text
     """
     tuned = F.pmod(F.xxhash64(F.lit(11), id_col, F.octet_length(text_col)), F.lit(FOLDS)) == 0
     rows, n = blocks.dealt(
-        docs, id_col, text_col, F.coalesce(train, F.lit(False)).alias("_train"), tuned.alias("_tuned")
+        docs, id_col, text_col, F.coalesce(train, F.lit(False)).alias("_train"), tuned.alias("_tuned"),
+        block_bytes=blocks.BLOCK_BYTES,
     )
     packed = "array<binary>"
     sent = rows.groupBy("_block").applyInArrow(
