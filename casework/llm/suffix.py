@@ -32,7 +32,7 @@ from casework.llm.words import mixed
 WIDTH, GRAM = 50, 24
 SIDE = WIDTH - GRAM
 #: Bytes of documents in a block, windows hashed at once, surroundings compared at once in a block.
-BLOCK_BYTES, PIECE, CHUNK = 12 << 20, 1 << 19, 1 << 18
+BLOCK_BYTES, PIECE, CHUNK = 6 << 20, 1 << 18, 1 << 15
 #: Characters of eight bytes that multikey quicksort looks at before blind tries take over.
 SHALLOW = 3
 _LETTER = np.random.default_rng(50).integers(1, 1 << 63, 256, np.uint64)
