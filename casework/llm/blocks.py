@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def dealt(docs: DataFrame, id_col: str, text_col: str, *more, block_bytes: int = BLOCK_BYTES):
@@ -49,14 +49,26 @@ def unpack(raw: bytes):
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(rest), kind.decode())
 
 
+def pack_sorted(keys) -> bytes:
+    """Packed 64-bit numbers in ascending order: their steps, byte by byte, as small steps leave bytes empty."""
+    steps = np.r_[keys[:1], np.diff(keys)]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_sorted(raw: bytes):
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def distinct(keys, *weights):
     """Sorted distinct keys, the place of every key among them, and the sums of the weights."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32 if len(keys) < 1 << 31 else np.int64)
     s = keys[order]
     new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(keys), order.dtype)
+    place[order] = np.cumsum(new, dtype=order.dtype) - 1
+    del order, new
     sums = [np.bincount(place, w, len(first)).astype(np.uint64) if len(s) else np.zeros(0, np.uint64) for w in weights]
     return s[first], place, sums
 

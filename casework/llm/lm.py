@@ -68,7 +68,7 @@ def _send(order, n):
                 edges = blocks.ranges(known, n)
                 for r in range(n):
                     a, b = edges[r], edges[r + 1]
-                    rows[r][0].append(known[a:b].tobytes())
+                    rows[r][0].append(blocks.pack_sorted(known[a:b]))
                     rows[r][1].append(blocks.pack(all_[a:b]))
                     rows[r][2].append(blocks.pack(base[a:b]))
             out["_block"] = [table.column("_block")[0].as_py()] * n
@@ -91,7 +91,7 @@ def _answer(order):
         sums = []
         keys, all_, base = (table.column(c).combine_chunks() for c in ("_keys", "_all", "_base"))
         for o in range(order):
-            parts = [np.frombuffer(row[o].as_py(), np.uint64) for row in keys]
+            parts = [blocks.unpack_sorted(row[o].as_py()) for row in keys]
             known, place, totals = blocks.distinct(
                 np.concatenate(parts), *[np.concatenate([blocks.unpack(row[o].as_py()) for row in c]) for c in (all_, base)]
             )
