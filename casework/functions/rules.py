@@ -1,19 +1,10 @@
 """Deterministic rules over message text, all as native column expressions."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casework.functions import terms
-from casework.functions.text import as_column
-
-
-def any_term(lowered, words) -> Column:
-    """True if the lower-cased text contains any of the words (plain substrings)."""
-    lowered = as_column(lowered)
-    return reduce(or_, [lowered.contains(w) for w in terms.shortest(words)])
+from casework.functions.text import any_term, as_column
 
 
 def has_email(c) -> Column:

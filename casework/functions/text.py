@@ -1,5 +1,8 @@
 """Column functions for cleaning text, labels, flags, numbers and ids."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,15 +91,19 @@ def clip_reply(c, limit: int = terms.MAX_REPLY_CHARS) -> Column:
     return F.when(F.length(bare) > limit, F.concat(cut, F.lit("..."))).otherwise(bare)
 
 
-def message_status(c, limit: int = terms.MAX_MESSAGE_CHARS) -> Column:
-    """``ok``, ``missing``, ``empty`` or ``too_long`` for one message."""
+def message_status(c, limit: int | None = terms.MAX_MESSAGE_CHARS) -> Column:
+    """``ok``, ``missing``, ``empty`` or, if there is a limit, ``too_long`` for one message."""
     size = F.length(strip(c))
-    return (
-        F.when(as_column(c).isNull(), "missing")
-        .when(size == 0, "empty")
-        .when(size > limit, "too_long")
-        .otherwise("ok")
-    )
+    status = F.when(as_column(c).isNull(), "missing").when(size == 0, "empty")
+    if limit is not None:
+        status = status.when(size > limit, "too_long")
+    return status.otherwise("ok")
+
+
+def any_term(lowered, words) -> Column:
+    """True if the lower-cased text contains any of the words (plain substrings)."""
+    lowered = as_column(lowered)
+    return reduce(or_, [lowered.contains(w) for w in terms.shortest(words)])
 
 
 def escalation_class(c) -> Column:
@@ -111,8 +118,6 @@ def case_id(prefix: str, number) -> Column:
 
 def error_class(c) -> Column:
     """``model``, ``quota`` or ``other`` from the text of a failed request."""
-    from casework.functions.rules import any_term
-
     low = F.lower(as_column(c))
     return (
         F.when(any_term(low, terms.MODEL_ERROR_TERMS), "model")

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from casework.functions.text import as_column, normalize_label, numeric_or_null
 
-# The zero-filled matrix has one row per label pair and refuses to run beyond this many labels.
-MAX_LABELS = 2000
-
 
 def ratio(part, whole) -> Column:
     """One division of two counts; 0 where there is nothing to divide by."""
@@ -65,12 +62,10 @@ def confusion_matrix(pairs: DataFrame, classes=None) -> DataFrame:
         )
     else:
         found = label_union(pairs).agg(F.sort_array(F.collect_set("label")).alias("labels"))
-        bounded = F.when(F.size("labels") <= MAX_LABELS, F.col("labels")).otherwise(
-            F.raise_error(F.lit(f"more than {MAX_LABELS} labels: use the sparse pair counts"))
-        )
+        # The rows of a large grid are made by many tasks.
         grid = (
-            found.select(bounded.alias("labels"))
-            .select(F.explode("labels").alias("true_label"), "labels")
+            found.select(F.explode("labels").alias("true_label"), "labels")
+            .repartition("true_label")
             .select("true_label", F.explode("labels").alias("pred_label"))
         )
     # Null-safe on labels that are never null: a plain join would add its own null filter to

@@ -11,8 +11,9 @@ query, never its pairs.
   cells of a knowledge base can be stored once (``write_issue_index``) and searched often.
 * ``similar_issues_lsh`` is approximate. Cells are random-hyperplane buckets of several tables.
 
-Planning them runs small jobs: a seeded sample of at most ``MAX_PIVOTS`` vectors and a few figures
-per cell come to the driver, nothing that grows with the data.
+Planning them runs small jobs: a seeded sample of at most ``MAX_PIVOTS`` vectors comes to the
+driver, and for the exact search a few figures of each of as many cells; nothing that grows with the
+data. How cells are cut into tiles is joined, not collected.
 """
 
 import math
@@ -55,8 +56,13 @@ def _typed(df: DataFrame, by: str, vector: str, name: str) -> DataFrame:
     )
 
 
+def _issues(kb: DataFrame, by: str, vector: str) -> DataFrame:
+    """One row per id and vector: rows that repeat both must not take places in a ranking."""
+    return _typed(kb, by, vector, "n").withColumn("_h", F.xxhash64("vec")).dropDuplicates(["n", "_h", "vec"]).drop("_h")
+
+
 def _few_copies(kb: DataFrame, keep: int) -> DataFrame:
-    """At most ``keep`` rows of each distinct vector, lowest ids first.
+    """At most ``keep`` ids of each distinct vector, lowest first; ``kb`` has a pair once.
 
     Ties break on id, so further copies can never be among the ``keep`` nearest of anything.
     """
@@ -69,43 +75,38 @@ def _distinct_rows(copies: int):
     return F.least(F.count("*"), copies * F.approx_count_distinct(F.xxhash64("vec")))
 
 
-def _cell_rows(df: DataFrame, rows=None) -> dict:
-    """Rows per cell."""
-    counted = df.groupBy("cell").agg((F.count("*") if rows is None else rows).alias("rows"))
-    return {r.cell: r.rows for r in counted.collect()}
-
-
-def _tiles(rows: dict) -> dict:
-    return {cell: max(1, math.ceil(n / TILE_ROWS)) for cell, n in rows.items()}
-
-
-def _lookup(tiles: dict):
-    """Tiles of a cell, as a literal map when any cell has more than one."""
-    many = {c: t for c, t in tiles.items() if t > 1}
-    if not many:
-        return F.lit(1)
-    pairs = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
-    return F.coalesce(F.element_at(pairs, F.col("cell")), F.lit(1))
+def _cell_tiles(queries: DataFrame, kb: DataFrame) -> DataFrame:
+    """Cells with rows on both sides: their row counts, and how many tiles each side is cut into."""
+    issues = kb.groupBy("cell").agg(F.count("*").alias("issues"))
+    asked = queries.groupBy("cell").agg(F.count("*").alias("asked"))
+    return issues.join(asked, "cell").select(
+        "cell", "issues", "asked", F.ceil(F.col("issues") / TILE_ROWS).cast("int").alias("blocks"),
+        F.ceil(F.col("asked") / TILE_ROWS).cast("int").alias("slices"),
+    )
 
 
-def _tiled_top(queries, kb, kb_rows: dict, q_rows: dict, k: int, metric: str) -> DataFrame:
-    """k nearest (q, n, distance) of every query within its cells.
+def _tiled_top(queries, kb, k: int, metric: str) -> DataFrame:
+    """k nearest (q, n, distance) of every query within its cells, ids counting once.
 
-    ``queries`` has (q, vec, cell), ``kb`` has (n, vec, cell); the rows per cell of both say how
-    to cut them. The number of partitions follows the distances to compute and is set outright:
-    adaptive execution would merge partitions that are small in bytes but long in work.
+    ``queries`` has (q, vec, cell), ``kb`` has (n, vec, cell). The number of partitions follows the
+    distances to compute, of which a job finds the sum, and is set outright: adaptive execution
+    would merge partitions that are small in bytes but long in work.
     """
-    kb_tiles, q_tiles = _tiles(kb_rows), _tiles(q_rows)
-    blocks, slices = _lookup(kb_tiles), _lookup(q_tiles)
-    work = sum(n * q_rows.get(cell, 0) for cell, n in kb_rows.items())
-    tiles = sum(n * q_tiles.get(cell, 0) for cell, n in kb_tiles.items())
-    work += tiles * TILE_COST
+    cut = _cell_tiles(queries, kb)
+    effort = cut.agg(
+        F.sum(F.col("issues").cast("double") * F.col("asked")), F.sum(F.col("blocks").cast("double") * F.col("slices")),
+    ).first()
+    tiles = int(effort[1] or 1)
+    work = (effort[0] or 0) + tiles * TILE_COST
     partitions = max(1, min(tiles, math.ceil(work / PARTITION_WORK), MAX_PARTITIONS))
-    kb = kb.withColumn("block", F.pmod(F.xxhash64("n"), blocks).cast("int")).withColumn(
-        "slice", F.explode(F.sequence(F.lit(0), slices - 1))
+    cut = cut.select("cell", "blocks", "slices")
+    kb = (
+        kb.join(cut, "cell").withColumn("block", F.pmod(F.xxhash64("n"), "blocks").cast("int"))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("blocks", "slices")
     )
-    queries = queries.withColumn("slice", F.pmod(F.xxhash64("q"), slices).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), blocks - 1))
+    queries = (
+        queries.join(cut, "cell").withColumn("slice", F.pmod(F.xxhash64("q"), "slices").cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "slices")
     )
     q_type, n_type = queries.schema["q"].dataType, kb.schema["n"].dataType
     out = T.StructType(
@@ -120,20 +121,27 @@ def _tiled_top(queries, kb, kb_rows: dict, q_rows: dict, k: int, metric: str) ->
         if unit:
             a, b = _unit(a), _unit(b)
         ids, qs = right["n"].to_numpy(), left["q"].to_numpy()
-        b2, top = (b * b).sum(axis=1), min(k, len(b))
+        order = np.argsort(ids, kind="stable")
+        ids, b = ids[order], b[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        b2, top = (b * b).sum(axis=1), min(k, len(first))
         rows, cols, dists = [], [], []
         for at in range(0, len(a), 512):
             part = a[at : at + 512]
             a2 = (part * part).sum(axis=1)
             fast = a2[:, None] + b2[None, :] - 2.0 * part @ b.T
-            # The product form is inexact: take all within rounding of the k-th, then
-            # measure those again and rank by (distance, id).
-            kth = np.partition(fast, top - 1, axis=1)[:, top - 1]
+            # The product form is inexact: take all within rounding of the k-th id, then
+            # measure those again and rank by (distance, id), an id by its nearest vector.
+            best = fast if len(first) == len(ids) else np.minimum.reduceat(fast, first, axis=1)
+            kth = np.partition(best, top - 1, axis=1)[:, top - 1]
             slack = 1e-9 * (1.0 + a2 + b2.max())
             i, j = np.nonzero(fast <= (kth + slack)[:, None])
             exact = np.sqrt(((part[i] - b[j]) ** 2).sum(axis=1))
             order = np.lexsort((ids[j], exact, i))
             i, j, exact = i[order], j[order], exact[order]
+            if len(first) < len(ids):
+                once = pd.DataFrame({"i": i, "n": ids[j]}).drop_duplicates().index
+                i, j, exact = i[once], j[once], exact[once]
             rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
             keep = rank < top
             rows.append(qs[at + i[keep]])
@@ -150,13 +158,13 @@ def _tiled_top(queries, kb, kb_rows: dict, q_rows: dict, k: int, metric: str) ->
 
 
 def _ranked(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    """k nearest over all cells. A pair may have been found in several cells or for a repeated
-    query id; equal pairs share their rank, and one shuffle by query serves both steps."""
+    """k nearest ids over all cells. A pair may have been found in several cells, for a repeated
+    query id or for several vectors of an issue: its least distance counts."""
     if exclude_self:
         found = found.filter(F.col("q") != F.col("n"))
-    rank = F.dense_rank().over(W.partitionBy("q").orderBy("distance", "n"))
-    near = found.withColumn("rk", rank.cast("bigint")).filter(F.col("rk") <= k)
-    return near.dropDuplicates(["q", "n"])
+    pairs = found.groupBy("q", "n").agg(F.min("distance").alias("distance"))
+    rank = F.row_number().over(W.partitionBy("q").orderBy("distance", "n"))
+    return pairs.withColumn("rk", rank.cast("bigint")).filter(F.col("rk") <= k)
 
 
 @dataclass(frozen=True)
@@ -248,7 +256,7 @@ def issue_index(
     """Cells of a knowledge base. A search for k neighbours needs ``copies`` of at least k, or
     k + 1 if a query may be its own neighbour; further copies of a vector are left out.
     Without ``pivots`` their number is chosen by the structure of a sample."""
-    kb = _typed(kb, kb_id, vector, "n")
+    kb = _issues(kb, kb_id, vector)
     drawn = seeded_sample(kb, MAX_PIVOTS, "n", terms.EXTRACT_SEED).collect()
     if not drawn:
         placed = kb.withColumns({"cell": F.lit(0), "radius": F.lit(0.0)})
@@ -326,11 +334,7 @@ def search_issue_index(
         return pd.Series([cells[row] for row in _visited(d, between, cells, low, high, near, need)])
 
     visiting = queries.withColumn("cell", F.explode(visits("vec")))
-    kb_rows = {c[0]: c[3] for c in index.cells}
-    found = _tiled_top(
-        visiting, index.table.select("n", "vec", "cell"), kb_rows, _cell_rows(visiting), need,
-        index.metric,
-    )
+    found = _tiled_top(visiting, index.table.select("n", "vec", "cell"), need, index.metric)
     return _ranked(found, k, exclude_self)
 
 
@@ -351,32 +355,55 @@ def similar_issues(
 def similar_issues_lsh(
     queries: DataFrame, kb: DataFrame, k: int = terms.NEIGHBOURS, query_id: str = "q",
     kb_id: str = "n", vector: str = "embedding", metric: str = "l2",
-    exclude_self: bool = False, tables: int = 8, bits: int = 4, seed: int = terms.EXTRACT_SEED,
+    exclude_self: bool = False, tables: int | None = None, bits: int | None = None,
+    recall: float = 0.97, seed: int = terms.EXTRACT_SEED,
 ) -> DataFrame:
     """Approximate k nearest: only issues that share a bucket in at least one table are seen.
 
-    More bits make buckets smaller, more tables raise the recall. Rows as in ``similar_issues``.
+    More bits make buckets smaller, more tables raise the recall. Bits not given follow from the
+    number of issues, and tables from how far the k-th issue is likely to be, so that ``recall`` of
+    the issues should be found. Rows as in ``similar_issues``.
     """
-    queries, kb = _typed(queries, query_id, vector, "q"), _typed(kb, kb_id, vector, "n")
+    queries, kb = _typed(queries, query_id, vector, "q"), _issues(kb, kb_id, vector)
     need = k + 1 if exclude_self else k
+    if tables is None or bits is None:
+        planned = _hash_plan(kb, need, recall, bits)
+        bits, tables = planned[0], planned[1] if tables is None else tables
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<bigint>")
     def buckets(vectors: pd.Series) -> pd.Series:
         m = _matrix(vectors)
         planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
         side = (m @ planes > 0).reshape(len(m), tables, bits)
         code = (side * (1 << np.arange(bits))).sum(axis=2) + np.arange(tables) * (1 << bits)
-        return pd.Series(list(code.astype("int32")))
+        return pd.Series(list(code.astype("int64")))
 
-    kb = kb.withColumn("cell", F.explode(buckets("vec")))
-    queries = queries.withColumn("cell", F.explode(buckets("vec")))
-    kb_rows, q_rows = _cell_rows(kb, _distinct_rows(need)), _cell_rows(queries)
-    hashed = kb.withColumn("_h", F.xxhash64("vec"))
-    stored = first_per_key(hashed, ["cell", "_h", "vec"], ["n"], need).drop("_h")
-    found = _tiled_top(queries, stored, kb_rows, q_rows, need, metric)
+    found = _tiled_top(
+        queries.withColumn("cell", F.explode(buckets("vec"))),
+        _few_copies(kb, need).withColumn("cell", F.explode(buckets("vec"))), need, metric,
+    )
     return _ranked(found, k, exclude_self)
 
 
+def _hash_plan(kb: DataFrame, k: int, recall: float, bits: int | None) -> tuple:
+    """Bits so that a bucket of a table holds about a tile, and tables for the recall."""
+    rows = kb.count()
+    bits = max(1, min(40, round(math.log2(max(2, rows / (TILE_ROWS // 16)))))) if bits is None else bits
+    drawn = seeded_sample(kb, MAX_PIVOTS, "n", terms.EXTRACT_SEED).collect()
+    if len(drawn) < 2:
+        return bits, 1
+    m = np.array([r.vec for r in drawn], dtype=np.float64)
+    d = _to_pivots(m[:256], m)
+    # The k-th of all issues is about as far as the issue of the same rank, by share, in the sample.
+    place = min(len(m) - 1, max(1, round(k * len(m) / rows)))
+    near = np.argsort(d, axis=1)[:, place]
+    cosine = np.clip((_unit(m[:256]) * _unit(m[near])).sum(axis=1), -1, 1)
+    together = (1 - np.arccos(cosine) / np.pi) ** bits
+    # The distant quarter of queries is found as often as asked for.
+    chance = min(1 - 1e-9, max(1e-6, float(np.quantile(together, 0.25))))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+
 def rag_evidence(
     neighbours: DataFrame, kb: DataFrame, kb_id: str = "n",
     document: str = "customer_text", reply: str = "agent_text", chars: int = 100,

@@ -53,11 +53,11 @@ def _pairs(tweets: DataFrame, replies: DataFrame, min_chars: int) -> DataFrame:
 def extract_threads(
     tweets: DataFrame,
     brand: str,
-    replies: int | None = terms.REPLY_SAMPLE,
-    threads: int | None = terms.THREAD_SAMPLE,
+    replies: int | None = None,
+    threads: int | None = None,
     seed: int = terms.EXTRACT_SEED,
 ) -> DataFrame:
-    """Raw messages to threads; ``None`` for either sample size keeps every row.
+    """Raw messages to threads: all of them, or seeded samples of replies and of threads.
 
     Both samples draw by reply id, which is unique: drawn by thread id a much-answered message
     would come in whole or not at all.

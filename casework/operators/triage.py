@@ -13,10 +13,13 @@ from casework.sources.schemas import JUDGE_COLUMNS
 from casework.sources.tables import add_missing, with_thread_id
 
 
-def checked_messages(messages: DataFrame) -> DataFrame:
-    """Add ``message_status`` and strip the text; nothing is dropped here."""
+def checked_messages(messages: DataFrame, limit: int | None = terms.MAX_MESSAGE_CHARS) -> DataFrame:
+    """Add ``message_status`` and strip the text; nothing is dropped here.
+
+    The limit of length is one of arriving messages; rows to evaluate have none.
+    """
     return messages.withColumns(
-        {"message_status": message_status("customer_text"), "customer_text": strip("customer_text")}
+        {"message_status": message_status("customer_text", limit), "customer_text": strip("customer_text")}
     )
 
 
@@ -32,9 +35,9 @@ def with_signals(messages: DataFrame) -> DataFrame:
     return messages.withColumn("signals", rules.signals("customer_text"))
 
 
-def classification_requests(messages: DataFrame, brand: str = "the brand") -> DataFrame:
+def classification_requests(messages: DataFrame, template: str) -> DataFrame:
     """Rows (id, kind, prompt), one per valid message."""
-    prompt = prompts.classification_request("customer_text", "signals", brand)
+    prompt = prompts.classification_request("customer_text", "signals", template)
     return with_signals(messages).select(
         F.col("thread_id").cast("string").alias("id"),
         F.lit("classify").alias("kind"),
@@ -42,7 +45,7 @@ def classification_requests(messages: DataFrame, brand: str = "the brand") -> Da
     )
 
 
-def reply_requests(handled: DataFrame, examples: DataFrame | None, brand: str = "the brand"):
+def reply_requests(handled: DataFrame, examples: DataFrame | None, template: str) -> DataFrame:
     """Rows (id, kind, prompt); ``examples`` has (q, examples) from ``retrieved_cases``."""
     rows = handled.withColumn("id", F.col("thread_id").cast("string"))
     if examples is None:
@@ -54,12 +57,12 @@ def reply_requests(handled: DataFrame, examples: DataFrame | None, brand: str =
         rows = rows.join(
             examples.select(F.col("q").cast("string").alias("id"), "examples"), "id", "left"
         )
-    prompt = prompts.reply_request("customer_text", "examples", brand)
+    prompt = prompts.reply_request("customer_text", "examples", template)
     return rows.select("id", F.lit("reply").alias("kind"), prompt.alias("prompt"))
 
 
-def judge_requests(sampled: DataFrame) -> DataFrame:
-    prompt = prompts.judge_request("customer_text", "drafted_reply")
+def judge_requests(sampled: DataFrame, template: str) -> DataFrame:
+    prompt = prompts.judge_request("customer_text", "drafted_reply", template)
     return sampled.select(
         F.col("thread_id").cast("string").alias("id"),
         F.lit("judge").alias("kind"),
@@ -181,10 +184,10 @@ def triage_batch(
     )
 
 
-def triage_replies(decided: DataFrame, neighbours: DataFrame, kb: DataFrame, brand: str = "the brand"):
+def triage_replies(decided: DataFrame, neighbours: DataFrame, kb: DataFrame, template: str) -> DataFrame:
     """Reply requests of the auto-handled messages, grounded in their past cases."""
     handled = decided.filter(F.col("status") == terms.AUTO_HANDLED)
-    return reply_requests(handled, retrieved_cases(neighbours, kb), brand)
+    return reply_requests(handled, retrieved_cases(neighbours, kb), template)
 
 
 def pending(golden: DataFrame, done: DataFrame) -> DataFrame:

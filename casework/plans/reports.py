@@ -26,12 +26,16 @@ JUDGES = {"tone": "judge_tone", "grounding": "judge_grounding", "helpfulness": "
 RARE_SHARE = 0.05
 
 
-def scorecard(results: DataFrame) -> DataFrame:
-    """Counts per (true_label, pred_label); either label may be null."""
+def scorecard(results: DataFrame, normalize: bool = True) -> DataFrame:
+    """Counts per (true_label, pred_label); either label may be null.
+
+    Without ``normalize`` the labels are compared as they are, by every report on the card.
+    """
     require_columns(results, REQUIRED["results"])
     both = F.col("true_escalate").isNotNull() & F.col("pred_escalate").isNotNull()
     known = F.col("true_escalate").isNotNull()
-    truth, guess = normalize_label("true_intent"), normalize_label("pred_intent")
+    clean = normalize_label if normalize else F.col
+    truth, guess = clean("true_intent"), clean("pred_intent")
     sums = {
         "n": F.count("*"),
         "kw_hits": F.count_if(truth == rules.keyword_intent("customer_text")),
@@ -186,23 +190,29 @@ def missed_escalations(results: DataFrame) -> DataFrame:
     return results.filter(_missed(results))
 
 
-def safety_failures(results: DataFrame, n: int = 10) -> DataFrame:
-    """First n missed escalations by id."""
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    """First n rows by id (None: all), and in ``total`` how many there are."""
+    counted = rows.agg(F.count("*").alias("total")).scalar()
+    first = rows if n is None else rows.orderBy("thread_id").limit(n)
+    return first.withColumn("total", counted)
+
+
+def safety_failures(results: DataFrame, n: int | None = 10) -> DataFrame:
+    """First n missed escalations by id (None: all), each with the ``total`` number."""
     return (
-        missed_escalations(results)
-        .orderBy("thread_id")
-        .limit(n)
+        _first(missed_escalations(results), n)
         .select(
             "thread_id",
             F.coalesce("escalation_reason", F.lit(terms.REASON_MISSING)).alias("category"),
             preview("customer_text", ellipsis=True).alias("context"),
             F.col("pred_escalate").isNull().alias("pred_missing"),
+            "total",
         )
     )
 
 
-def mismatches(results: DataFrame, considered: int | None = 50, normalize: bool = True) -> DataFrame:
-    """Rows whose intents differ among the first ``considered`` ids (None: all rows).
+def mismatches(results: DataFrame, considered: int | None = None, normalize: bool = True) -> DataFrame:
+    """Rows whose intents differ, among all rows or the first ``considered`` ids.
 
     A null label equals nothing, not even null.
     """
@@ -214,17 +224,15 @@ def mismatches(results: DataFrame, considered: int | None = 50, normalize: bool
 
 
 def failure_cases(
-    results: DataFrame, n: int = 5, considered: int | None = 50, normalize: bool = True
+    results: DataFrame, n: int | None = 5, considered: int | None = None, normalize: bool = True
 ) -> DataFrame:
-    return _cases(mismatches(results, considered, normalize).orderBy("thread_id").limit(n))
-
-
-def _cases(rows: DataFrame) -> DataFrame:
-    return rows.select(
+    """First n mismatches by id (None: all), each with the ``total`` number."""
+    return _first(mismatches(results, considered, normalize), n).select(
         "thread_id",
         F.col("pred_intent").alias("predicted"),
         F.col("true_intent").alias("actual"),
         preview("customer_text").alias("preview"),
+        "total",
     )
 
 
@@ -318,9 +326,9 @@ def _mean(name: str) -> Column:
     return F.when(F.col(f"{name}_n") > 0, F.col(f"{name}_sum") / F.col(f"{name}_n"))
 
 
-def evaluation_report(results: DataFrame, card: DataFrame | None = None) -> DataFrame:
+def evaluation_report(results: DataFrame, card: DataFrame | None = None, normalize: bool = True) -> DataFrame:
     """Lines (section, name, value) of a finished evaluation."""
-    card = stored(scorecard(results), "scorecard") if card is None else card
+    card = stored(scorecard(results, normalize), "scorecard") if card is None else card
     pairs, esc = card_pairs(card), _escalation("h")
     report = metrics.classification_report(pairs).filter(F.col("row") != "accuracy")
     measures = [
@@ -401,18 +409,20 @@ SECTIONS = (
 
 def dashboard(
     results: DataFrame, sections=SECTIONS, evidence: DataFrame | None = None,
-    golden: DataFrame | None = None, card: DataFrame | None = None,
+    golden: DataFrame | None = None, card: DataFrame | None = None, misses: int = 10, cases: int = 5,
+    examples: int = 5, considered: int | None = None, normalize: bool = True,
 ) -> DataFrame:
     """Rows (section, payload_json) of the chosen sections.
 
     Numbers are shown as percentages and rounded half to even, here and nowhere else. ``evidence``
     comes from ``rag_evidence``; without it that section is empty. Without ``golden`` the label
-    distribution is that of the results.
+    distribution is that of the results. ``misses``, ``cases`` and ``examples`` say how many rows the
+    lists show; their totals count all rows, or mismatches among the first ``considered`` ids.
     """
     unknown = set(sections) - set(SECTIONS)
     if unknown:
         raise ValueError(f"unknown sections {sorted(unknown)}, known are {SECTIONS}")
-    card = stored(scorecard(results), "scorecard") if card is None else card
+    card = stored(scorecard(results, normalize), "scorecard") if card is None else card
 
     def pct(c):
         return percent(c).alias(c)
@@ -433,18 +443,19 @@ def dashboard(
 
     def failures():
         total = card.agg(F.sum("missed")).scalar()
-        return _numbered(safety_failures(results), "#FN-", "false_negatives", total)
+        return _numbered(safety_failures(results, misses).drop("total"), "#FN-", "false_negatives", total)
 
     def rag():
         if evidence is None:
             none = F.lit(None).cast("string")
             return to_payload(results.select(none.alias("q")).limit(0), "rag_examples")
-        first = evidence.orderBy("q").limit(5).withColumn("distance", half_even("distance", 4))
+        first = evidence.orderBy("q").limit(examples).withColumn("distance", half_even("distance", 4))
         return _numbered(first, "RAG-", "rag_examples", None, "q")
 
-    def cases():
-        considered = _cases(mismatches(results))
-        return _numbered(considered, "Case ", "cases", F.size("rows"), pad=False, first=5)
+    def wrong():
+        total = mismatches(results, considered, normalize).agg(F.count("*")).scalar()
+        first = failure_cases(results, cases, considered, normalize).drop("total")
+        return _numbered(first, "Case ", "cases", total, pad=False)
 
     def distribution():
         if golden is None:
@@ -468,7 +479,7 @@ def dashboard(
         "safety_failures": failures,
         "rag_evidence": rag,
         "judge_scores": lambda: to_payload(judge_scores(results, card), "scores", {"mean": 2}),
-        "failure_cases": cases,
+        "failure_cases": wrong,
         "intent_distribution": distribution,
         "accuracy_comparison": lambda: to_payload(
             accuracy_comparison(results, card).select("model", pct("accuracy")), "models"
@@ -481,7 +492,6 @@ def dashboard(
 
 def _numbered(
     top: DataFrame, prefix: str, key: str, total=None, order: str = "thread_id", pad: bool = True,
-    first: int | None = None,
 ) -> DataFrame:
     """JSON of a top-n report with case numbers in id order; a few rows, so one array."""
     rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in top.columns if c != order])))
@@ -490,8 +500,7 @@ def _numbered(
         number = case_id(prefix, i + 1) if pad else F.format_string(prefix + "%d", i + 1)
         return F.struct(number.alias("case_id"), *[x[c].alias(c) for c in top.columns])
 
-    shown = F.col("rows") if first is None else F.slice("rows", 1, first)
-    body = [F.transform(shown, with_case).alias(key)]
+    body = [F.transform("rows", with_case).alias(key)]
     if total is not None:
         body.append(total.alias("total"))
     return top.agg(rows.alias("rows")).select(as_json(*body).alias("payload_json"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casework.functions import terms
 from casework.functions.answers import parse_answers, parse_judgements
+from casework.functions.prompts import Templates
 from casework.functions.text import has_reply
 from casework.operators import triage
 from casework.operators.seeded import golden_split
@@ -26,12 +27,13 @@ class Prepared:
 
 
 def prepare(
-    tweets: DataFrame, brand: str, path: str, replies: int | None = terms.REPLY_SAMPLE,
-    threads: int | None = terms.THREAD_SAMPLE, golden: int = terms.GOLDEN_ROWS,
+    tweets: DataFrame, brand: str, path: str, replies: int | None = None,
+    threads: int | None = None, golden: int = terms.GOLDEN_ROWS,
 ) -> Prepared:
     """Raw messages to stored threads, their split and the knowledge base, under ``path``.
 
-    Threads and split are written anew; a knowledge base that is already there is kept.
+    Threads and split are written anew; a knowledge base that is already there is kept, so
+    ``leaks`` compares the golden rows with what the base really holds.
     """
     spark = tweets.sparkSession
     require_columns(tweets, schemas.TWEETS.names)
@@ -41,32 +43,41 @@ def prepare(
     kb = build_knowledge_base(split.filter(F.col("split") == "kb"))
     write_knowledge_base(kb, f"{path}/knowledge_base")
     rows = split.filter(F.col("split") == "golden").drop("split")
-    return Prepared(
-        add_missing(rows, schemas.LABEL_COLUMNS),
-        spark.read.parquet(f"{path}/knowledge_base"),
-        leakage_audit(split),
-    )
+    base = spark.read.parquet(f"{path}/knowledge_base")
+    return Prepared(add_missing(rows, schemas.LABEL_COLUMNS), base, base_leaks(rows, base))
+
+
+def base_leaks(golden: DataFrame, kb: DataFrame) -> DataFrame:
+    """Golden rows whose id or normalised text a knowledge base holds."""
+    inside = golden.select(F.col("thread_id").cast("string").alias("thread_id"), "customer_text", F.lit("golden").alias("split"))
+    outside = kb.select(F.col("id").alias("thread_id"), F.col("document").alias("customer_text"), F.lit("kb").alias("split"))
+    return leakage_audit(inside.unionByName(outside))
 
 
 def evaluate(
-    spark: SparkSession, golden: DataFrame, classifier, path: str, find=None, kb: DataFrame | None = None,
-    writer=None, judge=None, brand: str = "the brand",
+    spark: SparkSession, golden: DataFrame, classifier, templates: Templates, path: str, find=None,
+    kb: DataFrame | None = None, writer=None, judge=None,
 ) -> DataFrame:
     """Score every golden row that has no result yet, append the results and return all of them.
 
+    Texts of any length are scored. Rows without a text go to ``path/rejects`` with the reason
+    and stay pending.
+
     ``classifier``, ``writer`` and ``judge`` are batch functions as for ``score_batches``;
     ``find`` maps the auto-handled rows to their past issues (q, n, rk) in ``kb``, so escalated
     messages are never searched for. Answers are appended to tables before they are used: a run
-    that breaks off asks again only what has no usable answer. Judged rows go to a new version of
-    the table next to the appended results.
+    that breaks off asks again only what has no usable answer. Judgements are appended to a table of
+    their own, so each run judges replies that no run has judged; results come back with all scores.
     """
     require_columns(golden, schemas.REQUIRED["golden"])
     results, answers = f"{path}/results", f"{path}/answers"
     done = read_table(spark, results, schemas.RESULTS)
-    checked = triage.checked_messages(triage.one_per_thread(triage.pending(golden, done)))
+    checked = triage.checked_messages(triage.one_per_thread(triage.pending(golden, done)), limit=None)
     messages = triage.valid_messages(checked)
+    rejects = triage.rejected_messages(checked).select("thread_id", F.col("message_status").alias("reason"))
+    write_table(rejects, f"{path}/rejects", "overwrite")
 
-    requests = triage.classification_requests(messages, brand)
+    requests = triage.classification_requests(messages, templates.classify)
     given = _ask(requests, classifier, f"{answers}/classify", _parsed)
     decided, neighbours = triage.triage_batch(messages, given), None
     handled = decided.filter(F.col("status") == terms.AUTO_HANDLED)
@@ -76,14 +87,21 @@ def evaluate(
     drafted = None
     if writer is not None:
         if neighbours is None or kb is None:
-            requests = triage.reply_requests(handled, None, brand)
+            requests = triage.reply_requests(handled, None, templates.reply)
         else:
-            requests = triage.triage_replies(decided, neighbours, kb, brand)
+            requests = triage.triage_replies(decided, neighbours, kb, templates.reply)
         drafted = _ask(requests, writer, f"{answers}/reply", _written)
     decided = triage.triage_batch(messages, given, neighbours, drafted)
     append_table(triage.evaluation_rows(decided, golden).select(schemas.RESULTS.names), results)
-    stored = read_table(spark, results, schemas.RESULTS)
-    return stored if judge is None else run_judge(stored, judge, path)
+    if judge is not None:
+        run_judge(read_table(spark, results, schemas.RESULTS), judge, templates.judge, path)
+    return evaluated(spark, path)
+
+
+def evaluated(spark: SparkSession, path: str) -> DataFrame:
+    """All stored results with all stored judgements."""
+    results = read_table(spark, f"{path}/results", schemas.RESULTS)
+    return triage.apply_judgements(results, read_table(spark, f"{path}/judgements", schemas.JUDGEMENTS))
 
 
 def _parsed(answers: DataFrame) -> DataFrame:
@@ -102,16 +120,22 @@ def _ask(requests: DataFrame, scorer, path: str, usable) -> DataFrame:
     return usable(read_table(spark, path, schemas.ANSWERS))
 
 
-def run_judge(results: DataFrame, judge, path: str, n: int = terms.JUDGE_ROWS) -> DataFrame:
-    """Judge a seeded sample of replies; the judged table is written as ``path/judged``."""
+def run_judge(results: DataFrame, judge, template: str, path: str, n: int = terms.JUDGE_ROWS) -> DataFrame:
+    """Judge a seeded sample of the replies that have no judgement yet and append the judgements.
+
+    A call that fails leaves its thread open; an answer without usable scores does not.
+    """
     spark = results.sparkSession
-    requests = triage.judge_requests(triage.judge_sample(results, n))
+    done = read_table(spark, f"{path}/judgements", schemas.JUDGEMENTS)
+    open_rows = triage.pending(results, done)
+    requests = triage.judge_requests(triage.judge_sample(open_rows, n), template)
     write_table(triage.score_batches(requests, judge), f"{path}/answers/judge", "overwrite")
-    scored = parse_judgements(spark.read.parquet(f"{path}/answers/judge")).select(
+    given = spark.read.schema(schemas.ANSWERS).parquet(f"{path}/answers/judge").filter(F.col("error").isNull())
+    scored = parse_judgements(given).select(
         F.col("id").alias("thread_id"),
         F.col("judgement.score_tone").alias("judge_tone"),
         F.col("judgement.score_grounding").alias("judge_grounding"),
         F.col("judgement.reasoning").alias("judge_reasoning"),
     )
-    write_table(triage.apply_judgements(results, scored), f"{path}/judged", "overwrite")
-    return spark.read.parquet(f"{path}/judged")
+    append_table(scored, f"{path}/judgements")
+    return read_table(spark, f"{path}/judgements", schemas.JUDGEMENTS)

@@ -31,6 +31,7 @@ RESULTS = _table(
     "retrieved_examples bigint, judge_tone int, judge_grounding int, judge_reasoning string"
 )
 ANSWERS = _table("id string, answer string, error string")
+JUDGEMENTS = _table("thread_id string, judge_tone int, judge_grounding int, judge_reasoning string")
 SUMMARY = _table("section string, name string, value double, label string")
 
 

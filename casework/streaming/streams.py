@@ -6,6 +6,8 @@ input row takes effect exactly once. ``run`` is the id Spark keeps in the checkp
 started on a new checkpoint counts its batches anew and must not touch older output.
 """
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from casework.operators import triage
 from casework.operators.threads import build_knowledge_base
 from casework.sources import schemas
+from casework.sources.tables import add_missing
+
+#: Read what is there and stop. Give for example {"processingTime": "1 minute"} to keep running.
+ALL_THEN_STOP = {"availableNow": True}
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None):
@@ -20,13 +26,20 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    # As a pattern the path may name one file; a plain path must be a directory.
-    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    return reader.parquet(as_pattern(path))
+
 
+def as_pattern(path: str) -> str:
+    """The path as a pattern that matches nothing else: a plain path of a stream must be a
+    directory, what a pattern matches may be a file too."""
+    path = path.rstrip("/")
+    escaped = re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    return escaped if escaped.endswith("\\" + path[-1]) else f"{escaped[:-1]}[{path[-1]}]"
 
-def _start(stream: DataFrame, each, checkpoint: str):
+
+def _start(stream: DataFrame, each, checkpoint: str, trigger: dict):
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return writer.trigger(**trigger).start()
 
 
 def _place(batch: DataFrame, checkpoint: str, batch_id: int) -> tuple:
@@ -58,7 +71,7 @@ def _unseen(batch: DataFrame, stored: DataFrame, column: str) -> DataFrame:
     return batch.join(known, column, "left_anti")
 
 
-def triage_stream(messages: DataFrame, answer, out: str, checkpoint: str):
+def triage_stream(messages: DataFrame, answer, out: str, checkpoint: str, trigger: dict = ALL_THEN_STOP):
     """Decide arriving messages; returns the started query.
 
     ``answer`` turns valid messages (thread_id, customer_text) into answers (id, answer,
@@ -68,14 +81,19 @@ def triage_stream(messages: DataFrame, answer, out: str, checkpoint: str):
 
     def each(batch: DataFrame, batch_id: int):
         place = _place(batch, checkpoint, batch_id)
-        batch = batch.persist()
-        checked = triage.checked_messages(batch)
-        _write(triage.rejected_messages(checked), f"{out}/rejects", place)
-        messages = triage.valid_messages(checked)
-        _write_decided(messages, answer, out, "decisions", place)
-        batch.unpersist()
+        checked = _spread(triage.checked_messages(batch)).persist()
+        try:
+            _write(triage.rejected_messages(checked), f"{out}/rejects", place)
+            _write_decided(triage.valid_messages(checked), answer, out, "decisions", place, _decisions)
+        finally:
+            checked.unpersist()
+
+    return _start(messages, each, checkpoint, trigger)
 
-    return _start(messages, each, checkpoint)
+
+def _spread(batch: DataFrame) -> DataFrame:
+    """Rows of a few input files over all tasks, before the rules read their texts."""
+    return batch.repartition(F.xxhash64("thread_id", F.length("customer_text")))
 
 
 def _decisions(rows: DataFrame) -> DataFrame:
@@ -90,12 +108,13 @@ def _decisions(rows: DataFrame) -> DataFrame:
 
 def evaluate_stream(
     golden: DataFrame, answer, out: str, checkpoint: str, event_time: str | None = None,
-    horizon: str = "30 days",
+    horizon: str = "30 days", trigger: dict = ALL_THEN_STOP,
 ):
     """Evaluate each id once however often it is delivered; returns the started query.
 
-    Results go to ``out/results``, rows without a usable answer to ``out/failures``; a failed
-    id counts as not evaluated when it is delivered again. With ``event_time`` repeats within the
+    Results, with the truth the golden rows bring, go to ``out/results``, rows without a text to
+    ``out/rejects`` and rows without a usable answer to ``out/failures``; both kinds count as not
+    evaluated when they are delivered again. With ``event_time`` repeats within the
     horizon are dropped from state; the check against the stored results is exact without it and
     also survives a lost checkpoint.
     """
@@ -104,16 +123,24 @@ def evaluate_stream(
 
     def each(batch: DataFrame, batch_id: int):
         place = _place(batch, checkpoint, batch_id)
-        once = triage.one_per_thread(batch)
+        once = triage.one_per_thread(add_missing(batch, schemas.LABEL_COLUMNS))
         done = _earlier(f"{out}/results", place, "thread_id", once)
-        open_rows = _unseen(once, done, "thread_id")
-        messages = triage.valid_messages(triage.checked_messages(open_rows))
-        _write_decided(messages, answer, out, "results", place)
+        open_rows = triage.checked_messages(_unseen(once, done, "thread_id"), limit=None).persist()
+        try:
+            rejects = triage.rejected_messages(open_rows)
+            _write(rejects.select("thread_id", F.col("message_status").alias("reason")), f"{out}/rejects", place)
+
+            def results(rows):
+                return triage.evaluation_rows(rows, open_rows).select(schemas.RESULTS.names)
 
-    return _start(golden, each, checkpoint)
+            _write_decided(triage.valid_messages(open_rows), answer, out, "results", place, results)
+        finally:
+            open_rows.unpersist()
 
+    return _start(golden, each, checkpoint, trigger)
 
-def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tuple) -> None:
+
+def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tuple, shape) -> None:
     """Answer and decide one batch. Answers are stored before use, so that a lost executor asks
     nobody twice; decisions are kept while two tables are written from them."""
     given = answer(messages).select(F.col("id").cast("string").alias("id"), "answer", "error")
@@ -121,13 +148,15 @@ def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tupl
     path = f"{out}/answers/run={place[0]}/batch_id={place[1]}"
     given = messages.sparkSession.read.schema(schemas.ANSWERS).parquet(path)
     rows = triage.triage_batch(messages, given).persist()
-    _write(_decisions(rows.filter(F.col("error").isNull())), f"{out}/{good}", place)
-    failed = rows.filter(F.col("error").isNotNull()).select("thread_id", "error")
-    _write(failed, f"{out}/failures", place)
-    rows.unpersist()
+    try:
+        _write(shape(rows.filter(F.col("error").isNull())), f"{out}/{good}", place)
+        failed = rows.filter(F.col("error").isNotNull()).select("thread_id", "error")
+        _write(failed, f"{out}/failures", place)
+    finally:
+        rows.unpersist()
 
 
-def kb_stream(threads: DataFrame, out: str, checkpoint: str):
+def kb_stream(threads: DataFrame, out: str, checkpoint: str, trigger: dict = ALL_THEN_STOP):
     """Load arriving threads into the knowledge base, first id wins; returns the started query."""
 
     def each(batch: DataFrame, batch_id: int):
@@ -135,4 +164,4 @@ def kb_stream(threads: DataFrame, out: str, checkpoint: str):
         kb = build_knowledge_base(batch)
         _write(_unseen(kb, _earlier(out, place, "id", kb), "id"), out, place)
 
-    return _start(threads, each, checkpoint)
+    return _start(threads, each, checkpoint, trigger)

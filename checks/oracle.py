@@ -1,6 +1,6 @@
 """The registered queries once more, as DuckDB SQL over the same tables."""
 
-from casework.functions import prompts, terms
+from casework.functions import terms
 from casework.functions.text import BLANKS
 from checks.views import with_views
 
@@ -140,8 +140,9 @@ EVALUATION = " UNION ALL ".join([
 
 GOLDEN = (
     "g AS (SELECT thread_id FROM (SELECT DISTINCT thread_id FROM threads_v) "
-    "ORDER BY md5('101|' || CAST(thread_id AS VARCHAR)), thread_id LIMIT 200)"
+    "ORDER BY md5('101|' || CAST(thread_id AS VARCHAR)), thread_id LIMIT {n})"
 )
+GOLDEN, HALF = (GOLDEN.format(n=n) for n in (20, 10))
 
 
 def kb_of(source):
@@ -152,6 +153,20 @@ def kb_of(source):
     )
 
 
+# Rows to evaluate may have any length.
+GIVEN = (
+    f"ok AS (SELECT thread_id, {strip('customer_text')} AS customer_text, true_intent, should_escalate AS truth FROM golden_v "
+    f"WHERE length({strip('customer_text')}) > 0)"
+)
+UNGIVEN = (
+    "SELECT CAST(thread_id AS VARCHAR) AS thread_id, CASE WHEN customer_text IS NULL THEN 'missing' ELSE 'empty' END AS status, "
+    "NULL AS pred_intent, NULL AS true_intent, NULL AS true_escalate FROM golden_v WHERE thread_id NOT IN (SELECT thread_id FROM ok)"
+)
+EVALUATED = (
+    "SELECT CAST(thread_id AS VARCHAR) AS thread_id, status, final_intent AS pred_intent, "
+    f"{strip('true_intent')} AS true_intent, truth = 1 AS true_escalate FROM z UNION ALL {UNGIVEN}"
+)
+
 VALID = (
     f"ok AS (SELECT thread_id, {strip('customer_text')} AS customer_text FROM messages_v "
     f"WHERE length({strip('customer_text')}) BETWEEN 1 AND 1000)"
@@ -215,11 +230,11 @@ def score(name):
     return f"CASE WHEN {v} BETWEEN 1 AND 5 THEN {v} END"
 
 
-def nearest(k, distance="list_distance"):
+def nearest(k, distance="list_distance", kb="embeddings"):
     return (
-        "SELECT q, n, rk FROM (SELECT a.vec_id AS q, b.vec_id AS n, row_number() OVER (PARTITION BY a.vec_id ORDER BY "
-        f"{distance}(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS rk "
-        f"FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rk <= {k}"
+        "SELECT q, n, rk, round_even(d, 6) AS distance FROM (SELECT q, n, d, row_number() OVER (PARTITION BY q ORDER BY d, n) AS rk FROM ("
+        f"SELECT a.vec_id AS q, b.vec_id AS n, min({distance}(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS d "
+        f"FROM embeddings a JOIN {kb} b ON a.vec_id <> b.vec_id GROUP BY ALL)) WHERE rk <= {k}"
     )
 
 
@@ -231,7 +246,15 @@ JUDGED = (
     "SELECT * FROM eval_v WHERE length(trim(drafted_reply)) > 0 AND judge_tone IS NULL "
     "ORDER BY md5('42|' || CAST(thread_id AS VARCHAR)), thread_id LIMIT 10"
 )
-BRAND = "the brand"
+CLASSIFY = (
+    f"'Kinds: {', '.join(terms.INTENTS)}' || chr(10) || 'Signs: ' || {SIGNAL_JSON} || chr(10) || 'Text: ' || customer_text || chr(10) || "
+    "'Answer {\"a\": 1} with intent, confidence_score, should_escalate, escalation_reason'"
+)
+
+
+def reply_text(cases):
+    return f"'Earlier:' || chr(10) || {cases} || chr(10) || '---' || chr(10) || customer_text"
+
 
 
 def _payload(section, body, source):
@@ -294,7 +317,7 @@ DASHBOARD_PARTS = (
     "missed AS (SELECT row_number() OVER (ORDER BY thread_id) AS i, thread_id, coalesce(escalation_reason, 'Escalation Required') AS category, "
     "substr(coalesce(customer_text, ''), 1, 100) || '...' AS context, pred_escalate IS NULL AS pred_missing FROM eval_v "
     f"WHERE {true_word('true_escalate', 'dashboard')} AND NOT coalesce({true_word('pred_escalate', 'dashboard')}, false)), "
-    "cases AS (SELECT row_number() OVER (ORDER BY thread_id) AS i, * FROM (SELECT * FROM eval_v ORDER BY thread_id LIMIT 50) "
+    "cases AS (SELECT row_number() OVER (ORDER BY thread_id) AS i, * FROM eval_v "
     "WHERE NOT coalesce(lower(trim(true_intent)) = lower(trim(pred_intent)), false))"
 )
 
@@ -361,7 +384,8 @@ def _sql():
             ["eval_v", "threads_v"],
             lines("c", "COVERAGE", {"rows": "n", "intent_rows": "valid", "escalation_rows": "esc_valid", "completed": "completed"})
             + " UNION ALL SELECT 'LABELS', l, CAST(su AS DOUBLE) FROM k WHERE su > 0 UNION ALL "
-            "SELECT 'LEAKAGE', 'id', CAST(0 AS DOUBLE) UNION ALL SELECT 'LEAKAGE', 'text', CAST(count(*) AS DOUBLE) FROM threads_v "
+            "SELECT 'LEAKAGE', 'id', CAST(count(*) AS DOUBLE) FROM threads_v WHERE thread_id IN (SELECT thread_id FROM g) AND thread_id IN "
+            "(SELECT thread_id FROM threads_v WHERE thread_id NOT IN (SELECT thread_id FROM g)) UNION ALL SELECT 'LEAKAGE', 'text', CAST(count(*) AS DOUBLE) FROM threads_v "
             f"WHERE thread_id IN (SELECT thread_id FROM g) AND md5(lower({strip('customer_text')})) IN (SELECT "
             f"md5(lower({strip('customer_text')})) FROM threads_v WHERE thread_id NOT IN (SELECT thread_id FROM g))",
             f"{PAIRS}, {COUNTS}, {GOLDEN}"),
@@ -370,13 +394,33 @@ def _sql():
             "SELECT 'grounding', grounding, grounding_n FROM c", COUNTS),
         "safety_failures": q(
             ev, "SELECT thread_id, coalesce(escalation_reason, 'Escalation Required') AS category, "
-            "substr(coalesce(customer_text, ''), 1, 100) || '...' AS context, pred_escalate IS NULL AS pred_missing "
+            "substr(coalesce(customer_text, ''), 1, 100) || '...' AS context, pred_escalate IS NULL AS pred_missing, "
+            "count(*) OVER () AS total "
             f"FROM eval_v WHERE {true_word('true_escalate', 'dashboard')} AND NOT coalesce({true_word('pred_escalate', 'dashboard')}, false) "
             "ORDER BY thread_id LIMIT 10"),
         "failure_cases": q(
-            ev, "SELECT thread_id, pred_intent AS predicted, true_intent AS actual, substr(coalesce(customer_text, ''), 1, 100) AS preview "
-            "FROM (SELECT * FROM eval_v ORDER BY thread_id LIMIT 50) WHERE NOT coalesce(lower(trim(true_intent)) = lower(trim(pred_intent)), false) "
+            ev, "SELECT thread_id, pred_intent AS predicted, true_intent AS actual, substr(coalesce(customer_text, ''), 1, 100) AS preview, "
+            "count(*) OVER () AS total FROM eval_v WHERE NOT coalesce(lower(trim(true_intent)) = lower(trim(pred_intent)), false) "
             "ORDER BY thread_id LIMIT 5"),
+        "raw_mismatches": q(
+            ev, "SELECT thread_id, pred_intent AS predicted, true_intent AS actual, substr(coalesce(customer_text, ''), 1, 100) AS preview, "
+            "count(*) OVER () AS total FROM (SELECT * FROM eval_v ORDER BY thread_id LIMIT 500) WHERE NOT coalesce(true_intent = pred_intent, false)"),
+        "confusion_wide": q(
+            ev, "SELECT a.l AS true_label, " + ", ".join(
+                f"CAST(coalesce((SELECT sum(n) FROM p WHERE p.t = a.l AND p.q = '{i}'), 0) AS BIGINT) AS {i}" for i in terms.INTENTS)
+            + " FROM (VALUES " + ", ".join(f"('{i}')" for i in terms.INTENTS) + ") a(l)", PAIRS),
+        "evaluation_report_raw": q(
+            ev, EVALUATION, f"{PAIRS}, {COUNTS}, {MAJORITY}".replace("lower(trim(true_intent))", "true_intent").replace(
+                "lower(trim(pred_intent))", "pred_intent")),
+        "judge_again": q(
+            ev, "SELECT CAST(thread_id AS VARCHAR) AS thread_id, CAST(1 + (length(customer_text) + length(drafted_reply) + 45) % 5 AS INT) AS judge_tone, "
+            "3 AS judge_grounding FROM (SELECT * FROM eval_v WHERE length(trim(drafted_reply)) > 0 "
+            "ORDER BY md5('42|' || CAST(thread_id AS VARCHAR)), CAST(thread_id AS VARCHAR) LIMIT 20) WHERE customer_text IS NOT NULL"),
+        "evaluate": q(
+            ["golden_v"], EVALUATED,
+            f"{GIVEN}, src AS (SELECT *, CASE length(customer_text) % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(terms.INTENTS))
+            + " END AS intent, CAST(length(customer_text) % 10 AS DOUBLE) / 10 AS confidence_score, false AS should_escalate, '' AS escalation_reason "
+            f"FROM ok), {decided('src')}"),
         "intent_mismatches": q(
             ev, "SELECT thread_id, pred_intent, true_intent FROM eval_v "
             "WHERE NOT coalesce(lower(trim(true_intent)) = lower(trim(pred_intent)), false)"),
@@ -398,7 +442,7 @@ def _sql():
             "CASE WHEN length(trim(drafted_reply)) > 0 AND judge_tone IS NULL THEN "
             "coalesce(CAST(1 + length(customer_text) % 5 AS VARCHAR), judge_grounding) ELSE judge_grounding END AS judge_grounding FROM eval_v"),
         "pending": q(
-            ev, "SELECT CAST(thread_id AS VARCHAR) AS thread_id FROM messages_v WHERE thread_id NOT IN "
+            ev + ms, "SELECT CAST(thread_id AS VARCHAR) AS thread_id FROM messages_v WHERE thread_id NOT IN "
             "(SELECT thread_id FROM eval_v WHERE pred_intent IS NOT NULL)"),
         "append_results": q(
             ev, "SELECT thread_id, pred_intent, CASE WHEN pred_escalate IS NOT NULL THEN judge_tone END AS judge_tone FROM eval_v"),
@@ -441,22 +485,23 @@ def _sql():
             ["answers_v"], f"SELECT thread_id AS id, {score('score_tone')} AS tone, {score('score_grounding')} AS grounding FROM ob",
             PARSED.rsplit(", pa AS", 1)[0]),
         "requests": q(
-            ev, "SELECT CAST(thread_id AS VARCHAR) AS id, 'classify' AS kind, "
-            f"{quote(prompts.CLASSIFY_HEAD.format(brand=BRAND))} || {SIGNAL_JSON} || chr(10) || chr(10) || 'Message: ' || customer_text || "
-            f"{quote(prompts.CLASSIFY_TAIL)} AS prompt FROM s UNION ALL "
-            f"SELECT CAST(thread_id AS VARCHAR), 'reply', {quote(prompts.REPLY_HEAD.format(brand=BRAND))} || customer_text || "
-            f"chr(10) || chr(10) || 'Past cases:' || chr(10) || {quote(terms.NO_EXAMPLES)} FROM s UNION ALL "
-            f"SELECT CAST(thread_id AS VARCHAR), 'judge', {quote(prompts.JUDGE_HEAD)} || customer_text || chr(10) || chr(10) || 'Reply: ' || drafted_reply FROM jd",
+            ev + ms, f"SELECT CAST(thread_id AS VARCHAR) AS id, 'classify' AS kind, {CLASSIFY} AS prompt FROM s UNION ALL "
+            f"SELECT CAST(thread_id AS VARCHAR), 'reply', {reply_text(quote(terms.NO_EXAMPLES))} FROM s UNION ALL "
+            "SELECT CAST(thread_id AS VARCHAR), 'judge', customer_text || chr(10) || '=>' || chr(10) || drafted_reply || chr(10) || "
+            "'(score_tone, score_grounding, reasoning)' FROM jd",
             f"{VALID}, s AS (SELECT *, {SIGNALS} FROM ok), jd AS ({JUDGED})"),
         "score_batches": q(
             ms, "SELECT CAST(thread_id AS VARCHAR) AS id, CASE WHEN contains(lower(customer_text), 'crash') THEN NULL ELSE "
             "'{\"chars\":' || CAST(length(customer_text) AS VARCHAR) || '}' END AS answer, "
             "CASE WHEN contains(lower(customer_text), 'crash') THEN 'timeout' END AS error FROM ok", VALID),
         "triage_batch": q(
-            ["messages_v", "answers_v"],
-            "SELECT CAST(thread_id AS VARCHAR) AS thread_id, CASE WHEN error IS NULL THEN status END AS status, "
+            ["messages_v", "answers_v", "drafts_v"],
+            "SELECT CAST(z.thread_id AS VARCHAR) AS thread_id, CASE WHEN error IS NULL THEN status END AS status, "
             "CASE WHEN error IS NULL THEN final_intent END AS intent, CASE WHEN error IS NULL THEN final_reason END AS reason, "
-            "CASE WHEN error IS NULL AND status = 'auto_handled' THEN CAST(0 AS BIGINT) END AS retrieved_examples, error FROM z",
+            f"CASE WHEN error IS NULL AND status = 'auto_handled' THEN CASE WHEN length(r) > 280 THEN rtrim(substr(r, 1, 277), {quote(BLANKS)}) || '...' ELSE r END END AS reply, "
+            "CASE WHEN error IS NULL AND status = 'auto_handled' THEN CAST(coalesce(found, 0) AS BIGINT) END AS retrieved_examples, error FROM z "
+            f"LEFT JOIN (SELECT q, count(*) AS found FROM ({nearest(3)}) GROUP BY q) f ON f.q = z.thread_id "
+            f"LEFT JOIN (SELECT thread_id, {strip('substr(answer, 2, length(answer) - 2)')} AS r FROM drafts_v) w ON w.thread_id = z.thread_id",
             f"{VALID}, {PARSED}, src AS (SELECT ok.thread_id, customer_text, intent, confidence AS confidence_score, "
             f"escalate AS should_escalate, reason AS escalation_reason, error FROM ok JOIN pa USING (thread_id)), {decided('src')}"),
         "pair_threads": q(["threads_v"], "SELECT * FROM threads_v"),
@@ -465,11 +510,30 @@ def _sql():
         "extract_threads": q(
             ["tweets_v"],
             "SELECT c.tweet_id AS thread_id, c.text AS customer_text, b.text AS agent_text FROM b JOIN tweets_v c ON c.tweet_id = b.in_response_to_tweet_id "
-            "WHERE length(c.text) > 15 ORDER BY md5('42|' || CAST(b.tweet_id AS VARCHAR)), b.tweet_id LIMIT 2000",
+            "WHERE length(c.text) > 15 ORDER BY md5('42|' || CAST(b.tweet_id AS VARCHAR)), b.tweet_id LIMIT 20",
             "b AS (SELECT * FROM tweets_v WHERE author_id = 'BrandSupport' AND in_response_to_tweet_id IS NOT NULL "
-            "ORDER BY md5('42|' || CAST(tweet_id AS VARCHAR)), tweet_id LIMIT 5000)"),
+            "ORDER BY md5('42|' || CAST(tweet_id AS VARCHAR)), tweet_id LIMIT 30)"),
+        "all_threads": q(["threads_v"], "SELECT * FROM threads_v"),
         "seeded_sample": q(
-            ["threads_v"], "SELECT thread_id FROM threads_v ORDER BY md5('42|' || CAST(thread_id AS VARCHAR)), thread_id LIMIT 100"),
+            ["threads_v"], "SELECT thread_id FROM (SELECT DISTINCT thread_id FROM threads_v) ORDER BY md5('42|' || CAST(thread_id AS VARCHAR)), thread_id LIMIT 15"),
+        "prepare": q(
+            ["threads_v"],
+            "SELECT 'id' AS kind, count(*) AS n FROM b WHERE thread_id IN (SELECT thread_id FROM o) UNION ALL "
+            "SELECT 'text', count(*) FROM b WHERE k IN (SELECT k FROM o)",
+            f"{GOLDEN}, {HALF.replace('g AS', 'first AS', 1)}, "
+            f"b AS (SELECT thread_id, md5(lower({strip('customer_text')})) AS k FROM threads_v WHERE thread_id IN (SELECT thread_id FROM g)), "
+            f"o AS (SELECT thread_id, md5(lower({strip('customer_text')})) AS k FROM threads_v WHERE thread_id NOT IN (SELECT thread_id FROM first))"),
+        "read_tweets": q(
+            ["tweets_v"], "SELECT tweet_id, author_id, text || chr(10) || '\"quoted\", and more' AS text, "
+            "CASE WHEN tweet_id % 7 <> 0 THEN in_response_to_tweet_id END AS in_response_to_tweet_id FROM tweets_v"),
+        "normalize_id": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN event_id END AS id FROM events",
+        "thread_table": q(["threads_v"], "SELECT CAST(thread_id AS VARCHAR) AS thread_id, customer_text, agent_text FROM threads_v"),
+        "split_table": q(
+            ["threads_v"], "SELECT thread_id, customer_text, CASE WHEN thread_id IN (SELECT thread_id FROM g) THEN 'golden' ELSE 'kb' END AS split "
+            "FROM threads_v", GOLDEN),
+        "result_table": q(
+            ["golden_v"], "SELECT CAST(thread_id AS VARCHAR) AS thread_id, customer_text, true_intent, CAST(NULL AS INT) AS judge_tone FROM golden_v"),
+        "message_chunks": q(ms, "SELECT * FROM messages_v"),
         "golden_split": q(
             ["threads_v"], "SELECT thread_id, CASE WHEN thread_id IN (SELECT thread_id FROM g) THEN 'golden' ELSE 'kb' END AS split FROM threads_v", GOLDEN),
         "leakage_audit": q(
@@ -481,22 +545,30 @@ def _sql():
             ["threads_v"], kb_of("(SELECT * FROM threads_v WHERE thread_id NOT IN (SELECT thread_id FROM g))"), GOLDEN),
         "similar_issues": nearest(5),
         "similar_issues_cosine": nearest(3, "list_cosine_distance"),
-        "rag_evidence": (
-            "SELECT q, n, 'issue ' || CAST(n AS VARCHAR) AS original_customer, 'reply ' || CAST(n AS VARCHAR) AS retrieved_reply "
-            f"FROM ({nearest(1)})"),
-        "reply_requests": (
-            f"SELECT CAST(q AS VARCHAR) AS id, 'reply' AS kind, {quote(prompts.REPLY_HEAD.format(brand=BRAND))} || 'message ' || q || "
-            "chr(10) || chr(10) || 'Past cases:' || chr(10) || string_agg('Case ' || rk || chr(10) || 'Customer: issue ' || n || chr(10) || "
-            f"'Agent: reply ' || n, chr(10) || chr(10) ORDER BY rk) AS prompt FROM ({nearest(5)}) GROUP BY q"),
+        "similar_issues_repeated": nearest(
+            4, kb="(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1, embedding FROM embeddings WHERE vec_id % 3 = 0)"),
+        "rag_evidence": q(
+            ["cases_v"], "SELECT x.q, x.n, distance, CASE WHEN c.n IS NOT NULL THEN substr(coalesce(customer_text, ''), 1, 100) END AS original_customer, "
+            f"CASE WHEN c.n IS NOT NULL THEN substr(coalesce(agent_text, ''), 1, 100) END AS retrieved_reply FROM ({nearest(1)}) x LEFT JOIN cases_v c ON c.n = x.n"),
+        "reply_requests": q(
+            ["cases_v", "messages_v"],
+            "SELECT CAST(thread_id AS VARCHAR) AS id, 'reply' AS kind, "
+            f"{reply_text('coalesce(cases, ' + quote(terms.NO_EXAMPLES) + ')')} AS prompt FROM messages_v LEFT JOIN ("
+            "SELECT q, string_agg('Case ' || i || chr(10) || 'Customer: ' || coalesce(customer_text, '') || chr(10) || 'Agent: ' || "
+            "coalesce(agent_text, ''), chr(10) || chr(10) ORDER BY i) AS cases FROM (SELECT x.q, c.*, "
+            f"row_number() OVER (PARTITION BY x.q ORDER BY rk) AS i FROM ({nearest(5)}) x JOIN cases_v c ON c.n = x.n) GROUP BY q) ON q = thread_id "
+            "WHERE customer_text IS NOT NULL"),
         "triage_stream": q(
             ms, "SELECT CAST(thread_id AS VARCHAR) AS thread_id, status FROM z UNION ALL "
             "SELECT CAST(thread_id AS VARCHAR), CASE WHEN customer_text IS NULL THEN 'missing' "
             f"WHEN length({strip('customer_text')}) = 0 THEN 'empty' ELSE 'too_long' END FROM messages_v WHERE thread_id NOT IN (SELECT thread_id FROM ok)",
             f"{VALID}, {RULED}, {decided('ruled')}"),
         "evaluate_stream": q(
-            ms, "SELECT CAST(thread_id AS VARCHAR) AS thread_id, status FROM z", f"{VALID}, {RULED}, {decided('ruled')}"),
+            ["golden_v"], EVALUATED,
+            f"{GIVEN}, {RULED.replace('SELECT thread_id, customer_text,', 'SELECT thread_id, customer_text, true_intent, truth,')}, {decided('ruled')}"),
         "kb_stream": q(["threads_v"], f"SELECT id, document FROM ({kb_of('threads_v')})"),
     }
 
 
 ORACLE = _sql()
+ORACLE["summary_table"] = ORACLE["baseline_report"]

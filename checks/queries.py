@@ -2,16 +2,26 @@
 
 from pyspark.sql import functions as F
 
-from casework.functions import rules, text
+from casework.functions import rules, terms, text
 from casework.functions.answers import parse_answers, parse_judgements
+from casework.functions.prompts import Templates
 from casework.operators import labels, metrics, retrieve, seeded, threads, triage
-from casework.plans import reports
+from casework.plans import reports, workflow
+from casework.sources import schemas, tables
 from casework.sources.tables import shared_folder
 from casework.streaming import streams
 from checks.views import frame, with_views
 
 QUERIES = {}
 
+TEMPLATES = Templates(
+    classify="Kinds: {intents}\nSigns: {signals}\nText: {message}\nAnswer {\"a\": 1} with {keys}",
+    reply="Earlier:\n{cases}\n---\n{message}",
+    judge="{message}\n=>\n{reply}\n({keys})",
+)
+#: Rows of the golden side; fewer than there are threads.
+GOLDEN = 20
+
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -92,7 +102,7 @@ def evaluation_report(spark, sf):
 @query
 def dataset_audit(spark, sf):
     return reports.dataset_audit(
-        frame(spark, sf, "eval_v"), seeded.golden_split(frame(spark, sf, "threads_v"))
+        frame(spark, sf, "eval_v"), seeded.golden_split(frame(spark, sf, "threads_v"), GOLDEN)
     )
 
 
@@ -113,10 +123,27 @@ def failure_cases(spark, sf):
 
 @query
 def intent_mismatches(spark, sf):
-    found = reports.mismatches(frame(spark, sf, "eval_v"), considered=None)
+    found = reports.mismatches(frame(spark, sf, "eval_v"))
     return found.select("thread_id", "pred_intent", "true_intent")
 
 
+@query
+def raw_mismatches(spark, sf):
+    """Labels compared as they are, among the first 500 ids."""
+    return reports.failure_cases(frame(spark, sf, "eval_v"), n=None, considered=500, normalize=False)
+
+
+@query
+def evaluation_report_raw(spark, sf):
+    return reports.evaluation_report(frame(spark, sf, "eval_v"), normalize=False)
+
+
+@query
+def confusion_wide(spark, sf):
+    classes = terms.INTENTS
+    return metrics.confusion_wide(metrics.confusion_matrix(_pairs(spark, sf), classes), classes)
+
+
 @query
 def diagnostics(spark, sf):
     return reports.diagnostics(frame(spark, sf, "eval_v"))
@@ -187,6 +214,44 @@ def error_class(spark, sf):
     return frame(spark, sf, "errors_v").select("id", text.error_class("error").alias("error_class"))
 
 
+def _judge(prompts):
+    return [f'{{"score_tone":{1 + len(p) % 5},"score_grounding":3,"reasoning":"r"}}' for p in prompts]
+
+
+@query
+def judge_again(spark, sf):
+    """Two runs of the judge: 20 threads, each judged once."""
+    folder = shared_folder(spark, "judge")
+    results = frame(spark, sf, "eval_v").drop("judge_tone", "judge_grounding")
+    results = results.withColumn("thread_id", F.col("thread_id").cast("string"))
+    for _ in range(2):
+        done = workflow.run_judge(results, _judge, TEMPLATES.judge, folder)
+    return done.select("thread_id", "judge_tone", "judge_grounding")
+
+
+def _classify(prompts):
+    """Answers that follow from the length of the message alone."""
+    out = []
+    for p in prompts:
+        n = len(p.split("Text: ", 1)[1].rsplit("\nAnswer ", 1)[0])
+        out.append(f'{{"intent":"{terms.INTENTS[n % 7]}","confidence_score":{(n % 10) / 10},"should_escalate":false}}')
+    return out
+
+
+@query
+def evaluate(spark, sf):
+    """The whole evaluation: a result or a reject for every golden row."""
+    folder = shared_folder(spark, "evaluation")
+    done = workflow.evaluate(spark, frame(spark, sf, "golden_v"), _classify, TEMPLATES, folder)
+    rejects = spark.read.parquet(f"{folder}/rejects").select(
+        "thread_id", F.col("reason").alias("status"), *[F.lit(None).cast(t).alias(c) for c, t in _EVALUATED.items()]
+    )
+    return done.select("thread_id", F.col("agent_status").alias("status"), *_EVALUATED).unionByName(rejects)
+
+
+_EVALUATED = {"pred_intent": "string", "true_intent": "string", "true_escalate": "boolean"}
+
+
 # Rules over message text.
 
 @query
@@ -281,9 +346,9 @@ def requests(spark, sf):
     messages = _valid(spark, sf)
     sampled = triage.judge_sample(frame(spark, sf, "eval_v"))
     return (
-        triage.classification_requests(messages)
-        .unionByName(triage.reply_requests(messages, None))
-        .unionByName(triage.judge_requests(sampled))
+        triage.classification_requests(messages, TEMPLATES.classify)
+        .unionByName(triage.reply_requests(messages, None, TEMPLATES.reply))
+        .unionByName(triage.judge_requests(sampled, TEMPLATES.judge))
     )
 
 
@@ -305,9 +370,13 @@ def triage_batch(spark, sf):
     answers = frame(spark, sf, "answers_v").select(
         F.col("thread_id").alias("id"), "answer", F.lit(None).cast("string").alias("error")
     )
-    return triage.triage_batch(_valid(spark, sf), answers).select(
+    drafts = frame(spark, sf, "drafts_v").select(
+        F.col("thread_id").alias("id"), "answer", F.lit(None).cast("string").alias("error")
+    )
+    near = _nearest(retrieve.similar_issues, spark, sf, 3)
+    return triage.triage_batch(_valid(spark, sf), answers, near, drafts).select(
         "thread_id", "status", "analysis.intent", F.col("analysis.escalation_reason").alias("reason"),
-        "retrieved_examples", "error",
+        "reply", "retrieved_examples", "error",
     )
 
 
@@ -328,17 +397,23 @@ def reply_parents(spark, sf):
 
 @query
 def extract_threads(spark, sf):
+    return threads.extract_threads(frame(spark, sf, "tweets_v"), "BrandSupport", replies=30, threads=20)
+
+
+@query
+def all_threads(spark, sf):
     return threads.extract_threads(frame(spark, sf, "tweets_v"), "BrandSupport")
 
 
 @query
 def seeded_sample(spark, sf):
-    return seeded.seeded_sample(frame(spark, sf, "threads_v"), 100, "thread_id", 42).select("thread_id")
+    ids = frame(spark, sf, "threads_v").select("thread_id").distinct()
+    return seeded.seeded_sample(ids, 15, "thread_id", 42)
 
 
 @query
 def golden_split(spark, sf):
-    return seeded.golden_split(frame(spark, sf, "threads_v")).select("thread_id", "split")
+    return seeded.golden_split(frame(spark, sf, "threads_v"), GOLDEN).select("thread_id", "split")
 
 
 @query
@@ -348,10 +423,19 @@ def leakage_audit(spark, sf):
 
 @query
 def knowledge_base(spark, sf):
-    split = seeded.golden_split(frame(spark, sf, "threads_v"))
+    split = seeded.golden_split(frame(spark, sf, "threads_v"), GOLDEN)
     return threads.build_knowledge_base(split.filter(F.col("split") == "kb"))
 
 
+@query
+def prepare(spark, sf):
+    """A base stored with another split is kept, and the audit finds what it holds of the new one."""
+    folder = shared_folder(spark, "prepare")
+    tweets = frame(spark, sf, "tweets_v")
+    workflow.prepare(tweets, "BrandSupport", folder, golden=GOLDEN // 2)
+    return workflow.prepare(tweets, "BrandSupport", folder, golden=GOLDEN).leaks
+
+
 # Retrieval: every stored vector against all others.
 
 def _vectors(spark, sf):
@@ -365,7 +449,27 @@ def _nearest(search, spark, sf, k):
 
 @query
 def similar_issues(spark, sf):
-    return _nearest(retrieve.similar_issues, spark, sf, 5).select("q", "n", "rk")
+    return _rounded(_nearest(retrieve.similar_issues, spark, sf, 5))
+
+
+def _rounded(found):
+    return found.select("q", "n", "rk", F.bround("distance", 6).alias("distance"))
+
+
+def _repeated(spark, sf):
+    """Vectors that stand several times, under their own id and under that of another one."""
+    v = _vectors(spark, sf)
+    more = v.filter("vec_id % 3 = 0").withColumn("vec_id", F.col("vec_id") + 1)
+    return v.unionByName(v.filter("vec_id % 5 = 0")).unionByName(v.filter("vec_id % 5 = 0")).unionByName(more)
+
+
+@query
+def similar_issues_repeated(spark, sf):
+    """Several cells, ids with several vectors and rows that repeat."""
+    found = retrieve.similar_issues(
+        _vectors(spark, sf), _repeated(spark, sf), 4, query_id="vec_id", kb_id="vec_id", exclude_self=True, pivots=16
+    )
+    return _rounded(found)
 
 
 @query
@@ -374,7 +478,7 @@ def similar_issues_cosine(spark, sf):
     found = retrieve.similar_issues(
         v, v, 3, query_id="vec_id", kb_id="vec_id", metric="cosine", exclude_self=True
     )
-    return found.select("q", "n", "rk")
+    return _rounded(found)
 
 
 @query
@@ -384,27 +488,84 @@ def similar_issues_lsh(spark, sf):
 
 @query
 def rag_evidence(spark, sf):
-    cases = _vectors(spark, sf).select(
-        F.col("vec_id").alias("n"),
-        F.concat(F.lit("issue "), F.col("vec_id").cast("string")).alias("customer_text"),
-        F.concat(F.lit("reply "), F.col("vec_id").cast("string")).alias("agent_text"),
-    )
-    found = retrieve.rag_evidence(_nearest(retrieve.similar_issues, spark, sf, 1), cases)
-    return found.drop("distance")
+    found = retrieve.rag_evidence(_nearest(retrieve.similar_issues, spark, sf, 1), frame(spark, sf, "cases_v"))
+    return found.withColumn("distance", F.bround("distance", 6))
 
 
 @query
 def reply_requests(spark, sf):
-    cases = _vectors(spark, sf).select(
-        F.col("vec_id").cast("string").alias("id"),
-        F.format_string("issue %d", "vec_id").alias("document"),
-        F.format_string("reply %d", "vec_id").alias("agent_reply"),
-    )
-    messages = _vectors(spark, sf).select(
-        F.col("vec_id").alias("thread_id"), F.format_string("message %d", "vec_id").alias("customer_text")
+    cases = frame(spark, sf, "cases_v").select(
+        F.col("n").cast("string").alias("id"), F.col("customer_text").alias("document"),
+        F.col("agent_text").alias("agent_reply"),
     )
+    messages = frame(spark, sf, "messages_v").filter(F.col("customer_text").isNotNull())
     near = _nearest(retrieve.similar_issues, spark, sf, 5)
-    return triage.reply_requests(messages, retrieve.retrieved_cases(near, cases))
+    return triage.reply_requests(messages, retrieve.retrieved_cases(near, cases), TEMPLATES.reply)
+
+
+# Tables written and read back.
+
+@query
+def read_tweets(spark, sf):
+    """CSV with quotes, line breaks and ids as decimals, in several files."""
+    folder = shared_folder(spark, "csv")
+    raw = frame(spark, sf, "tweets_v").select(
+        "author_id", F.concat("tweet_id", F.lit(".0")).alias("tweet_id"),
+        F.concat("text", F.lit('\n"quoted", and more')).alias("text"),
+        F.when(F.col("tweet_id") % 7 == 0, "n/a").otherwise(F.col("in_response_to_tweet_id").cast("string")).alias(
+            "in_response_to_tweet_id"
+        ),
+    )
+    tables.write_table(raw.repartition(3), folder, fmt="csv")
+    return tables.read_tweets(spark, folder)
+
+
+@query
+def normalize_id(spark, sf):
+    raw = F.concat("event_id", F.when(F.col("event_id") % 3 == 0, ".0").when(F.col("event_id") % 3 == 1, "").otherwise("x"))
+    return frame(spark, sf, "events").select("event_id", text.normalize_id(raw).alias("id"))
+
+
+@query
+def thread_table(spark, sf):
+    folder = shared_folder(spark, "threads")
+    rows = frame(spark, sf, "threads_v").withColumn("thread_id", F.col("thread_id").cast("string"))
+    tables.write_table(tables.require_columns(rows, schemas.THREADS.names), folder, fmt="csv")
+    return tables.read_table(spark, folder, schemas.THREADS, "csv")
+
+
+@query
+def split_table(spark, sf):
+    folder = shared_folder(spark, "split")
+    tables.write_split(seeded.golden_split(frame(spark, sf, "threads_v"), GOLDEN), folder)
+    return spark.read.parquet(folder).select("thread_id", "customer_text", "split")
+
+
+@query
+def result_table(spark, sf):
+    """Two batches of results, one without judge columns, appended and read back."""
+    folder = shared_folder(spark, "results")
+    rows = frame(spark, sf, "golden_v").select(F.col("thread_id").cast("string").alias("thread_id"), "customer_text", "true_intent")
+    for part in (rows.filter("cast(thread_id AS bigint) % 2 = 0"), rows.filter("cast(thread_id AS bigint) % 2 = 1")):
+        tables.append_table(tables.add_missing(part, schemas.JUDGE_COLUMNS), folder)
+    return tables.read_table(spark, folder, schemas.RESULTS).select("thread_id", "customer_text", "true_intent", "judge_tone")
+
+
+@query
+def summary_table(spark, sf):
+    folder = shared_folder(spark, "summary")
+    tables.write_summary(reports.baseline_report(frame(spark, sf, "eval_v")), folder)
+    return spark.read.schema(schemas.SUMMARY).json(folder)
+
+
+@query
+def message_chunks(spark, sf):
+    """Chunks of one scan, written one by one and read as one table."""
+    folder = shared_folder(spark, "chunks")
+    rows = frame(spark, sf, "messages_v")
+    for i in range(3):
+        tables.append_table(rows.filter(F.pmod("thread_id", F.lit(3)) == i), folder)
+    return spark.read.parquet(folder)
 
 
 # Streams, run to the end of their input.
@@ -424,14 +585,13 @@ def _rule_answers(messages):
     )
 
 
-def _message_stream(spark, sf, folder):
+def _message_stream(spark, sf, folder, view="messages_v"):
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
     name = "casework_events_" + folder.rsplit("-", 1)[1]
     streams.read_stream(spark, path, schema).createOrReplaceTempView(name)
-    return spark.sql(
-        with_views(["messages_v"], "SELECT * FROM messages_v", {"events": f"SELECT * FROM {name}"})
-    )
+    base = {"events": f"SELECT * FROM {name}", "documents": f"SELECT * FROM parquet.`{sf}/documents.parquet`"}
+    return spark.sql(with_views([view], f"SELECT * FROM {view}", base))
 
 
 @query
@@ -453,9 +613,13 @@ def evaluate_stream(spark, sf):
     folder = shared_folder(spark, "evaluate")
     for _ in range(2):  # the second run finds nothing new
         streams.evaluate_stream(
-            _message_stream(spark, sf, folder), _rule_answers, f"{folder}/out", f"{folder}/state"
+            _message_stream(spark, sf, folder, "golden_v"), _rule_answers, f"{folder}/out", f"{folder}/state"
         ).awaitTermination()
-    return spark.read.parquet(f"{folder}/out/results").select("thread_id", "status")
+    rejects = spark.read.parquet(f"{folder}/out/rejects").select(
+        "thread_id", F.col("reason").alias("status"), *[F.lit(None).cast(t).alias(c) for c, t in _EVALUATED.items()]
+    ).distinct()  # what has no text stays open and is rejected by each run
+    results = spark.read.parquet(f"{folder}/out/results")
+    return results.select("thread_id", F.col("agent_status").alias("status"), *_EVALUATED).unionByName(rejects)
 
 
 @query

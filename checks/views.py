@@ -3,41 +3,47 @@
 Each view names the tables and views it needs; ``with_views`` prefixes a query with them.
 """
 
+from casework.functions import terms
+
+TERMS = list(dict.fromkeys(
+    t for words in (*terms.INTENT_TERMS.values(), terms.DAMAGE_TERMS, terms.CHARGE_TERMS, terms.TOXIC_TERMS, terms.ESCALATE_TERMS)
+    for t in words
+))
+QUOTED = [t.replace("'", "''").upper() if i % 5 == 0 else t.replace("'", "''") for i, t in enumerate(TERMS)]
+
 # name -> (needs, SQL)
 VIEWS = {
+    # Every third conversation has second answers.
     "tweets_v": (("conversations",), """
 SELECT conv_id * 100 + turn AS tweet_id,
   CASE WHEN role = 'assistant' THEN 'BrandSupport' ELSE 'cust_' || CAST(conv_id AS VARCHAR(20)) END AS author_id,
   text,
   CASE WHEN turn > 0 THEN conv_id * 100 + turn - 1 END AS in_response_to_tweet_id
-FROM conversations"""),
+FROM conversations
+UNION ALL
+SELECT conv_id * 100 + 50 + turn, 'BrandSupport', 'And besides: ' || text, conv_id * 100 + turn - 1
+FROM conversations WHERE role = 'assistant' AND turn > 0 AND conv_id % 3 = 0"""),
+    "cases_v": (("conversations",), """
+SELECT conv_id AS n, max(CASE WHEN turn = 0 THEN text END) AS customer_text, max(CASE WHEN turn = 1 THEN text END) AS agent_text
+FROM conversations GROUP BY conv_id"""),
+    "drafts_v": (("conversations",), """
+SELECT conv_id AS thread_id, chr(34) || text || chr(34) AS answer FROM conversations WHERE turn = 1"""),
     "threads_v": (("tweets_v",), """
 SELECT c.tweet_id AS thread_id, c.text AS customer_text, b.text AS agent_text
 FROM tweets_v b JOIN tweets_v c ON c.tweet_id = b.in_response_to_tweet_id
 WHERE b.author_id = 'BrandSupport' AND length(c.text) > 15"""),
-    "messages_v": (("events",), """
-SELECT event_id AS thread_id, CASE event_id % 18
-  WHEN 0 THEN 'My phone won''t connect to Wi-Fi'
-  WHEN 1 THEN 'Cracked screen after I DROPPED MY PHONE'
-  WHEN 2 THEN 'iOS keeps crashing after the latest update'
-  WHEN 3 THEN 'I forgot my account password'
-  WHEN 4 THEN 'You charged me twice, I want a refund'
-  WHEN 5 THEN 'Which model should I buy?'
-  WHEN 6 THEN 'Your service is useless and the worst'
-  WHEN 7 THEN 'reach me at jo.doe+x@mail.example.com please'
-  WHEN 8 THEN 'call me on +1 (743) 555-3824 today'
-  WHEN 9 THEN 'I have a complaint for the press'
-  WHEN 10 THEN 'swollen battery, I hate this, refund now'
-  WHEN 11 THEN 'Bluetooth and network drop after update'
-  WHEN 12 THEN '   thanks   '
-  WHEN 13 THEN ''
-  WHEN 14 THEN NULL
-  WHEN 15 THEN 'Just curiosity, nothing else'
-  WHEN 16 THEN 'Where do I find a charger'
-  ELSE repeat('long text ', 120) END AS customer_text
-FROM events"""),
-    "eval_v": (("events", "messages_v"), """
-SELECT m.thread_id, m.customer_text,
+    # Every term of every list stands in some message, inside a text of the corpus.
+    "rows_v": (("events", "documents"), f"""
+SELECT e.event_id, e.user_id, e.event_type, CASE e.event_id % {len(TERMS) + 6}
+  WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' || chr(10) || ' '
+  WHEN 3 THEN repeat(substr(d.text, 1, 40), 30)
+  WHEN 4 THEN 'write to ann.lee+box@post.example.org, thanks' WHEN 5 THEN ' or ring +1 (743) 555-3824 '
+  {" ".join(f"WHEN {i} THEN substr(d.text, 1, 50) || ' {t} ' || substr(d.text, 51, 40)" for i, t in enumerate(QUOTED, 6))}
+  END AS customer_text
+FROM events e JOIN documents d ON d.doc_id = e.event_id % 97"""),
+    "messages_v": (("rows_v",), "SELECT event_id AS thread_id, customer_text FROM rows_v"),
+    "eval_v": (("rows_v",), """
+SELECT event_id AS thread_id, customer_text,
   CASE WHEN event_id % 41 = 0 THEN NULL ELSE CASE (event_id * 7 + user_id) % 10
     WHEN 0 THEN 'account_security' WHEN 1 THEN 'hardware_repair' WHEN 2 THEN ' Software_Troubleshooting '
     WHEN 3 THEN 'billing_purchases' WHEN 4 THEN 'device_connectivity' WHEN 5 THEN 'other'
@@ -55,7 +61,11 @@ SELECT m.thread_id, m.customer_text,
   CASE WHEN event_id % 9 = 0 THEN 'n/a' ELSE CAST(event_id % 6 AS VARCHAR(20)) END AS retrieved_examples,
   CASE WHEN event_id % 10 = 0 THEN CASE WHEN event_id % 30 = 0 THEN 'bad' ELSE CAST(1 + event_id % 4 AS VARCHAR(20)) END END AS judge_tone,
   CASE WHEN event_id % 10 = 0 THEN CAST(1 + user_id % 5 AS VARCHAR(20)) END AS judge_grounding
-FROM events e JOIN messages_v m ON m.thread_id = e.event_id"""),
+FROM rows_v"""),
+    "golden_v": (("eval_v",), """
+SELECT thread_id, customer_text, true_intent,
+  CASE WHEN true_escalate IS NOT NULL THEN CASE WHEN lower(true_escalate) IN ('true', 'yes', '1', 't') THEN 1 ELSE 0 END END AS should_escalate
+FROM eval_v"""),
     "analysis_v": (("events",), """
 SELECT event_id AS thread_id,
   CASE user_id % 4 WHEN 0 THEN 'general_inquiry' WHEN 1 THEN 'other' WHEN 2 THEN 'device_connectivity' ELSE 'account_security' END AS intent,

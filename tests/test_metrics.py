@@ -81,11 +81,10 @@ def test_matrix_with_fixed_classes_ignores_others(spark):
     assert got == {("a", "a"): 2, ("a", "z"): 0, ("z", "a"): 0, ("z", "z"): 0}
 
 
-def test_matrix_refuses_unbounded_labels(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "MAX_LABELS", 3)
-    pairs = metrics.pair_counts(labelled(spark), "t", "p")
-    with pytest.raises(Exception, match="more than 3 labels"):
-        metrics.confusion_matrix(pairs).collect()
+def test_matrix_of_many_labels(spark):
+    df = spark.range(3000).select(F.concat(F.lit("l"), "id").alias("t"), F.concat(F.lit("l"), "id").alias("p"))
+    matrix = metrics.confusion_matrix(metrics.pair_counts(df, "t", "p"))
+    assert matrix.agg(F.count("*"), F.sum("n")).first() == (9_000_000, 3000)
 
 
 def test_report_rows(spark):
@@ -165,12 +164,14 @@ def results(spark):
 
 def test_missed_escalations_count_null_predictions(results):
     got = [tuple(r) for r in reports.safety_failures(results).collect()]
-    assert got == [("1", "money", "refund me...", False), ("2", "Escalation Required", "wifi...", True)]
-    assert reports.safety_failures(results, 1).count() == 1
+    assert got == [("1", "money", "refund me...", False, 2), ("2", "Escalation Required", "wifi...", True, 2)]
+    assert [r.total for r in reports.safety_failures(results, 1).collect()] == [2]
+    assert reports.safety_failures(results, None).count() == 2
 
 
 def test_failure_cases(results):
     assert [r.thread_id for r in reports.failure_cases(results).collect()] == ["2", "4"]
+    assert [(r.thread_id, r.total) for r in reports.failure_cases(results, n=1).collect()] == [("2", 2)]
     assert [r.thread_id for r in reports.failure_cases(results, normalize=False).collect()] == ["1", "2", "4"]
     assert reports.failure_cases(results, considered=1).count() == 0
 

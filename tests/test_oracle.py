@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from checks.compare import difference, duck
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from tests.conftest import SF
 
 
@@ -12,13 +14,14 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
-    assert difference(entry.queries()[name](spark, SF), con, entry.oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF), con, ORACLE[name]) is None
 
 
 def test_only_the_approximate_search_has_no_oracle():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"similar_issues_lsh"}
+    assert set(QUERIES) - set(ORACLE) == {"similar_issues_lsh"}
+    assert set(ORACLE) <= set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

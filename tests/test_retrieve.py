@@ -141,3 +141,33 @@ def test_repeated_query_ids_are_answered_once(spark):
     again = queries.union(queries).union(queries)
     for f in (retrieve.similar_issues, retrieve.similar_issues_lsh):
         assert found(search(f, again, kb, 4)) == found(search(f, queries, kb, 4))
+
+
+@pytest.mark.parametrize("f", [retrieve.similar_issues, retrieve.similar_issues_lsh])
+def test_repeated_issues_take_one_place(spark, f, monkeypatch):
+    near = [1.0, 0.0]
+    kb = spark.createDataFrame([(1, near)] * 7 + [(2, near), (3, near), (4, [1.0, 0.1])], "id bigint, embedding array<float>")
+    assert found(search(f, frame(spark, [near], 9), kb, 3)) == {9: [1, 2, 3]}
+
+
+def test_an_issue_with_several_vectors_counts_by_the_nearest(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "TILE_ROWS", 8)
+    vectors = clustered(11, 60)
+    rows = [(i % 20, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    kb, queries = spark.createDataFrame(rows, "id bigint, embedding array<float>"), frame(spark, clustered(12, 10), 1000)
+    least = {}
+    for q in queries.collect():
+        d = {}
+        for i, v in rows:
+            d[i] = min(d.get(i, 9e9), float(np.linalg.norm(np.float32(v).astype(float) - np.float64(q.embedding))))
+        least[q.id] = [i for _, i in sorted((x, i) for i, x in d.items())][:5]
+    for pivots in (1, 12):
+        assert found(search(retrieve.similar_issues, queries, kb, 5, pivots=pivots)) == least
+
+
+def test_lsh_recall_without_structure(spark):
+    vectors = np.random.default_rng(13).normal(size=(1500, 24)).astype(np.float32)
+    kb = frame(spark, vectors)
+    exact = brute(kb.collect(), kb.collect(), 5, exclude_self=True)
+    got = found(search(retrieve.similar_issues_lsh, kb, kb, 5, exclude_self=True))
+    assert sum(len(set(got.get(q, [])) & set(n)) for q, n in exact.items()) > 0.95 * 5 * len(exact)

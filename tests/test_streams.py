@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from casework.plans import reports
 from casework.streaming import streams
 from checks.queries import _rule_answers
 
@@ -87,7 +88,7 @@ def test_a_replayed_batch_replaces_its_output(spark, folder, tmp_path):
     first = spark.createDataFrame([(1, "q", "a"), (2, "q", "b")], schema)
     calls = []
     start = streams._start
-    streams._start = lambda stream, each, checkpoint: calls.append(each)
+    streams._start = lambda stream, each, *rest: calls.append(each)
     try:
         streams.kb_stream(first, folder("kb"), folder("state"))
     finally:
@@ -111,3 +112,36 @@ def test_kb_stream_first_id_wins(spark, folder):
     run(streams.kb_stream(source, folder("kb"), folder("state")))
     got = sorted((r.id, r.document) for r in spark.read.parquet(folder("kb")).collect())
     assert got == [("1", "one"), ("2", ""), ("3", "three")]
+
+
+def test_stream_results_feed_the_reports(spark, folder):
+    schema = MESSAGES + ", true_intent string, should_escalate int"
+    rows = [(1, "wifi", "device_connectivity", 0), (2, "refund", "other", 1), (3, " ", "other", 0), (4, "x" * 2000, None, None)]
+    deliver(spark, rows, folder("in"), schema)
+    source = streams.read_stream(spark, folder("in") + "/", spark.createDataFrame([], schema).schema)
+    run(streams.evaluate_stream(source, _rule_answers, folder("out"), folder("state")))
+    row = reports.executive_summary(spark.read.parquet(folder("out/results"))).first()
+    assert (row.total, row.intent_valid, row.agent_accuracy, row.esc_valid, row.esc_recall) == (3, 2, 0.5, 2, 1.0)
+    assert [tuple(r)[:2] for r in spark.read.parquet(folder("out/rejects")).collect()] == [("3", "empty")]
+
+
+@pytest.mark.parametrize("name", ["plain", "odd[1]*", "a{b}"])
+def test_paths_are_no_patterns(spark, folder, name):
+    for other in (name, "odd1x", "ab"):
+        deliver(spark, [(1, other)], folder("root/" + other).replace("\\", ""))
+    assert streams.as_pattern("/a/b/") == "/a/[b]"
+    source = streams.read_stream(spark, folder("root/" + name), spark.createDataFrame([], MESSAGES).schema)
+    run(streams.triage_stream(source, _rule_answers, folder("out"), folder("state")))
+    assert spark.read.parquet(folder("out/decisions")).count() == 1
+
+
+def test_a_trigger_of_ones_own(spark, folder):
+    deliver(spark, [(1, "wifi")], folder("in"))
+    source = streams.read_stream(spark, folder("in"), spark.createDataFrame([], MESSAGES).schema)
+    started = streams.triage_stream(source, _rule_answers, folder("out"), folder("state"), {"processingTime": "1 second"})
+    started.processAllAvailable()
+    deliver(spark, [(2, "refund")], folder("in"))
+    started.processAllAvailable()
+    assert started.isActive
+    started.stop()
+    assert spark.read.parquet(folder("out/decisions")).count() == 2

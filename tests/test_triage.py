@@ -5,12 +5,14 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from casework.functions import prompts, terms
+from casework.functions import terms
+from casework.functions.prompts import Templates
 from casework.operators import retrieve, triage
 from casework.plans import workflow
 from casework.sources import schemas, tables
 
 MESSAGES = "thread_id bigint, customer_text string"
+TEMPLATES = Templates("Acme\n{message}\n{signals} of {intents}", "{cases}\nTo: {message}", "{message}\n>> {reply} {\"n\": 1} {keys}")
 
 # The workers cannot import this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -85,18 +87,22 @@ def test_scorer_with_too_few_answers(spark):
 
 def test_requests(spark):
     messages = spark.createDataFrame([(1, 'my "phone" {x} refund')], MESSAGES)
-    row = triage.classification_requests(messages, "Acme").first()
+    row = triage.classification_requests(messages, TEMPLATES.classify).first()
     assert (row.id, row.kind) == ("1", "classify")
-    assert "Acme support" in row.prompt and 'my "phone" {x} refund' in row.prompt
+    assert row.prompt.startswith('Acme\nmy "phone" {x} refund\n{"physical_damage"')
     assert '"refund_or_charge":true' in row.prompt and all(i in row.prompt for i in terms.INTENTS)
     cases = spark.createDataFrame(
         [("1", [("q1", "a1"), ("q2", None)])], "q string, examples array<struct<customer_issue:string,agent_reply:string>>"
     )
-    prompt = triage.reply_requests(messages, cases).first().prompt
+    prompt = triage.reply_requests(messages, cases, TEMPLATES.reply).first().prompt
     assert "Case 1\nCustomer: q1\nAgent: a1\n\nCase 2\nCustomer: q2\nAgent: " in prompt
-    assert terms.NO_EXAMPLES in triage.reply_requests(messages, None).first().prompt
+    assert triage.reply_requests(messages, None, TEMPLATES.reply).first().prompt == f'{terms.NO_EXAMPLES}\nTo: my "phone" {{x}} refund'
     judged = spark.createDataFrame([(1, "hi", "hello")], "thread_id bigint, customer_text string, drafted_reply string")
-    assert triage.judge_requests(judged).first().prompt == prompts.JUDGE_HEAD + "hi\n\nReply: hello"
+    assert triage.judge_requests(judged, TEMPLATES.judge).first().prompt == (
+        'hi\n>> hello {"n": 1} score_tone, score_grounding, reasoning'
+    )
+    with pytest.raises(ValueError, match="reply"):
+        triage.judge_requests(judged, "{message}")
 
 
 def test_pending_append_and_judge(spark):
@@ -172,7 +178,7 @@ def test_preparation_and_evaluation(spark, tmp_path):
         return ['{"score_tone":4,"score_grounding":5,"reasoning":"fine"}'] * len(texts)
 
     path = str(tmp_path / "e")
-    first = workflow.evaluate(spark, golden, classifier, path, find, prepared.knowledge_base, writer, judge)
+    first = workflow.evaluate(spark, golden, classifier, TEMPLATES, path, find, prepared.knowledge_base, writer, judge)
     failed = golden.filter(F.col("thread_id").cast("string").endswith("4")).count()
     assert 0 < failed < 20 and first.count() == 20 - failed and searched == [20 - failed]
     assert first.filter("judge_tone = 4 and judge_grounding = 5").count() == min(10, 20 - failed)
@@ -181,7 +187,7 @@ def test_preparation_and_evaluation(spark, tmp_path):
     # The failed rows are still pending; only they are asked again.
     for f in asked.iterdir():
         f.rename(tmp_path / f"seen-{f.name}")
-    second = workflow.evaluate(spark, golden, lambda t: classifier(t) and [reply()] * len(t), path)
+    second = workflow.evaluate(spark, golden, lambda t: classifier(t) and [reply()] * len(t), TEMPLATES, path)
     assert second.count() == 20 and len(list(asked.iterdir())) == failed
     assert second.select("thread_id").distinct().count() == 20
     assert tables.read_table(spark, f"{path}/results", schemas.RESULTS).filter("pred_escalate").count() == 0
@@ -200,7 +206,7 @@ def test_repeated_threads_are_asked_once_and_never_multiplied(spark, tmp_path):
         (asked / f"{id(texts)}-{len(texts)}").touch()
         return [reply()] * len(texts)
 
-    done = workflow.evaluate(spark, golden, classifier, str(tmp_path / "e"))
+    done = workflow.evaluate(spark, golden, classifier, TEMPLATES, str(tmp_path / "e"))
     assert sum(int(f.name.split("-")[1]) for f in asked.iterdir()) == 21
     assert done.count() == 40 and done.filter("thread_id = '0'").count() == 20
     replied = done.withColumn("drafted_reply", F.lit("hi"))
@@ -231,8 +237,53 @@ def test_a_broken_run_asks_again_only_what_has_no_usable_answer(spark, tmp_path)
 
     path = str(tmp_path / "e")
     with pytest.raises(Exception):
-        workflow.evaluate(spark, golden, classifier, path, writer=broken)
+        workflow.evaluate(spark, golden, classifier, TEMPLATES, path, writer=broken)
     assert len(list(asked.iterdir())) == 30
-    done = workflow.evaluate(spark, golden, classifier, path, writer=lambda texts: ["drafted"] * len(texts))
+    done = workflow.evaluate(spark, golden, classifier, TEMPLATES, path, writer=lambda texts: ["drafted"] * len(texts))
     assert sorted(f.name for f in asked.glob("*-1")) == [f"{i}-1" for i in range(5)]
     assert done.count() == 30 and done.filter("drafted_reply = 'drafted'").count() == 30
+
+
+def test_no_row_of_an_evaluation_is_lost(spark, tmp_path):
+    golden = spark.createDataFrame(
+        [(1, "fine", "other", 0), (2, "x" * 1001, "other", 1), (3, " \n", "other", 0), (4, None, None, None)],
+        "thread_id bigint, customer_text string, true_intent string, should_escalate int",
+    )
+    done = workflow.evaluate(spark, golden, lambda p: [reply()] * len(p), TEMPLATES, str(tmp_path / "e"))
+    assert sorted(r.thread_id for r in done.collect()) == ["1", "2"]
+    rejects = {r.thread_id: r.reason for r in spark.read.parquet(str(tmp_path / "e" / "rejects")).collect()}
+    assert rejects == {"3": "empty", "4": "missing"}
+
+
+def test_each_run_judges_other_replies(spark, tmp_path):
+    golden = spark.range(30).select(
+        F.col("id").alias("thread_id"), F.lit("hello there").alias("customer_text"), F.lit("other").alias("true_intent"),
+        F.lit(0).alias("should_escalate"),
+    )
+    path = str(tmp_path / "e")
+
+    def judge(prompts):
+        return ["no scores" if i == 0 else '{"score_tone":4,"score_grounding":5}' for i, _ in enumerate(prompts)]
+
+    def run(**more):
+        return workflow.evaluate(
+            spark, golden, lambda p: [reply()] * len(p), TEMPLATES, path, writer=lambda p: ["drafted"] * len(p), **more
+        )
+
+    for n in (10, 20, 30, 30):
+        done = run(judge=judge)
+        judged = tables.read_table(spark, f"{path}/judgements", schemas.JUDGEMENTS)
+        assert judged.count() == judged.select("thread_id").distinct().count() == n
+    # A run without a judge returns the scores too.
+    assert run().filter("judge_grounding = 5").count() == done.filter("judge_grounding = 5").count() > 20
+
+
+def test_the_audit_reads_the_stored_base(spark, tmp_path):
+    tweets = spark.range(80).select(
+        F.col("id").alias("tweet_id"), F.when(F.col("id") % 2 == 1, "Brand").otherwise("user").alias("author_id"),
+        F.concat(F.lit("a long enough text number "), "id").alias("text"),
+        F.when(F.col("id") % 2 == 1, F.col("id") - 1).alias("in_response_to_tweet_id"),
+    )
+    path = str(tmp_path / "p")
+    assert {r.n for r in workflow.prepare(tweets, "Brand", path, golden=5).leaks.collect()} == {0}
+    assert {r.n for r in workflow.prepare(tweets, "Brand", path, golden=12).leaks.collect()} == {7}
