@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.llm.shared import kept as stored
+from casework.llm.shared import small_side
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Hexadecimal digits of the hash that part a leaf, so that no task has to order a whole leaf.
@@ -96,8 +97,9 @@ def mixed(docs: DataFrame, levels: dict, weights: dict, share: tuple = (1, 2), e
     value like any other. Rows that repeat an id stand in the same place and are chosen together,
     as are rows without an id.
 
-    Texts are read twice and never moved: a leaf's last hash is found from counts per part of its
-    hashes, and every row compares its own with it. Runs jobs.
+    Texts are read twice and not moved, unless there are more than some ten thousand leaves: a leaf's
+    last hash is found from counts per part of its hashes, and every row compares its own with it.
+    Runs jobs.
     """
     names = [f"_l{i}" for i in range(len(levels))]
     id_ = F.col(id_col)
@@ -147,7 +149,7 @@ def mixed(docs: DataFrame, levels: dict, weights: dict, share: tuple = (1, 2), e
     place = F.struct(_order(seed, F.col("_whole") + 1, id_).alias("h"), id_.alias("i"))
     times = F.col("_whole") + F.when((F.col("_part") > 0) & (place <= F.col("_last")), 1).otherwise(0)
     return (
-        rows.alias("a").join(limits.alias("b"), on("a", "b")).withColumn("_times", times).filter("_times > 0")
+        rows.alias("a").join(small_side(limits).alias("b"), on("a", "b")).withColumn("_times", times).filter("_times > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
         .select(*[F.col("_row")[c].alias(c) for c in columns], F.col("_epoch").alias(epoch_col))
     )

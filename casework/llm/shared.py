@@ -3,6 +3,10 @@
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few numbers each that go to every executor at most.
+SMALL = 50_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -19,3 +23,9 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder: its lineage ends there, and losing an executor costs nothing."""
     ready(df.sparkSession)
     return df.checkpoint()
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A stored table, to be sent to every executor if it has at most SMALL rows (a job counts
+    them); beyond that a join moves both sides."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
