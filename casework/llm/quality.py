@@ -24,10 +24,11 @@ SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
 
 @dataclass
 class Model:
-    """Two dictionaries and the calibration: weights of (1, difference, size, shortness)."""
+    """Dictionaries of good and of bad text from either half of the sample, and the calibration:
+    weights of (1, difference, size, shortness)."""
 
-    good: bytes
-    bad: bytes
+    good: list
+    bad: list
     weights: list
 
 
@@ -99,23 +100,24 @@ def learn(texts: list, label, count) -> Model:
     """Model of a sample: its texts (bytes), their labels, and of how many rows each class stands.
 
     Every text of the sample is measured with dictionaries of the other half; these measures fit
-    the calibration, and the dictionaries of the model are then built from the whole sample.
+    the calibration. Texts to score are measured with the dictionaries of both halves.
     """
     label = np.asarray(label)
     total = np.array([int((label == c).sum()) for c in (0, 1)])
     if min(total) < 2:
         share = count[1] / max(1, count[0] + count[1]) if len(label) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return Model(b"", b"", [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0])
+        return Model([], [], [float(np.log(share / (1 - share))), 0.0, 0.0, 0.0])
     half = np.zeros(len(label), int)  # the texts come in a random order
     for c in (0, 1):
         half[label == c] = np.arange(total[c]) % 2
-    x = np.zeros((len(label), 4))
+    x, pairs = np.zeros((len(label), 4)), []
     for h in (0, 1):
         other, own = np.flatnonzero(half != h), np.flatnonzero(half == h)
-        x[own] = _features([texts[i] for i in own], *_dictionaries([texts[i] for i in other], label[other]))
+        pairs.append(_dictionaries([texts[i] for i in other], label[other]))
+        x[own] = _features([texts[i] for i in own], *pairs[-1])
     weight = (np.array(count) / total)[label]
-    return Model(*_dictionaries(texts, label), _logistic(x, label, weight / weight.mean()))
+    return Model([g for g, _ in pairs], [b for _, b in pairs], _logistic(x, label, weight / weight.mean()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -155,10 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return pd.DataFrame({"good": [m.good], "bad": [m.bad], "weights": [m.weights]})
 
-    found = sample.groupBy().applyInPandas(run, "good binary, bad binary, weights array<double>").collect()
+    found = sample.groupBy().applyInPandas(run, "good array<binary>, bad array<binary>, weights array<double>").collect()
     if not found:
-        return Model(b"", b"", [0.0, 0.0, 0.0, 0.0])
-    return Model(bytes(found[0].good), bytes(found[0].bad), list(found[0].weights))
+        return Model([], [], [0.0, 0.0, 0.0, 0.0])
+    return Model(list(map(bytes, found[0].good)), list(map(bytes, found[0].bad)), list(found[0].weights))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -175,7 +177,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             data = [(t or "").encode() for t in texts.to_pylist()]
-            z = _features(data, good, bad) @ np.array(weights) if data else np.zeros(0)
+            x = [_features(data, g, b) for g, b in zip(good, bad)]
+            z = (sum(x) / len(x) if x else np.eye(1, 4).repeat(len(data), axis=0)) @ np.array(weights)
             score = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=[*batch.schema.names, score_col])
 
