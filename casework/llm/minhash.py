@@ -251,7 +251,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     signed = stored(source.mapInArrow(_sign, "_id long, _n long, _f long, _g long, _bands array<long>"))
     sets = signed.filter("_n > 0 AND _id IS NOT NULL")
-    node = sets.groupBy("_f", "_g", "_n").agg(F.min("_id").alias("_node"))
+    # Stored, so that joins with it have two plain sides and a set of very many copies can be split.
+    node = stored(sets.groupBy("_f", "_g", "_n").agg(F.min("_id").alias("_node")))
     keys = (
         sets.join(node.select(F.col("_node").alias("_id"), "_f", "_g", "_n"), ["_id", "_f", "_g", "_n"], "left_semi")
         .select("_id", F.explode("_bands").alias("key"))
