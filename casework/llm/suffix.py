@@ -15,7 +15,6 @@ groups that are still equal there are put in order by blind tries, which keep of
 only branching depths and bytes. All groups of a range go down their tries together.
 """
 
-import hashlib
 import math
 
 import numpy as np

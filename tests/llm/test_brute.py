@@ -319,7 +319,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     for i, (text, n) in enumerate(PERSONAL):
         new = rows[i].text
         assert rows[i].n_pseudonyms == n and len(new) == len(text)
-        assert re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", new))).replace("9", "").replace("a", "").replace("A", "") == re.sub("[0-9a-zA-Z]", "", text) or i == 0
+        assert i == 0 or re.sub("[0-9a-zA-Z]", "", new) == re.sub("[0-9a-zA-Z]", "", text)
     cards = re.findall(r"[\d\- ]{16,19}(?=[,; ])", rows[1].text)
     assert len({re.sub(r"\D", "", c) for c in cards[:3]}) == 1 and luhn(re.sub(r"\D", "", cards[0]))
     assert rows[1].text.endswith("1234567890123456")
@@ -360,7 +360,8 @@ def test_no_personal_data_is_left(spark):
 # Nearest neighbours.
 
 @pytest.mark.parametrize("scale", [False, True])
-def test_recall_and_order(spark, scale):
+def test_recall_and_order(spark, scale, monkeypatch):
+    monkeypatch.setattr(ann, "TILE", 400)  # many cells, and tiles for the copies
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16)) + 2 * rng.normal(size=(10, 16))[rng.integers(0, 10, 3000)]
     x = x * rng.uniform(0.2, 3, (3000, 1)) if scale else x / np.linalg.norm(x, axis=1)[:, None]
@@ -440,7 +441,11 @@ def chains(n, length=120, seed=9):
     return out
 
 
-def test_groups_like_brute_force(spark, prose):
+@pytest.mark.parametrize("small", [False, True])
+def test_groups_like_brute_force(spark, prose, monkeypatch, small):
+    if small:  # clusters and centres in many groups
+        monkeypatch.setattr(minhash, "SLICE", 4)
+        monkeypatch.setattr(minhash, "GROUP", 2)
     texts = [*prose, *chains(25), *((2000 + i, t) for i, t in chains(6, seed=10))]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
     found = {r.doc_id: tuple(r[1:]) for r in minhash.grouped(df).collect()}
