@@ -38,9 +38,10 @@ SELECT e.event_id, e.user_id, e.event_type, CASE e.event_id % {len(TERMS) + 6}
   WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' || chr(10) || ' '
   WHEN 3 THEN repeat(substr(d.text, 1, 40), 30)
   WHEN 4 THEN 'write to ann.lee+box@post.example.org, thanks' WHEN 5 THEN ' or ring +1 (743) 555-3824 '
-  {" ".join(f"WHEN {i} THEN substr(d.text, 1, 50) || ' {t} ' || substr(d.text, 51, 40)" for i, t in enumerate(QUOTED, 6))}
-  END AS customer_text
-FROM events e JOIN documents d ON d.doc_id = e.event_id % 97"""),
+  ELSE substr(d.text, 1, 50) || ' ' || t.term || ' ' || substr(d.text, 51, 40) END AS customer_text
+FROM events e JOIN documents d ON d.doc_id = e.event_id % 97
+LEFT JOIN (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(QUOTED, 6))}) AS t(place, term)
+  ON t.place = e.event_id % {len(TERMS) + 6}"""),
     "messages_v": (("rows_v",), "SELECT event_id AS thread_id, customer_text FROM rows_v"),
     "eval_v": (("rows_v",), """
 SELECT event_id AS thread_id, customer_text,
