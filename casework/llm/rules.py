@@ -216,13 +216,18 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     sizes = good.groupBy("_k1", "_k2").agg(F.count("*").alias("_n2"))
     sizes = sizes.withColumn("_n1", F.sum("_n2").over(Window.partitionBy("_k1")))
     key = F.when(F.col("_n2") >= LEAST_ROWS, F.col("_k2")).when(F.col("_n1") >= LEAST_ROWS, F.col("_k1")).otherwise("")
-    groups = stored(sizes.select("_k2", key.alias("_key")))
-    # A pooled estimate rests on all rows of its language, or of the table.
-    pools = F.array_distinct(F.array(F.col("_k2"), F.col("_k1"), F.lit("")))
-    needed = groups.select("_key").distinct()
-    pooled = good.withColumn("_key", F.explode(pools)).join(needed, "_key", "left_semi").select("_key", *VECTOR)
+    groups = stored(sizes.select("_k1", "_k2", key.alias("_key")))
+    # A pooled estimate rests on all rows of its language, or of the table: each group says which
+    # estimates its rows go into, so that no row is moved to find out.
+    lands = groups.groupBy("_k1").agg(F.max(F.col("_key") == F.col("_k1")).alias("_land"))
+    table = groups.agg(F.coalesce(F.max(F.col("_key") == ""), F.lit(False)).alias("_table"))
+    into = groups.join(lands, "_k1").select("_k2", F.array_compact(F.array(
+        F.when(F.col("_key") == F.col("_k2"), F.col("_k2")), F.when(F.col("_land"), F.col("_k1")),
+        F.when(table.scalar(), F.lit("")),
+    )).alias("_into"))
+    pooled = good.join(into, "_k2").select(F.explode("_into").alias("_key"), *VECTOR)
     found = stored(estimates(pooled))
-    result = rows.join(groups, "_k2", "left").join(found, "_key", "left")
+    result = rows.join(groups.drop("_k1"), "_k2", "left").join(found, "_key", "left")
     distance = F.when(~F.col("base_failed"), _distance())
     return result.select(
         F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), F.col("_source").alias(source_col),
