@@ -5,12 +5,13 @@ coordinate that makes them all of length 1, queries are normalised and get a 0 t
 hashes a vector to a bucket of slots, ``floor((a . x + b) / w)`` for some Gaussian directions
 ``a``. How likely a neighbour of a query lies in a slot follows from the query's place within its
 own slot and the distance expected of its neighbours, so a query visits buckets in the order of
-their estimated success until these add up to what each table should find. The candidates of all
+their estimated success until these add up to what each table should find. There are no more
+directions than let queries get there; a query that doesn't is compared with all rows. The candidates of all
 tables are scored exactly, on the original vectors in double precision, and merged.
 """
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from casework.llm.shared import kept as stored
 TABLES, SUCCESS, BUCKET_ROWS = 2, 0.78, 256
 #: Rows the index is fitted on, partial buckets followed per query, rows and queries compared at once.
 SAMPLE_ROWS, BEAM, TILE, QUERIES = 4096, 8192, 16384, 128
+#: Share of sampled queries whose followed buckets must add up to SUCCESS; the others meet all rows.
+REACHED = 0.99
 #: Cells there are at least, if each gets as many rows: a query's best of every cell are merged, so
 #: cells should be few, but not fewer than tasks.
 LEAST_CELLS, LEAST_ROWS = 8, 1024
@@ -57,36 +60,62 @@ class Index:
         x = vectors.astype(np.float64) / self.norm
         return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))[:, None]], axis=1)
 
-    def probes(self, vectors):
-        """For every table, the buckets each query visits: (row of the query, bucket) pairs."""
+    def followed(self, place):
+        """Before the first and after every function: chances and slots of the partial buckets that each
+        query (a row of ``place``) follows, at most BEAM."""
+        spread = self.near / self.width
+        n = len(place)
+        own = np.floor(place)
+        reach = max(1, math.ceil(3 * spread))
+        steps = np.arange(-reach, reach + 1)
+        chance = np.ones((n, 1))
+        taken = np.zeros((n, 1, 0))
+        yield chance, taken
+        for f in range(place.shape[1]):
+            low = own[:, f, None] + steps - place[:, f, None]
+            share = _normal((low + 1) / spread) - _normal(low / spread)
+            joint = (chance[:, :, None] * share[:, None, :]).reshape(n, -1)
+            keep = np.argsort(-joint, axis=1)[:, :BEAM]
+            chance = np.take_along_axis(joint, keep, axis=1)
+            before = np.take_along_axis(taken, (keep // len(steps))[:, :, None], axis=1)
+            slot = own[:, f, None] + steps[keep % len(steps)]
+            taken = np.concatenate([before, slot[:, :, None]], axis=2)
+            yield chance, taken
+
+    def asked(self, vectors):
+        """Slots of queries, as ``slots`` gives them."""
         x = vectors.astype(np.float64)
         x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-        slots = self.slots(np.concatenate([x, np.zeros((len(x), 1))], axis=1))
-        spread = self.near / self.width
-        out = []
-        for place in slots:
-            n = len(place)
-            own = np.floor(place)
-            reach = max(1, math.ceil(3 * spread))
-            steps = np.arange(-reach, reach + 1)
-            chance = np.ones((n, 1))
-            taken = np.zeros((n, 1, 0))
-            for f in range(place.shape[1]):
-                low = own[:, f, None] + steps - place[:, f, None]
-                share = _normal((low + 1) / spread) - _normal(low / spread)
-                joint = (chance[:, :, None] * share[:, None, :]).reshape(n, -1)
-                keep = np.argsort(-joint, axis=1)[:, :BEAM]
-                chance = np.take_along_axis(joint, keep, axis=1)
-                before = np.take_along_axis(taken, (keep // len(steps))[:, :, None], axis=1)
-                slot = own[:, f, None] + steps[keep % len(steps)]
-                taken = np.concatenate([before, slot[:, :, None]], axis=2)
+        return self.slots(np.concatenate([x, np.zeros((len(x), 1))], axis=1))
+
+    def probes(self, vectors):
+        """For every table, the buckets each query visits: (row of the query, bucket) pairs.
+
+        A query whose buckets don't add up to SUCCESS in every table has none at all: it must be
+        compared with all rows.
+        """
+        out, whole = [], np.ones(len(vectors), bool)
+        for place in self.asked(vectors):
+            for chance, taken in self.followed(place):
+                pass
             order = np.argsort(-chance, axis=1)
             chance = np.take_along_axis(chance, order, axis=1)
+            whole &= chance.sum(axis=1) >= SUCCESS
             visited = np.cumsum(chance, axis=1) - chance < SUCCESS
             codes = np.take_along_axis(self.buckets(taken), order, axis=1)
             row, at = np.nonzero(visited)
             out.append((row, codes[row, at]))
-        return out
+        return [(row[whole[row]], code[whole[row]]) for row, code in out]
+
+    def bounded(self, vectors):
+        """This index with no more functions than let REACHED of these queries add up to SUCCESS."""
+        least = []
+        for a in range(0, len(vectors), 32):
+            mass = [[c.sum(axis=1) for c, _ in self.followed(place)] for place in self.asked(vectors[a : a + 32])]
+            least.append(np.min(mass, axis=0))
+        reached = (np.concatenate(least, axis=1) >= SUCCESS).mean(axis=1)
+        functions = int(np.flatnonzero(reached >= REACHED).max())
+        return replace(self, directions=self.directions[:, :functions], offsets=self.offsets[:, :functions])
 
 
 def _cells(n):
@@ -141,7 +170,7 @@ def fit(rows: DataFrame, k: int, seed: int = 42) -> Index | None:
     scale = float((points @ a.reshape(-1, d + 1).T).std()) if functions else 1.0
     index.width = 1.25 * max(scale, 1e-6)
     index.offsets = rng.uniform(0, index.width, (TABLES, functions))
-    return index
+    return index.bounded(x[:QUERIES])
 
 
 def _matrix(table, d):
@@ -207,8 +236,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
     Rows are dealt out by bucket, in cells of at most about TILE rows; a cell that holds more (copies of a
     vector share a bucket) is cut into tiles. A query goes to a tile once, with the buckets it
-    visits there. Every tile returns its ``k`` best. Queries that found too little are compared
-    with all rows.
+    visits there. Every tile returns its ``k`` best. Queries that found too little, or whose buckets
+    would be too many to follow, are compared with all rows.
     """
     def clean(df):
         return df.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).filter(
@@ -245,7 +274,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             for start in range(0, whole.num_rows, QUERIES):
                 batch = whole.slice(start, QUERIES)
                 v = _matrix(batch_table(batch), d)
-                for t, (row, code) in enumerate(index.probes(v)):
+                found = index.probes(v)
+                rest = pa.array(np.setdiff1d(np.arange(len(v)), found[0][0]))
+                # An empty list of buckets stands for all; one table holds every row.
+                for c in range(cells if len(rest) else 0):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.zeros(len(rest), np.int32)), pa.array(np.full(len(rest), c)), batch.column(0).take(rest),
+                         batch.column(1).take(rest), pa.array([[]] * len(rest), pa.list_(pa.int64()))],
+                        names=["_table", "_cell", "_id", "_v", "_buckets"],
+                    )
+                for t, (row, code) in enumerate(found):
+                    if not len(row):
+                        continue
                     cell = (code.view(np.uint64) % np.uint64(cells)).astype(np.int64)
                     order = np.lexsort((cell, row))
                     row, code, cell = row[order], code[order], cell[order]
@@ -282,11 +322,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     short = asked.join(enough.select(F.col("query_id").alias("_id")), "_id", "left_anti")
     if there == 0 or short.isEmpty():
         return first
-    # An empty list of buckets stands for all; one table holds every row.
-    cells_of_one = tiles.filter("_table = 0").select(*cell).withColumn("_one", F.lit(0))
-    everywhere = (
-        short.withColumn("_one", F.lit(0)).join(cells_of_one, "_one").drop("_one")
-        .withColumn("_buckets", F.array().cast("array<long>"))
+    everywhere = short.select(
+        F.lit(0).alias("_table"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("_cell"), "_id", "_v",
+        F.array().cast("array<long>").alias("_buckets"),
     )
     again = ranked(compare(everywhere))
     return first.join(short.select(F.col("_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)

@@ -382,6 +382,55 @@ def test_recall_and_order(spark, scale, monkeypatch):
     assert [v for v, _ in found[1020]] == [40, *range(1000, 1009)] or scale
 
 
+def found_by_probes(index, x, queries, k):
+    """Share of the true neighbours in the buckets that queries visit; one without buckets meets all rows."""
+    rows = index.buckets(np.floor(index.slots(index.rows(x))))
+    visits = [collections.defaultdict(set) for _ in rows]
+    for table, (row, code) in zip(visits, index.probes(x[queries])):
+        for r, c in zip(row.tolist(), code.tolist()):
+            table[r].add(c)
+    hit = 0
+    for i, q in enumerate(queries):
+        score = x @ x[q]
+        score[q] = -np.inf
+        for v in np.argsort(-score)[:k]:
+            hit += not any(t[i] for t in visits) or any(codes[v] in t[i] for t, codes in zip(visits, rows))
+    return hit / (k * len(queries))
+
+
+def test_neighbours_are_found_where_buckets_are_too_many_to_follow(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 1)
+    monkeypatch.setattr(ann, "BEAM", 64)
+    x = np.random.default_rng(5).normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, _v array<double>")
+    index = ann.fit(rows, 10)
+    assert index.directions.shape[1] > 0
+    assert found_by_probes(index, x, range(0, 3000, 20), 10) > 0.9
+
+
+def test_queries_short_of_their_buckets_meet_all_rows(spark, monkeypatch):
+    class Short(ann.Index):
+        def probes(self, vectors):  # of a batch, a third has no buckets, a third only one that is empty
+            return [(row[row % 3 > 0], np.where(row % 3 > 1, code, 1)[row % 3 > 0]) for row, code in super().probes(vectors)]
+
+    fit = ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a: Short(**vars(fit(*a))))
+    monkeypatch.setattr(ann, "TILE", 400)
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 1)
+    x = np.random.default_rng(5).normal(size=(1500, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for r in ann.search(vectors, vectors.filter("vec_id % 20 = 0").coalesce(1), 10).orderBy("query_id", "rank").collect():
+        found[r.query_id].append(r.vec_id)
+    exact = 0
+    for q in range(0, 1500, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        exact += found[q] == np.argsort(-score)[:10].tolist()
+    assert len(found) == 75 and exact >= 50
+
+
 # Sharding.
 
 def test_a_further_shard_takes_rows_only_into_itself(spark, docs):
