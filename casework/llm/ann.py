@@ -24,6 +24,8 @@ from casework.llm.shared import kept as stored
 TABLES, SUCCESS, BUCKET_ROWS = 2, 0.78, 256
 #: Rows the index is fitted on, partial buckets followed per query, rows and queries compared at once.
 SAMPLE_ROWS, BEAM, TILE, QUERIES = 4096, 8192, 16384, 128
+#: Queries of a cell compared in one task, about.
+SLICE = 8192
 #: Share of sampled queries whose followed buckets must add up to SUCCESS; the others meet all rows.
 REACHED = 0.99
 #: Cells there are at least, if each gets as many rows: a query's best of every cell are merged, so
@@ -183,7 +185,8 @@ def _matrix(table, d):
 def _nearest(k: int):
     """Best k of a tile's vectors for each of its queries, among the buckets the query visits."""
     def run(left, right):
-        out = {"query_id": [], "vec_id": [], "score": []}
+        names = ("query_id", "vec_id", "score")
+        done = [pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()))})]
         if left.num_rows and right.num_rows:
             d = len(left.column("_v")[0])
             ids = left.column("_id").to_numpy()
@@ -198,7 +201,7 @@ def _nearest(k: int):
             vectors = v[first].astype(np.float64)
             known, bucket = np.unique(codes[first], return_inverse=True)
             q_ids = right.column("_id").to_numpy()
-            q = _matrix(right, d).astype(np.float64)
+            q = _matrix(right, d)
             lists = right.column("_buckets").combine_chunks()
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             for a in range(0, len(q), QUERIES):
@@ -210,7 +213,8 @@ def _nearest(k: int):
                 visits = np.zeros((b - a, len(known)), bool)
                 visits[owner[hit], at[hit]] = True
                 visits[np.diff(ends[a : b + 1]) == 0] = True  # no list: all buckets
-                score = np.where(visits[:, bucket], q[a:b] @ vectors.T, -np.inf)
+                asked, out = q[a:b].astype(np.float64), {n: [] for n in names}
+                score = np.where(visits[:, bucket], asked @ vectors.T, -np.inf)
                 keep = min(k + 1, len(vectors))  # one of them may be the query's own
                 least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
                 for i, j in zip(*np.nonzero((score >= (least - 1e-9)[:, None]) & (score > -np.inf))):
@@ -218,11 +222,9 @@ def _nearest(k: int):
                     mine = mine[mine != q_ids[a + i]][:k]
                     out["query_id"] += [q_ids[a + i]] * len(mine)
                     out["vec_id"] += mine.tolist()
-                    out["score"] += [float((q[a + i] * vectors[j]).sum())] * len(mine)
-        return pa.table(
-            {"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()),
-             "score": pa.array(out["score"], pa.float64())}
-        )
+                    out["score"] += [float((asked[i] * vectors[j]).sum())] * len(mine)
+                done.append(pa.table({n: pa.array(out[n], done[0].schema.field(n).type) for n in names}))
+        return pa.concat_tables(done)
 
     return run
 
@@ -235,8 +237,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     side; neither do rows without an id. Rows that repeat an id count with their best score.
 
     Rows are dealt out by bucket, in cells of at most about TILE rows; a cell that holds more (copies of a
-    vector share a bucket) is cut into tiles. A query goes to a tile once, with the buckets it
-    visits there. Every tile returns its ``k`` best. Queries that found too little, or whose buckets
+    vector share a bucket) is cut into tiles. The queries of a cell are cut into slices, each of which
+    meets every tile of it. A query goes to a tile once, with the buckets it visits there. Every tile returns its ``k`` best. Queries that found too little, or whose buckets
     would be too many to follow, are compared with all rows.
     """
     def clean(df):
@@ -304,9 +306,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     tile = [*cell, "_tile"]
     tiled = placed.join(tiles, cell).withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int")).drop("_tiles")
 
-    def compare(visits):
+    def compare(visits, n):
+        """Best of every tile for the queries of ``visits``, which come from ``n`` queries."""
         to = visits.join(tiles, cell).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).drop("_tiles")
-        return tiled.groupBy(*tile).cogroup(to.groupBy(*tile)).applyInArrow(_nearest(k), shape)
+        among, keys = tiled, tile
+        if n > SLICE:  # no cell has more queries than there are; only then are they counted
+            slices = visits.groupBy(*cell).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("_slices"))
+            among = among.join(slices, cell).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+            to = to.join(slices, cell).withColumn("_slice", F.pmod(F.xxhash64("_id"), F.col("_slices")).cast("int")).drop("_slices")
+            keys = [*tile, "_slice"]
+        return among.groupBy(*keys).cogroup(to.groupBy(*keys)).applyInArrow(_nearest(k), shape)
 
     def ranked(found):
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -316,15 +325,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             .select("query_id", "rank", "vec_id", "score")
         )
 
-    first = stored(ranked(compare(visits)))
+    first = stored(ranked(compare(visits, asked.count())))
     there = min(k, max(0, rows.select("_id").distinct().limit(k + 1).count() - 1))
     enough = first.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= there)
     short = asked.join(enough.select(F.col("query_id").alias("_id")), "_id", "left_anti")
-    if there == 0 or short.isEmpty():
+    lacking = short.count() if there else 0
+    if not lacking:
         return first
     everywhere = short.select(
         F.lit(0).alias("_table"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("_cell"), "_id", "_v",
         F.array().cast("array<long>").alias("_buckets"),
     )
-    again = ranked(compare(everywhere))
+    again = ranked(compare(everywhere, lacking))
     return first.join(short.select(F.col("_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)

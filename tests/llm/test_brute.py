@@ -431,6 +431,37 @@ def test_queries_short_of_their_buckets_meet_all_rows(spark, monkeypatch):
     assert len(found) == 75 and exact >= 50
 
 
+@pytest.mark.parametrize("short", [False, True])
+def test_queries_of_a_cell_are_cut_into_slices(spark, monkeypatch, short):
+    class Short(ann.Index):
+        def probes(self, vectors):  # all find nothing at first
+            return [(row, code * 0 + 1) for row, code in super().probes(vectors)]
+
+    monkeypatch.setattr(ann, "SLICE", 40, raising=False)
+    x = np.random.default_rng(5).normal(size=(1200, 8))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = vectors.filter("vec_id % 3 = 0")
+    fit, nearest = ann.fit, ann._nearest
+    if short:
+        monkeypatch.setattr(ann, "fit", lambda *a: Short(**vars(fit(*a))))
+    whole = ann.search(vectors, queries, 5).collect()
+
+    def bounded(k):
+        run = nearest(k)
+
+        def checked(left, right):
+            assert right.num_rows <= 80
+            return run(left, right)
+
+        return checked
+
+    monkeypatch.setattr(ann, "_nearest", bounded)
+    assert sorted(ann.search(vectors, queries, 5).collect()) == sorted(whole) and len(whole) == 2000
+    monkeypatch.setattr(ann, "SLICE", 1 << 20)
+    monkeypatch.setattr(ann, "_nearest", nearest)
+    assert sorted(ann.search(vectors, queries, 5).collect()) == sorted(whole)
+
+
 # Sharding.
 
 def test_a_further_shard_takes_rows_only_into_itself(spark, docs):
