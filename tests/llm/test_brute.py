@@ -398,6 +398,15 @@ def found_by_probes(index, x, queries, k):
     return hit / (k * len(queries))
 
 
+def test_recall_without_structure(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", 64)
+    x = np.random.default_rng(5).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = ann.fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id long, _v array<double>"), 20)
+    assert index.directions.shape[1] == 3
+    assert found_by_probes(index, x, range(0, 4000, 10), 20) > 0.98
+
+
 def test_neighbours_are_found_where_buckets_are_too_many_to_follow(spark, monkeypatch):
     monkeypatch.setattr(ann, "BUCKET_ROWS", 1)
     monkeypatch.setattr(ann, "BEAM", 64)
