@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model from the labelled rows outside the held-out fold; runs a job.
 
     It is fitted on a bounded sample: of each class the first ``sample_rows`` rows in a seeded
-    order, as far as their texts make up ``sample_bytes``. Null labels, labels other than 0 and 1
+    order, without texts that are longer than what is left of ``sample_bytes``. A row
+    that repeats id and text counts once. Null labels, labels other than 0 and 1
     and rows labelled both ways are not learnt from; without one of the classes every text gets
     the share of label 1 as its score, without any label 0.5.
     """
@@ -140,14 +141,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = first[0].unionByName(first[1])
     counts = known.groupBy("_y").agg(F.count("*").alias("_n"))
     texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    before = Window.partitionBy("_y").orderBy("_h", "_id", "_text")
-    sample = (  # at most 2 * sample_rows ids, and two rows of counts
-        texts.join(F.broadcast(chosen), "_id").join(F.broadcast(counts), "_y")
-        .withColumn("_sum", F.sum(F.octet_length("_text").cast("long")).over(before))
-        .withColumn("_place", F.row_number().over(before))
-        .filter((F.col("_sum") <= sample_bytes) & (F.col("_place") <= sample_rows) | (F.col("_place") == 1))
-        .select("_y", "_h", "_id", "_n", "_text")
-    )
+    listed = texts.join(F.broadcast(chosen), "_id").join(F.broadcast(counts), "_y").withColumn("_key", F.xxhash64("_text"))
+
+    def fitting(rows):
+        """Of each class, the rows that fit into the bytes left by those before; the first if none does."""
+        rows = rows.sort_values(["_y", "_h", "_id", "_key"])
+        some = []
+        for _, own in rows.groupby("_y"):
+            left, taken = sample_bytes, []
+            for i, size in zip(own.index, own["_size"]):
+                if size <= left and len(taken) < sample_rows:
+                    left -= size
+                    taken.append(i)
+            some += taken or list(own.index[:1])
+        return rows.loc[some, ["_id", "_key"]]
+
+    # Ids and sizes of at most 2 * sample_rows ids, before their texts.
+    sizes = listed.select("_y", "_h", "_id", "_key", F.octet_length("_text").cast("long").alias("_size")).distinct()
+    fits = sizes.groupBy().applyInPandas(fitting, T.StructType([sizes.schema["_id"], sizes.schema["_key"]]))
+    sample = listed.join(F.broadcast(fits), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).select("_y", "_h", "_id", "_n", "_text")
 
     def run(rows):
         rows = rows.sort_values(["_y", "_h", "_id", "_text"])

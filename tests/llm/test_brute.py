@@ -596,3 +596,16 @@ def test_registered_digests(spark):
         )
     for r in QUERIES["op9_sharding"](spark, SF).collect():
         assert r.text_crc32 == zlib.crc32(dict(texts)[r.doc_id].encode()) and r.law == "key"
+
+
+def test_a_long_text_leaves_room_in_the_sample(spark):
+    rng = random.Random(6)
+    kinds = ["river stone meadow forest autumn".split(), "click buy cheap offer winner".split()]
+    ids = spark.range(120).filter(~quality.held_out("id")).orderBy(F.xxhash64(F.lit(42), F.col("id"))).collect()
+    first = next(r.id for r in ids if r.id % 2)
+    texts = [(i, " ".join(rng.choices(kinds[i % 2], k=4000 if i == first else 40))) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = quality.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")), sample_bytes=16000)
+    score = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+    good, bad = ([score[i] for i in range(k, 120, 2) if i != first] for k in (1, 0))
+    assert model.good and np.mean(good) > np.mean(bad) + 0.5
