@@ -109,31 +109,30 @@ def _packed(batches):
 
 
 def _confirm(share):
-    """Overlap of a centre with each document of its group."""
+    """Whether a centre, by any of its texts, is linked with each text of its group."""
     def run(table):
         table = table.combine_chunks()
         unpack = zstandard.ZstdDecompressor().decompress
         raw = [unpack(z) for z in table.column("_z").to_pylist()]
         centre = table.column("_centre").to_numpy()
         ids = table.column("_id").to_numpy()
-        first = int(np.flatnonzero(centre)[0])
-        own, _ = shingle_sets(np.frombuffer(raw[first], np.uint8), np.array([0, len(raw[first])]))
+        firsts = np.flatnonzero(centre)  # the texts of the centre
         offsets = np.cumsum([0, *map(len, raw)])
         whole = np.frombuffer(b"".join(raw), np.uint8)
-        b, shared, size = [], [], []
+        linked = np.zeros(len(raw), bool)
+        owns = [shingle_sets(np.frombuffer(raw[i], np.uint8), np.array([0, len(raw[i])]))[0] for i in firsts]
         for x, y in words.pieces(offsets):
             hashes, at = shingle_sets(whole[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
-            place = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
-            hit = np.r_[0, np.cumsum(own[place] == hashes)]
-            both = hit[at[1:]] - hit[at[:-1]]
-            for i in range(x, y):
-                if not centre[i]:
-                    n = int(both[i - x])
-                    b.append(ids[i])
-                    shared.append(100 * n >= share * (len(own) + int(at[i - x + 1] - at[i - x]) - n))
-        m = len(b)
+            for own in owns:
+                if not len(own):
+                    continue
+                place = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+                hit = np.r_[0, np.cumsum(own[place] == hashes)]
+                both = hit[at[1:]] - hit[at[:-1]]
+                linked[x:y] |= 100 * both >= share * (len(own) + np.diff(at) - both)
+        b = np.flatnonzero(~centre)
         return pa.table({
-            "a": pa.array(np.full(m, ids[first]), pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(shared, pa.bool_()),
+            "a": pa.array(np.full(len(b), ids[firsts[0]]), pa.int64()), "b": pa.array(ids[b], pa.int64()), "linked": pa.array(linked[b], pa.bool_()),
         })
 
     return run
@@ -260,7 +259,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     shared = keys.groupBy("key").agg(F.count("*").alias("_c")).filter("_c > 1").select("key")
     buckets = stored(keys.join(shared, "key").select("key", F.col("_id").alias("id")))
     candidates = buckets.select(F.col("id").alias("_id")).distinct()
-    texts = stored(source.mapInArrow(_packed, "_id long, _z binary").join(candidates, "_id", "left_semi").dropDuplicates(["_id"]))
+    # An id with several texts is compared by each of them.
+    texts = stored(source.mapInArrow(_packed, "_id long, _z binary").join(candidates, "_id", "left_semi").dropDuplicates(["_id", "_z"]))
 
     # Rows that repeat an id with another text link their nodes from the start.
     members = sets.join(node, ["_f", "_g", "_n"]).select("_id", "_node")

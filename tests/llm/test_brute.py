@@ -609,3 +609,13 @@ def test_a_long_text_leaves_room_in_the_sample(spark):
     score = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
     good, bad = ([score[i] for i in range(k, 120, 2) if i != first] for k in (1, 0))
     assert model.good and np.mean(good) > np.mean(bad) + 0.5
+
+
+def test_an_id_with_two_texts_is_linked_by_each(spark):
+    one, two = ([f"{kind}{i}" for i in range(200)] for kind in "xy")
+    near = lambda words: " ".join([*words[:100], "changed", *words[101:]])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (5, ""), (7, near(one)), (8, near(two)), (3, "some thing else " * 20), (2, near(two[::-1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.n_shingles > 0): r.component_id for r in minhash.grouped(df).collect()}
+    assert {k[0]: c for k, c in found.items() if k[1]} == {5: 5, 7: 5, 8: 5, 3: 3, 2: 2}
+    assert minhash.grouped(df).filter("doc_id = 7 OR doc_id = 8").filter("kept").count() == 0
