@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import ann, bpe, lm, minhash, mixing, pii, quality, rules, sharding, suffix
+from casework.llm import ann, bpe, lm, merkle, minhash, mixing, pii, quality, rules, sharding, suffix
 
 QUERIES, ORACLE = {}, {}
 
@@ -171,3 +171,78 @@ SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS epoch, domain, lang, sour
 
 
 ORACLE["op4_mixing"] = _mixing_sql()
+
+
+@query
+def op13_merkle(spark, sf):
+    docs = table(spark, sf, "documents")
+
+    def leaf(n_chars):
+        return merkle.digest(*[F.col(c) for c in ("doc_id", "source", "lang")], n_chars, F.col("text"))
+
+    # One row in seven gets its length raised by one after the manifest was made.
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    raised = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    rows = docs.select(
+        "doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(touched, leaf(raised)).alias("changed")
+    )
+    done = merkle.manifest(rows, "leaf", "doc_id", "lang")
+    return done.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"),
+        merkle.folded(F.coalesce("changed", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(levels=24):
+    """The same by one grouping per level; ``levels`` suffice for 2 ** levels leaves of a language."""
+    def framed(c):
+        return f"coalesce(strlen({c}) || ':' || {c}, '-')"
+
+    def leaf(n_chars):
+        values = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+        return "sha256(" + " || ".join(framed(v) for v in values) + ")"
+
+    def tree(prefix, start):
+        out = [f"{prefix}0 AS ({start})"]
+        for n in range(levels):
+            out.append(
+                f"{prefix}{n + 1} AS (SELECT g, i // 2 AS i, (any_value(size) + 1) // 2 AS size, "
+                f"CASE WHEN any_value(size) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h "
+                f"FROM {prefix}{n} GROUP BY g, i // 2)"
+            )
+        return out
+
+    def climb(prefix, start):
+        out = [f"{prefix}p0 AS ({start})"]
+        for n in range(levels):
+            out.append(
+                f"{prefix}p{n + 1} AS (SELECT p.* REPLACE (p.i // 2 AS i, "
+                f"CASE WHEN s.size > 1 THEN p.proof || coalesce(o.h, '') ELSE p.proof END AS proof, "
+                f"CASE WHEN s.size = 1 THEN p.f WHEN p.i % 2 = 0 THEN sha256(p.f || coalesce(o.h, '')) ELSE sha256(o.h || p.f) END AS f) "
+                f"FROM {prefix}p{n} p JOIN {prefix}{n} s ON p.g = s.g AND p.i = s.i "
+                f"LEFT JOIN {prefix}{n} o ON p.g = o.g AND o.i = xor(p.i, 1))"
+            )
+        return out
+
+    # Checksum of a few bytes, bit by bit.
+    crc = (
+        "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, strlen({0}) + 1), "
+        "lambda k: CAST(ascii({0}[k]) AS BIGINT))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), "
+        "lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+    ).format("CAST(doc_id AS VARCHAR)")
+    parts = [
+        f"d AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {leaf('n_chars')} AS leaf, "
+        f"CASE WHEN {crc} % 7 = 0 THEN {leaf('(n_chars + 1)')} END AS changed FROM documents)",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS n FROM d)",
+        *tree("a", "SELECT g, n AS i, count(*) OVER (PARTITION BY g) AS size, leaf AS h FROM r"),
+        f"k AS (SELECT g AS key, h, row_number() OVER (ORDER BY g) - 1 AS n FROM a{levels})",
+        *tree("b", "SELECT '' AS g, n AS i, count(*) OVER () AS size, h FROM k"),
+        *climb("a", "SELECT doc_id, leaf, g, n AS i, g AS key, '' AS proof, coalesce(changed, leaf) AS f FROM r"),
+        *climb("b", f"SELECT p.* REPLACE ('' AS g, k.n AS i), k.h AS subroot FROM ap{levels} p JOIN k USING (key)"),
+    ]
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, b{levels}.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = b{levels}.h AS verified
+FROM bp{levels} JOIN b{levels} ON true"""
+
+
+ORACLE["op13_merkle"] = _merkle_sql()

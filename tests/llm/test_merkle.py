@@ -1,0 +1,86 @@
+"""Manifests against a plain tree."""
+
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from casework.llm import merkle
+from casework.llm.queries import QUERIES
+from tests.conftest import SF
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def framed(*values):
+    return sha(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+
+def tree(leaves, fanout):
+    """The root, and for every leaf its (left, right) siblings level by level."""
+    proofs, at, nodes = [[] for _ in leaves], list(range(len(leaves))), list(leaves)
+    while len(nodes) > 1:
+        runs = [nodes[i : i + fanout] for i in range(0, len(nodes), fanout)]
+        for k, p in enumerate(at):
+            run, slot = runs[p // fanout], p % fanout
+            proofs[k].append(("".join(run[:slot]), "".join(run[slot + 1 :])))
+            at[k] = p // fanout
+        nodes = [sha(*run) for run in runs]
+    return nodes[0], proofs
+
+
+def plain(rows, fanout):
+    """(id, lang, leaf) -> sorted (id, lang, leaf, subroot, root, proof)."""
+    langs = sorted({r[1] for r in rows}, key=lambda g: (g is not None, (g or "").encode()))
+    groups = [sorted((r for r in rows if r[1] == g), key=lambda r: (r[0] is not None, r[0] or 0, r[2])) for g in langs]
+    trees = [tree([r[2] for r in g], fanout) for g in groups]
+    root, tops = tree([t[0] for t in trees], fanout)
+    return [
+        (*r, sub, root, tuple(p + top))
+        for g, (sub, proofs), top in zip(groups, trees, tops) for r, p in zip(g, proofs)
+    ]
+
+
+@pytest.mark.parametrize("fanout,levels", [(2, 3), (2, 8), (3, 2), (5, 1)])
+def test_trees_of_any_fanout(spark, fanout, levels):
+    sizes = {"a": 1, "b": 2, None: 7, "é": 64, "": 65, "z": 150}
+    rows = [(i, g, sha(str(g), str(i))) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, lang string, leaf string").repartition(5)
+    got = merkle.manifest(df, "leaf", "id", "lang", fanout, levels).collect()
+    assert sorted(map(str, [(*r[:5], tuple(map(tuple, r.proof))) for r in got])) == sorted(map(str, plain(rows, fanout)))
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(None, "en", "x" * 64), (3, "en", "y" * 64), (3, "en", "y" * 64), (3, "en", "a" * 64), (None, None, "b" * 64)]
+    df = spark.createDataFrame(rows, "id long, lang string, leaf string")
+    got = merkle.manifest(df, "leaf", "id", "lang").collect()
+    assert sorted(map(str, [(*r[:5], tuple(map(tuple, r.proof))) for r in got])) == sorted(map(str, plain(rows, 2)))
+    assert merkle.manifest(df.limit(0), "leaf", "id", "lang").collect() == []
+
+
+def test_awkward_documents(spark, messy):
+    """Nulls in any column, empty and long texts, repeated rows; columns with the operator's names survive."""
+    leaf = merkle.digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    rows = messy.select("*", leaf.alias("leaf"), F.lit(1).alias("_g"), F.lit(2).alias("_row"), F.lit(3).alias("_r"))
+    got = merkle.manifest(rows, "leaf", "doc_id", "lang").collect()
+    want = [(r.doc_id, r.lang, framed(r.doc_id, r.source, r.lang, r.n_chars, r.text)) for r in messy.collect()]
+    assert sorted(map(str, [(r.doc_id, r.lang, r.leaf, r.subroot, r.root, tuple(map(tuple, r.proof))) for r in got])) == sorted(map(str, plain(want, 2)))
+    assert {(r["_g"], r["_row"], r["_r"]) for r in got} == {(1, 2, 3)}
+
+
+def test_tampered_rows_are_found(spark):
+    rows = {r.doc_id: r for r in QUERIES["op13_merkle"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(rows) == len(docs)
+    plainly = {r[0]: r for r in plain([(d.doc_id, d.lang, framed(d.doc_id, d.source, d.lang, d.n_chars, d.text)) for d in docs], 2)}
+    for d in docs:
+        r, (_, _, leaf, subroot, root, proof) = rows[d.doc_id], plainly[d.doc_id]
+        assert (r.leaf, r.subroot, r.root, r.proof_sha256) == (leaf, subroot, root, sha(*[a + b for a, b in proof]))
+        hit = zlib.crc32(str(d.doc_id).encode()) % 7 == 0
+        h = framed(d.doc_id, d.source, d.lang, d.n_chars + 1, d.text) if hit else leaf
+        for left, right in proof:
+            h = sha(left, h, right)
+        assert r.folded_root == h and r.verified == (not hit)
