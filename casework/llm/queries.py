@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from casework.llm import ann, bpe, lm, merkle, minhash, mixing, pii, quality, rules, sharding, suffix
+from casework.llm import (
+    ann, bpe, lexical, lm, merkle, minhash, mixing, order_minhash, pii, quality, rules, sharding, suffix,
+)
 
 QUERIES, ORACLE = {}, {}
 
@@ -173,6 +175,34 @@ SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS epoch, domain, lang, sour
 ORACLE["op4_mixing"] = _mixing_sql()
 
 
+@query
+def op11_lexical(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
+
+
+def _lexical_sql():
+    found = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {found} AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms)) AS words FROM d WHERE len(terms) > 0),
+m AS (SELECT doc_id, 75 + (25 * len(terms) * docs) // words AS m FROM d, s WHERE len(terms) > 0),
+t AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({found}) AS term FROM benchmark) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN t USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 20"""
+
+
+ORACLE["op11_lexical"] = _lexical_sql()
+
+
+@query
+def op12_order_minhash(spark, sf):
+    return order_minhash.compared(table(spark, sf, "documents"))
+
+
 @query
 def op13_merkle(spark, sf):
     docs = table(spark, sf, "documents")
