@@ -3,12 +3,12 @@
 Each micro-batch writes its own ``run=.../batch_id=N`` directory with overwrite, so a batch
 replayed after a failure replaces its earlier output: together with the source's checkpoint every
 input row takes effect exactly once. ``run`` is the id Spark keeps in the checkpoint; a stream
-started on a new checkpoint counts its batches anew and must not touch older output.
+started on a new checkpoint counts its batches anew and must not touch older output. ``batches`` says
+which directories a batch has to open, and merges small ones.
 """
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from casework.operators import triage
 from casework.operators.threads import build_knowledge_base
 from casework.sources import schemas
 from casework.sources.tables import add_missing
+from casework.streaming import batches
 
 #: Read what is there and stop. Give for example {"processingTime": "1 minute"} to keep running.
 ALL_THEN_STOP = {"availableNow": True}
@@ -47,20 +48,16 @@ def _place(batch: DataFrame, checkpoint: str, batch_id: int) -> tuple:
     return batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id, batch_id
 
 
-def _write(batch: DataFrame, path: str, place: tuple) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/run={place[0]}/batch_id={place[1]}")
+def _write(batch: DataFrame, path: str, place: tuple, id_column: str | None = None) -> None:
+    batches.write(batch, path, place, id_column)
 
 
-def _earlier(path: str, place: tuple, column: str, like: DataFrame):
-    """Ids stored by other batches. A replayed batch does not see its own first output."""
-    try:
-        stored = like.sparkSession.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return like.select(column).limit(0)
-    own = (F.col("run") == place[0]) & (F.col("batch_id") == place[1])
-    return stored.filter(~own).select(column)
+def _earlier(path: str, place: tuple, column: str, ids: DataFrame) -> DataFrame:
+    """Ids stored by those other batches that may hold one of ``ids``, by the batches' filters. A
+    replayed batch does not see its own first output."""
+    spark = ids.sparkSession
+    places = batches.holding(spark, path, ids.select(column), besides=place)
+    return batches.read(spark, path, f"{column} string", places)
 
 
 def _unseen(batch: DataFrame, stored: DataFrame, column: str) -> DataFrame:
@@ -123,7 +120,7 @@ def evaluate_stream(
 
     def each(batch: DataFrame, batch_id: int):
         place = _place(batch, checkpoint, batch_id)
-        once = triage.one_per_thread(add_missing(batch, schemas.LABEL_COLUMNS))
+        once = triage.one_per_thread(add_missing(batch, schemas.LABEL_COLUMNS)).persist()
         done = _earlier(f"{out}/results", place, "thread_id", once)
         open_rows = triage.checked_messages(_unseen(once, done, "thread_id"), limit=None).persist()
         try:
@@ -133,14 +130,15 @@ def evaluate_stream(
             def results(rows):
                 return triage.evaluation_rows(rows, open_rows).select(schemas.RESULTS.names)
 
-            _write_decided(triage.valid_messages(open_rows), answer, out, "results", place, results)
+            _write_decided(triage.valid_messages(open_rows), answer, out, "results", place, results, "thread_id")
         finally:
             open_rows.unpersist()
+            once.unpersist()
 
     return _start(golden, each, checkpoint, trigger)
 
 
-def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tuple, shape) -> None:
+def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tuple, shape, id_column=None) -> None:
     """Answer and decide one batch. Answers are stored before use, so that a lost executor asks
     nobody twice; decisions are kept while two tables are written from them."""
     given = answer(messages).select(F.col("id").cast("string").alias("id"), "answer", "error")
@@ -149,7 +147,7 @@ def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tupl
     given = messages.sparkSession.read.schema(schemas.ANSWERS).parquet(path)
     rows = triage.triage_batch(messages, given).persist()
     try:
-        _write(shape(rows.filter(F.col("error").isNull())), f"{out}/{good}", place)
+        _write(shape(rows.filter(F.col("error").isNull())), f"{out}/{good}", place, id_column)
         failed = rows.filter(F.col("error").isNotNull()).select("thread_id", "error")
         _write(failed, f"{out}/failures", place)
     finally:
@@ -161,7 +159,10 @@ def kb_stream(threads: DataFrame, out: str, checkpoint: str, trigger: dict = ALL
 
     def each(batch: DataFrame, batch_id: int):
         place = _place(batch, checkpoint, batch_id)
-        kb = build_knowledge_base(batch)
-        _write(_unseen(kb, _earlier(out, place, "id", kb), "id"), out, place)
+        kb = build_knowledge_base(batch).persist()
+        try:
+            _write(_unseen(kb, _earlier(out, place, "id", kb), "id"), out, place, "id")
+        finally:
+            kb.unpersist()
 
     return _start(threads, each, checkpoint, trigger)
