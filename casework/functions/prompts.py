@@ -29,7 +29,10 @@ class Templates:
 
 
 def filled(template: str, required, **parts) -> Column:
-    """The template as a column, with ``parts`` (columns or texts) in the places named after them."""
+    """The template as a column, with ``parts`` (columns or texts) in the places named after them.
+
+    A null part is an empty text, so that no request is ever null.
+    """
     names = re.findall(r"\{(%s)\}" % "|".join(parts), template)
     missing = set(required) - set(names)
     if missing:
@@ -38,7 +41,7 @@ def filled(template: str, required, **parts) -> Column:
     out = [F.lit(texts[0])]
     for name, text in zip(names, texts[1:]):
         part = parts[name]
-        out += [F.lit(part) if isinstance(part, str) else part, F.lit(text)]
+        out += [F.lit(part) if isinstance(part, str) else F.coalesce(part, F.lit("")), F.lit(text)]
     return F.concat(*out)
 
 

@@ -13,6 +13,19 @@ def label_queue(golden: DataFrame) -> DataFrame:
     return golden.filter(F.col("true_intent").isNull())
 
 
+def latest_labels(events: DataFrame, by: str = "thread_id") -> DataFrame:
+    """The latest valid event of each id: id, ``seq``, ``code``, ``escalate``, ``reason``.
+
+    Events with an unknown code are not answers. Of several with the same number the greatest (code, escalate, reason) counts.
+    """
+    order = [F.col(c).desc_nulls_last() for c in ("seq", "code", "escalate", "reason")]
+    return first_per_key(events.filter(valid_label()), [by], order).select(by, "seq", "code", "escalate", "reason")
+
+
+def valid_label(code: str = "code"):
+    return F.coalesce(F.col(code).isin(list(terms.LABEL_CODES)), F.lit(False))
+
+
 def apply_labels(golden: DataFrame, events: DataFrame, by: str = "thread_id") -> DataFrame:
     """Fill unlabelled golden rows from a log (id, seq, code, escalate, reason).
 
@@ -20,8 +33,7 @@ def apply_labels(golden: DataFrame, events: DataFrame, by: str = "thread_id") ->
     Rows that already have an intent keep all their labels.
     """
     code = F.create_map(*[F.lit(x) for kv in terms.LABEL_CODES.items() for x in kv])
-    answers = events.withColumn("_intent", F.element_at(code, F.col("code")))
-    latest = first_per_key(answers.filter(F.col("_intent").isNotNull()), [by], [F.desc("seq")])
+    latest = latest_labels(events, by).withColumn("_intent", F.element_at(code, F.col("code")))
     yes = F.coalesce(F.lower("escalate") == "y", F.lit(False))
     new = latest.select(
         by,

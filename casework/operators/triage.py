@@ -79,7 +79,8 @@ def score_batches(
     answer row (id, answer, error) comes back per request, failures included, so nothing is
     lost. Retries and pacing belong to the scorer. A lost executor repeats its partitions:
     write the answers to a table before using them twice. ``partitions`` spreads the requests
-    of a few input files over that many parallel callers.
+    of a few input files over that many parallel callers. A request without a prompt is a failure
+    of its own and is not sent.
     """
     requests = requests.select("id", "prompt")
     if partitions is not None:
@@ -89,12 +90,16 @@ def score_batches(
         for frame in frames:
             for at in range(0, len(frame), batch_rows):
                 part = frame.iloc[at : at + batch_rows]
+                sent = part["prompt"].notna()
+                prompts = part["prompt"][sent].tolist()
                 try:
-                    given = list(scorer(part["prompt"].tolist()))
-                    if len(given) != len(part):
-                        raise ValueError(f"{len(given)} answers to {len(part)} requests")
+                    found = list(scorer(prompts)) if prompts else []
+                    if len(found) != len(prompts):
+                        raise ValueError(f"{len(found)} answers to {len(prompts)} requests")
                 except Exception as e:
-                    given = [e] * len(part)
+                    found = [e] * len(prompts)
+                rest = iter(found)
+                given = [next(rest) if there else ValueError("no prompt") for there in sent]
                 failed = [isinstance(g, Exception) for g in given]
                 yield pd.DataFrame(
                     {

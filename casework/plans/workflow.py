@@ -10,11 +10,12 @@ from casework.functions.answers import parse_answers, parse_judgements
 from casework.functions.prompts import Templates
 from casework.functions.text import has_reply
 from casework.operators import triage
+from casework.operators.numbering import numbered
 from casework.operators.seeded import golden_split
 from casework.operators.threads import build_knowledge_base, extract_threads, leakage_audit
-from casework.sources import schemas
+from casework.sources import schemas, versions
 from casework.sources.tables import (
-    add_missing, append_table, read_table, require_columns, write_knowledge_base, write_split,
+    add_missing, append_table, read_table, require_columns, shared_folder, stored, write_knowledge_base, write_split,
     write_table,
 )
 
@@ -56,19 +57,22 @@ def base_leaks(golden: DataFrame, kb: DataFrame) -> DataFrame:
 
 def evaluate(
     spark: SparkSession, golden: DataFrame, classifier, templates: Templates, path: str, find=None,
-    kb: DataFrame | None = None, writer=None, judge=None,
+    kb: DataFrame | None = None, writer=None, judge=None, batch_rows: int = 200, callers: int | None = None,
 ) -> DataFrame:
     """Score every golden row that has no result yet, append the results and return all of them.
 
     Texts of any length are scored. Rows without a text go to ``path/rejects`` with the reason
-    and stay pending.
+    and stay pending, rows without a usable answer to ``path/failures`` with the error; both tables are of the last run.
 
     ``classifier``, ``writer`` and ``judge`` are batch functions as for ``score_batches``;
     ``find`` maps the auto-handled rows to their past issues (q, n, rk) in ``kb``, so escalated
-    messages are never searched for. Answers are appended to tables before they are used: a run
-    that breaks off asks again only what has no usable answer. Judgements are appended to a table of
+    messages are never searched for. Answers are appended to tables before they are used, a slice of
+    ``batch_rows`` for each of ``callers`` tasks (by default as many as run at once) at a time: a run
+    that breaks off, however, loses at most the batch that each task was at, and the next one asks only what has no
+    usable answer. Judgements are appended to a table of
     their own, so each run judges replies that no run has judged; results come back with all scores.
     """
+    ask = Asking(batch_rows, callers or spark.sparkContext.defaultParallelism)
     require_columns(golden, schemas.REQUIRED["golden"])
     results, answers = f"{path}/results", f"{path}/answers"
     done = read_table(spark, results, schemas.RESULTS)
@@ -78,7 +82,7 @@ def evaluate(
     write_table(rejects, f"{path}/rejects", "overwrite")
 
     requests = triage.classification_requests(messages, templates.classify)
-    given = _ask(requests, classifier, f"{answers}/classify", _parsed)
+    given = ask(requests, classifier, f"{answers}/classify", _parsed)
     decided, neighbours = triage.triage_batch(messages, given), None
     handled = decided.filter(F.col("status") == terms.AUTO_HANDLED)
     if find is not None:
@@ -90,8 +94,11 @@ def evaluate(
             requests = triage.reply_requests(handled, None, templates.reply)
         else:
             requests = triage.triage_replies(decided, neighbours, kb, templates.reply)
-        drafted = _ask(requests, writer, f"{answers}/reply", _written)
+        drafted = ask(requests, writer, f"{answers}/reply", _written)
     decided = triage.triage_batch(messages, given, neighbours, drafted)
+    errors = _one_error(read_table(spark, f"{answers}/classify", schemas.ANSWERS), given)
+    failed = decided.filter(F.col("error").isNotNull()).select("thread_id", "error").join(errors, "thread_id", "left")
+    write_table(failed.select("thread_id", F.coalesce("_said", "error").alias("error")), f"{path}/failures", "overwrite")
     append_table(triage.evaluation_rows(decided, golden).select(schemas.RESULTS.names), results)
     if judge is not None:
         run_judge(read_table(spark, results, schemas.RESULTS), judge, templates.judge, path)
@@ -104,6 +111,17 @@ def evaluated(spark: SparkSession, path: str) -> DataFrame:
     return triage.apply_judgements(results, read_table(spark, f"{path}/judgements", schemas.JUDGEMENTS))
 
 
+def publish(spark: SparkSession, path: str) -> int:
+    """Make a version of the results with their judgements in ``path/judged``; returns its number.
+
+    Readers (``versions.read``) see the table before or after, never half of it. Of two that publish at
+    once the second raises ``versions.Outdated`` and leaves the table as it is.
+    """
+    table = f"{path}/judged"
+    based_on = versions.latest(spark, table)
+    return versions.replace(evaluated(spark, path), table, based_on)
+
+
 def _parsed(answers: DataFrame) -> DataFrame:
     return parse_answers(answers.drop("error")).filter(F.col("error").isNull()).select("id", "answer", "error")
 
@@ -112,12 +130,47 @@ def _written(answers: DataFrame) -> DataFrame:
     return answers.filter(has_reply("answer"))
 
 
-def _ask(requests: DataFrame, scorer, path: str, usable) -> DataFrame:
-    """Usable answers to the requests; only those without one are asked for."""
-    spark = requests.sparkSession
-    have = usable(read_table(spark, path, schemas.ANSWERS)).select("id").distinct()
-    append_table(triage.score_batches(requests.join(have, "id", "left_anti"), scorer), path)
-    return usable(read_table(spark, path, schemas.ANSWERS))
+def _one_error(answers: DataFrame, usable: DataFrame) -> DataFrame:
+    """What was wrong with the answers to requests that have no usable one; the greatest text of several."""
+    parsed = parse_answers(answers.withColumnRenamed("error", "_failure"))
+    said = parsed.join(usable.select("id"), "id", "left_anti").groupBy(F.col("id").alias("thread_id"))
+    return said.agg(F.max(F.coalesce("_failure", "error")).alias("_said"))
+
+
+@dataclass(frozen=True)
+class Asking:
+    """Puts requests to a batch function in slices; every slice is stored before the next one begins.
+
+    The open requests are written once, dealt into slices of ``batch_rows * callers`` rows. Each slice is a
+    job of its own whose answers are appended, so what was answered is never asked for again, whether an
+    executor, the scorer or the driver dies.
+    """
+
+    batch_rows: int
+    callers: int
+
+    def __call__(self, requests: DataFrame, scorer, path: str, usable) -> DataFrame:
+        """Usable answers to the requests; only those without one are asked for."""
+        spark = requests.sparkSession
+        have = usable(read_table(spark, path, schemas.ANSWERS)).select("id").distinct()
+        open_ = stored(requests.join(have, "id", "left_anti").select("id", "prompt"), "requests")
+        rows = open_.count()
+        slices = -(-rows // (self.batch_rows * self.callers))
+        if slices == 1:
+            self.save(open_, scorer, path)
+        elif slices:
+            folder = shared_folder(spark, "slices")
+            dealt = numbered(open_, ["id"], lambda df: stored(df, "requests"))
+            part = F.expr(f"number div {self.batch_rows * self.callers}").cast("int")
+            # One file a slice, so that its rows go to the callers in turn.
+            write_table(dealt.select("id", "prompt", part.alias("slice")).repartition("slice"), folder, by=["slice"])
+            sliced = spark.read.parquet(folder)
+            for i in range(slices):
+                self.save(sliced.filter(F.col("slice") == i), scorer, path)
+        return usable(read_table(spark, path, schemas.ANSWERS))
+
+    def save(self, requests: DataFrame, scorer, path: str) -> None:
+        append_table(triage.score_batches(requests, scorer, self.batch_rows, self.callers), path)
 
 
 def run_judge(results: DataFrame, judge, template: str, path: str, n: int = terms.JUDGE_ROWS) -> DataFrame:

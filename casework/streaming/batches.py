@@ -116,7 +116,7 @@ def _filters(spark, path, places):
 
 # ---- directories
 
-def _listed(spark: SparkSession, path: str) -> list:
+def listed(spark: SparkSession, path: str) -> list:
     """(run, batch id) of all directories there are."""
     out = []
     for run in files.names(spark, path):
@@ -125,7 +125,7 @@ def _listed(spark: SparkSession, path: str) -> list:
     return sorted(out)
 
 
-def _merges(spark: SparkSession, path: str) -> dict:
+def merged(spark: SparkSession, path: str) -> dict:
     """Merged run -> the directories it stands for."""
     found = [n for n in files.names(spark, f"{path}/{MERGES}") if n.endswith(".json") and not n.startswith(".")]
     return {
@@ -135,9 +135,9 @@ def _merges(spark: SparkSession, path: str) -> dict:
 
 def live(spark: SparkSession, path: str) -> list:
     """(run, batch id) of the directories that make up the table."""
-    merges = _merges(spark, path)
+    merges = merged(spark, path)
     gone = {p for parts in merges.values() for p in parts}
-    return [p for p in _listed(spark, path) if p not in gone and (not p[0].startswith(MERGED) or p[0] in merges)]
+    return [p for p in listed(spark, path) if p not in gone and (not p[0].startswith(MERGED) or p[0] in merges)]
 
 
 def read(spark: SparkSession, path: str, schema, places: list | None = None) -> DataFrame:
@@ -167,8 +167,8 @@ def merge(spark: SparkSession, path: str, schema, id_column: str, small_rows: in
     or not, never half: until its file in ``_merges`` is there the next call drops what it had written,
     from then on readers pass over the old directories, and ``clean`` deletes them.
     """
-    merges, there = _merges(spark, path), live(spark, path)
-    for run, batch in _listed(spark, path):
+    merges, there = merged(spark, path), live(spark, path)
+    for run, batch in listed(spark, path):
         if run.startswith(MERGED) and run not in merges:
             _drop(spark, path, (run, batch))
     newest = {run: max(b for r, b in there if r == run) for run, _ in there if not run.startswith(MERGED)}
@@ -204,8 +204,8 @@ def _drop(spark, path, place) -> None:
 
 def clean(spark: SparkSession, path: str) -> list:
     """Delete directories that a merge has replaced; returns them. May be repeated."""
-    there, gone = set(_listed(spark, path)), []
-    for parts in _merges(spark, path).values():
+    there, gone = set(listed(spark, path)), []
+    for parts in merged(spark, path).values():
         for place in parts:
             if place in there:
                 _drop(spark, path, place)

@@ -404,7 +404,7 @@ def _sql():
             "ORDER BY thread_id LIMIT 5"),
         "raw_mismatches": q(
             ev, "SELECT thread_id, pred_intent AS predicted, true_intent AS actual, substr(coalesce(customer_text, ''), 1, 100) AS preview, "
-            "count(*) OVER () AS total FROM (SELECT * FROM eval_v ORDER BY thread_id LIMIT 500) WHERE NOT coalesce(true_intent = pred_intent, false)"),
+            "count(*) OVER () AS total FROM eval_v WHERE NOT coalesce(true_intent = pred_intent, false)"),
         "confusion_wide": q(
             ev, "SELECT a.l AS true_label, " + ", ".join(
                 f"CAST(coalesce((SELECT sum(n) FROM p WHERE p.t = a.l AND p.q = '{i}'), 0) AS BIGINT) AS {i}" for i in terms.INTENTS)
@@ -413,9 +413,9 @@ def _sql():
             ev, EVALUATION, f"{PAIRS}, {COUNTS}, {MAJORITY}".replace("lower(trim(true_intent))", "true_intent").replace(
                 "lower(trim(pred_intent))", "pred_intent")),
         "judge_again": q(
-            ev, "SELECT CAST(thread_id AS VARCHAR) AS thread_id, CAST(1 + (length(customer_text) + length(drafted_reply) + 45) % 5 AS INT) AS judge_tone, "
+            ev, "SELECT CAST(thread_id AS VARCHAR) AS thread_id, CAST(1 + (coalesce(length(CASE WHEN thread_id % 4 <> 0 THEN customer_text END), 0) + length(drafted_reply) + 45) % 5 AS INT) AS judge_tone, "
             "3 AS judge_grounding FROM (SELECT * FROM eval_v WHERE length(trim(drafted_reply)) > 0 "
-            "ORDER BY md5('42|' || CAST(thread_id AS VARCHAR)), CAST(thread_id AS VARCHAR) LIMIT 20) WHERE customer_text IS NOT NULL"),
+            "ORDER BY md5('42|' || CAST(thread_id AS VARCHAR)), CAST(thread_id AS VARCHAR) LIMIT 20)"),
         "evaluate": q(
             ["golden_v"], EVALUATED,
             f"{GIVEN}, src AS (SELECT *, CASE length(customer_text) % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(terms.INTENTS))
@@ -487,7 +487,7 @@ def _sql():
         "requests": q(
             ev + ms, f"SELECT CAST(thread_id AS VARCHAR) AS id, 'classify' AS kind, {CLASSIFY} AS prompt FROM s UNION ALL "
             f"SELECT CAST(thread_id AS VARCHAR), 'reply', {reply_text(quote(terms.NO_EXAMPLES))} FROM s UNION ALL "
-            "SELECT CAST(thread_id AS VARCHAR), 'judge', customer_text || chr(10) || '=>' || chr(10) || drafted_reply || chr(10) || "
+            "SELECT CAST(thread_id AS VARCHAR), 'judge', coalesce(customer_text, '') || chr(10) || '=>' || chr(10) || drafted_reply || chr(10) || "
             "'(score_tone, score_grounding, reasoning)' FROM jd",
             f"{VALID}, s AS (SELECT *, {SIGNALS} FROM ok), jd AS ({JUDGED})"),
         "score_batches": q(

@@ -129,8 +129,8 @@ def intent_mismatches(spark, sf):
 
 @query
 def raw_mismatches(spark, sf):
-    """Labels compared as they are, among the first 500 ids."""
-    return reports.failure_cases(frame(spark, sf, "eval_v"), n=None, considered=500, normalize=False)
+    """Labels compared as they are."""
+    return reports.failure_cases(frame(spark, sf, "eval_v"), n=None, considered=None, normalize=False)
 
 
 @query
@@ -220,9 +220,11 @@ def _judge(prompts):
 
 @query
 def judge_again(spark, sf):
-    """Two runs of the judge: 20 threads, each judged once."""
+    """Two runs of the judge: 20 threads, each judged once, some of them without a message."""
     folder = shared_folder(spark, "judge")
-    results = frame(spark, sf, "eval_v").drop("judge_tone", "judge_grounding")
+    results = frame(spark, sf, "eval_v").drop("judge_tone", "judge_grounding").withColumn(
+        "customer_text", F.when(F.col("thread_id") % 4 != 0, F.col("customer_text"))
+    )
     results = results.withColumn("thread_id", F.col("thread_id").cast("string"))
     for _ in range(2):
         done = workflow.run_judge(results, _judge, TEMPLATES.judge, folder)
