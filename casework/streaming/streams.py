@@ -38,8 +38,8 @@ def as_pattern(path: str) -> str:
     return escaped if escaped.endswith("\\" + path[-1]) else f"{escaped[:-1]}[{path[-1]}]"
 
 
-def _start(stream: DataFrame, each, checkpoint: str, trigger: dict):
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+def _start(stream: DataFrame, each, checkpoint: str, trigger: dict, mode: str = "append"):
+    writer = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).start()
 
 

@@ -572,3 +572,8 @@ def _sql():
 
 ORACLE = _sql()
 ORACLE["summary_table"] = ORACLE["baseline_report"]
+# The same rows by another way.
+ORACLE["kb_stream_merged"] = ORACLE["kb_stream"]
+ORACLE["label_stream"] = ORACLE["apply_labels"]
+ORACLE["growing_report"] = ORACLE["evaluation_report"]
+ORACLE["result_versions"] = ORACLE["apply_judgements"]

@@ -6,10 +6,11 @@ from casework.functions import rules, terms, text
 from casework.functions.answers import parse_answers, parse_judgements
 from casework.functions.prompts import Templates
 from casework.operators import labels, metrics, retrieve, seeded, threads, triage
-from casework.plans import reports, workflow
-from casework.sources import schemas, tables
+from casework.plans import increments, reports, workflow
+from casework.sources import schemas, tables, versions
 from casework.sources.tables import shared_folder
-from casework.streaming import streams
+from casework.streaming import batches, streams
+from casework.streaming import labels as label_streams
 from checks.views import frame, with_views
 
 QUERIES = {}
@@ -634,3 +635,63 @@ def kb_stream(spark, sf):
         f"{folder}/out", f"{folder}/state",
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("id", "document")
+
+
+@query
+def kb_stream_merged(spark, sf):
+    """Threads delivered in parts and then all again, their directories merged between the runs."""
+    folder = shared_folder(spark, "kb")
+    arriving = frame(spark, sf, "threads_v")
+    parts = [arriving.filter(F.pmod("thread_id", F.lit(3)) == i) for i in range(3)]
+    for part in (*parts, arriving):
+        part.write.mode("append").parquet(f"{folder}/threads")
+        streams.kb_stream(
+            streams.read_stream(spark, f"{folder}/threads", arriving.schema), f"{folder}/out", f"{folder}/state"
+        ).awaitTermination()
+        batches.merge(spark, f"{folder}/out", schemas.KNOWLEDGE_BASE, "id")
+    batches.clean(spark, f"{folder}/out")
+    return batches.read(spark, f"{folder}/out", schemas.KNOWLEDGE_BASE).select("id", "document")
+
+
+@query
+def label_stream(spark, sf):
+    """A label log in several files, the last events first."""
+    folder = shared_folder(spark, "labels")
+    events = frame(spark, sf, "label_events_v")
+    for i in (2, 1, 0):
+        part = events.filter(F.pmod("seq", F.lit(3)) == i).repartitionByRange(2, F.desc("seq"))
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = streams.read_stream(spark, f"{folder}/in", events.schema)
+        label_streams.label_stream(source, f"{folder}/out", f"{folder}/state").awaitTermination()
+    golden = events.select(F.col("thread_id").cast("string").alias("thread_id")).distinct()
+    done = labels.apply_labels(golden, label_streams.current(spark, f"{folder}/out"))
+    return done.withColumnRenamed("escalation_reason", "reason").withColumn("thread_id", F.col("thread_id").cast("bigint"))
+
+
+@query
+def growing_report(spark, sf):
+    """The evaluation report after the last of several batches, from counts kept per batch."""
+    folder = shared_folder(spark, "growing")
+    results = frame(spark, sf, "eval_v")
+    for i in range(3):
+        part = results.filter(F.pmod("thread_id", F.lit(3)) == i)
+        batches.write(part, f"{folder}/results", ("r", i), "thread_id")
+        card = increments.card(spark, f"{folder}/results", f"{folder}/cards", results.schema)
+    return reports.evaluation_report(None, card)
+
+
+@query
+def result_versions(spark, sf):
+    """Results appended in two versions, a third one with their judgements."""
+    folder = shared_folder(spark, "versions")
+    results = frame(spark, sf, "eval_v")
+    for i in range(2):
+        versions.append(results.filter(F.pmod("thread_id", F.lit(2)) == i), folder)
+    stored = versions.read(spark, folder, results.schema)
+    unjudged = stored.filter(text.has_reply("drafted_reply") & F.col("judge_tone").isNull())
+    scores = unjudged.select(
+        "thread_id", (1 + F.length("drafted_reply") % 5).cast("int").alias("judge_tone"),
+        (1 + F.length("customer_text") % 5).cast("int").alias("judge_grounding"),
+    )
+    versions.replace(triage.apply_judgements(stored, scores), folder, 2)
+    return versions.read(spark, folder, results.schema).select("thread_id", "judge_tone", "judge_grounding")
