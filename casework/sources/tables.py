@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from casework.functions.text import half_even, normalize_id, numeric_or_null
 from casework.sources import schemas
+from casework.sources.csv import read_csv
 
 # Quotes are doubled inside quoted text, as most writers do; Spark's own default is a backslash.
 CSV_OPTIONS = {"header": True, "escape": '"'}
@@ -17,11 +18,13 @@ CSV_OPTIONS = {"header": True, "escape": '"'}
 def read_tweets(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Scan raw message CSV and convert the two id columns to bigint.
 
-    Texts with quoted line breaks make a CSV file unsplittable, so each file is one task: keep
-    exports in many files and convert them once with ``write_table``; Parquet then splits freely.
-    An export known to have no line breaks in its texts can be split as it is.
+    Spark's own reader gives a file with quoted line breaks to one task; ``csv.read_csv`` cuts it
+    at the true ends of records. An export known to have no line breaks in its texts is split by Spark as it is.
     """
-    raw = spark.read.options(**CSV_OPTIONS, multiLine=line_breaks, enforceSchema=False).csv(path)
+    if line_breaks:
+        raw = read_csv(spark, path)
+    else:
+        raw = spark.read.options(**CSV_OPTIONS, enforceSchema=False).csv(path)
     require_columns(raw, schemas.TWEETS.names)
     return raw.select(
         normalize_id("tweet_id").alias("tweet_id"),
