@@ -6,7 +6,7 @@ allowed number of epochs, leaves the rest to its siblings by their weights; only
 together can't use goes to the siblings of their parent, and so on. All of this is whole-number
 arithmetic on one row per node.
 
-A leaf spends its budget on epochs: all of its documents as often as they fit, then the first ones
+A leaf spends its budget on epochs: all of its documents as often as they fit, then the first tokens
 of one more epoch. Every epoch has an order of its own, by a seeded hash.
 """
 
@@ -81,8 +81,19 @@ def budgets(leaves: DataFrame, levels: list, weights: dict, budget: Column, epoc
     return given
 
 
-def _order(seed: int, epoch: Column, id_col: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def _order(seed: int, epoch: Column, key: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), key))
+
+
+def _key(id_col: Column, text: Column) -> Column:
+    """What gives a row its place: its id, or its text where it has none."""
+    return F.coalesce(id_col.cast("string"), F.concat(F.lit("t"), F.md5(text)))
+
+
+def first_tokens(text: Column, n: Column) -> Column:
+    """A text up to the end of its ``n``-th token."""
+    pieces = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    return F.array_join(F.slice(pieces, 1, n.cast("int")), "")
 
 
 def mixed(docs: DataFrame, levels: dict, weights: dict, share: tuple = (1, 2), epochs: int = 2, id_col: str = "doc_id",
@@ -91,20 +102,21 @@ def mixed(docs: DataFrame, levels: dict, weights: dict, share: tuple = (1, 2), e
 
     ``levels`` names the levels from the root and says how to read them from a row; ``weights`` has
     whole numbers for paths of their values, such as ``("web",)`` or ``("web", "en")``. The budget
-    is ``share`` (numerator, denominator) of all tokens of ``docs``; tokens are words. The part
-    epoch of a leaf takes whole documents in order as long as they fit, so a leaf falls short of its
-    budget by less than the next document. Documents without tokens are not chosen. A null level is a
-    value like any other. Rows that repeat an id stand in the same place and are chosen together,
-    as are rows without an id.
-
-    Texts are read twice and not moved, unless there are more than some ten thousand leaves: a leaf's
-    last hash is found from counts per part of its hashes, and every row compares its own with it.
+    is ``share`` (numerator, denominator) of all tokens of ``docs``; tokens are words. The part epoch of a leaf is
+    the prefix of its tokens, document after document, that its budget leaves room for: the text in which it
+    ends is cut there, so all of the budget is spent as far as the epochs allow. Documents without tokens are not
+    chosen. A null level is a value like any other. Rows that repeat an id (of rows without one: a text) stand in the
+    same place; where the prefix ends among them they share what is left, and a remainder stays unspent. Texts of any
+    length are counted whole.
+
+    Texts are read twice and not moved, unless there are more than some ten thousand leaves: where a leaf's
+    prefix ends is found from counts per part of its hashes, and every row compares its own with it.
     Runs jobs.
     """
     names = [f"_l{i}" for i in range(len(levels))]
-    id_ = F.col(id_col)
+    key = _key(F.col(id_col), F.col(text_col))
     own = [e.alias(n) for e, n in zip(levels.values(), names)]
-    small = stored(docs.select(id_.alias("_id"), *own, token_count(text_col).alias("_tokens")).filter("_tokens > 0"))
+    small = stored(docs.select(key.alias("_key"), *own, token_count(text_col).alias("_tokens")).filter("_tokens > 0"))
     leaves = stored(small.groupBy(*names).agg(F.sum("_tokens").alias("_tokens")))
     budget = F.expr(f"(coalesce(_total, 0) * {int(share[0])}) div {int(share[1])}")
     given = budgets(leaves, names, weights, budget, epochs)
@@ -120,36 +132,41 @@ def mixed(docs: DataFrame, levels: dict, weights: dict, share: tuple = (1, 2), e
     )
     plan = stored(plan)
     ordered = small.alias("a").join(plan.filter("_part > 0").alias("b"), on("a", "b")).select(
-        *[F.col(f"a.{n}") for n in names], "_id", "_tokens", "_part", _order(seed, F.col("_whole") + 1, F.col("_id")).alias("_hash"),
+        *[F.col(f"a.{n}") for n in names], "_key", "_tokens", "_part", _order(seed, F.col("_whole") + 1, F.col("_key")).alias("_hash"),
     ).withColumn("_bin", F.substring("_hash", 1, DIGITS))
     upto = Window.partitionBy(*names).orderBy("_bin")
     bins = ordered.groupBy(*names, "_bin").agg(F.sum("_tokens").alias("_sum"), F.max("_part").alias("_part"))
     bins = bins.withColumn("_before", F.sum("_sum").over(upto) - F.col("_sum")).filter(
-        (F.col("_before") <= F.col("_part")) & (F.col("_before") + F.col("_sum") > F.col("_part"))
+        (F.col("_before") < F.col("_part")) & (F.col("_before") + F.col("_sum") >= F.col("_part"))
     ).select(*names, "_bin", "_before")
-    # Within the part where the budget ends, one after the other.
-    inside = Window.partitionBy(*[F.col(f"a.{n}") for n in names]).orderBy("_hash", "_id")
-    last = (
+    # Within the part where the prefix ends, one place after the other.
+    places = (
         ordered.alias("a").join(bins.alias("b"), on("a", "b", ["_bin"]))
-        .select(*[F.col(f"a.{n}") for n in names], "a._bin", "_id", "_hash", "_part", (F.col("_before") + F.sum("_tokens").over(inside)).alias("_upto"))
-        .groupBy(*names).agg(
-            F.max("_bin").alias("_bin"),
-            F.max(F.when(F.col("_upto") <= F.col("_part"), F.struct(F.col("_hash").alias("h"), F.col("_id").alias("i")))).alias("_last"),
-        )
+        .groupBy(*[F.col(f"a.{n}") for n in names], "_hash", "_key")
+        .agg(F.sum("_tokens").alias("_sum"), F.count("*").alias("_peers"), F.max("_part").alias("_part"), F.max("_before").alias("_before"))
     )
+    inside = Window.partitionBy(*names).orderBy("_hash", "_key")
+    reached = places.withColumn("_upto", F.col("_before") + F.sum("_sum").over(inside)).filter(F.col("_upto") >= F.col("_part"))
+    last = reached.groupBy(*names).agg(F.min(F.struct(
+        F.col("_hash").alias("h"), F.col("_key").alias("k"),
+        # Tokens that each row in the place has room for; null where there is room for all.
+        F.when(F.col("_upto") > F.col("_part"), F.expr("(_part - (_upto - _sum)) div _peers")).alias("room"),
+    )).alias("_last"))
     limits = plan.alias("a").join(last.alias("b"), on("a", "b"), "left").select(
-        *[F.col(f"a.{n}") for n in names], "_whole", "_part",
-        # Nothing of that part fits: everything before it does.
-        F.coalesce(F.col("_last"), F.struct(F.col("_bin").alias("h"), F.lit(None).cast(docs.schema[id_col].dataType).alias("i"))).alias("_last"),
+        *[F.col(f"a.{n}") for n in names], "_whole", "_part", "_last"
     )
     limits = stored(limits)
     columns = [c for c in docs.columns if c.lower() != epoch_col.lower()]
-    rows = docs.filter(token_count(text_col) > 0).select(F.struct("*").alias("_row"), *own)
-    id_ = F.col("_row")[id_col]
-    place = F.struct(_order(seed, F.col("_whole") + 1, id_).alias("h"), id_.alias("i"))
-    times = F.col("_whole") + F.when((F.col("_part") > 0) & (place <= F.col("_last")), 1).otherwise(0)
+    rows = docs.select(F.struct("*").alias("_row"), *own, key.alias("_key"), token_count(text_col).alias("_tokens")).filter("_tokens > 0")
+    hash_ = _order(seed, F.col("_whole") + 1, F.col("_key"))
+    place, end = F.struct(hash_.alias("h"), F.col("_key").alias("k")), F.struct(F.col("_last.h"), F.col("_last.k"))
+    room = F.when(place == end, F.least("_tokens", F.coalesce("_last.room", "_tokens"))).when(place < end, F.col("_tokens")).otherwise(0)
+    times = F.col("_whole") + F.when(F.col("_room") > 0, 1).otherwise(0)
+    text = F.col("_row")[text_col]
+    cut = F.when((F.col("_epoch") > F.col("_whole")) & (F.col("_room") < F.col("_tokens")), first_tokens(text, F.col("_room"))).otherwise(text)
     return (
-        rows.alias("a").join(small_side(limits).alias("b"), on("a", "b")).withColumn("_times", times).filter("_times > 0")
+        rows.alias("a").join(small_side(limits).alias("b"), on("a", "b"))
+        .withColumn("_room", F.when(F.col("_part") > 0, room).otherwise(F.lit(0))).withColumn("_times", times).filter("_times > 0")
         .withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        .select(*[F.col("_row")[c].alias(c) for c in columns], F.col("_epoch").alias(epoch_col))
+        .select(*[(cut if c == text_col else F.col("_row")[c]).alias(c) for c in columns], F.col("_epoch").alias(epoch_col))
     )

@@ -168,8 +168,9 @@ plan AS (SELECT domain, lang, source, got // tokens AS whole, got % tokens AS pa
 ordered AS (SELECT s.*, whole, part, sum(s.tokens) OVER (PARTITION BY domain, lang, source
   ORDER BY md5('42:' || CAST(whole + 1 AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)), doc_id) AS upto
   FROM s JOIN plan USING (domain, lang, source)),
-times AS (SELECT *, CAST(whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS INT) AS n FROM ordered)
-SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS epoch, domain, lang, source, CAST(tokens AS BIGINT) AS tokens FROM times"""
+times AS (SELECT *, greatest(least(tokens, part - (upto - tokens)), 0) AS room FROM ordered),
+e AS (SELECT *, unnest(range(1, CAST(whole + CASE WHEN room > 0 THEN 1 ELSE 0 END AS INT) + 1)) AS epoch FROM times)
+SELECT doc_id, CAST(epoch AS INT) AS epoch, domain, lang, source, CAST(CASE WHEN epoch > whole THEN room ELSE tokens END AS BIGINT) AS tokens FROM e"""
 
 
 ORACLE["op4_mixing"] = _mixing_sql()

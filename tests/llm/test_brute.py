@@ -175,14 +175,41 @@ def test_epochs_have_their_own_order(spark):
     level = {"all": F.lit("x")}
     once = mixing.mixed(docs, level, {}, share=(1, 2), epochs=3).collect()
     total = sum(i % 7 + 1 for i in range(200))
-    used = sum(r.doc_id % 7 + 1 for r in once)
-    assert total // 2 - 7 < used <= total // 2 and {r.epoch for r in once} == {1}
+    used = sum(len(r.text.split()) for r in once)
+    assert used == total // 2 and {r.epoch for r in once} == {1}
+    assert sum(len(r.text.split()) < r.doc_id % 7 + 1 for r in once) <= 1  # only the last document is cut
     more = mixing.mixed(docs, level, {}, share=(3, 2), epochs=3).collect()
     second = {r.doc_id for r in more if r.epoch == 2}
     assert {r.doc_id for r in more if r.epoch == 1} == set(range(200)) and second != {r.doc_id for r in once}
     assert mixing.mixed(docs, level, {}, share=(9, 1), epochs=3).count() == 600
 
 
+def test_every_leaf_spends_its_budget(spark):
+    """A long document early in the order leaves nobody short: it is cut, with its blanks, where the budget ends."""
+    rng = random.Random(6)
+    rows = [(i, f"s{i % 5}", "\n".join(f"a{j}  b" for j in range(rng.choice([1, 3, 400])))) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    tokens = collections.Counter()
+    for _, source, text in rows:
+        tokens[source] += len(text.split())
+    got = mixing.mixed(docs, {"source": F.col("source")}, {}, share=(2, 5), epochs=1).collect()
+    used = collections.Counter()
+    for r in got:
+        used[r.source] += len(r.text.split())
+        assert rows[r.doc_id][2].startswith(r.text)
+    leaves = spark.createDataFrame(list(tokens.items()), "_l0 string, _tokens long")
+    want = mixing.budgets(leaves, ["_l0"], {}, F.lit(sum(tokens.values()) * 2 // 5), 1).collect()
+    assert used == {r["_l0"]: r["_got"] for r in want} and sum(used.values()) == sum(tokens.values()) * 2 // 5
+
+
+def test_rows_in_one_place_share_what_is_left(spark):
+    docs = spark.createDataFrame([(7, "a b c d e")] * 4 + [(None, "x y"), (None, "x y"), (None, "z")], "doc_id long, text string")
+    for share in range(1, 26):
+        got = mixing.mixed(docs, {"all": F.lit(1)}, {}, share=(share, 25), epochs=1).collect()
+        assert share - 4 < sum(len(r.text.split()) for r in got) <= share
+        assert len({r.text for r in got if r.doc_id == 7}) <= 1
+
+
 # Language model.
 
 def plain_model(texts, train, order=2):
