@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 
 from casework.llm import bpe, minhash, mixing, pii, quality
 from casework.llm.queries import PII_KEY, WEIGHTS, domain
-from casework.llm.shared import ready
+from casework.llm.shared import fresh, ready
+from casework.sources import files
 
 #: Documents of at least this score stay.
 LEAST_SCORE = 0.7
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """``docs`` with the length of their present texts in ``n_chars``, if they have that column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on their labelled part, finds good enough."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.scored(docs, model, score_col="_score").filter(F.col("_score") >= LEAST_SCORE).drop("_score")
+    score = fresh(docs, "_score")
+    return quality.scored(docs, model, score_col=score).filter(F.col(score) >= LEAST_SCORE).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +41,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of personal data, and the length of the new text."""
-    done = pii.pseudonymised(docs, PII_KEY, count_col=None)
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return counted(pii.pseudonymised(docs, PII_KEY, count_col=None).select(*docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Nine tenths of the tokens at the target weights; a document may come twice."""
+    """Nine tenths of the tokens at the target weights; a document may come twice, and the last one of a
+    source is cut where its budget ends."""
     levels = {"domain": domain(F.col("source")), "lang": F.col("lang"), "source": F.col("source")}
-    return mixing.mixed(docs, levels, WEIGHTS, share=(9, 10), epochs=2, epoch_col="_epoch").drop("_epoch")
+    epoch = fresh(docs, "_epoch")
+    return counted(mixing.mixed(docs, levels, WEIGHTS, share=(9, 10), epochs=2, epoch_col=epoch).drop(epoch))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage is written to the shared folder and read from there."""
+    """The last stage's rows; every stage is written to the shared folder and read from there, and deleted
+    once its successor is written."""
     folder = f"{ready(spark).sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            files.delete(spark, f"{folder}/{before}")
+        before = name
     return docs
