@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.llm.shared import kept as stored
+from casework.llm.shared import small_side
 
 #: Words are what stands between these.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -20,12 +21,16 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 #: Share of a group that an estimate rests on, rows a group needs, C-steps for each start.
 SHARE, LEAST_ROWS, STEPS = 0.75, 60, 3
-#: Standard deviations are at least these, so that a statistic that hardly varies in a group does
-#: not make an outlier of every row that differs: clean text repeats a line or a passage now and
-#: then, but is rarely full of symbols. In the order of VECTOR.
-FLOORS = (0.08, 0.05, 0.12, 0.1)
+#: Coordinates of a row's vector. They are measured in units of the middle spread that the rows of its language
+#: have; within a group a standard deviation counts as at least FLOOR of these, so that a group of very
+#: similar texts does not make an outlier of every other one.
 VECTOR = ("_v0", "_v1", "_v2", "_v3")
-#: Squared distances beyond this are outliers. For normal vectors one row in 10 ** 8 is.
+FLOOR, LEAST_SPREAD = 0.3, 1e-3
+FLOORS = (FLOOR,) * len(VECTOR)
+#: A text of few words measures its statistics badly: one of FEW words is given twice the variance of its group.
+FEW = 250
+#: Squared distances beyond this are outliers: of normal vectors with four coordinates one in 6 * 10 ** 7 is, by
+#: the chi-square law.
 CUTOFF = 42.0
 #: Bins of squared distances for each power of two.
 BINS = 16
@@ -83,18 +88,44 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size("_lines").cast("long").alias("n_lines"),
             (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("_words")).alias("n_repeat_words"),
+            _only(r"[^\p{L}]+").alias("n_letters"), _only(r"[^\p{Lu}]+").alias("n_capitals"),
+            F.size(F.array_distinct(F.transform("_words", lambda w: F.xxhash64(w)))).cast("long").alias("n_distinct"),
         )
     )
 
 
+def _only(others: str) -> Column:
+    """Characters of the words that are not of the pattern ``others``."""
+    return F.length(F.regexp_replace(F.array_join("_words", ""), others, "")).cast("long")
+
+
 def _vector(df: DataFrame) -> DataFrame:
-    n = F.greatest(F.col("n_words"), F.lit(1))
+    """Word length, other characters than letters, variety of words and capitals, each so transformed that clean
+    texts of a language scatter about evenly around a middle value."""
+    n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     return (
         df.withColumn("_v0", F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n))
-        .withColumn("_v1", F.sqrt(F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1))))
-        .withColumn("_v2", F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))))
-        .withColumn("_v3", F.sqrt(F.col("n_repeat_words") / n))
+        .withColumn("_v1", F.sqrt(1 - F.col("n_letters") / chars))
+        .withColumn("_v2", F.log(F.greatest(F.col("n_distinct"), F.lit(1))) / F.log(n + 1))
+        .withColumn("_v3", F.sqrt(F.col("n_capitals") / chars))
+    )
+
+
+def _scaled(rows: DataFrame, good: DataFrame) -> DataFrame:
+    """``rows`` with VECTOR in units of the middle spread of their language, or of all rows where it has few."""
+    middle = [F.percentile_approx(v, [0.1, 0.9], 2000).alias(v) for v in VECTOR]
+
+    def spread(v):
+        return F.greatest((F.col(v)[1] - F.col(v)[0]) / 2.56, F.lit(LEAST_SPREAD))
+
+    whole = good.agg(F.lit(1).alias("_one"), *middle).select(F.struct(*[spread(v).alias(v) for v in VECTOR]).alias("_all"))
+    own = good.groupBy("_k1").agg(F.count("*").alias("_rows"), *middle).select(
+        "_k1", F.when(F.col("_rows") >= LEAST_ROWS, F.struct(*[spread(v).alias(v) for v in VECTOR])).alias("_own")
     )
+    unit = F.coalesce(F.col("_own"), whole.scalar())
+    return rows.join(small_side(stored(own)), "_k1", "left").withColumn("_unit", unit).withColumns(
+        {v: F.col(v) / F.col("_unit")[v] for v in VECTOR}
+    ).drop("_own", "_unit")
 
 
 def _consistency(share: float, p: int) -> float:
@@ -197,7 +228,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     Words are runs between blanks (space and the characters 9 to 13). A row fails the base rules
     with fewer than 20 words, or if more than 30 % of them stand in repeated windows; of the
     others those are kept whose squared Mahalanobis distance is at most CUTOFF (for rows that
-    fail, ``distance`` is null). Null texts count as empty and fail. A null language or source is
+    fail, ``distance`` is null), after the share of it that a text of so few words may have by chance. Null texts count as empty and fail. A null language or source is
     a group like any other. Groups of fewer than LEAST_ROWS rows share the estimate of their
     language, languages of fewer share one of all rows. Repeated rows count as often as they occur.
     """
@@ -212,6 +243,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         F.concat(named(F.col("_lang")), F.lit("\x01"), named(F.col("_source"))).alias("_k2"),
     )
     rows = stored(rows)
+    rows = _scaled(rows, rows.filter(~F.col("base_failed")))
     good = rows.filter(~F.col("base_failed"))
     sizes = good.groupBy("_k1", "_k2").agg(F.count("*").alias("_n2"))
     sizes = sizes.withColumn("_n1", F.sum("_n2").over(Window.partitionBy("_k1")))
@@ -228,10 +260,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     pooled = good.join(into, "_k2").select(F.explode("_into").alias("_key"), *VECTOR)
     found = stored(estimates(pooled))
     result = rows.join(groups.drop("_k1"), "_k2", "left").join(found, "_key", "left")
-    distance = F.when(~F.col("base_failed"), _distance())
+    distance = F.when(~F.col("base_failed"), _distance() * F.col("n_words") / (F.col("n_words") + FEW))
     return result.select(
         F.col("_id").alias(id_col), F.col("_lang").alias(lang_col), F.col("_source").alias(source_col),
-        "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed",
-        distance.alias("distance"),
+        "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_capitals",
+        "n_distinct", "base_failed", distance.alias("distance"),
         (~F.col("base_failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"),
     )

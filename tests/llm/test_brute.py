@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -286,6 +287,7 @@ def test_statistics_by_hand(prose, docs):
         assert tuple(found[i][1:]) == (
             len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines), len(lines) - len(set(lines)),
             len({k + j for k, r in enumerate(runs) if often[r] > 1 for j in range(8)}),
+            len(regex.findall(r"\p{L}", "".join(w))), len(regex.findall(r"\p{Lu}", "".join(w))), len(set(w)),
         )
 
 
@@ -313,12 +315,78 @@ def test_outliers_against_numpy(spark):
     assert 0.8 < np.linalg.det(spread) / np.linalg.det(c) < 1.25
 
 
-def test_clean_rows_are_kept(spark):
+def plain_verdicts(rows, diagonal=False):
+    """Squared distances of (n_words, language, source, vector) rows by the definition, with exact subsets."""
+    x = np.array([r[3] for r in rows])
+    n, langs, groups = (np.array([str(r[i]) for r in rows]) if i else np.array([r[0] for r in rows]) for i in (0, 1, 2))
+    spread = lambda v: np.maximum((np.quantile(v, 0.9, axis=0) - np.quantile(v, 0.1, axis=0)) / 2.56, rules.LEAST_SPREAD)
+    for g in set(langs):
+        own = langs == g
+        x[own] /= spread(x[own])
+    out, floor = np.zeros(len(x)), np.diag(np.square(rules.FLOORS))
+    for lang, source in set(zip(langs, groups)):
+        own = (langs == lang) & (groups == source)
+        base = x[own] if own.sum() >= rules.LEAST_ROWS else x[langs == lang]
+        found = []
+        for start in (0, 1):
+            m, c = np.median(base, axis=0), np.diag(spread(base) ** 2) + floor
+            if start:
+                m, c = base.mean(axis=0), rules._consistency(rules.SHARE, 4) * np.cov(base.T, bias=True) + floor
+            for _ in range(rules.STEPS):
+                d = ((base - m) @ np.linalg.inv(c) * (base - m)).sum(axis=1)
+                inner = base[np.argsort(d)[: int(np.ceil(rules.SHARE * len(base)))]]
+                m, c = inner.mean(axis=0), rules._consistency(rules.SHARE, 4) * np.cov(inner.T, bias=True) + floor
+                c = np.diag(np.diag(c)) if diagonal else c
+            found.append((np.linalg.slogdet(c)[1], start, m, c))
+        _, _, m, c = min(found, key=lambda f: f[:2])
+        out[own] = ((x[own] - m) @ np.linalg.inv(c) * (x[own] - m)).sum(axis=1) * n[own] / (n[own] + rules.FEW)
+    return out
+
+
+def vector(r):
+    return [
+        math.log(r.word_chars / r.n_words), math.sqrt(1 - r.n_letters / r.word_chars),
+        math.log(r.n_distinct) / math.log(r.n_words + 1), math.sqrt(r.n_capitals / r.word_chars),
+    ]
+
+
+def test_verdicts_against_numpy_and_labels(spark):
+    """The covariances decide: exact subsets give the same verdicts, variances alone others."""
     sf = SF.replace("0.001", "0.1")
-    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
-    rows = QUERIES["op6_rules"](spark, sf).join(labels, "doc_id").filter("NOT base_failed").select("quality", "kept").collect()
-    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
-    assert sum(good) > 0.99 * len(good) and sum(bad) < 0.15 * len(bad)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = rules.judged(spark.read.parquet(f"{sf}/documents.parquet")).filter("NOT base_failed").collect()
+    good, bad = ([r.kept for r in rows if labels.get(r.doc_id) == q] for q in (1, 0))
+    assert sum(good) > 0.99 * len(good) and sum(bad) < 0.02 * len(bad)
+    given = [(r.n_words, r.lang, r.source, vector(r)) for r in rows]
+    kept = np.array([r.kept for r in rows])
+    assert (kept != (plain_verdicts(given) <= rules.CUTOFF)).mean() < 0.004
+    alone = plain_verdicts(given, diagonal=True) <= rules.CUTOFF
+    assert (kept != alone).sum() >= 10
+
+
+def test_rows_against_the_correlation_are_rejected(spark):
+    """Longer words come with more digits here; texts with long words and few digits have no statistic out of
+    its range, and are rejected all the same."""
+    rng = random.Random(8)
+
+    def text(length, digits):
+        sizes = [int(length) + (rng.random() < length % 1) for _ in range(2500)]
+        return " ".join("".join("7" if rng.random() < digits else rng.choice("abcdefghij") for _ in range(n)) for n in sizes)
+
+    rows = []
+    for i in range(400):
+        a = rng.random()
+        rows.append((i, text(5 + 5 * a, 0.05 + 0.3 * a), "en", "s"))
+    rows += [(1000 + i, text(9.9, 0.055), "en", "s") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = rules.judged(df).collect()
+    odd = [r for r in got if r.doc_id >= 1000]
+    assert not any(r.base_failed or r.kept for r in odd) and sum(r.kept for r in got if r.doc_id < 1000) >= 396
+    alone = plain_verdicts([(r.n_words, r.lang, r.source, vector(r)) for r in got], diagonal=True)
+    assert max(d for d, r in zip(alone, got) if r.doc_id >= 1000) <= rules.CUTOFF
+    for k in range(2):
+        usual = [vector(r)[k] for r in got if r.doc_id < 1000]
+        assert all(min(usual) <= vector(r)[k] <= max(usual) for r in odd)
 
 
 # Pseudonyms.
