@@ -21,22 +21,51 @@ def unfenced(c) -> Column:
 
 
 def _field(name: str, kind: str) -> Column:
-    return F.try_variant_get(F.col("_json"), f"$.{name}", kind)
+    return F.try_variant_get(F.col("_json")[name], "$", kind)
 
 
 def _kind(name: str) -> Column:
     """JSON type of a field: null if absent, VOID for a JSON null."""
-    return F.schema_of_variant(_field(name, "variant"))
+    return F.schema_of_variant(F.col("_json")[name])
 
 
 def _with_json(df: DataFrame, answer: str, fields) -> DataFrame:
-    """Parse once; keep ``_json`` only for objects and note each field's type."""
-    parsed = df.withColumn("_json", F.try_parse_json(unfenced(answer)))
-    is_object = F.schema_of_variant("_json").startswith("OBJECT")
-    parsed = parsed.withColumn("_object", F.coalesce(is_object, F.lit(False)))
+    """Parse once; ``_json`` has the fields of objects as variants, and each field's type is noted.
+
+    Of a key that stands twice the last value counts, and ``NaN`` and ``Infinity`` are numbers, as
+    Python reads them; a key that stands twice inside a field's value makes the answer malformed.
+    """
+    text = unfenced(answer)
+    schema = ", ".join([*(f"{f} variant" for f in fields), "_bad string"])
+    found = F.from_json(text, schema, {"columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"})
+    parsed = df.withColumn("_json", found)
+    whole = F.col("_json").isNotNull() & F.col("_json._bad").isNull() & text.endswith("}")
+    parsed = parsed.withColumn("_object", F.coalesce(whole, F.lit(False)))
     return parsed.withColumns({f"_kind_{f}": _kind(f) for f in fields})
 
 
+#: Tokens of JSON: texts, marks, and what stands between them.
+TOKENS = r'("(?:[^"\\]|\\.)*+"|[{}\[\],:]|[^{}\[\],:"]+)'
+
+
+def python_text(raw: Column) -> Column:
+    """Text that Python shows for a list or an object, from its JSON without blanks between the tokens."""
+
+    def shown(t):
+        body = F.replace(F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit('\\"'), F.lit('"')), F.lit("\\/"), F.lit("/"))
+        single, double = F.contains(body, F.lit("'")), F.contains(body, F.lit('"'))
+        quoted = F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
+            F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
+        )
+        words = {",": ", ", ":": ": ", "true": "True", "false": "False", "null": "None"}
+        out = F.when(t.startswith('"'), quoted)
+        for word, value in words.items():
+            out = out.when(t == word, F.lit(value))
+        return out.otherwise(t)
+
+    return F.array_join(F.transform(F.regexp_extract_all(raw, F.lit(TOKENS), F.lit(1)), shown), "")
+
+
 def _truthy(name: str) -> Column:
     kind, text = F.col(f"_kind_{name}"), _field(name, "string")
     return (
@@ -73,11 +102,14 @@ def parse_answers(df: DataFrame, answer: str = "answer") -> DataFrame:
     # greatest / least rank NaN highest, so a NaN confidence clamps to 1; they skip nulls,
     # so a missing confidence is set to 0 first.
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(number, F.lit(0.0))))
+    kind, said = F.col("_kind_escalation_reason"), _field("escalation_reason", "string")
+    raw = F.from_json(unfenced(answer), "escalation_reason string")["escalation_reason"]
     reason = F.when(
         _truthy("escalation_reason"),
-        F.when(
-            F.col("_kind_escalation_reason") == "BOOLEAN", F.lit("True")
-        ).otherwise(strip(_field("escalation_reason", "string"))),
+        F.when(kind == "BOOLEAN", F.lit("True"))
+        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), python_text(raw))
+        .when((kind != "STRING") & said.isin("NaN", "Infinity", "-Infinity"), F.regexp_replace(F.lower(said), "infinity", "inf"))
+        .otherwise(strip(said)),
     ).otherwise("")
     analysis = F.struct(
         F.when(intent.isin(*terms.INTENTS), intent).otherwise("other").alias("intent"),
@@ -89,7 +121,7 @@ def parse_answers(df: DataFrame, answer: str = "answer") -> DataFrame:
     error = (
         F.when(F.col("_object"), None)
         .when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty answer")
-        .when(F.col("_json").isNull(), "malformed JSON")
+        .when(F.try_parse_json(text).isNull(), "malformed JSON")
         .otherwise("not a JSON object")
     )
     return parsed.select(
@@ -107,7 +139,7 @@ def _score(name: str) -> Column:
 
 def parse_judgements(df: DataFrame, answer: str = "answer") -> DataFrame:
     """Add ``judgement`` (tone, grounding, reasoning); unusable parts are null."""
-    parsed = _with_json(df, answer, ("score_tone", "score_grounding"))
+    parsed = _with_json(df, answer, ("score_tone", "score_grounding", "reasoning"))
     judgement = F.struct(
         _score("score_tone").alias("score_tone"),
         _score("score_grounding").alias("score_grounding"),

@@ -1,7 +1,7 @@
 """Classification metrics, all derived from one count per (true, predicted) pair.
 
 The pair counts are the only shuffle over the data; everything after works on a table with a
-row per label pair. Sums over labels run in label order, so results are the same to the last
+row per label pair. Sums over labels are exact, so results are the same to the last
 bit however the data is partitioned.
 """
 
@@ -21,10 +21,27 @@ def f1(tp, predicted, actual) -> Column:
     return ratio(2 * as_column(tp), as_column(predicted) + as_column(actual))
 
 
-def ordered_sum(value, by) -> Column:
-    """Aggregate: sum of a per-label value in label order."""
-    rows = F.array_sort(F.collect_list(F.struct(as_column(by).alias("k"), value.alias("v"))))
-    return F.aggregate(rows, F.lit(0.0), lambda acc, x: acc + x["v"])
+#: Bits of one part of a value in ``exact_sum``, and parts below the point.
+_PART_BITS, _PARTS = 30, 4
+
+
+def exact_sum(value) -> Column:
+    """Aggregate: sum of a fractional value, the same to the last bit in any order and partitioning.
+
+    A value is cut into whole numbers of 30 bits each, which is exact, and these are added up as such: the
+    parts keep 120 bits below the point, more than a fraction of two counts has. Null without values.
+    """
+    part, rest = F.floor(value), value
+    sums = []
+    for i in range(_PARTS + 1):
+        sums.append(F.sum(part.cast("long")).cast("double"))
+        if i < _PARTS:
+            rest = (rest - part.cast("double")) * F.lit(float(1 << _PART_BITS))
+            part = F.floor(rest)
+    out = sums[-1]
+    for s in reversed(sums[:-1]):
+        out = s + out / F.lit(float(1 << _PART_BITS))
+    return out
 
 
 def complete_pairs(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -115,13 +132,13 @@ def class_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def weighted_prf(classes: DataFrame) -> DataFrame:
-    """Support-weighted averages and the sorted labels of a ``class_metrics`` table."""
+    """Support-weighted averages of a ``class_metrics`` table, beside each of its labels: label, ``precision``,
+    ``recall``, ``f1``. There may be any number of labels; no row or task holds them all."""
     total = F.sum("support")
-    weighted = [
-        ratio(ordered_sum(F.col(c) * F.col("support"), "intent"), total).alias(name)
-        for c, name in (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))
-    ]
-    return classes.agg(*weighted, F.sort_array(F.collect_set("intent")).alias("labels"))
+    names = (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))
+    weighted = [ratio(exact_sum(F.col(c) * F.col("support")), total).alias(name) for c, name in names]
+    averages = classes.agg(F.struct(*weighted).alias("a")).scalar()
+    return classes.select(F.col("intent").alias("label"), averages.alias("a")).select("label", "a.*")
 
 
 def classification_report(pairs: DataFrame) -> DataFrame:
@@ -130,9 +147,9 @@ def classification_report(pairs: DataFrame) -> DataFrame:
     total = F.sum("support")
     names = ("prec", "rec", "f1")
     averages = classes.agg(
-        *[ratio(ordered_sum(F.col(c), "intent"), F.count("*")).alias(f"m_{c}") for c in names],
+        *[ratio(exact_sum(F.col(c)), F.count("*")).alias(f"m_{c}") for c in names],
         *[
-            ratio(ordered_sum(F.col(c) * F.col("support"), "intent"), total).alias(f"w_{c}")
+            ratio(exact_sum(F.col(c) * F.col("support")), total).alias(f"w_{c}")
             for c in names
         ],
         total.alias("support"),

@@ -18,6 +18,7 @@ from casework.functions.text import (
 )
 from casework.operators import metrics
 from casework.operators.metrics import binary_columns, ratio
+from casework.operators.numbering import numbered
 from casework.operators.threads import leakage_audit
 from casework.sources.schemas import REQUIRED
 from casework.sources.tables import as_json, require_columns, stored, to_payload
@@ -490,6 +491,15 @@ def dashboard(
     )
 
 
+def numbered_cases(rows: DataFrame, prefix: str, by: str = "thread_id") -> DataFrame:
+    """All rows with their case number in the order of ``by``, first column ``case_id``; any number of them.
+
+    Rows are stored on the way (see ``numbering.numbered``); of rows equal in ``by`` any may come first.
+    """
+    placed = numbered(rows, [by], lambda df: stored(df, "cases"), "_number")
+    return placed.select(case_id(prefix, F.col("_number") + 1).alias("case_id"), *rows.columns)
+
+
 def _numbered(
     top: DataFrame, prefix: str, key: str, total=None, order: str = "thread_id", pad: bool = True,
 ) -> DataFrame:

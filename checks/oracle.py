@@ -26,7 +26,16 @@ def total(c):
 
 
 def folded(c):
-    return f"list_reduce(list({c} ORDER BY l), lambda a, b: a + b)"
+    """Sum of a fraction, in parts of 30 bits that are whole numbers, so that no order shows."""
+    part, rest, sums = f"floor({c})", c, []
+    for _ in range(5):
+        sums.append(f"CAST(sum(CAST({part} AS BIGINT)) AS DOUBLE)")
+        rest = f"(({rest}) - {part}) * 1073741824.0::DOUBLE"
+        part = f"floor({rest})"
+    out = sums.pop()
+    while sums:
+        out = f"({sums.pop()} + {out} / 1073741824.0::DOUBLE)"
+    return out
 
 
 def keyword_intent(c):
@@ -347,9 +356,12 @@ def _sql():
             + ", n AS total, valid AS intent_valid, esc_valid FROM c, mj, ed",
             f"{PAIRS}, {COUNTS}, {MAJORITY}, ed AS ({escalation('dashboard')})"),
         "weighted_prf": q(
-            ev, "SELECT " + ", ".join(
+            ev, "SELECT l AS label, a.* FROM m, (SELECT " + ", ".join(
                 f"{folded(f'{c} * support')} / sum(support) AS {n}"
-                for c, n in (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))) + " FROM m", PAIRS),
+                for c, n in (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))) + " FROM m) a", PAIRS),
+        "mismatch_cases": q(
+            ev, "SELECT '#MM-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') AS case_id, thread_id, pred_intent, true_intent "
+            "FROM (SELECT *, row_number() OVER (ORDER BY thread_id) AS n FROM eval_v WHERE NOT coalesce(lower(trim(true_intent)) = lower(trim(pred_intent)), false))"),
         "classification_report": q(
             ev, "SELECT l AS row, prec, rec, f1, support FROM m UNION ALL SELECT 'macro avg', "
             + ", ".join(f"{folded(c)} / count(*)" for c in ("prec", "rec", "f1"))
@@ -481,6 +493,14 @@ def _sql():
             f"u AS (SELECT thread_id, CASE WHEN length(a) >= 2 AND a LIKE '\"%' AND a LIKE '%\"' THEN {strip('substr(a, 2, length(a) - 2)')} ELSE a END AS r FROM s)"),
         "parse_answer": q(
             ["answers_v"], "SELECT thread_id AS id, intent, confidence, escalate, reason, error FROM pa", PARSED),
+        "lenient_answers": q(["lenient_v"], """
+SELECT thread_id AS id, CASE WHEN k IN (4, 5) THEN NULL WHEN k = 1 THEN 'hardware_repair' ELSE 'other' END AS intent,
+  CAST(CASE k WHEN 0 THEN '0.4' WHEN 1 THEN '1' WHEN 2 THEN '0' WHEN 3 THEN '1' WHEN 6 THEN CAST(user_id % 100 AS VARCHAR) || 'e-2' END AS DOUBLE) AS confidence,
+  CASE WHEN k NOT IN (4, 5) THEN k = 1 END AS escalate,
+  CASE k WHEN 0 THEN '' WHEN 1 THEN 'nan' WHEN 2 THEN '[''a'', 1, True, None, {''b c'': ' || CAST(user_id AS VARCHAR) || '}]'
+    WHEN 3 THEN 'NaN, Infinity' WHEN 6 THEN '{''' || event_type || ''': []}' END AS reason,
+  CASE WHEN k = 4 THEN 'not a JSON object' WHEN k = 5 THEN 'malformed JSON' END AS error
+FROM (SELECT *, thread_id % 7 AS k FROM lenient_v)"""),
         "parse_judgement": q(
             ["answers_v"], f"SELECT thread_id AS id, {score('score_tone')} AS tone, {score('score_grounding')} AS grounding FROM ob",
             PARSED.rsplit(", pa AS", 1)[0]),

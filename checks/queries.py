@@ -57,7 +57,7 @@ def executive_summary(spark, sf):
 
 @query
 def weighted_prf(spark, sf):
-    return metrics.weighted_prf(metrics.class_metrics(_pairs(spark, sf))).drop("labels")
+    return metrics.weighted_prf(metrics.class_metrics(_pairs(spark, sf)))
 
 
 @query
@@ -128,6 +128,13 @@ def intent_mismatches(spark, sf):
     return found.select("thread_id", "pred_intent", "true_intent")
 
 
+@query
+def mismatch_cases(spark, sf):
+    """Every mismatch with its case number, in the order of ids."""
+    found = reports.mismatches(frame(spark, sf, "eval_v")).select("thread_id", "pred_intent", "true_intent")
+    return reports.numbered_cases(found, "#MM-")
+
+
 @query
 def raw_mismatches(spark, sf):
     """Labels compared as they are."""
@@ -331,6 +338,15 @@ def parse_answer(spark, sf):
     )
 
 
+@query
+def lenient_answers(spark, sf):
+    a = F.col("analysis")
+    return parse_answers(frame(spark, sf, "lenient_v")).select(
+        F.col("thread_id").alias("id"), a["intent"].alias("intent"), a["confidence_score"].alias("confidence"),
+        a["should_escalate"].alias("escalate"), a["escalation_reason"].alias("reason"), "error",
+    )
+
+
 @query
 def parse_judgement(spark, sf):
     j = F.col("judgement")

@@ -87,6 +87,18 @@ SELECT event_id AS thread_id, CASE event_id % 11
   WHEN 8 THEN ''
   WHEN 9 THEN '{"score_tone":5,"score_grounding":"4","reasoning":"ok"}'
   ELSE '{"score_tone":6,"score_grounding":null}' END AS answer
+FROM events"""),
+    # What Python's JSON reader takes and stricter ones don't.
+    "lenient_v": (("events",), """
+SELECT event_id AS thread_id, CASE event_id % 7
+  WHEN 0 THEN '{"intent":"refunds","confidence_score":0.1,"intent":"other","confidence_score":"0.4"}'
+  WHEN 1 THEN '{"intent":"hardware_repair","confidence_score":NaN,"should_escalate":NaN,"escalation_reason":NaN}'
+  WHEN 2 THEN '{"confidence_score":-Infinity,"escalation_reason":["a",1,true,null,{"b c":' || CAST(user_id AS VARCHAR(20)) || '}]}'
+  WHEN 3 THEN '{"confidence_score":Infinity,"should_escalate":1,"should_escalate":null,"escalation_reason":"NaN, Infinity"}'
+  WHEN 4 THEN '{"confidence_score":0.5} and more'
+  WHEN 5 THEN '{"confidence_score":0.5,}'
+  ELSE '{"confidence_score":' || CAST(user_id % 100 AS VARCHAR(20)) || 'e-2,"escalation_reason":{"' || event_type || '":[]}}' END AS answer,
+  user_id, event_type
 FROM events"""),
     "label_events_v": (("events",), """
 SELECT user_id AS thread_id, event_id AS seq,

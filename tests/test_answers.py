@@ -23,6 +23,18 @@ CASES = [
     ('{"confidence_score":0.5,"escalation_reason":false}', ("other", 0.5, False, "")),
     ('{"confidence_score":"1d"}', ("other", 0.0, False, "")),
     ('{"intent":["other"]}', ("other", 0.0, False, "")),
+    # As Python reads it: the last of equal keys counts, NaN and Infinity are numbers, lists show as Python's.
+    ('{"intent":"refunds","confidence_score":0.1,"intent":"other","confidence_score":"0.4"}', ("other", 0.4, False, "")),
+    ('{"should_escalate":true,"should_escalate":null}', ("other", 0.0, False, "")),
+    ('{"confidence_score":NaN,"should_escalate":NaN,"escalation_reason":NaN}', ("other", 1.0, True, "nan")),
+    ('{"confidence_score":Infinity,"escalation_reason":-Infinity}', ("other", 1.0, False, "-inf")),
+    ('{"confidence_score": -Infinity, "escalation_reason":"say NaN, \\"Infinity\\""}', ("other", 0.0, False, 'say NaN, "Infinity"')),
+    ('{"escalation_reason":["a", 1, 1.5, true, null, {"b c": [], "d": false}]}', ("other", 0.0, False, "['a', 1, 1.5, True, None, {'b c': [], 'd': False}]")),
+    ('{"escalation_reason":{"it\'s": "x, \\"y\\": z"}}', ("other", 0.0, False, '{"it\'s": \'x, "y": z\'}')),
+    ('{"escalation_reason":["null", "both \' and \\""]}', ("other", 0.0, False, "['null', 'both \\' and \"']")),
+    ('{"escalation_reason":[]}', ("other", 0.0, False, "")),
+    ('{"other":1,"other":{"x":1}}', ("other", 0.0, False, "")),
+    *[(bad, None) for bad in ('{"intent":"other"} and more', "[NaN]", '{"intent":"other",}', "{'intent':'other'}", "NaN")],
     ("{}", ("other", 0.0, False, "")),
     *[(bad, None) for bad in ("not json", "[1]", "", "   ", "null", "12", '"text"', None, '{"intent":"other"')],
 ]

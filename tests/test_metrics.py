@@ -1,5 +1,6 @@
 import json
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,8 +94,19 @@ def test_report_rows(spark):
     assert got["accuracy"].f1 == 0.5 and got["accuracy"].support == 6
     assert got["macro avg"].rec == pytest.approx((2 / 3 + 1) / 5)
     assert got["weighted avg"].rec == pytest.approx(0.5)
-    w = metrics.weighted_prf(metrics.class_metrics(pairs)).first()
-    assert w.labels == ["a", "b", "c", "d", "e"] and w.recall == got["weighted avg"].rec
+    w = metrics.weighted_prf(metrics.class_metrics(pairs)).collect()
+    assert sorted(r.label for r in w) == ["a", "b", "c", "d", "e"] and {r.recall for r in w} == {got["weighted avg"].rec}
+
+
+def test_sums_are_the_same_in_any_partitioning(spark):
+    """A million labels: no array of them, and the same bits however they lie."""
+    values = spark.range(1_000_000).select(((F.col("id") * 7919 % 99991 + 1) / (F.col("id") % 1013 + 100000)).alias("v"))
+    plan = values.agg(metrics.exact_sum(F.col("v")).alias("x"))
+    assert "collect" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = {values.repartition(n).agg(metrics.exact_sum(F.col("v")).alias("x")).first().x for n in (1, 3, 16)}
+    exact = sum(Fraction((i * 7919 % 99991 + 1) / (i % 1013 + 100000)) for i in range(1_000_000))
+    assert len(got) == 1 and abs(Fraction(got.pop()) - exact) <= exact / 2**51
+    assert spark.range(0).agg(metrics.exact_sum(F.col("id") / 2).alias("x")).first().x is None
 
 
 def test_raw_labels(spark):
