@@ -15,8 +15,8 @@ from casework.operators.seeded import golden_split
 from casework.operators.threads import build_knowledge_base, extract_threads, leakage_audit
 from casework.sources import schemas, versions
 from casework.sources.tables import (
-    add_missing, append_table, read_table, require_columns, shared_folder, stored, write_knowledge_base, write_split,
-    write_table,
+    add_missing, append_table, coverage, read_table, require_columns, shared_folder, stored, write_counted,
+    write_knowledge_base, write_split, write_table,
 )
 
 
@@ -63,6 +63,7 @@ def evaluate(
 
     Texts of any length are scored. Rows without a text go to ``path/rejects`` with the reason
     and stay pending, rows without a usable answer to ``path/failures`` with the error; both tables are of the last run.
+    ``path/runs`` gets a row with the numbers of each run, counted while the tables are written.
 
     ``classifier``, ``writer`` and ``judge`` are batch functions as for ``score_batches``;
     ``find`` maps the auto-handled rows to their past issues (q, n, rk) in ``kb``, so escalated
@@ -79,7 +80,7 @@ def evaluate(
     checked = triage.checked_messages(triage.one_per_thread(triage.pending(golden, done)), limit=None)
     messages = triage.valid_messages(checked)
     rejects = triage.rejected_messages(checked).select("thread_id", F.col("message_status").alias("reason"))
-    write_table(rejects, f"{path}/rejects", "overwrite")
+    rejected = write_counted(rejects, lambda df: write_table(df, f"{path}/rejects", "overwrite"))["rows"]
 
     requests = triage.classification_requests(messages, templates.classify)
     given = ask(requests, classifier, f"{answers}/classify", _parsed)
@@ -98,13 +99,22 @@ def evaluate(
     decided = triage.triage_batch(messages, given, neighbours, drafted)
     errors = _one_error(read_table(spark, f"{answers}/classify", schemas.ANSWERS), given)
     failed = decided.filter(F.col("error").isNotNull()).select("thread_id", "error").join(errors, "thread_id", "left")
-    write_table(failed.select("thread_id", F.coalesce("_said", "error").alias("error")), f"{path}/failures", "overwrite")
-    append_table(triage.evaluation_rows(decided, golden).select(schemas.RESULTS.names), results)
+    failed = failed.select("thread_id", F.coalesce("_said", "error").alias("error"))
+    failures = write_counted(failed, lambda df: write_table(df, f"{path}/failures", "overwrite"))["rows"]
+    rows = triage.evaluation_rows(decided, golden).select(schemas.RESULTS.names)
+    found = write_counted(rows, lambda df: append_table(df, results), **coverage())
+    append_table(run_row(spark, found, rejected, failures), f"{path}/runs")
     if judge is not None:
         run_judge(read_table(spark, results, schemas.RESULTS), judge, templates.judge, path)
     return evaluated(spark, path)
 
 
+def run_row(spark: SparkSession, found: dict, rejects: int, failures: int) -> DataFrame:
+    """One row of ``schemas.RUNS``."""
+    counts = {"results": found["rows"], **found, "rejects": rejects, "failures": failures}
+    return spark.createDataFrame([tuple(counts[c] for c in schemas.RUNS.names)], schemas.RUNS)
+
+
 def evaluated(spark: SparkSession, path: str) -> DataFrame:
     """All stored results with all stored judgements."""
     results = read_table(spark, f"{path}/results", schemas.RESULTS)

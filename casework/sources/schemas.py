@@ -32,6 +32,9 @@ RESULTS = _table(
 )
 ANSWERS = _table("id string, answer string, error string")
 JUDGEMENTS = _table("thread_id string, judge_tone int, judge_grounding int, judge_reasoning string")
+RUNS = _table(
+    "results bigint, intent_rows bigint, escalation_rows bigint, completed bigint, rejects bigint, failures bigint"
+)
 SUMMARY = _table("section string, name string, value double, label string")
 
 

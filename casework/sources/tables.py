@@ -4,7 +4,7 @@ import uuid
 import tempfile
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions.text import half_even, normalize_id, numeric_or_null
@@ -84,6 +84,25 @@ def write_table(
     df.write.mode(mode).partitionBy(*by).options(**options).format(fmt).save(path)
 
 
+def write_counted(df: DataFrame, write, **counts: Column) -> dict:
+    """Write a frame with ``write`` and return its number of ``rows`` and the given aggregates, counted while it
+    is written: no other pass over the data."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(name) for name, c in counts.items()]))
+    return seen.get
+
+
+def coverage() -> dict:
+    """Aggregates of results: rows with both intents, with both escalation flags, and with a prediction."""
+    def both(a, b):
+        return F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull())
+
+    return {
+        "intent_rows": both("true_intent", "pred_intent"), "escalation_rows": both("true_escalate", "pred_escalate"),
+        "completed": F.count("pred_intent"),
+    }
+
+
 def write_split(df: DataFrame, path: str) -> None:
     """Golden and knowledge-base rows side by side, one directory per split."""
     write_table(df, path, "overwrite", by=["split"])

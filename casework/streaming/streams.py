@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from casework.operators import triage
 from casework.operators.threads import build_knowledge_base
+from casework.plans.workflow import run_row
 from casework.sources import schemas
-from casework.sources.tables import add_missing
+from casework.sources.tables import add_missing, coverage, write_counted
 from casework.streaming import batches
 
 #: Read what is there and stop. Give for example {"processingTime": "1 minute"} to keep running.
@@ -48,8 +49,9 @@ def _place(batch: DataFrame, checkpoint: str, batch_id: int) -> tuple:
     return batch.sparkSession.read.json(f"{checkpoint}/metadata").first().id, batch_id
 
 
-def _write(batch: DataFrame, path: str, place: tuple, id_column: str | None = None) -> None:
-    batches.write(batch, path, place, id_column)
+def _write(batch: DataFrame, path: str, place: tuple, id_column: str | None = None, **counts) -> dict:
+    """Write a batch and return its ``rows`` and other counts."""
+    return write_counted(batch, lambda df: batches.write(df, path, place, id_column), **counts)
 
 
 def _earlier(path: str, place: tuple, column: str, ids: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def evaluate_stream(
 
     Results, with the truth the golden rows bring, go to ``out/results``, rows without a text to
     ``out/rejects`` and rows without a usable answer to ``out/failures``; both kinds count as not
-    evaluated when they are delivered again. With ``event_time`` repeats within the
+    evaluated when they are delivered again. ``out/runs`` gets the numbers of each batch. With ``event_time`` repeats within the
     horizon are dropped from state; the check against the stored results is exact without it and
     also survives a lost checkpoint.
     """
@@ -125,12 +127,16 @@ def evaluate_stream(
         open_rows = triage.checked_messages(_unseen(once, done, "thread_id"), limit=None).persist()
         try:
             rejects = triage.rejected_messages(open_rows)
-            _write(rejects.select("thread_id", F.col("message_status").alias("reason")), f"{out}/rejects", place)
+            rejects = rejects.select("thread_id", F.col("message_status").alias("reason"))
+            rejected = _write(rejects, f"{out}/rejects", place)["rows"]
 
             def results(rows):
                 return triage.evaluation_rows(rows, open_rows).select(schemas.RESULTS.names)
 
-            _write_decided(triage.valid_messages(open_rows), answer, out, "results", place, results, "thread_id")
+            found, failures = _write_decided(
+                triage.valid_messages(open_rows), answer, out, "results", place, results, "thread_id", **coverage()
+            )
+            _write(run_row(batch.sparkSession, found, rejected, failures), f"{out}/runs", place)
         finally:
             open_rows.unpersist()
             once.unpersist()
@@ -138,8 +144,12 @@ def evaluate_stream(
     return _start(golden, each, checkpoint, trigger)
 
 
-def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tuple, shape, id_column=None) -> None:
-    """Answer and decide one batch. Answers are stored before use, so that a lost executor asks
+def _write_decided(
+    messages: DataFrame, answer, out: str, good: str, place: tuple, shape, id_column=None, **counts
+) -> tuple:
+    """Answer and decide one batch; returns the counts of the decided rows and the number of failures.
+
+    Answers are stored before use, so that a lost executor asks
     nobody twice; decisions are kept while two tables are written from them."""
     given = answer(messages).select(F.col("id").cast("string").alias("id"), "answer", "error")
     _write(given, f"{out}/answers", place)
@@ -147,9 +157,9 @@ def _write_decided(messages: DataFrame, answer, out: str, good: str, place: tupl
     given = messages.sparkSession.read.schema(schemas.ANSWERS).parquet(path)
     rows = triage.triage_batch(messages, given).persist()
     try:
-        _write(shape(rows.filter(F.col("error").isNull())), f"{out}/{good}", place, id_column)
+        found = _write(shape(rows.filter(F.col("error").isNull())), f"{out}/{good}", place, id_column, **counts)
         failed = rows.filter(F.col("error").isNotNull()).select("thread_id", "error")
-        _write(failed, f"{out}/failures", place)
+        return found, _write(failed, f"{out}/failures", place)["rows"]
     finally:
         rows.unpersist()
 

@@ -76,6 +76,18 @@ def test_failures_of_a_run_are_listed(spark, tmp_path):
     assert spark.read.schema("thread_id string").parquet(f"{path}/failures").count() == 0
 
 
+def test_runs_are_counted_while_their_tables_are_written(spark, tmp_path):
+    path = str(tmp_path / "e")
+    golden = golden_rows(spark, 9).withColumn("customer_text", F.when(F.col("thread_id") > 1, F.col("customer_text"))).withColumn(
+        "true_intent", F.when(F.col("thread_id") > 3, F.col("true_intent"))
+    )
+    for broken in ("5", "-"):
+        workflow.evaluate(spark, golden, lambda p, b=broken: ["no" if n == b else REPLY for n in numbers(p)], TEMPLATES, path)
+    runs = sorted(map(tuple, spark.read.parquet(f"{path}/runs").select(schemas.RUNS.names).collect()))
+    # results, with both intents, with both flags, completed, rejects, failures
+    assert runs == [(1, 1, 1, 1, 2, 0), (6, 4, 6, 6, 2, 1)]
+
+
 def test_replies_to_missing_messages_are_judged(spark, tmp_path):
     rows = [(str(i), None if i == 3 else "hello", f"reply {i}") for i in range(8)]
     results = spark.createDataFrame(rows, "thread_id string, customer_text string, drafted_reply string")

@@ -55,6 +55,8 @@ def test_evaluation_survives_redelivery(spark, folder):
     run(streams.evaluate_stream(source, _rule_answers, folder("out"), folder("state")))
     got = spark.read.parquet(folder("out/results"))
     assert got.count() == got.select("thread_id").distinct().count() == 250
+    runs = spark.read.parquet(folder("out/runs")).collect()
+    assert sorted((r.results, r.rejects, r.failures) for r in runs) == [(50, 0, 0), (200, 0, 0)]
 
 
 def test_evaluation_survives_a_lost_checkpoint(spark, folder):
