@@ -609,7 +609,7 @@ def _message_stream(spark, sf, folder, view="messages_v"):
     schema = spark.read.parquet(path).schema
     name = "casework_events_" + folder.rsplit("-", 1)[1]
     streams.read_stream(spark, path, schema).createOrReplaceTempView(name)
-    base = {"events": f"SELECT * FROM {name}", "documents": f"SELECT * FROM parquet.`{sf}/documents.parquet`"}
+    base = {"events": f"SELECT * FROM {name}", "conversations": f"SELECT * FROM parquet.`{sf}/conversations.parquet`"}
     return spark.sql(with_views([view], f"SELECT * FROM {view}", base))
 
 

@@ -32,16 +32,18 @@ SELECT conv_id AS thread_id, chr(34) || text || chr(34) AS answer FROM conversat
 SELECT c.tweet_id AS thread_id, c.text AS customer_text, b.text AS agent_text
 FROM tweets_v b JOIN tweets_v c ON c.tweet_id = b.in_response_to_tweet_id
 WHERE b.author_id = 'BrandSupport' AND length(c.text) > 15"""),
-    # Every term of every list stands in some message, inside a text of the corpus.
-    "rows_v": (("events", "documents"), f"""
-SELECT e.event_id, e.user_id, e.event_type, CASE e.event_id % {len(TERMS) + 6}
+    # Every term of every list stands in some message, after a whole turn of a conversation; every turn of
+    # every conversation in several messages.
+    "rows_v": (("events", "conversations"), f"""
+SELECT e.event_id, e.user_id, e.event_type, CASE e.place
   WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '  ' || chr(10) || ' '
-  WHEN 3 THEN repeat(substr(d.text, 1, 40), 30)
+  WHEN 3 THEN repeat('long text ', 120)
   WHEN 4 THEN 'write to ann.lee+box@post.example.org, thanks' WHEN 5 THEN ' or ring +1 (743) 555-3824 '
-  ELSE substr(d.text, 1, 50) || ' ' || t.term || ' ' || substr(d.text, 51, 40) END AS customer_text
-FROM events e JOIN documents d ON d.doc_id = e.event_id % 97
-LEFT JOIN (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(QUOTED, 6))}) AS t(place, term)
-  ON t.place = e.event_id % {len(TERMS) + 6}"""),
+  ELSE coalesce(d.text || ' ', '') || t.term || ' again' END AS customer_text
+FROM (SELECT *, event_id % {len(TERMS) + 6} AS place, event_id % (SELECT max(conv_id) + 1 FROM conversations) AS conv,
+  CAST(floor(event_id / (SELECT max(conv_id) + 1 FROM conversations)) AS BIGINT) % 8 AS turn_no FROM events) e
+LEFT JOIN conversations d ON d.conv_id = e.conv AND d.turn = e.turn_no
+LEFT JOIN (VALUES {", ".join(f"({i}, '{t}')" for i, t in enumerate(QUOTED, 6))}) AS t(place, term) ON t.place = e.place"""),
     "messages_v": (("rows_v",), "SELECT event_id AS thread_id, customer_text FROM rows_v"),
     "eval_v": (("rows_v",), """
 SELECT event_id AS thread_id, customer_text,
