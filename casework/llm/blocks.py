@@ -25,7 +25,8 @@ def dealt(docs: DataFrame, id_col: str, text_col: str, *more, block_bytes: int =
     """
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(n)).cast("int")
+    # With the text, so that rows without an id, or of one id, spread as well.
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n)).cast("int")
     rows = docs.select(block.alias("_block"), F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *more)
     return rows.repartition(n, "_block"), n
 
