@@ -15,14 +15,15 @@ def connected(links: DataFrame) -> DataFrame:
     formed before the shuffle, and a hub's links are joined, not gathered.
     """
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, last = None, None
     while True:
-        sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.col("u") % 1_000_003)).first()
-        if sign == before or sign[0] == 0:
+        sign = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        # Equal sums only say that it is worth comparing the two tables.
+        if sign[0] == 0 or sign == before and edges.join(last, ["u", "v"], "left_anti").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        before = sign
+        before, last = sign, edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

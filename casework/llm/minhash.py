@@ -24,8 +24,8 @@ from casework.llm.shared import kept as stored
 
 #: Bands and values of a band: a pair of similarity 0.75 shares none of them in one case of 400,000.
 BANDS, ROWS = 48, 5
-#: Documents compared with a centre at once, and documents on each side of a group.
-GROUP, SLICE = 128, 512
+#: Documents compared with a centre at once, and documents on each side of a group; and bytes of their texts.
+GROUP, SLICE, GROUP_BYTES = 128, 512, 8 << 20
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS // 2, np.uint64).astype(np.uint32)
 _ODD = (_rng.integers(0, 1 << 31, BANDS * ROWS // 2, np.uint64) * 2 + 1).astype(np.uint32)
@@ -104,8 +104,9 @@ def _sign(batches):
 def _packed(batches):
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        texts = [pack((t or "").encode()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["_id", "_z"])
+        raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        columns = [batch.column(0), pa.array([pack(t) for t in raw], pa.binary()), pa.array([len(t) for t in raw], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_id", "_z", "_size"])
 
 
 def _confirm(share):
@@ -138,14 +139,26 @@ def _confirm(share):
     return run
 
 
+def sizes(texts):
+    """Bytes of the texts of every id."""
+    return texts.groupBy("_id").agg(F.sum("_size").alias("_size"))
+
+
+def parts(rows, most_rows, size):
+    """In how many parts rows and bytes are cut."""
+    return F.ceil(F.greatest(rows / most_rows, size / GROUP_BYTES)).cast("int")
+
+
 def confirmed(pairs, texts, share=75):
-    """``a, b, linked`` for pairs of ids; ``texts`` holds packed texts. A centre's pairs are cut into groups."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_groups"))
+    """``a, b, linked`` for pairs of ids; ``texts`` holds packed texts. A centre's pairs are cut into groups
+    of so many texts and bytes (a single text may have more)."""
+    sized = pairs.join(sizes(texts).withColumnRenamed("_id", "b"), "b")
+    groups = sized.groupBy("a").agg(parts(F.count("*"), GROUP, F.sum("_size")).alias("_groups"))
     dealt = pairs.join(groups, "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_groups")).cast("int"))
     needed = dealt.select(F.col("b").alias("_id"), "a", "_part", F.lit(False).alias("_centre")).unionByName(
         dealt.select(F.col("a").alias("_id"), "a", "_part", F.lit(True).alias("_centre")).distinct()
     )
-    return needed.join(texts, "_id").groupBy("a", "_part").applyInArrow(_confirm(share), "a long, b long, linked boolean")
+    return needed.join(texts.drop("_size"), "_id").groupBy("a", "_part").applyInArrow(_confirm(share), "a long, b long, linked boolean")
 
 
 def _centred(buckets):
@@ -217,11 +230,15 @@ def _crossing(buckets, labels, texts, share):
         inside.select("id", "c").distinct().join(clusters.withColumnRenamed("component", "k"), F.col("id") == F.col("node"))
         .select("id", "c", "k")
     )
-    parts = docs.groupBy("k", "c").agg(F.count("*").alias("m"))
-    size = parts.groupBy("k").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    sized = docs.join(sizes(texts).withColumnRenamed("_id", "id"), "id")
+    split = sized.groupBy("k", "c").agg(F.count("*").alias("m"), F.sum("_size").alias("_size"))
+    size = split.groupBy("k").agg(
+        F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"),
+        F.sum("_size").alias("bytes"), F.max_by("_size", F.struct("m", "c")).alias("own"),
+    )
     size = size.filter(F.col("all") > F.col("most")).select(
-        "k", "main", F.ceil(F.col("all") / SLICE).cast("int").alias("tiles"),
-        F.ceil((F.col("all") - F.col("most")) / SLICE).cast("int").alias("slices"),
+        "k", "main", parts(F.col("all"), SLICE, F.col("bytes")).alias("tiles"),
+        parts(F.col("all") - F.col("most"), SLICE, F.col("bytes") - F.col("own")).alias("slices"),
     )
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -230,7 +247,7 @@ def _crossing(buckets, labels, texts, share):
         both.filter("c <> main").select("k", F.col("id").alias("_id"), "c", place("slices").alias("slice"), every("tiles").alias("tile"), F.lit(True).alias("_outside"))
         .unionByName(both.select("k", F.col("id").alias("_id"), "c", every("slices").alias("slice"), place("tiles").alias("tile"), F.lit(False).alias("_outside")))
     )
-    return rows.join(texts, "_id").groupBy("k", "slice", "tile").applyInArrow(_compare(share), "a long, b long")
+    return rows.join(texts.drop("_size"), "_id").groupBy("k", "slice", "tile").applyInArrow(_compare(share), "a long, b long")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 75) -> DataFrame:
@@ -243,6 +260,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     share a component, and are kept or not together). Rows without an id are compared with
     nothing: their component is null and they are kept.
 
+    Texts of any length are read whole, in pieces; groups are cut by rows and bytes.
+
     Runs jobs. What is large moves once: texts of candidates, packed. Bucket keys are counted
     before they are joined, so buckets of one document go at once, and a bucket of many is never
     gathered.
@@ -260,7 +279,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     buckets = stored(keys.join(shared, "key").select("key", F.col("_id").alias("id")))
     candidates = buckets.select(F.col("id").alias("_id")).distinct()
     # An id with several texts is compared by each of them.
-    texts = stored(source.mapInArrow(_packed, "_id long, _z binary").join(candidates, "_id", "left_semi").dropDuplicates(["_id", "_z"]))
+    texts = stored(source.mapInArrow(_packed, "_id long, _z binary, _size long").join(candidates, "_id", "left_semi").dropDuplicates(["_id", "_z"]))
 
     # Rows that repeat an id with another text link their nodes from the start.
     members = sets.join(node, ["_f", "_g", "_n"]).select("_id", "_node")

@@ -714,3 +714,48 @@ def test_an_id_with_two_texts_is_linked_by_each(spark):
     found = {(r.doc_id, r.n_shingles > 0): r.component_id for r in minhash.grouped(df).collect()}
     assert {k[0]: c for k, c in found.items() if k[1]} == {5: 5, 7: 5, 8: 5, 3: 3, 2: 2}
     assert minhash.grouped(df).filter("doc_id = 7 OR doc_id = 8").filter("kept").count() == 0
+
+
+# Long texts.
+
+@pytest.mark.parametrize("piece", [1, 2, 7, 31])
+def test_words_are_the_same_in_any_pieces(monkeypatch, piece):
+    """Hashes don't depend on where a piece ends: inside a word, a blank or between two texts."""
+    rng = np.random.default_rng(piece)
+    texts = ["", "a", "Ab cD  e", " x\t", "lorem ipsum " * 9, "\n", "onelongwordwithoutanyblank" * 5]
+    texts += ["".join(rng.choice(list("ab \n9"), rng.integers(0, 60))) for _ in range(30)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want, where = words.hashed(data, offsets)
+    monkeypatch.setattr(words, "PIECE", piece)
+    got, at = words.hashed(data, offsets)
+    assert (got == want).all() and (at == where).all()
+    split = [[w.lower() for w in WORD.findall(t)] for t in texts]
+    assert np.diff(at).tolist() == [*map(len, split)][: len(at) - 1] and len(got) == sum(map(len, split))
+    flat = [w for s in split for w in s]
+    assert len(set(flat)) == len(set(got.tolist())) == len(set(zip(flat, got.tolist())))
+
+
+def test_one_very_long_text_needs_little_memory():
+    """A text of 16 MB of words: no array of several times its size per byte."""
+    import tracemalloc
+
+    data = np.resize(np.frombuffer(b"some words of a very long text ", np.uint8), 16 << 20)
+    words.hashed(data[:100], np.array([0, 100]))
+    tracemalloc.start()
+    found, _ = words.hashed(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) > 3_000_000 and peak < 400 << 20  # mostly some numbers for each of its words
+
+
+def test_groups_of_long_texts_are_cut_by_bytes(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice("abcdefgh") + str(rng.randint(0, 400)) for _ in range(300)) for _ in range(3)]
+    rows = [(i, base[i % 3] + f" end{i % 7}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, minhash.grouped(docs).collect()))
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 4000)
+    assert sorted(map(tuple, minhash.grouped(docs).collect())) == want == sorted(
+        (i, *v) for i, v in plain_groups(rows).items()
+    )
