@@ -1,0 +1,82 @@
+"""Rendezvous shards and compression scores against plain versions."""
+
+import math
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+import zstandard
+
+from casework.llm import quality, sharding
+from casework.llm.queries import QUERIES
+from tests.conftest import SF
+
+MASK = (1 << 64) - 1
+
+
+def hashed(seed, key, shard):
+    """Spark's xxhash64 of a whole number, a text and a whole number."""
+    h = 42
+    for part in (seed.to_bytes(4, "little"), key.encode(), shard.to_bytes(4, "little")):
+        h = xxhash.xxh64_intdigest(part, h)
+    return h
+
+
+def plain_shard(key, weights, seed=42):
+    scores = []
+    for shard, weight in enumerate(weights):
+        share = ((hashed(seed, key, shard) >> 11) + 0.5) / 2**53
+        scores.append((weight / -math.log(share), -shard))
+    return -max(scores)[1]
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 24, [1.0, 2.5, 0.0, 0.5]])
+def test_shards_by_the_definition(spark, weights):
+    rows = [(i, "t" * (i % 9)) for i in range(400)] + [(None, "no id"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.sharded(docs, weights, grown_weight=1.5).collect()
+    assert len(got) == len(rows)
+    slots = {}
+    for r in got:
+        key = f"i{r.doc_id}" if r.doc_id is not None else f"t:{r.text_crc32}:{r.size}"
+        assert (r.shard, r.grown_shard) == (plain_shard(key, weights), plain_shard(key, [*weights, 1.5]))
+        assert r.grown_shard in (r.shard, len(weights))
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by_id = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert all((by_id[i].size, by_id[i].text_crc32) == (len(t) + 8, zlib.crc32(t.encode())) for i, t in rows if i is not None)
+    if 0.0 in weights:
+        assert weights.index(0.0) not in slots
+
+
+def test_the_registered_shards(spark):
+    for r in QUERIES["op9_sharding"](spark, SF).collect():
+        assert r.shard == plain_shard(f"i{r.doc_id}", [1.0] * 24) and r.law == "key"
+
+
+def plain_score(model, text):
+    """Sizes of 512-byte blocks with either dictionary of both halves, and the logistic of their measures."""
+    data, rows = (text or "").encode(), []
+    parts = [data[i : i + 512] for i in range(0, len(data), 512)]
+    for good, bad in zip(model.good, model.bad):
+        sizes = []
+        for content in (good, bad):
+            c = zstandard.ZstdCompressor(
+                level=3, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False
+            )
+            sizes.append(sum(len(c.compress(p)) for p in parts))
+        n = len(data) + 16
+        rows.append([1, (sizes[1] - sizes[0]) / n, (min(sizes) - 8 * len(parts)) / n, n**-0.5])
+    return 1 / (1 + math.exp(-float(np.mean(rows, axis=0) @ model.weights)))
+
+
+def test_scores_by_the_definition(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(docs, labels)
+    assert len(model.good) == len(model.bad) == 2
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in QUERIES["op2_quality"](spark, SF).collect():
+        assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
