@@ -75,24 +75,24 @@ def _distinct_rows(copies: int):
     return F.least(F.count("*"), copies * F.approx_count_distinct(F.xxhash64("vec")))
 
 
-def _cell_tiles(queries: DataFrame, kb: DataFrame) -> DataFrame:
+def _cell_tiles(queries: DataFrame, kb: DataFrame, tile_rows: int) -> DataFrame:
     """Cells with rows on both sides: their row counts, and how many tiles each side is cut into."""
     issues = kb.groupBy("cell").agg(F.count("*").alias("issues"))
     asked = queries.groupBy("cell").agg(F.count("*").alias("asked"))
     return issues.join(asked, "cell").select(
-        "cell", "issues", "asked", F.ceil(F.col("issues") / TILE_ROWS).cast("int").alias("blocks"),
-        F.ceil(F.col("asked") / TILE_ROWS).cast("int").alias("slices"),
+        "cell", "issues", "asked", F.ceil(F.col("issues") / tile_rows).cast("int").alias("blocks"),
+        F.ceil(F.col("asked") / tile_rows).cast("int").alias("slices"),
     )
 
 
-def _tiled_top(queries, kb, k: int, metric: str) -> DataFrame:
+def _tiled_top(queries, kb, k: int, metric: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """k nearest (q, n, distance) of every query within its cells, ids counting once.
 
     ``queries`` has (q, vec, cell), ``kb`` has (n, vec, cell). The number of partitions follows the
     distances to compute, of which a job finds the sum, and is set outright: adaptive execution
     would merge partitions that are small in bytes but long in work.
     """
-    cut = _cell_tiles(queries, kb)
+    cut = _cell_tiles(queries, kb, tile_rows)
     effort = cut.agg(
         F.sum(F.col("issues").cast("double") * F.col("asked")), F.sum(F.col("blocks").cast("double") * F.col("slices")),
     ).first()
@@ -309,9 +309,12 @@ def read_issue_index(spark, path: str) -> IssueIndex:
 
 def search_issue_index(
     queries: DataFrame, index: IssueIndex, k: int = terms.NEIGHBOURS, query_id: str = "q",
-    vector: str = "embedding", exclude_self: bool = False,
+    vector: str = "embedding", exclude_self: bool = False, tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Exact k nearest in an index: rows (q, n, distance, rk), ties broken on the lower id."""
+    """Exact k nearest in an index: rows (q, n, distance, rk), ties broken on the lower id.
+
+    ``tile_rows`` bounds the rows that a task gets of either side.
+    """
     queries = _typed(queries, query_id, vector, "q")
     need = k + 1 if exclude_self else k
     if not index.cells:
@@ -334,14 +337,14 @@ def search_issue_index(
         return pd.Series([cells[row] for row in _visited(d, between, cells, low, high, near, need)])
 
     visiting = queries.withColumn("cell", F.explode(visits("vec")))
-    found = _tiled_top(visiting, index.table.select("n", "vec", "cell"), need, index.metric)
+    found = _tiled_top(visiting, index.table.select("n", "vec", "cell"), need, index.metric, tile_rows)
     return _ranked(found, k, exclude_self)
 
 
 def similar_issues(
     queries: DataFrame, kb: DataFrame, k: int = terms.NEIGHBOURS, query_id: str = "q",
     kb_id: str = "n", vector: str = "embedding", metric: str = "l2",
-    exclude_self: bool = False, pivots: int | None = None,
+    exclude_self: bool = False, pivots: int | None = None, tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Exact k nearest without a stored index.
 
@@ -349,7 +352,7 @@ def similar_issues(
     """
     copies = k + 1 if exclude_self else k
     index = issue_index(kb, kb_id, vector, metric, copies, pivots)
-    return search_issue_index(queries, index, k, query_id, vector, exclude_self)
+    return search_issue_index(queries, index, k, query_id, vector, exclude_self, tile_rows)
 
 
 def similar_issues_lsh(

@@ -1,5 +1,7 @@
 """The registered queries once more, as DuckDB SQL over the same tables."""
 
+import numpy as np
+
 from casework.functions import terms
 from casework.functions.text import BLANKS
 from checks.views import with_views
@@ -247,6 +249,20 @@ def nearest(k, distance="list_distance", kb="embeddings"):
     )
 
 
+def bucketed(k, tables, bits, seed, width=64):
+    """Neighbours that share the code of a table, the sides of its random planes."""
+    normals = np.random.default_rng(seed).standard_normal((width, tables * bits)).T.tolist()
+    planes = "[" + ", ".join("[" + ", ".join(str(normals[t * bits + b]) for b in range(bits)) + "]" for t in range(tables)) + "]"
+    return (
+        f"WITH p AS (SELECT unnest(range({tables})) AS t, unnest(CAST({planes} AS DOUBLE[][][])) AS normals), "
+        "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+        "c AS (SELECT vec_id, t, list_transform(normals, lambda x: list_dot_product(v, x) > 0) AS code FROM e, p), "
+        "x AS (SELECT DISTINCT a.vec_id AS q, b.vec_id AS n FROM c a JOIN c b ON a.t = b.t AND a.code = b.code AND a.vec_id <> b.vec_id) "
+        "SELECT q, n, rk, round_even(d, 6) AS distance FROM (SELECT q, n, d, row_number() OVER (PARTITION BY q ORDER BY d, n) AS rk "
+        f"FROM (SELECT q, n, list_distance(a.v, b.v) AS d FROM x JOIN e a ON a.vec_id = q JOIN e b ON b.vec_id = n)) WHERE rk <= {k}"
+    )
+
+
 SIGNAL_JSON = (
     "'{\"physical_damage\":' || CAST(physical_damage AS VARCHAR) || ',\"refund_or_charge\":' || "
     "CAST(refund_or_charge AS VARCHAR) || ',\"pii\":' || CAST(pii AS VARCHAR) || ',\"toxic\":' || CAST(toxic AS VARCHAR) || '}'"
@@ -564,6 +580,8 @@ FROM (SELECT *, thread_id % 7 AS k FROM lenient_v)"""),
         "knowledge_base": q(
             ["threads_v"], kb_of("(SELECT * FROM threads_v WHERE thread_id NOT IN (SELECT thread_id FROM g))"), GOLDEN),
         "similar_issues": nearest(5),
+        "similar_issues_tiles": nearest(5),
+        "similar_issues_buckets": bucketed(5, 12, 5, terms.EXTRACT_SEED),
         "similar_issues_cosine": nearest(3, "list_cosine_distance"),
         "similar_issues_repeated": nearest(
             4, kb="(SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1, embedding FROM embeddings WHERE vec_id % 3 = 0)"),

@@ -505,6 +505,25 @@ def similar_issues_lsh(spark, sf):
     return _nearest(retrieve.similar_issues_lsh, spark, sf, 5).select("q", "n", "rk")
 
 
+#: Hash tables and bits of the search whose buckets the oracle forms as well.
+BUCKETS = (12, 5)
+
+
+@query
+def similar_issues_buckets(spark, sf):
+    """Neighbours among those that share a bucket, in given tables."""
+    v, (tables_, bits) = _vectors(spark, sf), BUCKETS
+    found = retrieve.similar_issues_lsh(v, v, 5, "vec_id", "vec_id", exclude_self=True, tables=tables_, bits=bits)
+    return _rounded(found)
+
+
+@query
+def similar_issues_tiles(spark, sf):
+    """The exact search in tiles of 100 rows on either side."""
+    v = _vectors(spark, sf)
+    return _rounded(retrieve.similar_issues(v, v, 5, "vec_id", "vec_id", exclude_self=True, tile_rows=100))
+
+
 @query
 def rag_evidence(spark, sf):
     found = retrieve.rag_evidence(_nearest(retrieve.similar_issues, spark, sf, 1), frame(spark, sf, "cases_v"))
