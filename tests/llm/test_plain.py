@@ -1,6 +1,9 @@
-"""Rendezvous shards and compression scores against plain versions."""
+"""Rendezvous shards, compression scores and pseudonyms against plain versions."""
 
+import datetime
+import hashlib
 import math
+import re
 import zlib
 
 import numpy as np
@@ -8,7 +11,7 @@ import pytest
 import xxhash
 import zstandard
 
-from casework.llm import quality, sharding
+from casework.llm import pii, quality, sharding
 from casework.llm.queries import QUERIES
 from tests.conftest import SF
 
@@ -80,3 +83,77 @@ def test_scores_by_the_definition(spark):
     for r in QUERIES["op2_quality"](spark, SF).collect():
         assert r.score == pytest.approx(plain_score(model, texts[r.doc_id]), abs=1e-9)
         assert r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def prf(key, kind, turn, value):
+    return hashlib.sha256(f"{key}|{kind}|{turn}|{value}".encode()).hexdigest()
+
+
+def plain_permuted(value, u, v, key, kind):
+    a, b = divmod(value, v)
+    for turn in range(pii.ROUNDS):
+        if turn % 2 == 0:
+            a = (a + int(prf(key, kind, turn, b)[:12], 16)) % u
+        else:
+            b = (b + int(prf(key, kind, turn, a)[:12], 16)) % v
+    return a * v + b
+
+
+def plain_scrambled(text, form, key, kind):
+    def shifted(part, stream):
+        out = []
+        for i, c in enumerate(part):
+            by = int(stream[2 * (i % 31) :][:2], 16)
+            for first, size in pii.CLASSES[form]:
+                if 0 <= ord(c) - ord(first) < size:
+                    c = chr(ord(first) + (ord(c) - ord(first) + by) % size)
+                    break
+            out.append(c)
+        return "".join(out)
+
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+    for turn in range(pii.ROUNDS):
+        a, b = b, shifted(a, prf(key, kind, turn, b))
+    return a + b
+
+
+def check_digit(payload):
+    doubled = [int(d) * (2 - i % 2) for i, d in enumerate(reversed(payload))]
+    return str(-sum(d - 9 * (d > 9) for d in doubled) % 10)
+
+
+def plain_pseudonym(found, key):
+    digits = re.sub(r"\D", "", found)
+    if "@" in found:
+        name, last = found.rsplit(".", 1)
+        return plain_scrambled(name, "word", key, "email") + "." + last
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", found):
+        area, group, serial = int(found[:3]), int(found[4:6]), int(found[7:])
+        x = plain_permuted(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
+        area = x // (99 * 9999) + 1
+        return f"{area + (area >= 666):03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}", found):
+        place = (datetime.date.fromisoformat(found) - pii.FIRST_DAY).days
+        return str(pii.FIRST_DAY + datetime.timedelta(plain_permuted(place, *pii.DAYS, key, "date")))
+    if found.count(".") == 3:
+        x = plain_permuted(int.from_bytes(map(int, found.split("."))), 65536, 65536, key, "ip")
+        return ".".join(map(str, x.to_bytes(4)))
+    if found.startswith("+"):
+        new = digits[:-10] + plain_scrambled(digits[-10:], "phone", key, "phone") if len(digits) > 10 else digits[:1] + plain_scrambled(digits[1:], "phone", key, "phone")
+    else:
+        new = plain_scrambled(digits[:-1], "digits", key, "card")
+        new += check_digit(new)
+    rest = iter(new)
+    return "".join(next(rest) if c.isdigit() else c for c in found)
+
+
+def test_pseudonyms_by_the_definition(spark):
+    found = [
+        "jo.doe+x@mail3.example.com", "A.B-c_9@x.org", "078-05-1120", "899-99-9999", "665-01-0001", "667-12-3456", "1980-02-29", "1900-01-01",
+        "2100-05-01", "97.51.17.173", "0.0.0.0", "255.255.255.255", "4111 1111 1111 1111", "4111-1111-1111-1111", "5500005555555559",
+        "+1 (743) 555-3824", "+49 30 1234567",
+    ]
+    df = spark.createDataFrame([(i, f"so {t} it is") for i, t in enumerate(found)], "doc_id int, text string")
+    for key in ("k", "another"):
+        for r in pii.pseudonymised(df, key).collect():
+            assert r.text == f"so {plain_pseudonym(found[r.doc_id], key)} it is" and r.n_pseudonyms <= 1, found[r.doc_id]
