@@ -132,13 +132,11 @@ def class_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def weighted_prf(classes: DataFrame) -> DataFrame:
-    """Support-weighted averages of a ``class_metrics`` table, beside each of its labels: label, ``precision``,
-    ``recall``, ``f1``. There may be any number of labels; no row or task holds them all."""
-    total = F.sum("support")
+    """Rows label, ``precision``, ``recall``, ``f1``: those of each label of a ``class_metrics`` table and, under a
+    null label, their support-weighted averages. There may be any number of labels; no row or task holds them all."""
     names = (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))
-    weighted = [ratio(exact_sum(F.col(c) * F.col("support")), total).alias(name) for c, name in names]
-    averages = classes.agg(F.struct(*weighted).alias("a")).scalar()
-    return classes.select(F.col("intent").alias("label"), averages.alias("a")).select("label", "a.*")
+    weighted = [ratio(exact_sum(F.col(c) * F.col("support")), F.sum("support")).alias(name) for c, name in names]
+    return classes.rollup(F.col("intent").alias("label")).agg(*weighted)
 
 
 def classification_report(pairs: DataFrame) -> DataFrame:

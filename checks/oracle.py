@@ -372,9 +372,9 @@ def _sql():
             + ", n AS total, valid AS intent_valid, esc_valid FROM c, mj, ed",
             f"{PAIRS}, {COUNTS}, {MAJORITY}, ed AS ({escalation('dashboard')})"),
         "weighted_prf": q(
-            ev, "SELECT l AS label, a.* FROM m, (SELECT " + ", ".join(
-                f"{folded(f'{c} * support')} / sum(support) AS {n}"
-                for c, n in (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))) + " FROM m) a", PAIRS),
+            ev, "SELECT l AS label, " + ", ".join(
+                f"CASE WHEN sum(support) = 0 THEN 0.0::DOUBLE ELSE {folded(f'{c} * support')} / sum(support) END AS {n}"
+                for c, n in (("prec", "precision"), ("rec", "recall"), ("f1", "f1"))) + " FROM m GROUP BY ROLLUP (l)", PAIRS),
         "mismatch_cases": q(
             ev, "SELECT '#MM-' || lpad(CAST(n AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') AS case_id, thread_id, pred_intent, true_intent "
             "FROM (SELECT *, row_number() OVER (ORDER BY thread_id) AS n FROM eval_v WHERE NOT coalesce(lower(trim(true_intent)) = lower(trim(pred_intent)), false))"),
