@@ -1,10 +1,9 @@
 """Nearest past issues by vector distance.
 
 Both searches give every vector one or more cell keys and compare vectors only within a cell.
-Cells are cut into tiles: the knowledge-base side into blocks, the query side into slices, each
-of bounded size, and one task call sees one block and one slice. A cell with a third of all
-rows therefore becomes many tiles instead of one large group, and a tile returns k rows per
-query, never its pairs.
+Cells are dealt into groups: the knowledge-base side into blocks, the query side into slices, each
+of bounded size, and one task call compares one block with one slice, tile by tile. A cell with a third of all
+rows therefore becomes many tasks, and a group returns k rows per query, never its pairs.
 
 * ``similar_issues`` is exact. Cells are the Voronoi cells of sampled vectors; a query visits a
   cell unless the triangle inequality proves that no member can be among its k nearest. The
@@ -13,7 +12,7 @@ query, never its pairs.
 
 Planning them runs small jobs: a seeded sample of at most ``MAX_PIVOTS`` vectors comes to the
 driver, and for the exact search a few figures of each of as many cells; nothing that grows with the
-data. How cells are cut into tiles is joined, not collected.
+data. How cells are dealt into groups is joined, not collected.
 """
 
 import math
@@ -21,6 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,13 +33,26 @@ from casework.operators.seeded import first_per_key, seeded_sample
 from casework.sources.tables import write_table
 
 MAX_PIVOTS = 1024
-TILE_ROWS = 8192
+# Rows of the knowledge base that are compared at once at most, and queries; and so many that distances stay in a
+# processor's cache. Pairs that are measured exactly at once.
+TILE_ROWS, QUERY_ROWS, CACHED_ROWS, MEASURED_ROWS = 8192, 512, 1024, 65_536
+# Either side of a cell is dealt into SIDE_GROUPS groups, but into fewer if they had fewer rows than the first figure and
+# into more if they had more than the second.
+SIDE_GROUPS, MIN_GROUP_ROWS, MAX_GROUP_ROWS = 10, 8192, 65_536
+# Cells whose numbers of groups go to every executor at most.
+SMALL_CELLS = 50_000
+# Vectors measured against all pivots at once.
+PIVOT_ROWS = 1024
 # Work of sending a query to one more cell, in distances it costs as much as.
 CELL_COST = 500
 # Distances one task computes, what a tile costs beside its distances, and the most tasks.
 PARTITION_WORK = 5_000_000
 TILE_COST = 200_000
 MAX_PARTITIONS = 100_000
+# Bytes a task sends, about.
+SENT_BYTES = 64 << 20
+# Hash tables of a search whose bits are not given.
+MAX_TABLES = 40
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -70,36 +84,118 @@ def _few_copies(kb: DataFrame, keep: int) -> DataFrame:
     return first_per_key(hashed, ["_h", "vec"], ["n"], keep).drop("_h")
 
 
+def _spread(side: DataFrame, by: str, copies: int) -> DataFrame:
+    """``side`` in so many parts that none sends much more than SENT_BYTES, every row ``copies`` times: what a
+    task sends it collects first, and few files or merged partitions would make few tasks. Runs a job."""
+    rows, width = side.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    parts = math.ceil(rows * copies * (4 * width + 64) / SENT_BYTES)
+    return side.repartition(max(1, min(parts, MAX_PARTITIONS)), by, F.xxhash64("vec"))
+
+
 def _distinct_rows(copies: int):
     """Aggregate: rows left when at most ``copies`` of each vector are kept, roughly."""
     return F.least(F.count("*"), copies * F.approx_count_distinct(F.xxhash64("vec")))
 
 
-def _cell_tiles(queries: DataFrame, kb: DataFrame, tile_rows: int) -> DataFrame:
-    """Cells with rows on both sides: their row counts, and how many tiles each side is cut into."""
+def _cell_groups(queries: DataFrame, kb: DataFrame) -> DataFrame:
+    """Cells with rows on both sides: their row counts, and how many groups each side is dealt into."""
     issues = kb.groupBy("cell").agg(F.count("*").alias("issues"))
     asked = queries.groupBy("cell").agg(F.count("*").alias("asked"))
+
+    def groups(rows: str):
+        small, large = F.ceil(F.col(rows) / MIN_GROUP_ROWS), F.ceil(F.col(rows) / MAX_GROUP_ROWS)
+        return F.greatest(F.least(small, F.lit(SIDE_GROUPS)), large).cast("int")
+
     return issues.join(asked, "cell").select(
-        "cell", "issues", "asked", F.ceil(F.col("issues") / tile_rows).cast("int").alias("blocks"),
-        F.ceil(F.col("asked") / tile_rows).cast("int").alias("slices"),
+        "cell", "issues", "asked", groups("issues").alias("blocks"), groups("asked").alias("slices")
     )
 
 
+def _rows(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as a matrix; null components are NaN."""
+    lists = column.combine_chunks()
+    lengths = np.unique(np.diff(lists.offsets.to_numpy()))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of {lengths.tolist()} components")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+class _Nearest:
+    """The ``k`` nearest of ``m`` to each of some query vectors ``part``; rows of equal ``codes``, which
+    ascend, are one issue that counts by its nearest vector."""
+
+    def __init__(self, part: np.ndarray, m: np.ndarray, codes: np.ndarray, k: int):
+        self.part, self.m, self.codes, self.k = part, m, codes, k
+        self.square = (part * part).sum(axis=1)
+        self.row, self.code, self.distance = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.bound = np.full(len(part), np.inf)  # squared distance of the k-th
+        self.open, self.waiting = [], 0
+
+    def see(self, start: int, stop: int, square: np.ndarray) -> None:
+        """Take in the rows from ``start`` to ``stop``, whose squared lengths are ``square``."""
+        # a.a + b.b - 2 a.b is the squared distance; this is (b.b - 2 a.b) / -2.
+        near = self.part @ self.m[start:stop].T
+        near -= square / 2
+        bound, some = self.bound, np.isinf(self.bound).any()
+        if some:
+            codes = self.codes[start:stop]
+            first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            if len(first) >= self.k:
+                best = near if len(first) == len(codes) else np.maximum.reduceat(near, first, axis=1)
+                kth = np.partition(best, len(first) - self.k, axis=1)[:, len(first) - self.k]
+                bound = np.minimum(bound, self.square - 2.0 * kth)
+        # The product form is inexact: take all within rounding of the k-th, then measure those again.
+        slack = 1e-9 * (1.0 + self.square + square.max())
+        i, j = np.nonzero(near >= ((self.square - bound - slack) / 2)[:, None])
+        self.open.append((i, start + j))
+        self.waiting += len(i)
+        if some or self.waiting > 4 * self.k * len(self.part):
+            self.settle()
+
+    def settle(self) -> None:
+        """Rank what waits by (distance, code) with what was nearest before."""
+        if not self.open:
+            return
+        i, j = (np.concatenate(c) for c in zip(*self.open))
+        self.open, self.waiting = [], 0
+        exact = np.empty(len(i))
+        for at in range(0, len(i), MEASURED_ROWS):
+            some = slice(at, at + MEASURED_ROWS)
+            exact[some] = np.sqrt(((self.part[i[some]] - self.m[j[some]]) ** 2).sum(axis=1))
+        row, code = np.r_[self.row, i], np.r_[self.code, self.codes[j]]
+        distance = np.r_[self.distance, exact]
+        order = np.lexsort((distance, code, row))
+        row, code, distance = row[order], code[order], distance[order]
+        once = np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])][: len(row)]
+        row, code, distance = row[once], code[once], distance[once]
+        order = np.lexsort((code, distance, row))
+        row, code, distance = row[order], code[order], distance[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+        last = rank == self.k - 1
+        self.bound[row[last]] = distance[last] ** 2
+        keep = rank < self.k
+        self.row, self.code, self.distance = row[keep], code[keep], distance[keep]
+
+
 def _tiled_top(queries, kb, k: int, metric: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """k nearest (q, n, distance) of every query within its cells, ids counting once.
 
-    ``queries`` has (q, vec, cell), ``kb`` has (n, vec, cell). The number of partitions follows the
-    distances to compute, of which a job finds the sum, and is set outright: adaptive execution
-    would merge partitions that are small in bytes but long in work.
+    ``queries`` has (q, vec, cell), ``kb`` has (n, vec, cell). Rows are sent once per group of the other
+    side, and a task compares its two groups tile by tile, so how often a row is sent does not depend on
+    ``tile_rows``. The number of partitions follows the distances to compute, of which a job finds the sum, and is
+    set outright: adaptive execution would merge partitions that are small in bytes but long in work.
     """
-    cut = _cell_tiles(queries, kb, tile_rows)
+    cut = _cell_groups(queries, kb)
     effort = cut.agg(
         F.sum(F.col("issues").cast("double") * F.col("asked")), F.sum(F.col("blocks").cast("double") * F.col("slices")),
+        F.count("*"),
     ).first()
-    tiles = int(effort[1] or 1)
-    work = (effort[0] or 0) + tiles * TILE_COST
-    partitions = max(1, min(tiles, math.ceil(work / PARTITION_WORK), MAX_PARTITIONS))
+    groups = int(effort[1] or 1)
+    work = (effort[0] or 0) + groups * TILE_COST
+    partitions = max(1, min(groups, math.ceil(work / PARTITION_WORK), MAX_PARTITIONS))
     cut = cut.select("cell", "blocks", "slices")
+    if effort[2] <= SMALL_CELLS:  # else the rows of a large cell would meet in one task
+        cut = F.broadcast(cut)
     kb = (
         kb.join(cut, "cell").withColumn("block", F.pmod(F.xxhash64("n"), "blocks").cast("int"))
         .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("blocks", "slices")
@@ -113,48 +209,36 @@ def _tiled_top(queries, kb, k: int, metric: str, tile_rows: int = TILE_ROWS) ->
         [T.StructField("q", q_type), T.StructField("n", n_type), T.StructField("distance", T.DoubleType())]
     )
     unit = metric == "cosine"
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"q": [], "n": [], "distance": []})
-        a, b = _matrix(left["vec"]), _matrix(right["vec"])
-        if unit:
-            a, b = _unit(a), _unit(b)
-        ids, qs = right["n"].to_numpy(), left["q"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, b = ids[order], b[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        b2, top = (b * b).sum(axis=1), min(k, len(first))
-        rows, cols, dists = [], [], []
-        for at in range(0, len(a), 512):
-            part = a[at : at + 512]
-            a2 = (part * part).sum(axis=1)
-            fast = a2[:, None] + b2[None, :] - 2.0 * part @ b.T
-            # The product form is inexact: take all within rounding of the k-th id, then
-            # measure those again and rank by (distance, id), an id by its nearest vector.
-            best = fast if len(first) == len(ids) else np.minimum.reduceat(fast, first, axis=1)
-            kth = np.partition(best, top - 1, axis=1)[:, top - 1]
-            slack = 1e-9 * (1.0 + a2 + b2.max())
-            i, j = np.nonzero(fast <= (kth + slack)[:, None])
-            exact = np.sqrt(((part[i] - b[j]) ** 2).sum(axis=1))
-            order = np.lexsort((ids[j], exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            if len(first) < len(ids):
-                once = pd.DataFrame({"i": i, "n": ids[j]}).drop_duplicates().index
-                i, j, exact = i[once], j[once], exact[once]
-            rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-            keep = rank < top
-            rows.append(qs[at + i[keep]])
-            cols.append(ids[j[keep]])
-            dists.append(exact[keep])
-        d = np.concatenate(dists)
-        return pd.DataFrame(
-            {"q": np.concatenate(rows), "n": np.concatenate(cols), "distance": d * d / 2 if unit else d}
-        )
+    at_once, tile_rows = min(QUERY_ROWS, tile_rows), min(CACHED_ROWS, tile_rows)
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, qs = right.column("n").combine_chunks(), left.column("q").combine_chunks()
+        found = [[], [], []]
+        if left.num_rows and right.num_rows:
+            asked, m = _rows(left.column("vec")), _rows(right.column("vec")).astype(np.float64)
+            code = pc.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            code, m = code[order], m[order]
+            place = order[np.searchsorted(code, np.arange(code[-1] + 1))]  # where a code's id stands
+            m = _unit(m) if unit else m
+            square = (m * m).sum(axis=1)
+            for at in range(0, len(asked), at_once):
+                part = asked[at : at + at_once].astype(np.float64)
+                best = _Nearest(_unit(part) if unit else part, m, code, k)
+                for x in range(0, len(m), tile_rows):
+                    best.see(x, x + tile_rows, square[x : x + tile_rows])
+                best.settle()
+                for column, values in zip(found, (at + best.row, place[best.code], best.distance)):
+                    column.append(values)
+        row, issue, d = (np.concatenate(c) if c else np.zeros(0) for c in found)
+        return pa.table({
+            "q": qs.take(pa.array(row, pa.int64())), "n": ids.take(pa.array(issue, pa.int64())),
+            "distance": pa.array(d * d / 2 if unit else d, pa.float64()),
+        })
 
     keys = ["cell", "block", "slice"]
     queries, kb = (side.repartition(partitions, *keys) for side in (queries, kb))
-    return queries.groupBy(*keys).cogroup(kb.groupBy(*keys)).applyInPandas(nearest, out)
+    return queries.groupBy(*keys).cogroup(kb.groupBy(*keys)).applyInArrow(nearest, out)
 
 
 def _ranked(found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
@@ -191,6 +275,13 @@ def _to_pivots(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _by_pivots(vectors: pd.Series, pivots: np.ndarray, unit: bool):
+    """Distances of vectors to all pivots, some rows at a time: a whole Arrow batch by all pivots would be large."""
+    for at in range(0, max(1, len(vectors)), PIVOT_ROWS):
+        m = _matrix(vectors.iloc[at : at + PIVOT_ROWS])
+        yield _to_pivots(_unit(m) if unit else m, pivots)
+
+
 def _between(pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
 
@@ -270,9 +361,9 @@ def issue_index(
 
     @F.pandas_udf("struct<cell:int,radius:double>")
     def home(vectors: pd.Series) -> pd.DataFrame:
-        m = _matrix(vectors)
-        d = _to_pivots(_unit(m) if unit else m, p)
-        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "radius": d.min(axis=1)})
+        found = [(d.argmin(axis=1).astype("int32"), d.min(axis=1)) for d in _by_pivots(vectors, p, unit)]
+        cell, radius = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"cell": cell, "radius": radius})
 
     placed = kb.withColumn("_p", home("vec")).select("n", "vec", "_p.cell", "_p.radius")
     ring = placed.groupBy("cell").agg(
@@ -313,7 +404,8 @@ def search_issue_index(
 ) -> DataFrame:
     """Exact k nearest in an index: rows (q, n, distance, rk), ties broken on the lower id.
 
-    ``tile_rows`` bounds the rows that a task gets of either side.
+    ``tile_rows`` bounds the rows of either side that are compared at once, groups of at most about
+    MAX_GROUP_ROWS rows those that a task gets.
     """
     queries = _typed(queries, query_id, vector, "q")
     need = k + 1 if exclude_self else k
@@ -332,12 +424,13 @@ def search_issue_index(
 
     @F.pandas_udf("array<int>")
     def visits(vectors: pd.Series) -> pd.Series:
-        m = _matrix(vectors)
-        d = _to_pivots(_unit(m) if unit else m, p)
-        return pd.Series([cells[row] for row in _visited(d, between, cells, low, high, near, need)])
+        return pd.Series([
+            cells[row] for d in _by_pivots(vectors, p, unit) for row in _visited(d, between, cells, low, high, near, need)
+        ])
 
-    visiting = queries.withColumn("cell", F.explode(visits("vec")))
-    found = _tiled_top(visiting, index.table.select("n", "vec", "cell"), need, index.metric, tile_rows)
+    visiting = _spread(queries, "q", SIDE_GROUPS).withColumn("cell", F.explode(visits("vec")))
+    issues = _spread(index.table.select("n", "vec", "cell"), "n", SIDE_GROUPS)
+    found = _tiled_top(visiting, issues, need, index.metric, tile_rows)
     return _ranked(found, k, exclude_self)
 
 
@@ -382,16 +475,20 @@ def similar_issues_lsh(
         return pd.Series(list(code.astype("int64")))
 
     found = _tiled_top(
-        queries.withColumn("cell", F.explode(buckets("vec"))),
-        _few_copies(kb, need).withColumn("cell", F.explode(buckets("vec"))), need, metric,
+        _spread(queries, "q", tables).withColumn("cell", F.explode(buckets("vec"))),
+        _spread(_few_copies(kb, need), "n", tables).withColumn("cell", F.explode(buckets("vec"))), need, metric,
     )
     return _ranked(found, k, exclude_self)
 
 
 def _hash_plan(kb: DataFrame, k: int, recall: float, bits: int | None) -> tuple:
-    """Bits so that a bucket of a table holds about a tile, and tables for the recall."""
-    rows = kb.count()
-    bits = max(1, min(40, round(math.log2(max(2, rows / (TILE_ROWS // 16)))))) if bits is None else bits
+    """Bits so that a bucket of a table holds about a tile, and tables for the recall.
+
+    Every table is one more copy of all vectors, so bits that nobody gave are fewer where they would take
+    more than MAX_TABLES tables: without structure buckets grow, and not the copies.
+    """
+    rows, given = kb.count(), bits is not None
+    bits = bits if given else max(1, min(40, round(math.log2(max(2, rows / (TILE_ROWS // 16))))))
     drawn = seeded_sample(kb, MAX_PIVOTS, "n", terms.EXTRACT_SEED).collect()
     if len(drawn) < 2:
         return bits, 1
@@ -401,10 +498,16 @@ def _hash_plan(kb: DataFrame, k: int, recall: float, bits: int | None) -> tuple:
     place = min(len(m) - 1, max(1, round(k * len(m) / rows)))
     near = np.argsort(d, axis=1)[:, place]
     cosine = np.clip((_unit(m[:256]) * _unit(m[near])).sum(axis=1), -1, 1)
-    together = (1 - np.arccos(cosine) / np.pi) ** bits
-    # The distant quarter of queries is found as often as asked for.
-    chance = min(1 - 1e-9, max(1e-6, float(np.quantile(together, 0.25))))
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+    def needed(bits: int) -> int:
+        together = (1 - np.arccos(cosine) / np.pi) ** bits
+        # The distant quarter of queries is found as often as asked for.
+        chance = min(1 - 1e-9, max(1e-6, float(np.quantile(together, 0.25))))
+        return max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+    while not given and bits > 1 and needed(bits) > MAX_TABLES:
+        bits -= 1
+    return bits, needed(bits)
 
 
 def rag_evidence(

@@ -171,3 +171,45 @@ def test_lsh_recall_without_structure(spark):
     exact = brute(kb.collect(), kb.collect(), 5, exclude_self=True)
     got = found(search(retrieve.similar_issues_lsh, kb, kb, 5, exclude_self=True))
     assert sum(len(set(got.get(q, [])) & set(n)) for q, n in exact.items()) > 0.95 * 5 * len(exact)
+
+
+def test_rows_are_sent_by_groups_not_by_tiles(spark, monkeypatch):
+    kb = frame(spark, clustered(14, 300))
+    monkeypatch.setattr(retrieve, "MIN_GROUP_ROWS", 100)
+    got = search(retrieve.similar_issues, kb, kb, 4, exclude_self=True, pivots=1, tile_rows=7)
+    assert found(got) == brute(kb.collect(), kb.collect(), 4, exclude_self=True)
+    groups = {(r.blocks, r.slices) for r in retrieve._cell_groups(*[kb.selectExpr("0 AS cell")] * 2).collect()}
+    assert groups == {(3, 3)}
+    monkeypatch.setattr(retrieve, "MAX_GROUP_ROWS", 20)
+    assert retrieve._cell_groups(*[kb.selectExpr("0 AS cell")] * 2).first().blocks == 15
+
+
+def test_a_large_cell_is_not_dealt_by_its_number(spark):
+    queries, kb = (frame(spark, clustered(15, 50)).selectExpr(f"id AS {c}", "embedding AS vec", "0 AS cell") for c in "qn")
+    plan = retrieve._tiled_top(queries, kb, 3, "l2")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+
+
+def test_rows_sent_many_times_are_spread_first(spark, monkeypatch):
+    side = frame(spark, clustered(18, 64)).selectExpr("id AS q", "embedding AS vec").coalesce(1)
+    assert retrieve._spread(side, "q", 10).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(retrieve, "SENT_BYTES", 64 * 88)
+    assert retrieve._spread(side, "q", 10).rdd.getNumPartitions() == 10
+
+
+def test_vectors_meet_pivots_some_at_a_time(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(retrieve, "PIVOT_ROWS", 8)
+    vectors = clustered(16, 30).astype(float)
+    parts = list(retrieve._by_pivots(pd.Series(list(vectors)), vectors[:5], False))
+    assert [len(p) for p in parts] == [8, 8, 8, 6]
+    assert np.allclose(np.concatenate(parts), np.linalg.norm(vectors[:, None] - vectors[None, :5], axis=2), atol=1e-6)
+
+
+def test_hash_tables_do_not_grow_without_structure(spark, monkeypatch):
+    kb = frame(spark, np.random.default_rng(17).normal(size=(600, 24))).selectExpr("id AS n", "embedding AS vec")
+    monkeypatch.setattr(retrieve, "TILE_ROWS", 64)
+    bits, tables = retrieve._hash_plan(kb, 6, 0.97, None)
+    assert 1 <= bits < 7 and tables <= retrieve.MAX_TABLES
+    assert retrieve._hash_plan(kb, 6, 0.97, 7)[0] == 7  # what is given stays
