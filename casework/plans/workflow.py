@@ -20,6 +20,10 @@ from casework.sources.tables import (
 )
 
 
+#: Batches of requests in one job.
+MAX_BATCHES = 10_000
+
+
 @dataclass(frozen=True)
 class Prepared:
     golden: DataFrame
@@ -149,11 +153,12 @@ def _one_error(answers: DataFrame, usable: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Asking:
-    """Puts requests to a batch function in slices; every slice is stored before the next one begins.
+    """Puts requests to a batch function; what is answered is stored batch by batch.
 
-    The open requests are written once, dealt into slices of ``batch_rows * callers`` rows. Each slice is a
-    job of its own whose answers are appended, so what was answered is never asked for again, whether an
-    executor, the scorer or the driver dies.
+    The open requests are written once and dealt into batches. Where ``callers`` are no fewer than run at once, a job has
+    up to ``MAX_BATCHES`` batches, a task each, whose answers take their place as soon as the task ends
+    (version 2 of the file committer), also if the job fails later. Fewer callers get a job for every ``callers``
+    batches. What was answered is never asked for again, whether an executor, the scorer or the driver dies.
     """
 
     batch_rows: int
@@ -164,23 +169,20 @@ class Asking:
         spark = requests.sparkSession
         have = usable(read_table(spark, path, schemas.ANSWERS)).select("id").distinct()
         open_ = stored(requests.join(have, "id", "left_anti").select("id", "prompt"), "requests")
-        rows = open_.count()
-        slices = -(-rows // (self.batch_rows * self.callers))
-        if slices == 1:
-            self.save(open_, scorer, path)
-        elif slices:
-            folder = shared_folder(spark, "slices")
-            dealt = numbered(open_, ["id"], lambda df: stored(df, "requests"))
-            part = F.expr(f"number div {self.batch_rows * self.callers}").cast("int")
-            # One file a slice, so that its rows go to the callers in turn.
-            write_table(dealt.select("id", "prompt", part.alias("slice")).repartition("slice"), folder, by=["slice"])
-            sliced = spark.read.parquet(folder)
-            for i in range(slices):
-                self.save(sliced.filter(F.col("slice") == i), scorer, path)
+        batches = -(-open_.count() // self.batch_rows)
+        if batches:
+            numbers = numbered(open_, ["id"], lambda df: stored(df, "requests"))
+            dealt = stored(numbers.withColumn("batch", F.expr(f"number div {self.batch_rows}").cast("int")), "batches")
+            at_once = MAX_BATCHES if self.callers >= spark.sparkContext.defaultParallelism else self.callers
+            for first in range(0, batches, at_once):
+                some = dealt.filter(F.col("batch").between(first, first + at_once - 1))
+                parts = min(at_once, batches - first)
+                self.save(some.repartitionById(parts, F.col("batch") - first), scorer, path)
         return usable(read_table(spark, path, schemas.ANSWERS))
 
     def save(self, requests: DataFrame, scorer, path: str) -> None:
-        append_table(triage.score_batches(requests, scorer, self.batch_rows, self.callers), path)
+        answers = triage.score_batches(requests, scorer, self.batch_rows)
+        answers.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
 
 
 def run_judge(results: DataFrame, judge, template: str, path: str, n: int = terms.JUDGE_ROWS) -> DataFrame:

@@ -64,6 +64,39 @@ def test_every_slice_is_stored_before_the_next(spark, tmp_path):
     assert ask(requests.limit(0), lambda p: 1 / 0, path, lambda a: a).count() == 23
 
 
+def test_many_batches_take_few_jobs(spark, tmp_path):
+    path = str(tmp_path / "answers")
+    requests = spark.range(400).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("prompt"))
+    ask = workflow.Asking(batch_rows=4, callers=spark.sparkContext.defaultParallelism)
+    saved, save = [], workflow.Asking.save
+    workflow.Asking.save = lambda self, some, *rest: (saved.append(some.rdd.getNumPartitions()), save(self, some, *rest))
+    try:
+        given = ask(requests, lambda p: [str(len(p))] * len(p), path, lambda a: a.filter("error IS NULL"))
+    finally:
+        workflow.Asking.save = save
+    assert saved == [100]
+    assert sorted(int(r.id) for r in given.collect()) == list(range(400))
+    assert {r.answer for r in given.collect()} == {"4"}
+
+
+def test_a_job_that_fails_keeps_the_batches_that_ended(spark, tmp_path):
+    path, asked = str(tmp_path / "answers"), tmp_path / "asked"
+    asked.mkdir()
+
+    def scorer(prompts):
+        (asked / prompts[0]).write_text("")
+        if len(list(asked.iterdir())) > 30:
+            raise SystemExit("killed")
+        return ["a"] * len(prompts)
+
+    requests = spark.range(300).select(F.format_string("%03d", "id").alias("id"), F.format_string("%03d", "id").alias("prompt"))
+    ask = workflow.Asking(batch_rows=3, callers=spark.sparkContext.defaultParallelism)
+    with pytest.raises(Exception):
+        ask(requests, scorer, path, lambda a: a.filter("error IS NULL"))
+    kept = spark.read.parquet(path).count()
+    assert kept >= 3 * (len(list(asked.iterdir())) - 2 * ask.callers) and kept >= 3 * 20
+
+
 def test_failures_of_a_run_are_listed(spark, tmp_path):
     def classifier(prompts):
         return [TimeoutError("quota") if n == "3" else "not json" if n == "4" else REPLY for n in numbers(prompts)]
