@@ -157,3 +157,17 @@ def test_pseudonyms_by_the_definition(spark):
     for key in ("k", "another"):
         for r in pii.pseudonymised(df, key).collect():
             assert r.text == f"so {plain_pseudonym(found[r.doc_id], key)} it is" and r.n_pseudonyms <= 1, found[r.doc_id]
+
+
+def test_stars_take_no_step(spark, monkeypatch):
+    from casework.llm import components
+
+    kept, stored = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df: kept.append(1) or stored(df))
+    got = components.connected(spark.createDataFrame([(5, 1), (1, 7), (9, 2), (2, 2), (9, 2)], "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    assert len(kept) == 1
+    chain = spark.range(40).selectExpr("(id * 17) % 41 AS a", "((id + 1) * 17) % 41 AS b")
+    assert set(map(tuple, components.connected(chain).collect())) == {(i, 0) for i in range(41)}
+    assert components.connected(chain.limit(0)).count() == 0
+    assert len(kept) > 3
