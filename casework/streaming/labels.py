@@ -48,8 +48,9 @@ class LatestLabel(StatefulProcessor):
         before = tuple(self.newest.get()) if self.newest.exists() else None
         best = before
         for frame in rows:
-            for values in frame[list(EVENT)].astype(object).where(frame[list(EVENT)].notna(), None).itertuples(index=False):
-                event = (int(values[0]), *values[1:])
+            # Plain lists: a frame holds the few rows of one thread, and operations on whole frames cost more than these.
+            for values in zip(*[frame[c].tolist() for c in EVENT]):
+                event = (int(values[0]), *[None if v is None or v != v else v for v in values[1:]])
                 if best is None or _rank(event) > _rank(best):
                     best = event
         if best is not None and best != before:

@@ -78,3 +78,28 @@ def test_the_session_keeps_its_settings(spark, tmp_path):
     deliver(spark, [(1, 10, "1", "y", "new")], f"{tmp_path}/in")
     run(spark, tmp_path)
     assert {key: spark.conf.get(key, None) for key in label_streams.SETTINGS} == before
+
+
+def test_events_are_read_without_operations_on_frames(monkeypatch):
+    import pandas as pd
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    frame = pd.DataFrame([["t", 3, "1", None, "a"], ["t", 9, "2", float("nan"), None], ["t", 5, "7", "y", "b"]], columns=["thread_id", *label_streams.EVENT])
+    for name in ("astype", "where", "itertuples"):
+        monkeypatch.setattr(pd.DataFrame, name, lambda *a, **k: 1 / 0)
+    latest = label_streams.LatestLabel(None)
+    latest.newest = State()
+    out = list(latest.handleInputRows(("t",), [frame], None))
+    assert latest.newest.value == (9, "2", None, None) and len(out) == 1
+    assert list(latest.handleInputRows(("t",), [frame], None)) == []
