@@ -35,10 +35,10 @@ def with_signals(messages: DataFrame) -> DataFrame:
     return messages.withColumn("signals", rules.signals("customer_text"))
 
 
-def classification_requests(messages: DataFrame, template: str) -> DataFrame:
-    """Rows (id, kind, prompt), one per valid message."""
-    prompt = prompts.classification_request("customer_text", "signals", template)
-    return with_signals(messages).select(
+def classification_requests(messages: DataFrame, template: str, signals: str | None = None) -> DataFrame:
+    """Rows (id, kind, prompt), one per valid message; ``signals`` names a column that has its signals already."""
+    prompt = prompts.classification_request("customer_text", signals or "signals", template)
+    return (with_signals(messages) if signals is None else messages).select(
         F.col("thread_id").cast("string").alias("id"),
         F.lit("classify").alias("kind"),
         prompt.alias("prompt"),
@@ -112,13 +112,17 @@ def score_batches(
     return requests.mapInPandas(answer, "id string, answer string, error string")
 
 
-def decide(rows: DataFrame, threshold: float = terms.CONFIDENCE_THRESHOLD) -> DataFrame:
+def decide(
+    rows: DataFrame, threshold: float = terms.CONFIDENCE_THRESHOLD, signals: str | None = None
+) -> DataFrame:
     """Rows with ``customer_text`` and a parsed ``analysis`` get overrides and ``status``.
 
     The signals are plain columns here: Catalyst would copy the fields of a struct, and with
-    them all term tests, into every expression that reads one.
+    them all term tests, into every expression that reads one. ``signals`` names a stored column that has them.
     """
     found = rules.signal_columns("customer_text")
+    if signals is not None:
+        found = {name: F.col(signals)[name] for name in found}
     flat = rows.withColumns({f"_{name}": c for name, c in found.items()})
     signals = F.struct(*[F.col(f"_{name}").alias(name) for name in found])
     overridden = flat.withColumn("analysis", rules.apply_overrides("analysis", signals))
@@ -141,7 +145,7 @@ def one_per_thread(messages: DataFrame) -> DataFrame:
 
 def triage_batch(
     messages: DataFrame, answers: DataFrame, neighbours: DataFrame | None = None,
-    replies: DataFrame | None = None, threshold: float = terms.CONFIDENCE_THRESHOLD,
+    replies: DataFrame | None = None, threshold: float = terms.CONFIDENCE_THRESHOLD, signals: str | None = None,
 ) -> DataFrame:
     """Decide a whole table: (thread_id, customer_text, status, analysis, reply,
     retrieved_examples, error).
@@ -149,7 +153,8 @@ def triage_batch(
     ``messages`` are valid messages, ``answers`` (id, answer, error) classifier answers,
     ``neighbours`` (q, n, rk) the past issues of auto-handled messages and ``replies`` (id,
     answer) their drafted texts. A message without a usable answer has an error and no status.
-    Escalated messages have neither reply nor retrieved examples.
+    Escalated messages have neither reply nor retrieved examples. ``signals`` names a column of
+    ``messages`` that has their signals already.
     """
     messages = with_thread_id(messages)
     given = _one_answer(answers).withColumnRenamed("error", "failure")
@@ -159,7 +164,7 @@ def triage_batch(
         parsed.withColumn("error", reason).withColumn(
             "analysis", F.when(reason.isNull(), F.col("analysis"))
         ),
-        threshold,
+        threshold, signals,
     )
     failed = F.col("error").isNotNull()
     rows = rows.withColumns(

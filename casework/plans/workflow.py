@@ -1,5 +1,6 @@
 """The two end-to-end workflows. These functions write tables and therefore run jobs."""
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from casework.functions.answers import parse_answers, parse_judgements
 from casework.functions.prompts import Templates
 from casework.functions.text import has_reply
 from casework.operators import triage
-from casework.operators.numbering import numbered
+from casework.operators.numbering import Placed
 from casework.operators.seeded import golden_split
 from casework.operators.threads import build_knowledge_base, extract_threads, leakage_audit
 from casework.sources import schemas, versions
@@ -20,8 +21,12 @@ from casework.sources.tables import (
 )
 
 
-#: Batches of requests in one job.
-MAX_BATCHES = 10_000
+#: Tasks of one job that asks; as many batches have a task each before any share one.
+MAX_TASKS = 1_000
+#: Requests of batches that share a task, as many as Spark hands to Python at once by default.
+MAX_REQUESTS = 10_000
+#: Batches share a task if the job before did them in that time.
+TASK_SECONDS = 1.0
 
 
 @dataclass(frozen=True)
@@ -71,24 +76,25 @@ def evaluate(
 
     ``classifier``, ``writer`` and ``judge`` are batch functions as for ``score_batches``;
     ``find`` maps the auto-handled rows to their past issues (q, n, rk) in ``kb``, so escalated
-    messages are never searched for. Answers are appended to tables before they are used, a slice of
-    ``batch_rows`` for each of ``callers`` tasks (by default as many as run at once) at a time: a run
-    that breaks off, however, loses at most the batch that each task was at, and the next one asks only what has no
-    usable answer. Judgements are appended to a table of
+    messages are never searched for. Answers are appended to tables before they are used, a batch of
+    ``batch_rows`` for each of ``callers`` tasks (by default as many as run at once) at a time, of quick batches as many
+    as take a second (``Asking``): a run that breaks off, however, loses at most what each task was at, and the next
+    one asks only what has no usable answer. Judgements are appended to a table of
     their own, so each run judges replies that no run has judged; results come back with all scores.
     """
     ask = Asking(batch_rows, callers or spark.sparkContext.defaultParallelism)
     require_columns(golden, schemas.REQUIRED["golden"])
     results, answers = f"{path}/results", f"{path}/answers"
     done = read_table(spark, results, schemas.RESULTS)
-    checked = triage.checked_messages(triage.one_per_thread(triage.pending(golden, done)), limit=None)
+    open_rows = triage.one_per_thread(triage.pending(golden, done).select("thread_id", "customer_text"))
+    checked = stored(triage.with_signals(triage.checked_messages(open_rows, limit=None)), "messages")
     messages = triage.valid_messages(checked)
     rejects = triage.rejected_messages(checked).select("thread_id", F.col("message_status").alias("reason"))
     rejected = write_counted(rejects, lambda df: write_table(df, f"{path}/rejects", "overwrite"))["rows"]
 
-    requests = triage.classification_requests(messages, templates.classify)
+    requests = triage.classification_requests(messages, templates.classify, "signals")
     given = ask(requests, classifier, f"{answers}/classify", _parsed)
-    decided, neighbours = triage.triage_batch(messages, given), None
+    decided, neighbours = triage.triage_batch(messages, given, signals="signals"), None
     handled = decided.filter(F.col("status") == terms.AUTO_HANDLED)
     if find is not None:
         write_table(find(handled), f"{answers}/neighbours", "overwrite")
@@ -100,9 +106,9 @@ def evaluate(
         else:
             requests = triage.triage_replies(decided, neighbours, kb, templates.reply)
         drafted = ask(requests, writer, f"{answers}/reply", _written)
-    decided = triage.triage_batch(messages, given, neighbours, drafted)
-    errors = _one_error(read_table(spark, f"{answers}/classify", schemas.ANSWERS), given)
-    failed = decided.filter(F.col("error").isNotNull()).select("thread_id", "error").join(errors, "thread_id", "left")
+    decided = triage.triage_batch(messages, given, neighbours, drafted, signals="signals")
+    errors = _one_error(read_table(spark, f"{answers}/classify", schemas.ANSWERS))
+    failed = _unanswered(messages, given).join(errors, "thread_id", "left")
     failed = failed.select("thread_id", F.coalesce("_said", "error").alias("error"))
     failures = write_counted(failed, lambda df: write_table(df, f"{path}/failures", "overwrite"))["rows"]
     rows = triage.evaluation_rows(decided, golden).select(schemas.RESULTS.names)
@@ -144,21 +150,29 @@ def _written(answers: DataFrame) -> DataFrame:
     return answers.filter(has_reply("answer"))
 
 
-def _one_error(answers: DataFrame, usable: DataFrame) -> DataFrame:
-    """What was wrong with the answers to requests that have no usable one; the greatest text of several."""
-    parsed = parse_answers(answers.withColumnRenamed("error", "_failure"))
-    said = parsed.join(usable.select("id"), "id", "left_anti").groupBy(F.col("id").alias("thread_id"))
+def _unanswered(messages: DataFrame, usable: DataFrame) -> DataFrame:
+    """(thread_id, error) of the messages without a usable answer: what ``triage_batch`` says where there is none."""
+    rest = messages.join(usable.select(F.col("id").alias("thread_id")), "thread_id", "left_anti")
+    return triage.triage_batch(rest, usable.limit(0), signals="signals").select("thread_id", "error")
+
+
+def _one_error(answers: DataFrame) -> DataFrame:
+    """What was wrong with the unusable answers of each request; the greatest text of several."""
+    parsed = parse_answers(answers.withColumnRenamed("error", "_failure")).filter(F.col("error").isNotNull())
+    said = parsed.groupBy(F.col("id").alias("thread_id"))
     return said.agg(F.max(F.coalesce("_failure", "error")).alias("_said"))
 
 
 @dataclass(frozen=True)
 class Asking:
-    """Puts requests to a batch function; what is answered is stored batch by batch.
-
-    The open requests are written once and dealt into batches. Where ``callers`` are no fewer than run at once, a job has
-    up to ``MAX_BATCHES`` batches, a task each, whose answers take their place as soon as the task ends
-    (version 2 of the file committer), also if the job fails later. Fewer callers get a job for every ``callers``
-    batches. What was answered is never asked for again, whether an executor, the scorer or the driver dies.
+    """Puts requests to a batch function; what is answered is stored task by task.
+
+    The open requests are written once and dealt into batches. Of the first ``MAX_TASKS`` batches each is a task of its
+    own; after that a task has as many as one did in ``TASK_SECONDS`` in the job before, or one if that takes longer,
+    but no more than ``MAX_REQUESTS`` requests. Where ``callers`` are no fewer than run at once, a job has up to
+    ``MAX_TASKS`` tasks, whose answers take their place as soon as the task ends (version 2 of the file committer), also
+    if the job fails later. Fewer callers get a job for every ``callers`` tasks. What was stored is never asked for
+    again, whether an executor, the scorer or the driver dies.
     """
 
     batch_rows: int
@@ -168,16 +182,23 @@ class Asking:
         """Usable answers to the requests; only those without one are asked for."""
         spark = requests.sparkSession
         have = usable(read_table(spark, path, schemas.ANSWERS)).select("id").distinct()
-        open_ = stored(requests.join(have, "id", "left_anti").select("id", "prompt"), "requests")
-        batches = -(-open_.count() // self.batch_rows)
-        if batches:
-            numbers = numbered(open_, ["id"], lambda df: stored(df, "requests"))
-            dealt = stored(numbers.withColumn("batch", F.expr(f"number div {self.batch_rows}").cast("int")), "batches")
-            at_once = MAX_BATCHES if self.callers >= spark.sparkContext.defaultParallelism else self.callers
-            for first in range(0, batches, at_once):
-                some = dealt.filter(F.col("batch").between(first, first + at_once - 1))
-                parts = min(at_once, batches - first)
-                self.save(some.repartitionById(parts, F.col("batch") - first), scorer, path)
+        open_ = Placed(requests.join(have, "id", "left_anti").select("id", "prompt"), lambda df: stored(df, "requests"))
+        batches = -(-open_.rows // self.batch_rows)
+        running = spark.sparkContext.defaultParallelism
+        at_once, running = (MAX_TASKS, running) if self.callers >= running else (self.callers, self.callers)
+        first, each = 0, 1
+        while first < batches:
+            # Job by job, the batches from ``first`` on, ``each`` to a task.
+            tasks = min(at_once, -(-(batches - first) // each))
+            some = open_.between(first * self.batch_rows, (first + tasks * each) * self.batch_rows)
+            task = F.expr(f"(number - {first * self.batch_rows}) div {each * self.batch_rows}").cast("int")
+            started = time.monotonic()
+            self.save(some.repartitionById(tasks, task), scorer, path)
+            took = (time.monotonic() - started) * min(running, tasks) / tasks / each
+            first += tasks * each
+            if first >= MAX_TASKS:
+                most = min(MAX_REQUESTS // self.batch_rows, (batches - first) // running)
+                each = max(1, min(int(TASK_SECONDS / took), most))
         return usable(read_table(spark, path, schemas.ANSWERS))
 
     def save(self, requests: DataFrame, scorer, path: str) -> None:

@@ -45,7 +45,7 @@ def read_table(spark, path, schema, fmt: str = "parquet", limit: int | None = No
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).limit(0)  # known to be empty when a join with it is planned
     return df if limit is None else df.limit(limit)
 
 

@@ -79,6 +79,51 @@ def test_many_batches_take_few_jobs(spark, tmp_path):
     assert {r.answer for r in given.collect()} == {"4"}
 
 
+def counted_tasks(spark, monkeypatch, path, rows, seconds):
+    """Tasks of each job that asks ``rows`` requests in batches of 4, in jobs of 10 tasks."""
+    monkeypatch.setattr(workflow, "MAX_TASKS", 10, raising=False)
+    monkeypatch.setattr(workflow, "TASK_SECONDS", seconds, raising=False)
+    saved, save = [], workflow.Asking.save
+    monkeypatch.setattr(
+        workflow.Asking, "save", lambda self, some, *rest: (saved.append(some.rdd.getNumPartitions()), save(self, some, *rest))
+    )
+    requests = spark.range(rows).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("prompt"))
+    ask = workflow.Asking(batch_rows=4, callers=spark.sparkContext.defaultParallelism)
+    given = ask(requests, lambda p: [str(len(p))] * len(p), path, lambda a: a.filter("error IS NULL")).collect()
+    assert sorted(int(r.id) for r in given) == list(range(rows)) and {r.answer for r in given} == {"4"}
+    return saved
+
+
+def test_quick_batches_share_a_task(spark, tmp_path, monkeypatch):
+    assert counted_tasks(spark, monkeypatch, str(tmp_path / "a"), 1200, 1e6) == [10, 9]  # 36 batches a task for 8 callers
+
+
+def test_slow_batches_have_a_task_each(spark, tmp_path, monkeypatch):
+    assert counted_tasks(spark, monkeypatch, str(tmp_path / "a"), 100, 0) == [10, 10, 5]
+
+
+def test_texts_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(i):
+        made.add(1)
+        return str(i)
+
+    golden = golden_rows(spark, 50).withColumn("customer_text", F.udf(text, "string")("thread_id"))
+    done = workflow.evaluate(spark, golden, lambda p: [REPLY] * len(p), TEMPLATES, str(tmp_path / "e"))
+    assert done.count() == 50 and made.value == 50
+
+
+def test_a_failure_says_the_greatest_error_of_all_runs(spark, tmp_path):
+    path = str(tmp_path / "e")
+    for said, greatest in ("b", "b"), ("c", "c"), ("a", "c"):
+        workflow.evaluate(
+            spark, golden_rows(spark, 4), lambda p, s=said: [OSError(s) if n == "2" else REPLY for n in numbers(p)], TEMPLATES, path
+        )
+        failed = spark.read.schema("thread_id string, error string").parquet(f"{path}/failures").collect()
+        assert [tuple(r) for r in failed] == [("2", greatest)]
+
+
 def test_a_job_that_fails_keeps_the_batches_that_ended(spark, tmp_path):
     path, asked = str(tmp_path / "answers"), tmp_path / "asked"
     asked.mkdir()

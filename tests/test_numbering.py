@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from casework.operators.numbering import numbered
+from casework.operators.numbering import Placed, numbered
 
 
 def test_numbers_follow_the_order_without_gaps(spark):
@@ -28,6 +28,22 @@ def test_no_single_task_gets_all_rows(spark):
     assert "rangepartitioning" not in plan and plan.count("SinglePartition") == 1  # one row per part only
 
 
+def test_numbers_of_stored_rows(spark, tmp_path):
+    def store(df):
+        df.write.parquet(str(tmp_path / "rows"), mode="overwrite")
+        return spark.read.schema(df.schema).parquet(str(tmp_path / "rows"))
+
+    # Parts of many sizes, one of them empty.
+    df = spark.range(0, 100, numPartitions=5).filter("id % 7 < id div 20 AND id NOT BETWEEN 40 AND 59")
+    placed = Placed(df, store)
+    every = {r.number: r.id for r in placed.between(0, placed.rows).collect()}
+    assert sorted(every) == list(range(df.count())) and sorted(every.values()) == sorted(r.id for r in df.collect())
+    for first, end in ((0, 1), (3, 20), (10, placed.rows + 5), (placed.rows, placed.rows + 2)):
+        some = {r.number: r.id for r in placed.between(first, end).collect()}
+        assert some == {n: i for n, i in every.items() if first <= n < end}
+    assert Placed(df.limit(0), store).rows == 0
+
+
 def _ready(spark):
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
